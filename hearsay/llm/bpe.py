@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearsay.llm import kernels
 
@@ -134,7 +135,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     path: the tokenizer's file; each worker reads it.
     """
     kept = [c for c in docs.columns if c not in (text, ids)]
-    schema = docs.select(*kept).schema.add(ids, "array<int>", False)
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _loaded(path)[1]
@@ -152,7 +153,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ids stand for, their vocabulary strings joined as the file asks."""
     kept = [c for c in encoded.columns if c != text]
-    schema = encoded.select(*kept).schema.add(text, "string", False)
+    schema = encoded.select(*kept).schema.add(text, T.StringType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = _loaded(path)[0].strings
