@@ -17,7 +17,6 @@ files without rows.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,14 +209,6 @@ def pack(
     return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(work, SHARD_SCHEMA)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster shares (spark.checkpoint.dir)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:  # tests and local runs; a cluster names a shared one
-        top = "/tmp/hearsay-shared"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write(shards: DataFrame, folder: str) -> None:
     shards.write.parquet(folder)
 

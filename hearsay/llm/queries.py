@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, chat, grammar
+from hearsay.llm import bpe, chat, grammar, mixing, shared
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -39,7 +39,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    folder = grammar.shared_folder(spark, "token-files")
+    folder = shared.shared_folder(spark, "token-files")
     grammar.write(grammar.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json"), folder)
     return grammar.unpack(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -54,8 +54,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summarize(chat.render(chat.fold(chat.as_log(turns.unionByName(own)))))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op4_mix": op4_mix,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
 }
