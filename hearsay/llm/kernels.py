@@ -213,3 +213,48 @@ class IdCache:
         np.cumsum(lengths, out=sums[1:])
         at = np.repeat(lows - sums[:-1], lengths) + np.arange(sums[-1])
         return self.flat[at], sums[bounds]
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values from each start to its end (excluded), and of how many they are."""
+    up, down, _ = _powers(len(values))
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x9FB21C651E98DF25))
+
+
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of each ``width`` consecutive values, the leftmost of equals, by doubling."""
+    place, level = np.arange(len(values)), 1
+    best = values
+
+    def join(step: int) -> None:
+        nonlocal best, place
+        left = best[:-step] <= best[step:]
+        place = np.where(left, place[:-step], place[step:])
+        best = np.where(left, best[:-step], best[step:])
+
+    while level * 2 <= width:
+        join(level)
+        level *= 2
+    if level < width:
+        join(width - level)
+    return place
+
+
+def kept_text(run: Run, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """Each text's kept words joined by one space."""
+    mask = np.zeros(len(run.buf) + 1, np.int32)
+    kept = np.flatnonzero(keep)
+    np.add.at(mask, starts[kept], 1)
+    np.add.at(mask, ends[kept], -1)
+    mask = np.cumsum(mask[:-1]).astype(bool)
+    docs = np.searchsorted(bounds, kept, "right")
+    followed = kept[:-1][docs[:-1] == docs[1:]] if len(kept) else kept
+    buf = run.buf.copy()
+    buf[ends[followed]] = 0x20
+    mask[ends[followed]] = True
+    sums = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=sums[1:])
+    offsets = sums[run.offsets].astype(np.int32)
+    return pa.StringArray.from_buffers(len(run), pa.py_buffer(offsets), pa.py_buffer(buf[mask]))
