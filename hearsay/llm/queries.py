@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import bpe, chat, grammar, jaccard, mixing, shared, substrings
+from hearsay.llm import ann, bpe, chat, grammar, jaccard, mixing, shared, substrings
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -48,6 +48,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.unpack(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     says = r"\### Assistant: </turn> ok"
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_mix": op4_mix,
     "op6_substrings": op6_substrings,
+    "op7_neighbours": op7_neighbours,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
 }
