@@ -201,9 +201,9 @@ class IdCache:
             self.places = np.insert(self.places, into, places[new])
         return places[back]
 
-    def ids(self, run: Run) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a run's texts, and the bounds of each text's ids."""
-        starts, ends, bounds = chunks(run)
+    def ids(self, run: Run, spans=None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run's texts, and the bounds of each text's ids; of its chunks, or of given spans."""
+        starts, ends, bounds = spans or chunks(run)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(run) + 1, np.int64)
         places = self._places(run.buf, starts, ends)

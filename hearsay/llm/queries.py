@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import ann, bpe, chat, grammar, jaccard, mixing, shared, substrings
+from hearsay.llm import ann, bpe, chat, grammar, jaccard, mixing, shared, substrings, toxicity
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -67,6 +67,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard": op2_jaccard,
     "op3_token_files": op3_token_files,
     "op4_mix": op4_mix,
+    "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
     "op7_neighbours": op7_neighbours,
     "op9_bpe": op9_bpe,
