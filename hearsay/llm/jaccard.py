@@ -12,8 +12,9 @@ Trees are built in many tasks, over documents that can be linked at all:
 1. documents of equal sets are one class, with one representative;
 2. a class shows the prefix of its set that every linked class must meet (all but threshold of it, plus one), in an
    order that puts frequent shingles last; shingles that one class alone shows are dropped;
-3. classes that meet are chained into clusters (each to the least of a shingle's classes, so links grow with the rows,
-   not with their square);
+3. classes that meet at a shingle are compared by the bound on their count vectors alone, and those that pass are chained
+   into clusters: a shingle's classes give at most one chain link each, so links grow with the rows, not their square
+   (where a shingle has more than ``block`` classes, all are chained to the least without a comparison);
 4. a cluster is dealt into chunks of at most about ``chunk`` classes. In each chunk a tree is searched for every class,
    skipping what is in the class's own component by then;
 5. of clusters of several chunks, some members of each chunk's largest component are joined first; then members outside
@@ -69,8 +70,57 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def _points(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Group counts of each set, uint32: as many groups as its size asks for, a power of two, so that points of different
+    sizes can be folded to the smaller one's groups."""
+    n = np.diff(bounds)
+    groups = np.where(n < 512, 64, np.where(n < 2048, 256, np.where(n < 8192, 1024, 4096)))
+    first = np.concatenate([[0], np.cumsum(groups)])
+    docs = np.repeat(np.arange(len(n)), n)
+    at = first[docs] + ((hashes >> np.uint64(20)).astype(np.int64) & (groups[docs] - 1))
+    counts = np.bincount(at, minlength=first[-1]).astype("<u4")
+    return [counts[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
+def _chains(blocks: DataFrame, threshold: Fraction) -> DataFrame:
+    """blocks (members: array of print_a, n, point) -> links (a, b) of a spanning forest of what the bound lets pass."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("members")
+            rows, at = lists.values, lists.offsets.to_numpy()
+            prints, sizes = rows.field("print_a").to_numpy(zero_copy_only=False), rows.field("n").to_numpy(zero_copy_only=False)
+            column = rows.field("point")
+            out: list[tuple[int, int]] = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                raw = [column[i].as_buffer() if column[i].is_valid else None for i in range(a, b)]
+                some = [np.frombuffer(x, "<u4") for x in raw if x is not None]
+                if len(some) < b - a:  # sets that share a fingerprint: no point stands for them
+                    out += [(int(prints[i]), int(prints[a])) for i in range(a + 1, b)]
+                    continue
+                groups = min(map(len, some))
+                counts = np.stack([_fold(x, groups) for x in some]).astype(np.int64)
+                n, roots = sizes[a:b], np.arange(b - a)
+                for i in range(b - a - 1):
+                    later = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+                    overlap = np.minimum(counts[i], counts[later]).sum(axis=1)
+                    for j in later[overlap * (num + den) >= num * (n[i] + n[later])].tolist():
+                        if roots[j] != roots[i]:
+                            out.append((int(prints[a + i]), int(prints[a + j])))
+                            roots[roots == roots[j]] = roots[i]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return blocks.select("members").mapInArrow(work, "a long, b long")
+
+
 def _sizes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, _key, n, print_a, print_b (a set's fingerprint) and, in some rows, shingles that a batch has repeatedly."""
+    """doc_id, _key, n, print_a, print_b (a set's fingerprint), point (its group counts) and, in some rows, shingles that a
+    batch has repeatedly."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,18 +131,18 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
                 seen.append(hashes)
                 a = kernels.mix(_sums(kernels.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), bounds) + np.diff(bounds).astype(np.uint64))
                 b = kernels.mix(_sums(kernels.mix(hashes + np.uint64(0x14057B7EF767814F)), bounds))
-                rows.append((run, np.diff(bounds), a, b))
+                rows.append((run, np.diff(bounds), a, b, _points(hashes, bounds)))
             often, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often, counts = often[counts > 1], counts[counts > 1]
-            for i, (run, n, a, b) in enumerate(rows):
+            for i, (run, n, a, b, points) in enumerate(rows):
                 mine = [(often, counts) if i == 0 and j == 0 else (often[:0], counts[:0]) for j in range(len(run))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(run.first, len(run)), keys.slice(run.first, len(run)), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    [ids.slice(run.first, len(run)), keys.slice(run.first, len(run)), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(points, pa.binary()),
                      pa.array([x.view(np.int64) for x, _ in mine], pa.list_(pa.int64())), pa.array([c for _, c in mine], pa.list_(pa.int64()))],
-                    names=["doc_id", _KEY, "n", "print_a", "print_b", "often", "counts"],
+                    names=["doc_id", _KEY, "n", "print_a", "print_b", "point", "often", "counts"],
                 )
 
-    return docs.mapInArrow(work, f"doc_id long, {_KEY} long, n long, print_a long, print_b long, often array<bigint>, counts array<bigint>")
+    return docs.mapInArrow(work, f"doc_id long, {_KEY} long, n long, print_a long, print_b long, point binary, often array<bigint>, counts array<bigint>")
 
 
 def _prefixes(docs: DataFrame, size: int, threshold: Fraction, last: np.ndarray) -> DataFrame:
@@ -237,9 +287,10 @@ def _chunks(rows: DataFrame, threshold: Fraction, keys: list[str], queries: bool
 
 def link(
     docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), doc_id: str = "doc_id", text: str = "text",
-    chunk: int = 512, frequent: int = 2_000_000, seeds: int = 4,
+    chunk: int = 512, block: int = 64, frequent: int = 2_000_000, seeds: int = 4,
 ) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to); and the row's key, a hash
+    of id and text, and its component's key (null for an empty set), which tell rows of one id, or of none, apart."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias(_KEY))
     sizes = shared.written(_sizes(keyed, size), "set-sizes")
     often = sizes.filter(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "counts")).alias("x")).select("x.*")
@@ -250,7 +301,16 @@ def link(
 
     shown = shared.written(_prefixes(keyed, size, threshold, np.sort(last)), "prefixes")
     met = shown.groupBy("token").agg(F.min("print_a").alias("least"), F.max("print_a").alias("most")).filter("least <> most")
-    chained = shown.join(met.select("token", "least"), "token").select(F.col("print_a").alias("a"), F.col("least").alias("b")).distinct()
+    shows = shared.written(shown.join(met.select("token"), "token").distinct(), "met")
+    sizes_of = shows.groupBy("token").agg(F.count("*").alias("classes"), F.min("print_a").alias("least"))
+    large = shows.join(sizes_of.filter(F.col("classes") > block), "token").select(F.col("print_a").alias("a"), F.col("least").alias("b"))
+    small = shows.join(sizes_of.filter(F.col("classes") <= block).select("token"), "token")
+    groups = small.groupBy("token").agg(F.array_sort(F.collect_list("print_a")).alias("all")).select("all").distinct()
+    points = sizes.groupBy("print_a").agg(F.min("point").alias("p"), F.max("point").alias("q"), F.min("n").alias("n"))
+    points = points.select("print_a", "n", F.when(F.col("p") == F.col("q"), F.col("p")).alias("point"))
+    members = groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("print_a")).join(points, "print_a")
+    gathered = members.groupBy("group").agg(F.collect_list(F.struct("print_a", "n", "point")).alias("members"))
+    chained = _chains(gathered, threshold).unionAll(large)
     clusters = components.connected(chained).select(F.col("node").alias("print_a"), F.col("root").alias("cluster"))
 
     # sets of equal first fingerprints but different second ones are classes of their own in one cluster
@@ -280,11 +340,27 @@ def link(
         links = shared.cut(links.unionAll(_across(large, links, threshold, seeds)))
     roots = components.connected(links)
     ids = classes.join(roots, "node", "left").select("print_a", "print_b", F.coalesce("root", "node").alias("root"))
-    rows = sizes.select("doc_id", "n", "print_a", "print_b")
+    rows = sizes.select("doc_id", "n", "print_a", "print_b", _KEY)
     rooted = rows.join(ids, ["print_a", "print_b"], "left")
     least = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    root = F.when(F.col("n") > 0, F.col("root")).alias("component_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component, F.col(_KEY).alias("row_key"), root)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id. Documents without words all stay."""
+    linked = shared.cut(link(docs, **options))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = linked.filter("component_key IS NOT NULL").groupBy("component_key").agg(F.min(first).alias("x")).select(F.col("x.row_key").alias(_KEY))
+    kept = kept.unionAll(linked.filter("component_key IS NULL").select(F.col("row_key").alias(_KEY)))
+    out = docs.withColumn(_KEY, F.xxhash64(options.get("doc_id", "doc_id"), options.get("text", "text"))).join(kept.distinct(), _KEY, "left_semi")
+    twice = linked.filter("component_key IS NOT NULL").groupBy("row_key").count().filter("count > 1")
+    if not twice.isEmpty():  # equal rows
+        equal = out.join(twice.select(F.col("row_key").alias(_KEY)), _KEY, "left_semi").dropDuplicates([_KEY])
+        out = out.join(twice.select(F.col("row_key").alias(_KEY)), _KEY, "left_anti").unionByName(equal)
+    return out.drop(_KEY)
 
 
 def _across(large: DataFrame, links: DataFrame, threshold: Fraction, seeds: int) -> DataFrame:

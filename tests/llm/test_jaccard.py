@@ -64,10 +64,10 @@ def near_copies():
     return list(enumerate(rows)) + [(7, rows[7])]
 
 
-@pytest.mark.parametrize("chunk", [512, 4])
-def test_components_against_all_pairs(spark, chunk):
+@pytest.mark.parametrize(("chunk", "block"), [(512, 64), (4, 64), (4, 2)])
+def test_components_against_all_pairs(spark, chunk, block):
     rows = near_copies()
-    assert operator(spark, rows, chunk=chunk) == brute(rows)
+    assert operator(spark, rows, chunk=chunk, block=block) == brute(rows)
 
 
 def test_no_link_between_chunks_is_lost(spark):
