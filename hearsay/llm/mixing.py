@@ -125,3 +125,22 @@ def mix(
     rest = quota - whole * F.col("cell_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return joined.withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long")).drop("of", "in", "cell_size", "quota", "shard", "shards", "blocks")
+
+
+def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix itself: each document of docs (doc_id, source, text, ...) as often as the mix takes it, rounded.
+
+    Only one document of a shard can be taken in part; documents without words are not in a mix.
+    """
+    key = F.xxhash64("doc_id", F.col(text))
+    sizes = docs.select("doc_id", "source", word_count(text).alias("size"), key.alias("_key"))
+    taken = mix(sizes, **options).filter("taken > 0").select("_key", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    # equal rows of one id share a key: together they occur as often as each of them is taken
+    taken = taken.filter("_times > 0").groupBy("_key").agg(F.sum("_times").alias("_sum"), F.count("*").alias("_rows"))
+    rows = docs.withColumn("_key", key)
+    once = rows.join(taken.filter("_rows = 1"), "_key")
+    out = once
+    several = taken.filter("_rows > 1")
+    if not several.isEmpty():
+        out = once.unionByName(rows.join(several, "_key").dropDuplicates(["_key"]))
+    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int")))).drop("_i", "_key", "_sum", "_rows")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import ann, bpe, chat, grammar, jaccard, mixing, shared, substrings, toxicity
+from hearsay.llm import ann, bpe, chat, grammar, imatch, jaccard, mixing, shared, substrings, toxicity
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -37,8 +37,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(read(spark, sf_dir, "documents"))
+    return jaccard.link(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +84,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_imatch": op1_imatch,
     "op2_jaccard": op2_jaccard,
     "op3_token_files": op3_token_files,
     "op4_mix": op4_mix,
