@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import ann, bpe, chat, grammar, imatch, jaccard, mixing, shared, substrings, toxicity
+from hearsay.llm import ann, bpe, chat, grammar, imatch, jaccard, licences, mixing, shared, substrings, toxicity
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -56,6 +56,11 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     says = r"\### Assistant: </turn> ok"
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
     "op7_neighbours": op7_neighbours,
+    "op8_licences": op8_licences,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
 }
