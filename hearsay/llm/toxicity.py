@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -51,11 +52,19 @@ class Lexicon:
         self.weights = np.array([0.0, *(weights[t] for t in self.terms)])
         self.edits, self.fuzzy_from = edits, fuzzy_from
         self.root: dict = {}
+        self.whole: dict = {}  # of the words that misspellings are looked up in
+        self.heads, self.tails = set(), set()
         for i, term in enumerate(self.terms, 1):
-            node = self.root
-            for c in term.rstrip("*"):
-                node = node.setdefault(c, {})
-            node["stem" if term.endswith("*") else ""] = i
+            stem = term.endswith("*")
+            roots = [self.root] if stem or len(term) < fuzzy_from else [self.root, self.whole]
+            for node in roots:
+                for c in term.rstrip("*"):
+                    node = node.setdefault(c, {})
+                node["stem" if stem else ""] = i
+            if len(roots) > 1:  # one edit leaves the first or the last half of a term as it is
+                self.heads.add(term[: len(term) // 2])
+                self.tails.add(term[-(len(term) // 2) :])
+        self.halves = sorted({len(h) for h in self.heads})
 
     def exact(self, word: str) -> int:
         """The heaviest term that a word is or begins with; 0: none."""
@@ -72,29 +81,31 @@ class Lexicon:
 
     def near(self, word: str) -> int:
         """The heaviest whole-word term within the edit distance; 0: none."""
+        if self.edits == 1 and not any(word[:h] in self.heads or word[-h:] in self.tails for h in self.halves):
+            return 0
         best, seen = 0, set()
-        stack = [(self.root, 0, self.edits, 0)]
+        stack = [(self.whole, 0, self.edits)]
         n = len(word)
         while stack:
-            node, i, left, depth = stack.pop()
+            node, i, left = stack.pop()
             if (id(node), i, left) in seen:
                 continue
             seen.add((id(node), i, left))
             end = node.get("", 0)
-            if end and depth >= self.fuzzy_from and n - i <= left and self.weights[end] > self.weights[best]:
+            if end and n - i <= left and self.weights[end] > self.weights[best]:
                 best = end
             if i < n:
                 child = node.get(word[i])
                 if child is not None:
-                    stack.append((child, i + 1, left, depth + 1))
+                    stack.append((child, i + 1, left))
             if left:
                 if i < n:
-                    stack.append((node, i + 1, left - 1, depth))  # a letter too many
+                    stack.append((node, i + 1, left - 1))  # a letter too many
                 for c, child in node.items():
                     if len(c) == 1:
-                        stack.append((child, i, left - 1, depth + 1))  # a letter missing
+                        stack.append((child, i, left - 1))  # a letter missing
                         if i < n and c != word[i]:
-                            stack.append((child, i + 1, left - 1, depth + 1))  # another letter
+                            stack.append((child, i + 1, left - 1))  # another letter
         return best
 
     def token(self, text: str) -> list[int]:
@@ -162,14 +173,22 @@ def fit_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int
 
 def choose_terms(counts: dict[str, tuple[float, float]], toxic: float, other: float, most: int, lift: float = 8.0) -> dict[str, float]:
     """Weights of the terms that toxic texts have far more often. counts: term -> texts of each class that have it."""
-    least = max(3.0, 0.004 * toxic)
+    least = max(3.0, 0.01 * toxic)
     found = {}
     for term, (n1, n0) in counts.items():
         ratio = ((n1 + 0.5) / (toxic + 1)) / ((n0 + 1.0) / (other + 2))
         if n1 >= least and ratio >= lift:
             found[term] = min(6.0, math.log(ratio))
-    best = sorted(found, key=lambda t: (-counts[t][0] * found[t], t))[:most]
-    return {t: found[t] for t in best}
+    # a stem that is hardly more than one word gives way to it, and a term gives way to a shorter stem of nearly its weight
+    single = {w[:k] + "*" for w in found if not w.endswith("*") for k in STEMS if counts[w][0] >= 0.9 * counts.get(w[:k] + "*", (math.inf, 0))[0]}
+    kept: dict[str, float] = {}
+    for term in sorted(found, key=lambda t: (not t.endswith("*"), len(t), t)):
+        bare = term.rstrip("*")
+        shorter = (kept.get(bare[:k] + "*", -math.inf) for k in STEMS if k <= len(bare))
+        if term not in single and max(shorter, default=-math.inf) < found[term] - 0.25:
+            kept[term] = found[term]
+    best = sorted(kept, key=lambda t: (-counts[t][0] * kept[t], t))[:most]
+    return {t: kept[t] for t in best}
 
 
 class Model:
@@ -207,12 +226,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms:
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True):
-                terms = list(terms_of(set(_PARTS.findall(text.lower()))))
-                yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "half": pa.array([h] * len(terms), pa.int32())})
-
-    # a term needs this many toxic texts, so there are at most so many of them as terms in a text / 0.004
-    enough = F.sum(F.lit(1)) >= max(3.0, 0.002 * sum(toxic))
-    seen = sample.filter("y = 1").mapInArrow(shown, "term string, half int").groupBy("term")
+                words = set(_PARTS.findall(text.lower()))
+                sign = min((zlib.crc32(w.encode()) for w in words), default=0)
+                terms = list(terms_of(words))
+                yield pa.RecordBatch.from_pydict({
+                    "term": pa.array(terms, pa.string()), "half": pa.array([h] * len(terms), pa.int32()), "sign": pa.array([sign] * len(terms), pa.int64()),
+                })
+
+    # texts of one smallest word hash count once, so that groups of copies don't make terms of their words
+    # a term needs this many toxic texts, so there are no more of them than terms in a text / 0.005
+    enough = F.count("*") >= max(3.0, 0.005 * sum(toxic))
+    seen = sample.filter("y = 1").mapInArrow(shown, "term string, half int, sign long").distinct().groupBy("term")
     seen = seen.agg(F.count_if(F.col("half") == 0).alias("a"), F.count_if(F.col("half") == 1).alias("b"), enough.alias("enough"))
     positive = {r["term"]: (r["a"], r["b"]) for r in seen.filter("enough").select("term", "a", "b").collect()}
     sent = spark.sparkContext.broadcast(frozenset(positive))
