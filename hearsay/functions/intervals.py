@@ -19,7 +19,8 @@ def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, C
     p = successes.cast("double") / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    # greatest and least pass over nulls, so they are kept behind the test of n
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), middle - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), middle + half))
 
 
 def share_band(share: Column) -> Column:
