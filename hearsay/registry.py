@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Each module has QUERIES (name -> callable) and ORACLE (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("hearsay.plans.marts", "hearsay.plans.selection", "hearsay.plans.series", "hearsay.plans.sampling", "hearsay.plans.journals", "hearsay.plans.evaluation")
+MODULES: tuple[str, ...] = ("hearsay.plans.marts", "hearsay.plans.selection", "hearsay.plans.series", "hearsay.plans.sampling", "hearsay.plans.journals", "hearsay.plans.evaluation", "hearsay.plans.text")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
