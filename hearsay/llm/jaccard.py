@@ -14,11 +14,11 @@ Trees are built in many tasks, over documents that can be linked at all:
    order that puts frequent shingles last; shingles that one class alone shows are dropped;
 3. classes that meet at a shingle are compared by the bound on their count vectors alone, and those that pass are chained
    into clusters: a shingle's classes give at most one chain link each, so links grow with the rows, not their square
-   (where a shingle has more than ``block`` classes, all are chained to the least without a comparison);
-4. a cluster is dealt into chunks of at most about ``chunk`` classes. In each chunk a tree is searched for every class,
+   (where a shingle has more than ``block`` classes, those of like size are chained to their least without comparison);
+4. a cluster is dealt by size into chunks of at most ``chunk`` classes. In each chunk a tree is searched for every class,
    skipping what is in the class's own component by then;
 5. of clusters of several chunks, some members of each chunk's largest component are joined first; then members outside
-   the cluster's largest component go to every chunk to be searched for there. Two components of which neither is the
+   the cluster's largest component go to every chunk of fitting sizes to be searched for there. Two components of which neither is the
    largest, and the largest and any other, have so been compared in full: no link between components is lost.
 
 The order of step 2 only moves work, never the result: what counts is how often batches saw a shingle in two or more
@@ -74,7 +74,7 @@ def _points(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Group counts of each set, uint32: as many groups as its size asks for, a power of two, so that points of different
     sizes can be folded to the smaller one's groups."""
     n = np.diff(bounds)
-    groups = np.where(n < 512, 64, np.where(n < 2048, 256, np.where(n < 8192, 1024, 4096)))
+    groups = np.where(n < 256, 64, np.where(n < 1024, 256, np.where(n < 4096, 1024, 4096)))
     first = np.concatenate([[0], np.cumsum(groups)])
     docs = np.repeat(np.arange(len(n)), n)
     at = first[docs] + ((hashes >> np.uint64(20)).astype(np.int64) & (groups[docs] - 1))
@@ -287,7 +287,7 @@ def _chunks(rows: DataFrame, threshold: Fraction, keys: list[str], queries: bool
 
 def link(
     docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), doc_id: str = "doc_id", text: str = "text",
-    chunk: int = 512, block: int = 64, frequent: int = 2_000_000, seeds: int = 4,
+    chunk: int = 512, block: int = 2048, frequent: int = 2_000_000, seeds: int = 4,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to); and the row's key, a hash
     of id and text, and its component's key (null for an empty set), which tell rows of one id, or of none, apart."""
@@ -302,12 +302,18 @@ def link(
     shown = shared.written(_prefixes(keyed, size, threshold, np.sort(last)), "prefixes")
     met = shown.groupBy("token").agg(F.min("print_a").alias("least"), F.max("print_a").alias("most")).filter("least <> most")
     shows = shared.written(shown.join(met.select("token"), "token").distinct(), "met")
-    sizes_of = shows.groupBy("token").agg(F.count("*").alias("classes"), F.min("print_a").alias("least"))
-    large = shows.join(sizes_of.filter(F.col("classes") > block), "token").select(F.col("print_a").alias("a"), F.col("least").alias("b"))
+    sizes_of = shows.groupBy("token").agg(F.count("*").alias("classes"))
     small = shows.join(sizes_of.filter(F.col("classes") <= block).select("token"), "token")
     groups = small.groupBy("token").agg(F.array_sort(F.collect_list("print_a")).alias("all")).select("all").distinct()
     points = sizes.groupBy("print_a").agg(F.min("point").alias("p"), F.max("point").alias("q"), F.min("n").alias("n"))
     points = points.select("print_a", "n", F.when(F.col("p") == F.col("q"), F.col("p")).alias("point"))
+    # sets of sizes that can be linked are in the same or in neighbouring bands
+    ratio = F.log(F.lit(float(1 / threshold)))
+    band = F.floor(F.log(F.col("n").cast("double")) / ratio)
+    wide = shows.join(sizes_of.filter(F.col("classes") > block).select("token"), "token").join(points.select("print_a", "n"), "print_a")
+    wide = wide.select("token", "print_a", F.explode(F.array(band, band + 1)).alias("band"))
+    least = wide.groupBy("token", "band").agg(F.min("print_a").alias("b"))
+    large = wide.join(least, ["token", "band"]).select(F.col("print_a").alias("a"), "b")
     members = groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("print_a")).join(points, "print_a")
     gathered = members.groupBy("group").agg(F.collect_list(F.struct("print_a", "n", "point")).alias("members"))
     chained = _chains(gathered, threshold).unionAll(large)
@@ -316,10 +322,11 @@ def link(
     # sets of equal first fingerprints but different second ones are classes of their own in one cluster
     twice = sizes.groupBy("print_a").agg(F.min("print_b").alias("p"), F.max("print_b").alias("q")).filter("p <> q")
     clusters = clusters.unionAll(twice.join(clusters, "print_a", "left_anti").select("print_a", F.col("print_a").alias("cluster")))
-    classes = sizes.filter("n > 0").groupBy("print_a", "print_b").agg(F.min(_KEY).alias("node"))
-    members = shared.cut(classes.join(clusters, "print_a").select("node", "cluster"))
+    classes = sizes.filter("n > 0").groupBy("print_a", "print_b").agg(F.min(_KEY).alias("node"), F.min("n").alias("n"))
+    members = shared.cut(classes.join(clusters, "print_a").select("node", "cluster", "n"))
     many = members.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    placed = members.join(many, "cluster").withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks")).cast("int"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "node")) - 1  # of ids and sizes alone
+    placed = members.withColumn("chunk", F.floor(place / chunk).cast("int")).join(many, "cluster")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,11 +334,11 @@ def link(
                 hashes, bounds = shingle_sets(run, size)
                 out = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 here = batch.slice(run.first, len(run))
-                names = ("node", "cluster", "chunk", "chunks")
+                names = ("node", "cluster", "chunk", "chunks", "n")
                 yield pa.RecordBatch.from_arrays([*(here.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "set"])
 
     texts = keyed.select(F.col(_KEY).alias("node"), "text").join(placed, "node")
-    whole = shared.written(texts.mapInArrow(sets, "node long, cluster long, chunk int, chunks int, set binary").dropDuplicates(["node"]), "sets")
+    whole = shared.written(texts.mapInArrow(sets, "node long, cluster long, chunk int, chunks int, n long, set binary").dropDuplicates(["node"]), "sets")
     own = whole.select("*", F.col("node").alias("root"), F.lit(False).alias("query"))
     links = shared.cut(_chunks(own, threshold, ["cluster", "chunk"], False))
 
@@ -367,7 +374,7 @@ def _across(large: DataFrame, links: DataFrame, threshold: Fraction, seeds: int)
     """Links between chunks of one cluster."""
     roots = components.connected(links)
     rows = large.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node"))
-    skinny = shared.cut(rows.select("node", "cluster", "chunk", "chunks", "root"))
+    skinny = shared.cut(rows.select("node", "cluster", "chunk", "n", "root"))
     # some members of each chunk's largest component, joined among themselves
     counted = skinny.groupBy("cluster", "chunk", "root").agg(F.count("*").alias("m"))
     largest = counted.groupBy("cluster", "chunk").agg(F.max(F.struct("m", F.negative("root").alias("r"))).alias("x")).select("cluster", "chunk", F.negative("x.r").alias("root"))
@@ -381,7 +388,11 @@ def _across(large: DataFrame, links: DataFrame, threshold: Fraction, seeds: int)
     now = shared.cut(skinny.drop("root").join(merged, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r"))
     top = now.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", F.negative("root").alias("r"))).alias("x"))
     top = top.select("cluster", F.negative("x.r").alias("top"))
-    rest = now.join(top, "cluster").filter("root <> top").select("node", "cluster", "root", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    # to the chunks, that is, whose sizes it can be linked with
+    ranges = now.groupBy("cluster", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    num, den = threshold.numerator, threshold.denominator
+    fits = (F.col("low") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("high") * den)
+    rest = now.drop("chunk").join(top, "cluster").filter("root <> top").join(ranges, "cluster").filter(fits).select("node", "cluster", "root", "chunk")
     index = now.select("node", "cluster", "root", "chunk", F.lit(False).alias("query"))
     both = index.unionByName(rest.withColumn("query", F.lit(True)))
     second = _chunks(both.join(large.select("node", "set"), "node"), threshold, ["cluster", "chunk"], True)
