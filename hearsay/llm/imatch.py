@@ -2,12 +2,12 @@
 
 Method: terms are lower-cased words; those whose document frequency lies in a band (inverse document frequency neither
 too low nor too high) are kept, distinct ones are taken in sorted order, and hashed for each of several randomised
-subsets of the lexicon. A subset's hash is the exclusive or of its terms' hashes, which is the same for any order, so
+subsets of the lexicon (each of two hashes parts it into 2**s subsets, of which the first 16 count). A subset's hash is the exclusive or of its terms' hashes, which is the same for any order, so
 sorting is left out. Two texts whose kept terms are equal have equal fingerprints, and texts that share most terms
 still agree in the subsets that none of the other terms fall in.
 
-For that, a subset must keep few terms of a text, whether the text is short or long. A subset at scale s keeps one
-term in 2**s; a fingerprint holds the subsets of two scales, which follow from the number of words: the scale (two hex
+For that, a subset must keep few terms of a text, whether the text is short or long; one at scale s keeps a term in
+2**s; a fingerprint holds the subsets of two scales, which follow from the number of words: the scale (two hex
 digits), then ``4 * LANES`` hashes of four hex digits at it, then as many at the next one. Likeness is the share of
 equal hashes among those that are not empty on both sides, at the scales that two fingerprints have in common.
 
@@ -58,30 +58,38 @@ def scale(words: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(13), F.floor(F.log2(kept)))).cast("int")
 
 
-def _lanes(term: Column, mask: Column, start: int) -> list[Column]:
-    """Aggregates of the subsets at a scale, whose mask has as many bits: LANES exclusive ors of 64 bits."""
+def _places(term: Column, at: Column, start: int) -> list[Column]:
+    """For both ways to part the lexicon: the lane of the subset that a term is in at a scale (null: none), and its hash there."""
     out = []
-    for j in range(LANES):
-        chance = F.xxhash64(term, F.lit(j))
-        value = F.xxhash64(term, F.lit(100 + j))
-        lane = None
-        for k in range(4):
-            taken = F.shiftrightunsigned(chance, 16 * k).bitwiseAND(mask) == 0
-            part = F.when(taken, value.bitwiseAND(F.lit(0xFFFF << 16 * k if k < 3 else -(1 << 48)).cast("long"))).otherwise(F.lit(0).cast("long"))
-            lane = part if lane is None else lane.bitwiseOR(part)
-        out.append(F.coalesce(F.bit_xor(F.when(term.isNotNull(), lane)), F.lit(0).cast("long")).alias(f"lane{start + j}"))
+    for g in range(2):
+        chance = F.xxhash64(term, F.lit(g))
+        cell = chance.bitwiseAND((F.pow(F.lit(2.0), at) - 1).cast("long"))
+        lane = F.when(cell < 2 * LANES, F.floor(cell / 4) + g * LANES // 2)
+        shift = F.when(cell % 4 == 1, 1 << 16).when(cell % 4 == 2, 1 << 32).otherwise(1)
+        value = F.shiftrightunsigned(chance, 48)
+        word = F.when(cell % 4 == 3, F.shiftleft(value, 48)).otherwise(value * shift)
+        out += [lane.cast("int").alias(f"at{start + g}"), word.alias(f"word{start + g}")]
     return out
 
 
 def fingerprints(rows: DataFrame, keys: list[str], band: DataFrame) -> DataFrame:
     """rows (keys..., text) -> keys, fingerprint. Each row's keys are its own."""
     counted = rows.select(*keys, word_number("text").alias("words"), "text")
-    each = counted.select(*keys, scale(F.col("words")).alias("scale"), (F.col("words") < SHORT).alias("short"), F.explode_outer(terms(F.col("text"))).alias("term"))
+    each = counted.select(
+        *keys, scale(F.col("words")).alias("scale"), (F.col("words") < SHORT).alias("short"),
+        F.explode(F.array_append(terms(F.col("text")), F.lit(None).cast("long"))).alias("term"),
+    )
+    # a text keeps one row without a term; terms that are in no subset at the text's scales are left out before the lexicon
+    each = each.select("*", *_places(F.col("term"), F.col("scale"), 0), *_places(F.col("term"), F.col("scale") + 1, 2))
+    some = F.col("term").isNull() | F.coalesce(*(F.col(f"at{i}") for i in range(4))).isNotNull()
     inside = F.broadcast(band.select(F.col("term").alias("t"), F.lit(True).alias("inside")))
-    # a term outside the band is a null, which the aggregates pass over
-    kept = each.join(inside, F.col("term") == F.col("t"), "left").withColumn("term", F.when(F.col("short") | F.col("inside"), F.col("term")))
-    mask, next_mask = ((F.pow(F.lit(2.0), F.col("scale") + i) - 1).cast("long") for i in (0, 1))
-    lanes = _lanes(F.col("term"), mask, 0) + _lanes(F.col("term"), next_mask, LANES)
+    kept = each.filter(some).join(inside, F.col("term") == F.col("t"), "left").filter("term IS NULL OR short OR inside")
+    lanes = []
+    for step in (0, 2):
+        for lane in range(LANES):
+            n = step + lane // (LANES // 2)
+            word = F.when(F.col("term").isNotNull() & (F.col(f"at{n}") == lane), F.col(f"word{n}"))
+            lanes.append(F.coalesce(F.bit_xor(word), F.lit(0).cast("long")).alias(f"lane{step * LANES // 2 + lane}"))
     made = kept.groupBy(*keys, "scale").agg(*lanes)
     parts = [F.lpad(F.hex(f"lane{i}"), 16, "0") for i in range(2 * LANES)]
     return made.select(*keys, F.lower(F.concat(F.lpad(F.hex("scale"), 2, "0"), *parts)).alias("fingerprint"))
@@ -100,7 +108,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, rows_at_once: int = 4096, splits: int = 200) -> DataFrame:
-    """docs (doc_id, text) in descending order of doc_id: bucket, place, doc_id, text, next_text (after the last: the first).
+    """docs (doc_id, text) in descending order of doc_id: bucket, place, doc_id, text; next_text, next_bucket and next_place of
+    the row after it (after the last: the first).
 
     Rows are dealt into ranges of doc_id by its quantiles, so no task sorts all of them; each range also gets the first row
     of the range after it.
@@ -125,11 +134,14 @@ def with_next(docs: DataFrame, rows_at_once: int = 4096, splits: int = 200) -> D
     ranges = Window.orderBy(F.desc("bucket"))
     after = shared.cut(heads.select("bucket")).withColumn("following", F.lead("bucket").over(ranges)).withColumn("first", F.max("bucket").over(Window.partitionBy()))
     after = after.select("bucket", F.coalesce("following", "first").alias("following"))
-    extra = after.join(heads.withColumnRenamed("bucket", "following"), "following").select(F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), "bucket", F.lit(1).alias("extra"))
-    every = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("extra")).unionByName(extra)
-    window = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.desc("text"))
-    placed = every.withColumn("next_text", F.lead("text").over(window)).withColumn("place", F.row_number().over(window))
-    return placed.filter("extra = 0").select("bucket", "place", "doc_id", "text", "next_text")
+    extra = after.join(heads.withColumnRenamed("bucket", "following"), "following").select(F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), "bucket", "following")
+    every = dealt.select("doc_id", "text", "bucket", F.lit(None).cast("long").alias("following")).unionByName(extra)
+    window = Window.partitionBy("bucket").orderBy(F.col("following").isNotNull(), F.col("doc_id").desc_nulls_last(), F.desc("text"))
+    after = F.lead("following").over(window)
+    placed = every.withColumn("next_text", F.lead("text").over(window)).withColumn("place", F.row_number().over(window)).withColumn("after", after)
+    next_place = F.when(F.col("after").isNull(), F.col("place") + 1).otherwise(1)
+    placed = placed.filter("following IS NULL").withColumn("next_bucket", F.coalesce("after", "bucket")).withColumn("next_place", next_place)
+    return placed.select("bucket", "place", "doc_id", "text", "next_text", "next_bucket", "next_place")
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -144,12 +156,14 @@ def compare(docs: DataFrame) -> DataFrame:
     near_next (likeness to the edited text and to the next document)."""
     band = shared.cut(lexicon(docs))
     rows = edited(with_next(docs))
-    facts = ["bucket", "place", "doc_id", "n_chars", "edited_sha256"]
-    texts = F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited", "next_text"))))
+    facts = ["bucket", "place", "next_bucket", "next_place", "doc_id", "n_chars", "edited_sha256"]
+    texts = F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited"))))
     each = rows.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).select(*facts, F.inline(texts))
     made = fingerprints(each, [*facts, "which"], band)
     of = lambda i: F.max(F.when(F.col("which") == i, F.col("fingerprint")))
-    both = made.groupBy(*facts).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"), of(2).alias("next"))
+    both = shared.written(made.groupBy(*facts).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")), "fingerprints")
+    after = both.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next"))
+    both = both.join(after, ["next_bucket", "next_place"])
     return both.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),

@@ -24,15 +24,14 @@ def fingerprint(text, band):
     scale = max(0, min(13, math.floor(math.log2(max(words, 1) / (1.0 if words < imatch.SHORT else 2.0)))))
     out = "%02x" % scale
     for at in (scale, scale + 1):
-        for j in range(imatch.LANES):
-            lane = 0
+        for g in range(2):
+            lanes = [0] * (imatch.LANES // 2)
             for t in kept:
-                key = t.to_bytes(8, "little")
-                chance, value = (xx(k.to_bytes(4, "little"), xx(key)) for k in (j, 100 + j))
-                for k in range(4):
-                    if not (chance >> 16 * k) & ((1 << at) - 1):
-                        lane ^= value & (0xFFFF << 16 * k)
-            out += "%016x" % lane
+                chance = xx(g.to_bytes(4, "little"), xx(t.to_bytes(8, "little")))
+                cell = chance & ((1 << at) - 1)
+                if cell < 16:
+                    lanes[cell // 4] ^= (chance >> 48) << 16 * (cell % 4)
+            out += "".join("%016x" % x for x in lanes)
     return out
 
 
