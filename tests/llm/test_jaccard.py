@@ -64,7 +64,7 @@ def near_copies():
     return list(enumerate(rows)) + [(7, rows[7])]
 
 
-@pytest.mark.parametrize(("chunk", "block"), [(512, 64), (4, 64), (4, 2)])
+@pytest.mark.parametrize(("chunk", "block"), [(512, 2048), (4, 2048), (4, 2)])
 def test_components_against_all_pairs(spark, chunk, block):
     rows = near_copies()
     assert operator(spark, rows, chunk=chunk, block=block) == brute(rows)
