@@ -78,3 +78,27 @@ def shares(members: DataFrame, mentions: DataFrame) -> DataFrame:
     pinned = mentions.filter("slot = 'pinned'").select("review_id", "aspect").distinct()
     hits = pinned.join(scope, "review_id").groupBy("app_id", "aspect").agg(F.count("*").alias("k"))
     return hits.join(sizes, "app_id").select("app_id", "aspect", "k", "n", (F.col("k") / F.col("n")).alias("share"))
+
+
+def stratified_interval(drawn: DataFrame, plan: DataFrame, hit: str, unit: str = "month", z: float = 1.959963984540054) -> DataFrame:
+    """Per app the share of ``hit`` in the whole, estimated from a draw stratified by windows, with a 95 % interval.
+
+    A window weighs by its population; its variance p (1 - p) / max(n - 1, 1) is reduced by the share that was drawn.
+    """
+    keyed = drawn.withColumn("start", F.date_trunc(unit, "created_at").cast("timestamp_ntz"))
+    strata = keyed.groupBy("app_id", "start").agg(F.count("*").alias("n"), F.count_if(hit).alias("k")).join(plan.select("app_id", "start", "population"), ["app_id", "start"])
+    weight = F.col("population") / F.sum("population").over(Window.partitionBy("app_id"))
+    p = F.col("k") / F.col("n")
+    variance = p * (1 - p) / F.greatest(F.col("n") - 1, F.lit(1)) * (1 - F.col("n") / F.col("population"))
+    each = strata.select("app_id", "n", (weight * p).alias("wp"), (weight * weight * variance).alias("wv"))
+    out = each.groupBy("app_id").agg(F.sum("n").alias("n"), F.sum("wp").alias("estimate"), F.sqrt(F.sum("wv")).alias("error"))
+    low, high = F.greatest(F.lit(0.0), F.col("estimate") - z * F.col("error")), F.least(F.lit(1.0), F.col("estimate") + z * F.col("error"))
+    return out.select("app_id", "n", "estimate", low.alias("low"), high.alias("high"))
+
+
+def error_summary(measured: DataFrame) -> DataFrame:
+    """Per app over its aspects: mean, median, 90th percentile (linear between ranks) and largest absolute error."""
+    e = F.abs("error")
+    return measured.groupBy("app_id").agg(
+        F.count("*").alias("aspects"), F.avg(e).alias("mean_error"), F.percentile(e, 0.5).alias("p50_error"), F.percentile(e, 0.9).alias("p90_error"), F.max(e).alias("max_error")
+    )

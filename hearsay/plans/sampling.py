@@ -51,6 +51,16 @@ def measured(spark, sf_dir):
     return out.select("app_id", "aspect", "reference_share", share.alias("sample_share"), (share - F.col("reference_share")).alias("error"))
 
 
+def stratified(spark, sf_dir):
+    """Share of positive reviews, estimated from a windowed draw."""
+    plan = _plan(spark, sf_dir)
+    return sampling.stratified_interval(sampling.windowed_draw(views.reviews(spark, sf_dir), plan), plan, "voted_up")
+
+
+def errors(spark, sf_dir):
+    return sampling.error_summary(measured(spark, sf_dir))
+
+
 BASE = f"WITH {REVIEWS_SQL}, {ENVELOPES_SQL}, {MENTIONS_SQL}, {MONTHS_SQL}"
 #: Time-proportional quotas of n among windows that hold at least n never meet a population, so one pass is exact.
 PLAN_SQL = f"""windows AS (SELECT app_id, start, coalesce(lead(start) OVER (PARTITION BY app_id ORDER BY start), TIMESTAMP '{CLOSING}') AS "end", (up + down)::BIGINT AS population FROM months),
@@ -64,7 +74,7 @@ SHARES = "SELECT s.app_id, aspect, count(DISTINCT review_id) / any_value(n)::DOU
 
 QUERIES = {
     "plan_time_proportional": plan, "plan_equal_per_window": plan_equal, "windowed_draw": draw, "cursor_prefix_draw": prefix_draw,
-    "hashed_uniform_draw": hashed_draw, "measure_draw": measured,
+    "hashed_uniform_draw": hashed_draw, "measure_draw": measured, "stratified_interval": stratified, "draw_errors": errors,
 }
 ORACLE = {
     "plan_time_proportional": f"{BASE}, {PLAN_SQL} SELECT * FROM plan",
@@ -75,3 +85,10 @@ ORACLE = {
         ds AS (SELECT review_id, app_id FROM scope WHERE review_id IN (SELECT review_id FROM drawn)), t AS ({SHARES.format("scope")}), f AS ({SHARES.format("ds")})
         SELECT t.app_id, t.aspect, t.share AS reference_share, coalesce(f.share, 0) AS sample_share, coalesce(f.share, 0) - t.share AS error FROM t LEFT JOIN f USING (app_id, aspect)""",
 }
+ORACLE["draw_errors"] = f"""WITH m AS ({ORACLE["measure_draw"]}) SELECT app_id, count(*) AS aspects, avg(abs(error)) AS mean_error, quantile_cont(abs(error), 0.5) AS p50_error,
+    quantile_cont(abs(error), 0.9) AS p90_error, max(abs(error)) AS max_error FROM m GROUP BY 1"""
+ORACLE["stratified_interval"] = f"""{BASE}, {PLAN_SQL}, {DRAW_SQL},
+    st AS (SELECT d.app_id, date_trunc('month', d.created_at) AS start, count(*)::DOUBLE AS n, count(*) FILTER (voted_up)::DOUBLE AS k FROM drawn d GROUP BY 1, 2),
+    sw AS (SELECT st.*, population, population / (sum(population) OVER (PARTITION BY st.app_id))::DOUBLE AS wt FROM st JOIN plan p ON p.app_id = st.app_id AND p.start = st.start),
+    es AS (SELECT app_id, sum(n)::BIGINT AS n, sum(wt * k / n) AS estimate, sqrt(sum(wt * wt * (k / n) * (1 - k / n) / greatest(n - 1, 1) * (1 - n / population))) AS error FROM sw GROUP BY 1)
+    SELECT app_id, n, estimate, greatest(0, estimate - 1.959963984540054 * error) AS low, least(1, estimate + 1.959963984540054 * error) AS high FROM es"""
