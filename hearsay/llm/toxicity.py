@@ -52,19 +52,18 @@ class Lexicon:
         self.weights = np.array([0.0, *(weights[t] for t in self.terms)])
         self.edits, self.fuzzy_from = edits, fuzzy_from
         self.root: dict = {}
-        self.whole: dict = {}  # of the words that misspellings are looked up in
-        self.heads, self.tails = set(), set()
+        self.whole: dict = {}  # of the words that misspellings are looked up in, and of the same read backwards
+        self.back: dict = {}
         for i, term in enumerate(self.terms, 1):
             stem = term.endswith("*")
-            roots = [self.root] if stem or len(term) < fuzzy_from else [self.root, self.whole]
-            for node in roots:
-                for c in term.rstrip("*"):
+            bare = term.rstrip("*")
+            roots = [(self.root, bare)]
+            if not stem and len(term) >= fuzzy_from:
+                roots += [(self.whole, bare), (self.back, bare[::-1])]
+            for node, letters in roots:
+                for c in letters:
                     node = node.setdefault(c, {})
                 node["stem" if stem else ""] = i
-            if len(roots) > 1:  # one edit leaves the first or the last half of a term as it is
-                self.heads.add(term[: len(term) // 2])
-                self.tails.add(term[-(len(term) // 2) :])
-        self.halves = sorted({len(h) for h in self.heads})
 
     def exact(self, word: str) -> int:
         """The heaviest term that a word is or begins with; 0: none."""
@@ -81,10 +80,20 @@ class Lexicon:
 
     def near(self, word: str) -> int:
         """The heaviest whole-word term within the edit distance; 0: none."""
-        if self.edits == 1 and not any(word[:h] in self.heads or word[-h:] in self.tails for h in self.halves):
-            return 0
-        best, seen = 0, set()
-        stack = [(self.whole, 0, self.edits)]
+        if self.edits != 1:
+            return self._run(self.whole, word, 0, 0)
+        # one edit leaves the first or the last half of a term as it is, and a term has a letter less than the word at least
+        half = max(0, (len(word) - 1) // 2)
+        return self._run(self.back, word[::-1], half, self._run(self.whole, word, half, 0))
+
+    def _run(self, node: dict, word: str, known: int, best: int) -> int:
+        """The heavier of best and the terms under node whose first ``known`` letters are the word's, by the automaton."""
+        for c in word[:known]:
+            node = node.get(c)
+            if node is None:
+                return best
+        seen = set()
+        stack = [(node, known, self.edits)]
         n = len(word)
         while stack:
             node, i, left = stack.pop()
@@ -173,22 +182,14 @@ def fit_regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int
 
 def choose_terms(counts: dict[str, tuple[float, float]], toxic: float, other: float, most: int, lift: float = 8.0) -> dict[str, float]:
     """Weights of the terms that toxic texts have far more often. counts: term -> texts of each class that have it."""
-    least = max(3.0, 0.01 * toxic)
+    least = max(3.0, 0.004 * toxic)
     found = {}
     for term, (n1, n0) in counts.items():
         ratio = ((n1 + 0.5) / (toxic + 1)) / ((n0 + 1.0) / (other + 2))
         if n1 >= least and ratio >= lift:
             found[term] = min(6.0, math.log(ratio))
-    # a stem that is hardly more than one word gives way to it, and a term gives way to a shorter stem of nearly its weight
-    single = {w[:k] + "*" for w in found if not w.endswith("*") for k in STEMS if counts[w][0] >= 0.9 * counts.get(w[:k] + "*", (math.inf, 0))[0]}
-    kept: dict[str, float] = {}
-    for term in sorted(found, key=lambda t: (not t.endswith("*"), len(t), t)):
-        bare = term.rstrip("*")
-        shorter = (kept.get(bare[:k] + "*", -math.inf) for k in STEMS if k <= len(bare))
-        if term not in single and max(shorter, default=-math.inf) < found[term] - 0.25:
-            kept[term] = found[term]
-    best = sorted(kept, key=lambda t: (-counts[t][0] * kept[t], t))[:most]
-    return {t: kept[t] for t in best}
+    best = sorted(found, key=lambda t: (-counts[t][0] * found[t], t))[:most]
+    return {t: found[t] for t in best}
 
 
 class Model:
@@ -234,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms:
                 })
 
     # texts of one smallest word hash count once, so that groups of copies don't make terms of their words
-    # a term needs this many toxic texts, so there are no more of them than terms in a text / 0.005
-    enough = F.count("*") >= max(3.0, 0.005 * sum(toxic))
+    # a term needs this many toxic texts, so there are no more of them than terms in a text / 0.002
+    enough = F.count("*") >= max(3.0, 0.002 * sum(toxic))
     seen = sample.filter("y = 1").mapInArrow(shown, "term string, half int, sign long").distinct().groupBy("term")
     seen = seen.agg(F.count_if(F.col("half") == 0).alias("a"), F.count_if(F.col("half") == 1).alias("b"), enough.alias("enough"))
     positive = {r["term"]: (r["a"], r["b"]) for r in seen.filter("enough").select("term", "a", "b").collect()}

@@ -36,6 +36,17 @@ def test_tokens():
     assert lexicon.token('"idiot"')[1] == 2
 
 
+def test_families_of_words_are_still_looked_up_misspelled():
+    counts = {"stupid": (60.0, 0.0), "stupidly": (20.0, 0.0), "stupidity": (20.0, 0.0), "oaf": (9.0, 0.0)}
+    counts |= {"stupid"[:k] + "*": (100.0, 0.0) for k in (4, 5, 6)}
+    chosen = toxicity.choose_terms(counts, 1000.0, 1000.0, 4000)  # of 1000 toxic texts 4 are enough
+    assert {"stupid", "stupidly", "stupidity", "oaf"} <= set(chosen)
+    lexicon = toxicity.Lexicon(chosen)
+    for word, how in (("stupidest", 0), ("stpid", 1), ("stvpid", 1), ("stvpidly", 1)):
+        term, found = lexicon.token(word)
+        assert term and found == how, word
+
+
 def corpus(n=600):
     rng = random.Random(1)
     words = ["wo%d%s" % (i, "abc"[i % 3] * 2) for i in range(400)]
