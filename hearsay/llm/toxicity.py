@@ -6,7 +6,8 @@ and how many edits are left, so misspelled terms are found without listing their
 context: a window of words around a hit that holds quotation marks on it counts as quotation, not as abuse. A logistic
 regression turns the sums of hits into a score.
 
-Everything is learnt from labelled rows. Terms are those that toxic texts have far more often than others. Terms and
+Everything is learnt from labelled rows. Terms are those that toxic texts have far more often than others; texts of a
+class with the same set of words count once for it, as copies. Terms and
 regression are fitted on a bounded sample (``fit_rows`` labelled rows of smallest hash); the regression's features of
 each half of it come from terms of the other half, so it is not fitted to hits that the choice of terms has made. The
 model is broadcast (``most_terms`` terms at most) and scores every whole text where it is read, without a shuffle.
@@ -18,9 +19,9 @@ used; extra columns are kept; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -210,15 +211,28 @@ def _loaded(weights: dict[str, float]) -> tuple[Lexicon, kernels.IdCache]:
     return _LOADED[key]
 
 
+def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds sign: a hash of the whole set of a text's words."""
+    for batch in batches:
+        signs = []
+        for text in batch.column("text").to_pylist():
+            words = sorted(set(text.lower().split()))  # with their digits and marks
+            signs.append(int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.int64())], names=[*batch.schema.names, "sign"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms: int = 4000) -> Model:
     """docs (doc_id, text) and the labels (doc_id, toxic) to learn from."""
     spark = docs.sparkSession
     labelled = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("y"))
     drawn = labelled.orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(fit_rows)
-    half = F.pmod(F.xxhash64(F.lit(31), "text"), F.lit(2)).cast("int")
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(shared.cut(drawn)), "doc_id")
-    sample = shared.written(sample.select("text", "y", half.alias("half")), "labelled")
-    sizes = defaultdict(float, {(r["y"], r["half"]): float(r["count"]) for r in sample.groupBy("y", "half").count().collect()})
+    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(shared.cut(drawn)), "doc_id").select("text", "y")
+    # copies have the same sign, so they are in one half
+    half = F.pmod(F.xxhash64(F.lit(31), "sign"), F.lit(2)).cast("int")
+    sample = shared.written(drawn.mapInArrow(signed, "text string, y int, sign long").withColumn("half", half), "labelled")
+    # terms are chosen from texts of which each class has every set of words once, so that copies count once on both sides
+    once = shared.written(sample.dropDuplicates(["y", "sign"]), "distinct")
+    sizes = defaultdict(float, {(r["y"], r["half"]): float(r["count"]) for r in once.groupBy("y", "half").count().collect()})
     toxic, other = [[sizes[y, h] for h in (0, 1)] for y in (1, 0)]
     if not sum(toxic) or not sum(other):
         share = (sum(toxic) + 0.5) / (sum(toxic) + sum(other) + 2)
@@ -227,17 +241,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms:
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True):
-                words = set(_PARTS.findall(text.lower()))
-                sign = min((zlib.crc32(w.encode()) for w in words), default=0)
-                terms = list(terms_of(words))
-                yield pa.RecordBatch.from_pydict({
-                    "term": pa.array(terms, pa.string()), "half": pa.array([h] * len(terms), pa.int32()), "sign": pa.array([sign] * len(terms), pa.int64()),
-                })
-
-    # texts of one smallest word hash count once, so that groups of copies don't make terms of their words
+                terms = list(terms_of(set(_PARTS.findall(text.lower()))))
+                yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "half": pa.array([h] * len(terms), pa.int32())})
+
     # a term needs this many toxic texts, so there are no more of them than terms in a text / 0.002
     enough = F.count("*") >= max(3.0, 0.002 * sum(toxic))
-    seen = sample.filter("y = 1").mapInArrow(shown, "term string, half int, sign long").distinct().groupBy("term")
+    seen = once.filter("y = 1").mapInArrow(shown, "term string, half int").groupBy("term")
     seen = seen.agg(F.count_if(F.col("half") == 0).alias("a"), F.count_if(F.col("half") == 1).alias("b"), enough.alias("enough"))
     positive = {r["term"]: (r["a"], r["b"]) for r in seen.filter("enough").select("term", "a", "b").collect()}
     sent = spark.sparkContext.broadcast(frozenset(positive))
@@ -253,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms:
         })
 
     negative: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for r in sample.filter("y = 0").mapInArrow(met, "term string, half int, n long").groupBy("term", "half").agg(F.sum("n").alias("n")).collect():
+    for r in once.filter("y = 0").mapInArrow(met, "term string, half int, n long").groupBy("term", "half").agg(F.sum("n").alias("n")).collect():
         negative[r["term"]][r["half"]] = r["n"]
 
     halves = [

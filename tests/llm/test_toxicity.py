@@ -76,6 +76,21 @@ def test_held_out_accuracy(spark):
     assert all(r.predicted == 0 for r in got if r.doc_id in (9999, 9998))
 
 
+def test_different_long_texts_are_no_copies_and_copies_count_once(spark):
+    rng = random.Random(4)
+    common = ["c%s" % (chr(97 + i % 26) * 3 + chr(97 + i // 26)) for i in range(60)]  # every text has all of them
+    text = lambda *more: " ".join(rng.sample([*common, *more], 60 + len(more)))
+    other = [text("fine" + chr(97 + i % 26) + chr(97 + i // 26)) for i in range(200)]
+    rare = [text("scoundrel", "own" + chr(97 + i)) for i in range(10)]
+    copies = [text("copied", "ruffian")] * 90 + [" ".join(reversed(text("copied", "ruffian").split()))] * 10
+    rows = [(i, t, int(i >= len(other))) for i, t in enumerate(other + rare + copies)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "scoundrel" in model.weights and "ruffian" not in model.weights
+    assert not {w for w in common} & set(model.weights)
+    assert [r.predicted for r in toxicity.score(spark.createDataFrame([(text("scoundrel"),), (text("fine"),)], "text string"), model).collect()] == [1, 0]
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
