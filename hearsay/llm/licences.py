@@ -1,6 +1,6 @@
 """Licence families of paragraphs, in DataFrame functions only (operator 8).
 
-Method: a paragraph (a line of a text) is a sparse set of word 1- and 2-grams. A logistic regression for each family,
+Method: a paragraph (a line of a text, or lines next to each other that a notice is wrapped over) is a sparse set of word 1- and 2-grams. A logistic regression for each family,
 trained here, gives its probability; the margin that tells a family from the unknown class is calibrated on paragraphs
 that the fit has not seen; and a template comparison confirms the prediction: the share of a template's 1- and 2-grams
 that the paragraph has must be at least ``CONFIRM``, else the family is unknown.
@@ -10,7 +10,10 @@ templates below by leaving words out; negatives are a bounded sample of the corp
 smallest hash) without any word that templates alone have in common, so their number doesn't grow with the input. Scoring
 joins the corpus' grams with the weights, which are broadcast: as many rows as the templates' grams times the families.
 
-Only paragraphs with at least one licence word are scored: others share too few grams with any template to be confirmed.
+Lines are joined as far as a notice of the longest template's length can be wrapped, but not over blank lines. Only
+paragraphs that have CONFIRM of some template's grams are scored: no other can be confirmed. They are looked for where a
+word of ``_telling`` is, without which too few grams are left of every template. Of confirmed paragraphs of a family that
+overlap, the one that ends first counts. Unknown are lines with a licence word (WORDS) outside every confirmed paragraph.
 
 Edge cases: null and empty texts have no paragraphs and no licence; equal rows are scored each for itself; a document
 takes the families of all its paragraphs; an empty table gives an empty one; extra columns are left out.
@@ -18,6 +21,8 @@ takes the families of all its paragraphs; an empty table gives an empty one; ext
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +52,7 @@ TEMPLATES = (
 )
 #: Share of a template's grams that a paragraph must have.
 CONFIRM = 0.7
-#: What a paragraph must hold to be scored.
+#: What makes a line without a confirmed notice an unknown licence.
 WORDS = r"(?i)licen[cs]|copyright|rights reserved|public domain|redistribut|creative commons|free software|permission is hereby"
 
 
@@ -56,7 +61,7 @@ def grams(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.\-]+"), lambda w: w != "")
     words = F.transform(words, lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", ""))
     words = F.filter(words, lambda w: w != "")
-    pairs = F.zip_with(words, F.slice(words, 2, 1_000_000), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     return F.array_distinct(F.filter(F.concat(words, pairs), lambda g: g.isNotNull()))
 
 
@@ -113,6 +118,21 @@ def train(docs: DataFrame, negatives: int = 2000, versions: int = 12, steps: int
     return shared.cut(weights.filter("gram <> ''").join(bias, "of").join(floors, "of").coalesce(1))
 
 
+def _telling(found: list[list[str]]) -> list[str]:
+    """Words without which a text has less than CONFIRM of every template's grams: those of fewest templates first."""
+    held = Counter(w for gs in found for w in gs if " " not in w)
+    out: set[str] = set()
+    for gs in found:
+        left = lambda: sum(not out & set(g.split()) for g in gs) / len(gs)  # noqa: B023, E731
+        for w in sorted((g for g in gs if " " not in g), key=lambda w: (held[w], -len(w), w)):
+            if left() < CONFIRM:
+                break
+            if len(w) > 3:
+                out.add(w)
+        assert left() < CONFIRM, gs
+    return sorted(out)
+
+
 def scan(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, families (sorted, joined by a comma), n_licences and n_unknown (paragraphs), probability
     (the highest of a confirmed paragraph; null without one)."""
@@ -120,25 +140,55 @@ def scan(docs: DataFrame, weights: DataFrame) -> DataFrame:
     found = [(r["family"], r["grams"]) for r in templates(spark).collect()]  # fixed rows
     literal = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, g)).alias("grams")) for f, g in found))
     vocabulary = F.array(*(F.lit(g) for g in sorted({g for _, gs in found for g in gs})))
+    longest = max(sum(" " not in g for g in gs) + 1 for _, gs in found) + 8  # words; some come twice
+    telling = rf"(?i)\b(?:{'|'.join(_telling([gs for _, gs in found]))})\b"
     text = F.coalesce("text", F.lit(""))
-    lines = F.when(text.rlike(WORDS), F.filter(F.split(text, r"\R"), lambda x: x.rlike(WORDS)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines.alias("lines"))
-    rows = rows.select("row", "doc_id", F.posexplode_outer("lines").alias("place", "line"))
-    rows = rows.withColumn("grams", F.array_intersect(grams(F.col("line")), vocabulary))
-    shares = F.transform(literal, lambda t: F.named_struct(F.lit("share"), F.size(F.array_intersect("grams", t["grams"])) / F.size(t["grams"]), F.lit("family"), t["family"]))
-    each = rows.select("row", "doc_id", "place", shares.alias("shares"), (1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))).alias("value"), F.explode_outer("grams").alias("gram"))
-    scored = each.join(F.broadcast(weights), "gram", "left").groupBy("row", "doc_id", "place", "of").agg(
-        F.first("shares").alias("shares"), F.first("floor").alias("floor"), (F.sum(F.col("value") * F.col("weight")) + F.first("bias")).alias("z")
-    )
+    lines = F.when(text.rlike(telling) | text.rlike(WORDS), F.split(text, r"\R"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode_outer(F.array(lines)).alias("lines"))
+    facts = F.struct(
+        F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("sizes"), F.transform("lines", lambda x: x.rlike(telling)).alias("told"),
+        F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORDS), i)), lambda i: i.isNotNull()).alias("asked"),
+    )
+    # exploded, so that none of these arrays is made anew for each line
+    rows = rows.select("row", "doc_id", "lines", F.explode_outer(F.array(facts)).alias("f")).select("row", "doc_id", "lines", "f.*")
+    last = F.size("lines") - 1
+
+    def ends(i: Column) -> Column:
+        far = F.filter(F.sequence(i, F.least(last, i + longest)), lambda j: F.exists(F.slice("told", i + 1, j - i + 1), lambda t: t))
+        inner = lambda j: F.aggregate(F.slice("sizes", i + 2, F.greatest(j - i - 1, F.lit(0))), F.lit(0), lambda a, n: a + n)
+        whole = lambda j: F.forall(F.slice("sizes", i + 1, j - i + 1), lambda n: n > 0) & (inner(j) <= longest)
+        return F.transform(F.filter(far, lambda j: (i == j) | whole(j)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+
+    starts = F.filter(F.sequence(F.lit(0), last), lambda i: F.exists(F.slice("told", i + 1, longest + 1), lambda t: t))
+    spans = F.when(F.exists("told", lambda t: t), F.flatten(F.transform(starts, ends)))
+    rows = rows.select("row", "doc_id", "asked", "lines", F.explode_outer(F.array(spans)).alias("spans"))
+    joined = lambda x: F.array_join(F.slice("lines", x["i"] + 1, x["j"] - x["i"] + 1), " ")
+    known = F.transform("spans", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), F.array_intersect(grams(joined(x)), vocabulary).alias("grams")))
+    rows = rows.select("row", "doc_id", "asked", F.explode_outer(F.array(known)).alias("known"))
+    share = lambda x, t: F.size(F.array_intersect(x["grams"], t["grams"])) / F.size(t["grams"])
+    agreed = lambda x: F.transform(F.filter(literal, lambda t: share(x, t) >= CONFIRM), lambda t: t["family"])
+    fit = F.transform("known", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["grams"].alias("grams"), agreed(x).alias("agreed")))
+    rows = rows.select("row", "doc_id", "asked", F.explode_outer(F.array(fit)).alias("fit"))
+    rows = rows.select("row", "doc_id", "asked", F.explode_outer(F.filter("fit", lambda x: F.size(x["agreed"]) > 0)).alias("x")).select("row", "doc_id", "asked", "x.*")
+    value = 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))
+    each = rows.select("row", "doc_id", "asked", "i", "j", "agreed", value.alias("value"), F.explode_outer("grams").alias("gram"))
+    scored = each.join(F.broadcast(weights), "gram", "left").groupBy("row", "doc_id", "i", "j", "of").agg(
+        F.first("asked").alias("asked"), F.first("agreed").alias("agreed"), F.first("floor").alias("floor"),
+        (F.sum(F.col("value") * F.col("weight")) + F.first("bias")).alias("z"),
+    )
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
-    best = scored.groupBy("row", "doc_id", "place").agg(F.max_by(F.struct("of", "p", "floor", "shares"), F.struct("p", "of")).alias("b"))
-    agrees = F.exists("b.shares", lambda s: (s["family"] == F.col("b.of")) & (s["share"] >= CONFIRM))
-    sure = F.coalesce((F.col("b.p") >= F.col("b.floor")) & agrees, F.lit(False))
-    best = best.withColumn("sure", sure)
-    out = best.groupBy("row", "doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("sure"), F.col("b.of")))), ",").alias("families"),
-        F.count_if("sure").alias("n_licences"),
-        F.count_if(~F.col("sure") & F.col("place").isNotNull()).alias("n_unknown"),
-        F.max(F.when(F.col("sure"), F.col("b.p"))).alias("probability"),
+    best = scored.groupBy("row", "doc_id", "i", "j").agg(F.first("asked").alias("asked"), F.max_by(F.struct("of", "p", "floor", "agreed"), F.struct("p", "of")).alias("b"))
+    sure = (F.col("b.p") >= F.col("b.floor")) & F.array_contains("b.agreed", F.col("b.of"))
+    one = F.when(sure, F.struct("j", (-F.col("i")).alias("back"), F.col("b.of").alias("of"), F.col("b.p").alias("p")))
+    out = best.groupBy("row", "doc_id").agg(F.first("asked").alias("asked"), F.array_sort(F.collect_list(one)).alias("all"))
+    free = lambda taken, x: ~F.exists(taken, lambda y: (y["of"] == x["of"]) & (y["j"] >= -x["back"]))
+    taken = F.aggregate("all", F.slice("all", 1, 0), lambda a, x: F.when(free(a, x), F.array_append(a, x)).otherwise(a))
+    out = out.select("doc_id", "asked", F.explode(F.array(taken)).alias("taken"))
+    unknown = F.filter("asked", lambda k: ~F.coalesce(F.exists("taken", lambda x: (k <= x["j"]) & (k >= -x["back"])), F.lit(False)))
+    return out.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.transform("taken", lambda x: x["of"]), F.array().cast("array<string>")))), ",").alias("families"),
+        F.when(F.col("taken").isNull(), 0).otherwise(F.size("taken")).cast("long").alias("n_licences"),
+        F.when(F.col("asked").isNull(), 0).otherwise(F.size(unknown)).cast("long").alias("n_unknown"),
+        F.array_max(F.transform("taken", lambda x: x["p"])).alias("probability"),
     )
-    return out.drop("row")

@@ -39,3 +39,20 @@ def test_families_unknown_licences_and_odd_rows(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert licences.scan(docs.limit(0), weights).collect() == []
     assert licences.scan(docs, licences.train(docs.limit(0))).count() == len(rows)
+
+
+def test_wrapped_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License"
+    apache = "you may not use this file except in\ncompliance with the License"
+    rows = [
+        (1, bsd), (2, "a b\n" + gpl + "\nc d"), (3, apache), (4, bsd.replace(" ", "\n")), (5, bsd.replace("\n", "\n\n")), (6, bsd + "\n\n" + bsd),
+        (7, "word " * 1_000_001 + "released under the mit license"), (8, "you may not use this file except in compliance with the"), (9, gpl + "\nAll rights reserved"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = licences.train(queries.read(spark, "/root/testdata/sf0.001", "documents"))
+    got = {r.doc_id: (r.families, r.n_licences, r.n_unknown) for r in licences.scan(docs, weights).collect()}
+    assert got == {
+        1: ("bsd", 1, 0), 2: ("gpl-3.0", 1, 0), 3: ("apache-2.0", 1, 0), 4: ("bsd", 1, 0), 5: ("", 0, 1), 6: ("bsd", 2, 0), 7: ("mit", 1, 0), 8: ("apache-2.0", 1, 0),
+        9: ("gpl-3.0,proprietary", 2, 0),
+    }
