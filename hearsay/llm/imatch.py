@@ -15,7 +15,8 @@ Texts of fewer than ``SHORT`` words keep all their terms. The lexicon is broadca
 (mean number of distinct terms of a text) * ``RAREST`` terms can be in so many texts, whatever the number of texts.
 
 Edge cases: a null text is empty and has an empty fingerprint (scale 00, all hashes 0), whose likeness to another empty
-one is 1 and to any other 0; equal rows keep their own results, in any order; an empty table gives an empty one.
+one is 1 and to any other 0; a text of SHORT words or more without a term in the band has hashes of 0 only, so it is
+like an equal text and not like any other; equal rows keep their own results, in any order; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -107,6 +108,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(x.isNull(), 0.0).otherwise(F.coalesce(equal / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0))).cast("double")
 
 
+def without_terms(fingerprint: Column) -> Column:
+    """Whether a text has words but no term of its subsets in the band: its fingerprint tells nothing about it."""
+    return fingerprint.rlike("^..0+$") & (F.substring(fingerprint, 1, 2) != "00")
+
+
 def with_next(docs: DataFrame, rows_at_once: int = 4096, splits: int = 200) -> DataFrame:
     """docs (doc_id, text) in descending order of doc_id: bucket, place, doc_id, text; next_text, next_bucket and next_place of
     the row after it (after the last: the first).
@@ -156,7 +162,8 @@ def compare(docs: DataFrame) -> DataFrame:
     near_next (likeness to the edited text and to the next document)."""
     band = shared.cut(lexicon(docs))
     rows = edited(with_next(docs))
-    facts = ["bucket", "place", "next_bucket", "next_place", "doc_id", "n_chars", "edited_sha256"]
+    facts = ["bucket", "place", "next_bucket", "next_place", "doc_id", "n_chars", "edited_sha256", "same_edited", "same_next"]
+    rows = rows.withColumn("same_edited", F.col("edited") == F.col("text")).withColumn("same_next", F.col("next_text") == F.col("text"))
     texts = F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited"))))
     each = rows.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).select(*facts, F.inline(texts))
     made = fingerprints(each, [*facts, "which"], band)
@@ -164,7 +171,9 @@ def compare(docs: DataFrame) -> DataFrame:
     both = shared.written(made.groupBy(*facts).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")), "fingerprints")
     after = both.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next"))
     both = both.join(after, ["next_bucket", "next_place"])
+    # texts without terms are alike only if they are equal
+    near = lambda b, same: F.when(without_terms(F.col("fingerprint")) & without_terms(F.col(b)) & ~F.col(same), 0.0).otherwise(likeness(F.col("fingerprint"), F.col(b)))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
+        near("edited_fingerprint", "same_edited").alias("near_edited"), near("next", "same_next").alias("near_next"),
     )

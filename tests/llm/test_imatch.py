@@ -94,3 +94,13 @@ def test_query_on_whole_table(spark):
     assert collected(df) == brute(rows)
     found = df.toPandas()
     assert (found.near_edited > found.near_next).mean() > 0.9
+
+
+def test_texts_without_a_term_in_the_band_are_not_alike(spark):
+    rare = [" ".join("r%d_%d" % (d, i) for i in range(60)) for d in range(2)]  # each term in one text only
+    rows = [(0, rare[0]), (1, rare[1]), (2, rare[1]), (3, None)] + [(10 + i, "u%d v%d" % (i, i)) for i in range(4)]
+    got = {r.doc_id: r for r in imatch.compare(spark.createDataFrame(rows[:2] + rows[3:], "doc_id long, text string")).collect()}
+    assert got[1].near_next == 0.0 and got[1].near_edited == 0.0
+    usual = [" ".join("z%d" % ((i + j) % 60) for i in range(60)) for j in (0, 0, 7, 9)]  # in too many texts
+    got = {r.doc_id: r for r in imatch.compare(spark.createDataFrame(list(enumerate(usual)), "doc_id long, text string")).collect()}
+    assert got[1].near_next == 1.0 and got[3].near_next == 0.0
