@@ -52,3 +52,10 @@ def attributed(replies: DataFrame) -> DataFrame:
     asked = replies.select("batch", F.explode(F.expr("sequence(0L, CAST(size AS BIGINT) - 1)")).alias("idx")).filter("idx >= 0")
     missing = asked.join(rows.filter("outcome IN ('ok', 'duplicate')"), ["batch", "idx"], "left_anti")
     return rows.unionByName(missing.select("batch", "idx", F.lit("missing").alias("outcome"), F.lit(None).cast("string").alias("aspects")))
+
+
+def checked_pins(pins: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """pins (key, pin) with outcome: matching, drifted (another sha256 now, or no text), or missing (no such key)."""
+    now = texts.select(key, F.sha2("text", 256).alias("now"), F.lit(True).alias("here"))
+    outcome = F.when(F.col("here").isNull(), "missing").when(F.col("now").eqNullSafe(F.col("pin")), "matching").otherwise("drifted")
+    return pins.join(now, key, "left").select(*pins.columns, outcome.alias("outcome"))

@@ -47,9 +47,11 @@ def folded_labels(spark, sf_dir):
 
 
 def pins(spark, sf_dir):
-    """Text pins: per language, texts whose stored sha256 still holds, and a 64-bit seed of the first id."""
-    d = views.table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.sha2("text", 256)).alias("first_pin"), F.min(tx.seed64(F.col("text"))).cast("string").alias("first_seed"))
+    """Text pins made from documents, with some texts drifted and some ids gone on purpose, against the documents."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    drifted = F.when(F.col("doc_id") % 13 == 4, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    pinned = d.filter("doc_id % 11 <> 3").select(F.when(F.col("doc_id") % 17 == 5, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.sha2(drifted, 256).alias("pin"))
+    return grounding.checked_pins(pinned, d, "doc_id").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def slugs(spark, sf_dir):

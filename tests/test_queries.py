@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hearsay import registry
 from hearsay.functions.intervals import share_band, wilson
-from hearsay.operators import aggregates, sampling, selection, series
+from hearsay.operators import aggregates, grounding, sampling, selection, series
 from verify_queries import plain
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +93,11 @@ def test_double_anti_join(spark):
     env = spark.createDataFrame([("1", "survey", "lexicon", "p1", "v2"), ("2", "survey", "lexicon", "p1", "v1")],
                                 "review_id string, origin string, model_version string, prompt_version string, ontology_version string")
     assert sorted(r.review_id for r in selection.unlabeled(ids("1", "2", "3", "4"), env, ids("3")).collect()) == ["2", "4"]
+
+
+def test_pins_match_drift_or_miss(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    pins = spark.createDataFrame([(1, "a"), (2, "x"), (9, "c")], "doc_id long, text string").select("doc_id", F.sha2("text", 256).alias("pin"))
+    got = grounding.checked_pins(pins, texts, "doc_id").collect()
+    assert {r.doc_id: r.outcome for r in got} == {1: "matching", 2: "drifted", 9: "missing"}
+    assert {r.outcome for r in registry.queries()["text_pins"](spark, SF).collect()} == {"matching", "drifted", "missing"}
