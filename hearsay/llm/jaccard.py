@@ -3,45 +3,48 @@
 Texts are lower-cased (A-Z) and cut into words; a document's set is its distinct ``size``-word shingles, or the whole
 sequence where there are fewer words. Two documents link when intersection >= threshold * union, exactly.
 
-Method: a count-vector R-tree. Shingles are hashed into groups, a document is the point of its group counts, and the
-sum of coordinate minima bounds the overlap of two documents, or of a document and all points under a tree node (by
-the node's coordinate maxima). Pairs that pass the bound are verified on the sets themselves.
-
-Trees are built in many tasks, over documents that can be linked at all:
-
-1. documents of equal sets are one class, with one representative;
-2. a class shows the prefix of its set that every linked class must meet (all but threshold of it, plus one), in an
-   order that puts frequent shingles last; shingles that one class alone shows are dropped;
-3. classes that meet at a shingle are compared by the bound on their count vectors alone, and those that pass are chained
-   into clusters: a shingle's classes give at most one chain link each, so links grow with the rows, not their square
-   (where a shingle has more than ``block`` classes, those of like size are chained to their least without comparison);
-4. a cluster is dealt by size into chunks of at most ``chunk`` classes. In each chunk a tree is searched for every class,
-   skipping what is in the class's own component by then;
-5. of clusters of several chunks, some members of each chunk's largest component are joined first; then members outside
-   the cluster's largest component go to every chunk of fitting sizes to be searched for there. Two components of which neither is the
-   largest, and the largest and any other, have so been compared in full: no link between components is lost.
-
-The order of step 2 only moves work, never the result: what counts is how often batches saw a shingle in two or more
-of their documents. Shingles with at least 1 / ``frequent`` of all such counts, so ``frequent`` of them at most, are
-broadcast, 8 bytes each.
-
-Edge cases: null texts and texts without words have an empty set and link with nothing; equal rows are documents of
-one class; an empty table gives an empty one; extra columns are left out.
+Method: a count-vector R-tree. Shingles are hashed into groups, a set is the point of its group counts, and the sum of
+coordinate minima bounds the overlap of two sets, or of a set and all points under a tree node (by the node's coordinate
+maxima and its least and largest set). Pairs that pass the bound are verified on the sets themselves.
+
+A tree of all sets would be searched in vain nearly everywhere, so sets first meet where they can be linked at all:
+
+1. documents of equal sets are one class; whatever follows is about classes;
+2. a class shows the prefix of its set (in one order for all: frequent shingles last) of which every linked class must
+   have at least a sixteenth of its size; shingles that no other class shows are dropped, then classes with too few left;
+3. at each shingle, classes are compared with the first and the last class there: by the bound on their points, then
+   exactly. That gives one link to a class and shingle at most, and joins nearly all near copies;
+4. where the classes of a shingle are in several components still, trees are built over them, in blocks of about
+   ``chunk``, and searched for all classes outside the largest component: these meet all classes there, so that no pair
+   of two components is left out. Of two components the ``tries`` pairs with the widest bound are verified; where there
+   were more, and the components are still two, the search is done again with many more tries, until no pair is left.
+
+Frequent is what batches saw in two or more of their classes, at least 1 / ``frequent`` of all such counts, so there are
+no more than ``frequent`` such shingles, which are broadcast with 12 bytes each. The order only moves work, never the
+result. Frequent shingles are dealt out in pieces, so no task gets all classes of one.
+
+Rows, sets and shingles are told apart by 64-bit hashes.
+
+Edge cases: null texts and texts without words have an empty set and link with nothing; equal rows are documents of one
+class; ties (equal least ids) do not matter, as a component is named by its smallest doc_id; null ids are larger than
+any other; texts are read whole, one task holding one batch of them and one set; an empty table gives an empty one;
+extra columns are left out.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm import components, kernels, shared
 
-_KEY = "_key"
+_KEY = "_hearsay_row_key"
 
 
 def shingle_sets(run: kernels.Run, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,300 +67,355 @@ def shingle_sets(run: kernels.Run, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(docs, np.arange(len(run) + 1))
 
 
-def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, out=sums[1:])
-    return sums[bounds[1:]] - sums[bounds[:-1]]
+def set_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(kernels.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
+    return kernels.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
 
 
-def _points(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Group counts of each set, uint32: as many groups as its size asks for, a power of two, so that points of different
-    sizes can be folded to the smaller one's groups."""
+def points(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Group counts of each set: as many groups as a quarter to half of its size, a power of two, so that points of
+    different sizes can be folded to the fewer groups."""
     n = np.diff(bounds)
-    groups = np.where(n < 256, 64, np.where(n < 1024, 256, np.where(n < 4096, 1024, 4096)))
+    groups = 1 << np.clip(np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - 1, 5, 13)
     first = np.concatenate([[0], np.cumsum(groups)])
     docs = np.repeat(np.arange(len(n)), n)
     at = first[docs] + ((hashes >> np.uint64(20)).astype(np.int64) & (groups[docs] - 1))
     counts = np.bincount(at, minlength=first[-1]).astype("<u4")
-    return [counts[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return [counts[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    return point.reshape(-1, groups).sum(axis=0) if len(point) > groups else point
+
+
+class Tree:
+    """An R-tree over points: each node has the coordinate maxima of what is under it, and its least and largest size."""
+
+    def __init__(self, found: list[np.ndarray], sizes: np.ndarray, threshold: Fraction, fan: int = 16):
+        self.num, self.den, self.fan = threshold.numerator, threshold.denominator, fan
+        self.groups = min(map(len, found))
+        counts = np.stack([fold(p, self.groups) for p in found]).astype(np.int32)
+        widest = np.argsort(-counts.var(axis=0))[:24]
+        bits = counts[:, widest] > np.median(counts[:, widest], axis=0)  # like points are alike in these
+        self.order = np.lexsort((sizes, *bits.T[::-1]))
+        most, low, high = counts[self.order], sizes[self.order], sizes[self.order]
+        self.levels = [(most, low, high)]
+        while len(most) > fan:
+            at = np.arange(0, len(most), fan)
+            most, low, high = np.maximum.reduceat(most, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            self.levels.append((most, low, high))
+
+    def search(self, point: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which points can be linked with a set of n shingles, and by how much their bound is more than is needed."""
+        mine = fold(point, self.groups).astype(np.int64)
+        base = mine.reshape(-1, self.groups).sum(axis=0)
+        nodes = np.arange(len(self.levels[-1][0]))
+        spare = np.zeros(0, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            most, low, high = self.levels[depth]
+            nodes = nodes[(low[nodes] * self.num <= n * self.den) & (high[nodes] * self.den >= n * self.num)]
+            groups = min(self.groups, len(base))
+            rows = most[nodes] if groups == self.groups else most[nodes].reshape(len(nodes), -1, groups).sum(axis=1)
+            overlap = np.minimum(rows, base[:groups]).sum(axis=1)
+            spare = overlap * (self.num + self.den) - self.num * (n + low[nodes])
+            nodes, spare = nodes[spare >= 0], spare[spare >= 0]
+            if depth:
+                nodes = (nodes[:, None] * self.fan + np.arange(self.fan)).ravel()
+                nodes = nodes[nodes < len(self.levels[depth - 1][0])]
+        return self.order[nodes], spare
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
+    """Are two sorted sets linked."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    num, den = threshold.numerator, threshold.denominator
+    if not len(small) or len(small) * den < len(large) * num:
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum()) * (num + den) >= num * (len(a) + len(b))
+
+
+def _sizes(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, row key, n, set_id and, in some rows, shingles that several classes of a batch have, with their numbers."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seen, known = [], [], set()
+            for run in kernels.runs(batch.column("text")):
+                hashes, bounds = shingle_sets(run, size)
+                ids = set_ids(hashes, bounds)
+                new = np.zeros(len(run), bool)
+                for i, s in enumerate(ids.tolist()):
+                    if s not in known:
+                        known.add(s)
+                        new[i] = True
+                seen.append(hashes[np.repeat(new, np.diff(bounds))])
+                rows.append((run, np.diff(bounds), ids))
+            often, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often, counts = often[counts > 1], counts[counts > 1]
+            for i, (run, n, ids) in enumerate(rows):
+                here = np.zeros(len(run) + 1, np.int32)
+                here[1:] = len(often) if i == 0 else 0
+                lists = [pa.ListArray.from_arrays(pa.array(here), pa.array(x if i == 0 else x[:0])) for x in (often.view(np.int64), counts)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(run.first, len(run)), batch.column(_KEY).slice(run.first, len(run)),
+                     pa.array(n.astype(np.int64)), pa.array(ids.view(np.int64)), *lists],
+                    names=["doc_id", _KEY, "n", "set_id", "often", "counts"],
+                )
 
-def _fold(counts: np.ndarray, groups: int) -> np.ndarray:
-    return counts.reshape(-1, groups).sum(axis=0)
+    return docs.mapInArrow(work, f"doc_id long, {_KEY} long, n long, set_id long, often array<bigint>, counts array<bigint>")
 
 
-def _chains(blocks: DataFrame, threshold: Fraction) -> DataFrame:
-    """blocks (members: array of print_a, n, point) -> links (a, b) of a spanning forest of what the bound lets pass."""
+def _shown(docs: DataFrame, size: int, threshold: Fraction, late: np.ndarray, pieces: np.ndarray) -> DataFrame:
+    """token, piece, set_id, n: the shingles that a class shows. Those in ``late`` (sorted) come last and have a piece from 1
+    on, by the class; others have piece 0. Copies of a class in one task are seldom shown twice."""
     num, den = threshold.numerator, threshold.denominator
+    sent = docs.sparkSession.sparkContext.broadcast((late, pieces))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, parts = sent.value
+        known: set[int] = set()
         for batch in batches:
-            lists = batch.column("members")
-            rows, at = lists.values, lists.offsets.to_numpy()
-            prints, sizes = rows.field("print_a").to_numpy(zero_copy_only=False), rows.field("n").to_numpy(zero_copy_only=False)
-            column = rows.field("point")
-            out: list[tuple[int, int]] = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                raw = [column[i].as_buffer() if column[i].is_valid else None for i in range(a, b)]
-                some = [np.frombuffer(x, "<u4") for x in raw if x is not None]
-                if len(some) < b - a:  # sets that share a fingerprint: no point stands for them
-                    out += [(int(prints[i]), int(prints[a])) for i in range(a + 1, b)]
-                    continue
-                groups = min(map(len, some))
-                counts = np.stack([_fold(x, groups) for x in some]).astype(np.int64)
-                n, roots = sizes[a:b], np.arange(b - a)
-                for i in range(b - a - 1):
-                    later = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-                    overlap = np.minimum(counts[i], counts[later]).sum(axis=1)
-                    for j in later[overlap * (num + den) >= num * (n[i] + n[later])].tolist():
-                        if roots[j] != roots[i]:
-                            out.append((int(prints[a + i]), int(prints[a + j])))
-                            roots[roots == roots[j]] = roots[i]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            for run in kernels.runs(batch.column("text")):
+                hashes, bounds = shingle_sets(run, size)
+                n, ids = np.diff(bounds), set_ids(hashes, bounds)
+                if len(known) > 1 << 18:
+                    known.clear()
+                new = np.zeros(len(run), bool)
+                for i, s in enumerate(ids.tolist()):
+                    new[i] = s not in known
+                    known.add(s)
+                docs_ = np.repeat(np.arange(len(run)), n)
+                piece = np.zeros(len(hashes), np.int32)
+                place = np.arange(len(hashes)) - bounds[docs_]
+                if len(often) and len(hashes):
+                    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+                    last = often[at] == hashes
+                    piece[last] = 1 + (kernels.mix(ids[docs_[last]] ^ hashes[last]) % parts[at[last]].astype(np.uint64)).astype(np.int32)
+                    order = np.lexsort((hashes, last, docs_))
+                    hashes, piece = hashes[order], piece[order]
+                take = (place < shows(n, num, den)[docs_]) & new[docs_]
+                yield pa.RecordBatch.from_pydict({
+                    "token": hashes[take].view(np.int64), "piece": piece[take], "set_id": ids[docs_[take]].view(np.int64), "n": n[docs_[take]].astype(np.int32),
+                })
 
-    return blocks.select("members").mapInArrow(work, "a long, b long")
+    return docs.select("text").mapInArrow(work, "token long, piece int, set_id long, n int")
 
 
-def _sizes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, _key, n, print_a, print_b (a set's fingerprint), point (its group counts) and, in some rows, shingles that a
-    batch has repeatedly."""
+def shows(n, num: int, den: int):
+    """How many shingles a set of n shows: as many as it can lack, and as many as linked sets must then have in common."""
+    return n - (num * n + den - 1) // den + common(n)
+
+
+def common(n):
+    return np.maximum(1, n // 16)
+
+
+def _fits(threshold: Fraction, a: str = "na", b: str = "nb") -> Column:
+    num, den = threshold.numerator, threshold.denominator
+    return (F.greatest(a, b) * num <= F.least(a, b) * den)
+
+
+def _held(keyed: DataFrame, sizes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """set_id, n, point, text of one document of each class in ids (set_id)."""
+    one = sizes.filter("n > 0").groupBy("set_id").agg(F.min(_KEY).alias(_KEY)).join(ids, "set_id", "left_semi")
+    rows = keyed.select(_KEY, "text").join(one, _KEY).dropDuplicates([_KEY, "set_id"]).select("set_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, seen = batch.column("doc_id"), batch.column(_KEY), []
-            rows = []
             for run in kernels.runs(batch.column("text")):
                 hashes, bounds = shingle_sets(run, size)
-                seen.append(hashes)
-                a = kernels.mix(_sums(kernels.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), bounds) + np.diff(bounds).astype(np.uint64))
-                b = kernels.mix(_sums(kernels.mix(hashes + np.uint64(0x14057B7EF767814F)), bounds))
-                rows.append((run, np.diff(bounds), a, b, _points(hashes, bounds)))
-            often, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often, counts = often[counts > 1], counts[counts > 1]
-            for i, (run, n, a, b, points) in enumerate(rows):
-                mine = [(often, counts) if i == 0 and j == 0 else (often[:0], counts[:0]) for j in range(len(run))]
+                here = batch.slice(run.first, len(run))
+                made = [p.tobytes() for p in points(hashes, bounds)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(run.first, len(run)), keys.slice(run.first, len(run)), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(points, pa.binary()),
-                     pa.array([x.view(np.int64) for x, _ in mine], pa.list_(pa.int64())), pa.array([c for _, c in mine], pa.list_(pa.int64()))],
-                    names=["doc_id", _KEY, "n", "print_a", "print_b", "point", "often", "counts"],
+                    [here.column("set_id"), pa.array(np.diff(bounds).astype(np.int32)), pa.array(made, pa.binary()), here.column("text")],
+                    names=["set_id", "n", "point", "text"],
                 )
 
-    return docs.mapInArrow(work, f"doc_id long, {_KEY} long, n long, print_a long, print_b long, point binary, often array<bigint>, counts array<bigint>")
+    return rows.mapInArrow(work, "set_id long, n int, point binary, text string")
 
 
-def _prefixes(docs: DataFrame, size: int, threshold: Fraction, last: np.ndarray) -> DataFrame:
-    """token, print_a: the shingles that a document shows; those in ``last`` (sorted) come last."""
+def _passing(pairs: DataFrame, held: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) that the bound on their points lets pass."""
     num, den = threshold.numerator, threshold.denominator
-    late = docs.sparkSession.sparkContext.broadcast(last)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = late.value
         for batch in batches:
+            left, right = batch.column("pa"), batch.column("pb")
+            total = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
+            keep = []
+            for i, n in enumerate(total):
+                p, q = np.frombuffer(left[i].as_buffer(), "<u4"), np.frombuffer(right[i].as_buffer(), "<u4")
+                groups = min(len(p), len(q))
+                keep.append(int(np.minimum(fold(p, groups), fold(q, groups)).sum()) * (num + den) >= num * n)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda x: held.select(F.col("set_id").alias(x), F.col("point").alias(f"p{x}"), F.col("n").alias(f"n{x}"))
+    rows = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "pa", "pb", "na", "nb")
+    return rows.mapInArrow(work, "a long, b long")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, size: int, threshold: Fraction, rows_at_once: int = 2048) -> DataFrame:
+    """Pairs (a, b) whose sets are linked. A set b that many are compared with goes to several tasks."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows_at_once).cast("int").alias("parts"))
+    texts = held.select("set_id", "text")
+    heads = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("a"), F.lit(0).alias("kind"))
+    rows = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a", F.lit(1).alias("kind"))
+    rows = rows.unionByName(heads).join(texts, F.col("a") == F.col("set_id")).select("b", "part", "kind", "a", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(0, np.uint64)
+        for batch in batches:
+            b, a, kind = (batch.column(c).to_pylist() for c in ("b", "a", "kind"))
+            out: list[tuple[int, int]] = []
             for run in kernels.runs(batch.column("text")):
                 hashes, bounds = shingle_sets(run, size)
-                n = np.diff(bounds)
-                a = kernels.mix(_sums(kernels.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), bounds) + n.astype(np.uint64))
-                docs_ = np.repeat(np.arange(len(run)), n)
-                if len(often) and len(hashes):
-                    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-                    order = np.lexsort((hashes, often[at] == hashes, docs_))
-                    hashes = hashes[order]
-                shown = n - (num * n + den - 1) // den + 1
-                take = np.arange(len(hashes)) - bounds[docs_] < shown[docs_]
-                yield pa.RecordBatch.from_pydict({"token": hashes[take].view(np.int64), "print_a": a[docs_[take]].view(np.int64)})
-
-    return docs.select("text").mapInArrow(work, "token long, print_a long")
-
-
-class Points:
-    """Sets of a chunk as points, under a tree of two levels, with components of what is linked."""
-
-    def __init__(self, sets: list[np.ndarray], roots: np.ndarray, threshold: Fraction, leaf: int = 16):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        self.groups = 1 << max(4, min(10, int(np.ceil(np.log2(max(1, np.median(sizes)) / 4)))))
-        counts = np.zeros((len(sets), self.groups), np.int32)
-        for i, s in enumerate(sets):
-            counts[i] = self.point(s)
-        widest = np.argsort(-counts.var(axis=0))[:2] if len(sets) > leaf else [0, 0]
-        self.order = np.lexsort((counts[:, widest[1]], counts[:, widest[0]] // 4, sizes // 8))
-        self.sets = [sets[i] for i in self.order]
-        self.sizes, self.counts, self.roots = sizes[self.order], counts[self.order], np.asarray(roots)[self.order]
-        edges = np.arange(0, len(sets), leaf)
-        self.leaf = leaf
-        self.most = np.maximum.reduceat(self.counts, edges, axis=0)
-        self.low = np.minimum.reduceat(self.sizes, edges)
-        self.high = np.maximum.reduceat(self.sizes, edges)
-        self.num, self.den = threshold.numerator, threshold.denominator
-        self.links: list[tuple[int, int]] = []
-        self.now: dict[int, int] = {}
-
-    def find(self, root: int) -> int:
-        """What a component is part of by now."""
-        while root in self.now:
-            root = self.now[root]
-        return root
-
-    def point(self, s: np.ndarray) -> np.ndarray:
-        return np.bincount(((s >> np.uint64(20)) % np.uint64(self.groups)).astype(np.int64), minlength=self.groups)
-
-    def possible(self, overlap: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
-        """Can an overlap make a link: overlap >= threshold * (n + size - overlap)."""
-        return overlap * (self.num + self.den) >= self.num * (n + sizes)
-
-    def candidates(self, s: np.ndarray, point: np.ndarray) -> np.ndarray:
-        """Places of points that the bound lets pass."""
-        n = len(s)
-        fits = (self.low * self.num <= n * self.den) & (self.high * self.den >= n * self.num)
-        nodes = np.flatnonzero(fits)
-        nodes = nodes[self.possible(np.minimum(self.most[nodes], point).sum(axis=1), n, np.maximum(self.low[nodes], 0))]
-        at = (nodes[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-        at = at[at < len(self.sets)]
-        return at[self.possible(np.minimum(self.counts[at], point).sum(axis=1), n, self.sizes[at])]
-
-    def linked(self, s: np.ndarray, other: np.ndarray) -> bool:
-        overlap = len(np.intersect1d(s, other, assume_unique=True))
-        return overlap * (self.num + self.den) >= self.num * (len(s) + len(other))
-
-    def merge(self, a: int, b: int) -> None:
-        self.links.append((max(a, b), min(a, b)))
-        self.now[max(a, b)] = min(a, b)
-        self.roots[self.roots == max(a, b)] = min(a, b)
-
-    def search(self, s: np.ndarray, root: int, own: int = -1) -> int:
-        """Links a set of a component with all other components here; its component afterwards."""
-        at = self.candidates(s, self.point(s) if own < 0 else self.counts[own])
-        at = at[self.roots[at] != root]
-        while len(at):
-            j = int(at[0])
-            if self.linked(s, self.sets[j]):
-                other = int(self.roots[j])
-                self.merge(root, other)
-                root = min(root, other)
-                at = at[self.roots[at] != root]
-            else:
-                at = at[1:]
-        return root
-
-    def join(self) -> None:
-        """Links all sets of the chunk."""
-        for i in range(len(self.sets)):
-            self.search(self.sets[i], int(self.roots[i]), i)
-
-
-def _chunks(rows: DataFrame, threshold: Fraction, keys: list[str], queries: bool) -> DataFrame:
-    """rows (keys..., node, root, query, set) -> links (a, b) of roots, each group of keys in one task at a time."""
-
-    def finish(held: list) -> list[tuple[int, int]]:
-        own = [h for h in held if not h[2]]
-        if not own or len(held) < 2:
-            return []
-        points = Points([h[3] for h in own], np.array([h[1] for h in own]), threshold)
-        if not queries:
-            points.join()
-        for _, root, query, s in held:
-            if query:
-                points.search(s, points.find(root))
-        return points.links
+                for k, i in enumerate(range(run.first, run.last)):
+                    s = hashes[bounds[k] : bounds[k + 1]]
+                    if kind[i] == 0:
+                        mine = s.copy()
+                    elif _overlaps(mine, s, threshold):
+                        out.append((a[i], b[i]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", "kind").mapInArrow(work, "a long, b long")
+
+
+def _searched(rows: DataFrame, held: DataFrame, threshold: Fraction, tries: int) -> DataFrame:
+    """rows (token, band, block, kind, comp, set_id) -> pairs a, b of two components that the bound lets pass, and whether
+    their components had more. kind: 0 in the tree, of the largest component there; 1 in the tree; 2 searched for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, out = None, [], []
+        current, index, tree = None, [], None
+        best: dict[tuple[int, int], list] = {}
+        more: set[tuple[int, int]] = set()
 
-        def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-            out.clear()
-            return made
+        def close() -> pa.RecordBatch:
+            pairs = [(x, y, k in more) for k, found in best.items() for _, x, y in found]
+            best.clear()
+            more.clear()
+            a, b, m = zip(*pairs, strict=True) if pairs else ([], [], [])
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(m, pa.bool_())})
 
         for batch in batches:
-            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            columns = [batch.column(c).to_pylist() for c in ("node", "root", "query")]
-            sets = batch.column("set")
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("token", "band", "block")), strict=True))
+            kinds, comps, ids, sizes = (batch.column(c).to_pylist() for c in ("kind", "comp", "set_id", "n"))
+            column = batch.column("point")
             for i, name in enumerate(names):
                 if name != current:
-                    out += finish(held)
-                    current, held = name, []
-                held.append((columns[0][i], columns[1][i], columns[2][i], np.frombuffer(sets[i].as_buffer(), np.uint64)))
-            if out:
-                yield batch_of()
-        out += finish(held)
-        yield batch_of()
-
-    dealt = rows.select(*keys, "node", "root", "query", "set").repartition(*keys).sortWithinPartitions(*keys, "query", "node")
-    return dealt.mapInArrow(work, "a long, b long")
+                    if best:
+                        yield close()
+                    current, index, tree = name, [], None
+                point = np.frombuffer(column[i].as_buffer(), "<u4")
+                if kinds[i] < 2:
+                    index.append((kinds[i], comps[i], ids[i], sizes[i], point.copy()))
+                    continue
+                if not index:
+                    continue
+                tree = tree or Tree([x[4] for x in index], np.array([x[3] for x in index], np.int64), threshold)
+                for j, spare in zip(*(x.tolist() for x in tree.search(point, sizes[i])), strict=True):
+                    kind, comp, other, _, _ = index[j]
+                    if comp == comps[i] or kind == 1 and other > ids[i]:  # the other is searched for, too
+                        continue
+                    key = (min(comp, comps[i]), max(comp, comps[i]))
+                    found = best.setdefault(key, [])
+                    heapq.heappush(found, (spare, *sorted((other, ids[i]))))
+                    if len(found) > tries:
+                        heapq.heappop(found)
+                        more.add(key)
+        yield close()
+
+    rows = rows.join(held.select("set_id", "n", "point"), "set_id").select("token", "band", "block", "kind", "comp", "set_id", "n", "point")
+    dealt = rows.repartition("token", "band", "block").sortWithinPartitions("token", "band", "block", "kind")
+    return dealt.mapInArrow(work, "a long, b long, more boolean")
+
+
+def _meetings(met: DataFrame, roots: DataFrame, threshold: Fraction, chunk: int) -> DataFrame:
+    """The rows of _searched: classes that meet at a shingle where several components do. Of sizes that can be linked, they
+    are in one or in neighbouring bands; groups of the same classes are searched once."""
+    ratio = float(np.log(1 / float(threshold)))
+    band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
+    rows = met.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rows = rows.select("token", "set_id", F.coalesce("root", "set_id").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    check = [F.count("*").alias("k"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "set_id")).alias("x")]
+    groups = rows.groupBy("token", "band").agg(*check, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    groups = groups.groupBy("band", "k", "s", "x").agg(F.min("token").alias("token")).select("token", "band", F.ceil(F.col("k") / chunk).cast("int").alias("blocks"))
+    rows = rows.join(groups, ["token", "band"])
+    largest = rows.groupBy("token", "band", "comp").agg(F.count("*").alias("m")).groupBy("token", "band").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
+    rows = rows.join(largest, ["token", "band"]).withColumn("outside", (F.col("comp") != F.col("top")).cast("int"))
+    own = F.pmod(F.xxhash64(F.lit(7), "set_id"), F.col("blocks")).cast("int")
+    index = rows.select("token", "band", own.alias("block"), F.col("outside").alias("kind"), "comp", "set_id")
+    asked = rows.filter("outside = 1").select("token", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("kind"), "comp", "set_id")
+    return index.unionByName(asked)
+
+
+def _links(keyed: DataFrame, sizes: DataFrame, size: int, threshold: Fraction, chunk: int, frequent: int, tries: int) -> DataFrame | None:
+    """node, root: the component of every class that is linked with another; None if there are no links."""
+    often = sizes.filter(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "counts")).alias("x")).select("x.*")
+    often = shared.cut(often.groupBy("often").agg(F.sum("counts").alias("n")))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # at most ``frequent`` shingles can have that many of all counts
+    drawn = often.filter(F.col("n") * frequent >= total).orderBy("often").toArrow()
+    late = drawn.column("often").to_numpy().view(np.uint64)
+    order = np.argsort(late)
+    pieces = np.ceil(drawn.column("n").to_numpy() * (frequent / max(1, total))).astype(np.int32)
+
+    at = Window.partitionBy("token", "piece")
+    shown = _shown(keyed, size, threshold, late[order], pieces[order]).withColumn("low", F.min("set_id").over(at)).withColumn("high", F.max("set_id").over(at))
+    shown = shown.filter("piece > 0 OR low <> high").select("token", "piece", "set_id", "n").dropDuplicates(["token", "piece", "set_id"])
+    first = shared.written(shown, "shown")
+    several = first.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high").select("token")
+    met = first.join(several, "token").select("token", "set_id", "n")
+    enough = met.groupBy("set_id").agg(F.count("*").alias("k"), F.min("n").alias("m")).filter(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("m") / 16))).select("set_id")
+    met = shared.written(met.join(enough, "set_id").select("token", "set_id", "n"), "met")
+    held = shared.written(_held(keyed, sizes, met.select("set_id").distinct(), size), "held")
+
+    one = F.struct("set_id", "n")
+    ends = met.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.set_id <> high.set_id")
+    near = met.join(ends, "token").select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.explode(F.array("low", "high")).alias("x"))
+    near = near.select("a", "na", F.col("x.set_id").alias("b"), F.col("x.n").alias("nb")).filter(F.col("a") != F.col("b")).filter(_fits(threshold))
+    near = near.select("a", "b").distinct()
+    tested = shared.cut(_passing(near, held, threshold))
+    links = shared.cut(_verified(tested, held, size, threshold))
+    roots = shared.cut(components.connected(links))
+    while True:
+        rows = _meetings(met, roots, threshold, chunk)
+        found = shared.cut(_searched(rows, held, threshold, tries))
+        pairs = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        new = shared.cut(_verified(pairs, held, size, threshold))
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            roots = shared.cut(components.connected(links))
+        if found.filter("more").isEmpty():
+            return roots
+        tested = shared.cut(tested.unionAll(pairs))
+        tries *= 16
 
 
 def link(
     docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), doc_id: str = "doc_id", text: str = "text",
-    chunk: int = 512, block: int = 2048, frequent: int = 2_000_000, seeds: int = 4,
+    chunk: int = 1024, frequent: int = 100_000, tries: int = 16,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to); and the row's key, a hash
     of id and text, and its component's key (null for an empty set), which tell rows of one id, or of none, apart."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias(_KEY))
     sizes = shared.written(_sizes(keyed, size), "set-sizes")
-    often = sizes.filter(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "counts")).alias("x")).select("x.*")
-    total = often.agg(F.coalesce(F.sum("counts"), F.lit(0))).first()[0]
-    # at most ``frequent`` shingles can have that many of all counts
-    often = often.groupBy("often").agg(F.sum("counts").alias("n")).filter(F.col("n") * frequent >= total)
-    last = often.select("often").toPandas()["often"].to_numpy(np.int64).view(np.uint64)
-
-    shown = shared.written(_prefixes(keyed, size, threshold, np.sort(last)), "prefixes")
-    met = shown.groupBy("token").agg(F.min("print_a").alias("least"), F.max("print_a").alias("most")).filter("least <> most")
-    shows = shared.written(shown.join(met.select("token"), "token").distinct(), "met")
-    sizes_of = shows.groupBy("token").agg(F.count("*").alias("classes"))
-    small = shows.join(sizes_of.filter(F.col("classes") <= block).select("token"), "token")
-    groups = small.groupBy("token").agg(F.array_sort(F.collect_list("print_a")).alias("all")).select("all").distinct()
-    points = sizes.groupBy("print_a").agg(F.min("point").alias("p"), F.max("point").alias("q"), F.min("n").alias("n"))
-    points = points.select("print_a", "n", F.when(F.col("p") == F.col("q"), F.col("p")).alias("point"))
-    # sets of sizes that can be linked are in the same or in neighbouring bands
-    ratio = F.log(F.lit(float(1 / threshold)))
-    band = F.floor(F.log(F.col("n").cast("double")) / ratio)
-    wide = shows.join(sizes_of.filter(F.col("classes") > block).select("token"), "token").join(points.select("print_a", "n"), "print_a")
-    wide = wide.select("token", "print_a", F.explode(F.array(band, band + 1)).alias("band"))
-    least = wide.groupBy("token", "band").agg(F.min("print_a").alias("b"))
-    large = wide.join(least, ["token", "band"]).select(F.col("print_a").alias("a"), "b")
-    members = groups.select(F.xxhash64("all").alias("group"), F.explode("all").alias("print_a")).join(points, "print_a")
-    gathered = members.groupBy("group").agg(F.collect_list(F.struct("print_a", "n", "point")).alias("members"))
-    chained = _chains(gathered, threshold).unionAll(large)
-    clusters = components.connected(chained).select(F.col("node").alias("print_a"), F.col("root").alias("cluster"))
-
-    # sets of equal first fingerprints but different second ones are classes of their own in one cluster
-    twice = sizes.groupBy("print_a").agg(F.min("print_b").alias("p"), F.max("print_b").alias("q")).filter("p <> q")
-    clusters = clusters.unionAll(twice.join(clusters, "print_a", "left_anti").select("print_a", F.col("print_a").alias("cluster")))
-    classes = sizes.filter("n > 0").groupBy("print_a", "print_b").agg(F.min(_KEY).alias("node"), F.min("n").alias("n"))
-    members = shared.cut(classes.join(clusters, "print_a").select("node", "cluster", "n"))
-    many = members.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "node")) - 1  # of ids and sizes alone
-    placed = members.withColumn("chunk", F.floor(place / chunk).cast("int")).join(many, "cluster")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run in kernels.runs(batch.column("text")):
-                hashes, bounds = shingle_sets(run, size)
-                out = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                here = batch.slice(run.first, len(run))
-                names = ("node", "cluster", "chunk", "chunks", "n")
-                yield pa.RecordBatch.from_arrays([*(here.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "set"])
-
-    texts = keyed.select(F.col(_KEY).alias("node"), "text").join(placed, "node")
-    whole = shared.written(texts.mapInArrow(sets, "node long, cluster long, chunk int, chunks int, n long, set binary").dropDuplicates(["node"]), "sets")
-    own = whole.select("*", F.col("node").alias("root"), F.lit(False).alias("query"))
-    links = shared.cut(_chunks(own, threshold, ["cluster", "chunk"], False))
-
-    large = whole.filter("chunks > 1")
-    if not large.isEmpty():
-        links = shared.cut(links.unionAll(_across(large, links, threshold, seeds)))
-    roots = components.connected(links)
-    ids = classes.join(roots, "node", "left").select("print_a", "print_b", F.coalesce("root", "node").alias("root"))
-    rows = sizes.select("doc_id", "n", "print_a", "print_b", _KEY)
-    rooted = rows.join(ids, ["print_a", "print_b"], "left")
-    least = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(least, "root", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    root = F.when(F.col("n") > 0, F.col("root")).alias("component_key")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component, F.col(_KEY).alias("row_key"), root)
+    roots = _links(keyed, sizes, size, threshold, chunk, frequent, tries)
+    classes = sizes.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    classes = shared.cut(classes.select("set_id", "least", F.coalesce("root", "set_id").alias("root")))
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.join(least, "root").select("set_id", "root", "component_id")
+    full = sizes.filter("n > 0").select("doc_id", "n", _KEY, "set_id").join(named, "set_id")
+    out = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col(_KEY).alias("row_key"), F.col("root").alias("component_key"))
+    bare = sizes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col(_KEY).alias("row_key"), F.lit(None).cast("long").alias("component_key"))
+    return out.unionAll(bare)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id. Documents without words all stay."""
+    """docs with one document of each component: that of the smallest doc_id. Documents without words all stay; of equal
+    rows one stays. All columns are kept."""
     linked = shared.cut(link(docs, **options))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     kept = linked.filter("component_key IS NOT NULL").groupBy("component_key").agg(F.min(first).alias("x")).select(F.col("x.row_key").alias(_KEY))
@@ -368,32 +426,3 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         equal = out.join(twice.select(F.col("row_key").alias(_KEY)), _KEY, "left_semi").dropDuplicates([_KEY])
         out = out.join(twice.select(F.col("row_key").alias(_KEY)), _KEY, "left_anti").unionByName(equal)
     return out.drop(_KEY)
-
-
-def _across(large: DataFrame, links: DataFrame, threshold: Fraction, seeds: int) -> DataFrame:
-    """Links between chunks of one cluster."""
-    roots = components.connected(links)
-    rows = large.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node"))
-    skinny = shared.cut(rows.select("node", "cluster", "chunk", "n", "root"))
-    # some members of each chunk's largest component, joined among themselves
-    counted = skinny.groupBy("cluster", "chunk", "root").agg(F.count("*").alias("m"))
-    largest = counted.groupBy("cluster", "chunk").agg(F.max(F.struct("m", F.negative("root").alias("r"))).alias("x")).select("cluster", "chunk", F.negative("x.r").alias("root"))
-    picked = skinny.join(largest, ["cluster", "chunk", "root"]).withColumn(
-        "rn", F.row_number().over(Window.partitionBy("cluster", "chunk").orderBy(F.xxhash64(F.lit(5), "node")))
-    ).filter(F.col("rn") <= seeds).select("node", "cluster", "root", F.lit(False).alias("query"))
-    first = _chunks(picked.join(large.select("node", "set"), "node"), threshold, ["cluster"], False)
-    first = shared.cut(first)
-    # everything outside the cluster's largest component is searched for in every chunk
-    merged = components.connected(links.unionAll(first)).select("node", F.col("root").alias("r"))
-    now = shared.cut(skinny.drop("root").join(merged, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r"))
-    top = now.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", F.negative("root").alias("r"))).alias("x"))
-    top = top.select("cluster", F.negative("x.r").alias("top"))
-    # to the chunks, that is, whose sizes it can be linked with
-    ranges = now.groupBy("cluster", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    num, den = threshold.numerator, threshold.denominator
-    fits = (F.col("low") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("high") * den)
-    rest = now.drop("chunk").join(top, "cluster").filter("root <> top").join(ranges, "cluster").filter(fits).select("node", "cluster", "root", "chunk")
-    index = now.select("node", "cluster", "root", "chunk", F.lit(False).alias("query"))
-    both = index.unionByName(rest.withColumn("query", F.lit(True)))
-    second = _chunks(both.join(large.select("node", "set"), "node"), threshold, ["cluster", "chunk"], True)
-    return first.unionAll(second)

@@ -64,10 +64,10 @@ def near_copies():
     return list(enumerate(rows)) + [(7, rows[7])]
 
 
-@pytest.mark.parametrize(("chunk", "block"), [(512, 2048), (4, 2048), (4, 2)])
-def test_components_against_all_pairs(spark, chunk, block):
+@pytest.mark.parametrize(("chunk", "tries", "frequent"), [(1024, 16, 100_000), (3, 1, 100_000), (4, 2, 5)])
+def test_components_against_all_pairs(spark, chunk, tries, frequent):
     rows = near_copies()
-    assert operator(spark, rows, chunk=chunk, block=block) == brute(rows)
+    assert operator(spark, rows, chunk=chunk, tries=tries, frequent=frequent) == brute(rows)
 
 
 def test_no_link_between_chunks_is_lost(spark):
@@ -84,16 +84,46 @@ def test_query_on_whole_table(spark):
     assert got == brute(rows)
 
 
-def test_bound_never_drops_a_link():
+def test_tree_never_drops_a_link():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in range(120)]
-    points = jaccard.Points(sets, np.arange(120), Fraction(3, 4), leaf=4)
-    for s in sets:
-        found = {tuple(points.sets[j]) for j in points.candidates(s, points.point(s))}
-        for other in sets:
+    pool = [np.unique(rng.integers(0, 1 << 40, k).astype(np.uint64)) for k in rng.integers(1, 400, 12)]
+    sets = []
+    for s in pool:
+        sets.append(s)
+        for _ in range(30):
+            keep = s[rng.random(len(s)) > rng.random() * 0.3]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 40, rng.integers(0, len(s) // 8 + 1)).astype(np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    found = jaccard.points(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    tree = jaccard.Tree(found, np.array([len(s) for s in sets]), Fraction(3, 4), fan=4)
+    assert len(tree.levels) > 3
+    looked = linked = 0
+    for s, p in zip(sets, found, strict=True):
+        at = set(tree.search(p, len(s))[0].tolist())
+        looked += len(at)
+        for j, other in enumerate(sets):
             inter = len(np.intersect1d(s, other))
             if 4 * inter >= 3 * (len(s) + len(other) - inter):
-                assert tuple(other) in found
+                linked += 1
+                assert j in at
+    assert linked <= looked < len(sets) ** 2 / 4
+
+
+def test_one_shingle_in_thousands_of_classes(spark):
+    """A passage that all documents begin with, a large group of near copies of it, and own endings."""
+    rng = random.Random(5)
+    passage = ["p%d" % i for i in range(60)]
+    rows = []
+    for i in range(2500):
+        own = ["o%d" % rng.randrange(10**6) for _ in range(5 if i % 5 == 0 else 40)]
+        rows.append((i, " ".join(passage + own)))
+    got = operator(spark, rows, chunk=64)
+    assert [r[2] for r in got] == [0 if i % 5 == 0 else i for i in range(2500)]
+
+
+def test_private_names_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 7, 8), (3, None, 9, 9)], "doc_id long, text string, _key long, root long")
+    assert sorted(tuple(r) for r in jaccard.one_of_each(docs).select("doc_id", "_key", "root").collect()) == [(1, 5, 6), (3, 9, 9)]
 
 
 def test_empty_table(spark):
