@@ -1,17 +1,18 @@
 """Token-id files compressed by a grammar (operator 3).
 
-Method: Re-Pair. In each shard the most frequent adjacent id pairs are replaced by new symbols (nonterminals),
-again and again until no pair is frequent; the file keeps the rules, each rule's expansion length and each
-document's place, so that a single document or token range is decoded without expanding the rest of its shard.
-
-A round replaces many frequent pairs at once: of overlapping occurrences the one of the more frequent pair wins,
-of equal pairs the left one. Pairs never cross the end of a document. Shards are runs of documents in ascending
-doc_id order (nulls first) of about ``shard_tokens`` ids; a longer document is a shard of its own. The only
-shuffle deals whole texts by doc_id range. Files are written by Spark's Parquet writer, one row a shard, so a
-lost executor only repeats its tasks.
-
-Edge cases: a null or empty text has only the end id; rows of an equal doc_id keep both; an empty table gives
-files without rows.
+Method: Re-Pair. In each shard the most frequent adjacent id pairs are replaced by new symbols (nonterminals), again and
+again until no pair is frequent; the file keeps the rules, each rule's expansion length and each document's place, so
+that a single document or token range is decoded without expanding the rest of its shard.
+
+A round replaces all frequent pairs at once: of overlapping occurrences the one of the more frequent pair wins, of equal
+pairs the left one. Symbols are linked where they stand, and a round looks only at pairs next to the last round's
+replacements, so later rounds cost little. Pairs never cross the end of a document. Shards are runs of documents in
+ascending doc_id order (nulls first, then by a hash of the text) of about ``shard_tokens`` ids; a longer document is a
+shard of its own. The only shuffle deals whole texts by ranges. Files are written by Spark's Parquet writer, one row a
+shard, so a lost executor only repeats its tasks.
+
+Edge cases: a null or empty text has only the end id; rows of an equal doc_id, and equal rows, keep all; a very long text
+is encoded whole in one task; extra columns are left out; an empty table gives files without rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm import kernels
+from hearsay.llm.bpe import byte_alphabet
 
 #: part: place of the task in doc_id order; shard: place in the part; start: ids of the part before this shard.
 #: rule_left, rule_right, rule_length: little-endian uint32 (length uint64) for symbols base, base + 1, ...
@@ -34,55 +36,61 @@ SHARD_SCHEMA = """part int, shard int, start long, base long, n_rules long, rule
 rule_length binary, symbols binary, doc_ids array<bigint>, doc_symbols array<int>, doc_tokens array<bigint>"""
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int, most_rules: int, least: int):
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int):
     """Symbols, rules (left, right) and each document's number of symbols.
 
     ids: int64 token ids under base; ends: index after each document's last id.
     """
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)
-    last[ends[ends > 0] - 1] = True
+    n = len(ids)
+    # symbols stay where they are, linked to those before and after them in their document; place n stands for none
+    seq = np.append(ids, -1).astype(np.int64)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[n] = n
+    after[ends[ends > 0] - 1] = n
+    before[np.append(0, ends[ends < n])] = n
+    gone = np.zeros(n + 1, bool)
+    ranks = np.full(n + 1, n + 1, np.int32)
     lefts, rights, top = [], [], base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pairs = (seq[:-1] << 32) | seq[1:]
-        inner = pairs[~last[:-1]]
-        if not len(inner):
-            break
-        inner.sort()
-        edge = np.flatnonzero(np.concatenate([[True], inner[1:] != inner[:-1]]))
-        counts = np.diff(np.append(edge, len(inner)))
+    places = np.flatnonzero(after[:n] < n)  # where pairs start that can be frequent: at first all
+    while len(places) >= least:
+        pairs = (seq[places] << 32) | seq[after[places]]
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        counts = np.diff(np.append(edge, len(pairs)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        keys, counts = inner[edge[often]], counts[often]
-        if len(keys) > most_rules:
-            best = np.sort(np.argsort(-counts, kind="stable")[:most_rules])
-            keys, counts = keys[best], counts[best]
-        rank = np.empty(len(keys), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(keys))
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        none = len(keys)
-        ranks = np.where((keys[at] == pairs) & ~last[:-1], rank[at], none)
-        padded = np.concatenate([[none], ranks, [none]])
-        take = (ranks < none) & (ranks < padded[:-2]) & (ranks <= padded[2:])
-        # an occurrence that lost to a neighbour which lost itself waits for the next round
-        places = np.flatnonzero(take)
-        used, number = np.unique(ranks[places], return_inverse=True)
-        by_rank = np.argsort(rank)
-        left, right = keys[by_rank[used]] >> 32, keys[by_rank[used]] & 0xFFFFFFFF
-        lefts.append(left)
-        rights.append(right)
-        seq[places] = top + number
-        last[places] = last[places + 1]
-        keep = np.ones(len(seq), bool)
-        keep[places + 1] = False
-        seq, last = seq[keep], last[keep]
+        keys, numbers = pairs[edge[often]], counts[often]
+        by_rank = np.argsort(-numbers, kind="stable")
+        rank = np.empty(len(keys), np.int32)
+        rank[by_rank] = np.arange(len(keys))
+        starts = np.repeat(edge[often] - np.concatenate([[0], np.cumsum(numbers)[:-1]]), numbers) + np.arange(numbers.sum())
+        at = places[order[starts]].astype(np.int32)  # of frequent pairs only
+        mine = np.repeat(rank, numbers)
+        ranks[at] = mine
+        take = (mine < ranks[before[at]]) & (mine <= ranks[after[at]])
+        ranks[at] = n + 1
+        first = at[take]
+        second = after[first]
+        used, number = np.unique(mine[take], return_inverse=True)
+        made = keys[by_rank[used]]
+        lefts.append(made >> 32)
+        rights.append(made & 0xFFFFFFFF)
+        seq[first] = top + number
         top += len(used)
+        gone[second] = True
+        follows = after[second]
+        after[first] = follows
+        before[follows] = first
+        # a pair can have become frequent only with a new symbol; one that lost its place to another waits
+        lost = at[~take]
+        places = np.sort(np.concatenate([first, before[first], lost[~gone[lost]]]))
+        places = places[np.append(True, places[1:] != places[:-1]) & (after[places] < n)]
     rules = (np.concatenate(lefts), np.concatenate(rights)) if lefts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    bounds = np.concatenate([[0], np.flatnonzero(last) + 1])
-    return seq, rules, np.diff(bounds)
+    sums = np.concatenate([[0], np.cumsum(~gone[:n])])
+    bounds = sums[np.concatenate([[0], ends])]
+    return seq[:n][~gone[:n]], rules, np.diff(bounds)
 
 
 def rule_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -145,55 +153,70 @@ def _loaded(path: str) -> tuple[int, kernels.IdCache]:
 
         tokenizer = Tokenizer.from_file(path)
 
+        letters = byte_alphabet()
+        model = tokenizer.model
+
+        def pretoken(text: str) -> bool:
+            """Latin letters, with or without one space before them, are cut no further."""
+            word = text[1:] if text[:1] == " " else text
+            return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+        def tokens(text: str) -> list[int]:
+            """Of a pre-token, by the library's model alone."""
+            if text.isascii():
+                return [t.id for t in model.tokenize(text.replace(" ", letters[0x20]))]
+            return [t.id for t in model.tokenize("".join([letters[b] for b in text.encode()]))]
+
         def make(chunks: list[bytes]) -> list[list[int]]:
-            found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-            return [e.ids for e in found]
+            texts = [c.decode("utf-8", "replace") for c in chunks]
+            whole = [pretoken(t) for t in texts]
+            others = iter(tokenizer.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if not w], add_special_tokens=False))
+            return [tokens(t) if w else next(others).ids for t, w in zip(texts, whole, strict=True)]
 
         _LOADED[path] = tokenizer.get_vocab_size(with_added_tokens=True), kernels.IdCache(make)
     return _LOADED[path]
 
 
 def pack(
-    docs: DataFrame, path: str, end_id: int = 2, partitions: int | None = None, shard_tokens: int = 1 << 20,
-    rounds: int = 6, most_rules: int = 8192, least: int = 8,
+    docs: DataFrame, path: str, end_id: int = 2, partitions: int | None = None, shard_tokens: int = 1 << 20, least: int = 8,
 ) -> DataFrame:
     """Rows of SHARD_SCHEMA for the whole texts of docs (doc_id, text), in ascending doc_id order.
 
-    path: the tokenizer's file. A round makes at most ``most_rules`` rules of pairs seen ``least`` times in the shard.
+    path: the tokenizer's file. A pair is frequent if a shard has it ``least`` times. partitions: as many as shuffles have,
+    if not given.
     """
-    spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         base, cache = _loaded(path)
         part, shard, start = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[np.ndarray, np.ndarray, list]] = []
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, start, held, count
             ids = np.concatenate([h[0] for h in held])
             tokens = np.concatenate([h[1] for h in held])
-            names = [i for h in held for i in h[2]]
-            seq, (left, right), doc_symbols = compress(ids, np.cumsum(tokens), base, rounds, most_rules, least)
+            names = pa.concat_arrays([h[2] for h in held])
+            seq, (left, right), doc_symbols = compress(ids, np.cumsum(tokens), base, least)
             row = {
                 "part": part, "shard": shard, "start": start, "base": base, "n_rules": len(left),
                 "rule_left": left.astype("<u4").tobytes(), "rule_right": right.astype("<u4").tobytes(),
                 "rule_length": rule_lengths(left, right, base).astype("<u8").tobytes(), "symbols": seq.astype("<u4").tobytes(),
-                "doc_ids": names, "doc_symbols": doc_symbols, "doc_tokens": tokens,
+                "doc_ids": names, "doc_symbols": pa.array(doc_symbols.astype(np.int32)), "doc_tokens": pa.array(tokens.astype(np.int64)),
             }
             shard, start, held, count = shard + 1, start + len(ids), [], 0
-            return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema=arrow)
+            lists = {k: pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), row.pop(k)) for k in ("doc_ids", "doc_symbols", "doc_tokens")}
+            return pa.RecordBatch.from_arrays([lists[f.name] if f.name in lists else pa.array([row[f.name]], f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
+            names = batch.column("doc_id")
             for run in kernels.runs(batch.column("text")):
                 flat, bounds = cache.ids(run)
                 tokens = np.diff(bounds) + 1
                 ids = np.full(len(flat) + len(run), end_id, np.int64)
                 ids[np.arange(len(flat)) + np.repeat(np.arange(len(run)), np.diff(bounds))] = flat
-                held.append((ids, tokens, names[run.first : run.last]))
+                held.append((ids, tokens, names.slice(run.first, len(run))))
                 count += len(ids)
                 if count >= shard_tokens:
                     yield flush()
@@ -205,8 +228,10 @@ def pack(
         ("rule_left", pa.binary()), ("rule_right", pa.binary()), ("rule_length", pa.binary()), ("symbols", pa.binary()),
         ("doc_ids", pa.list_(pa.int64())), ("doc_symbols", pa.list_(pa.int32())), ("doc_tokens", pa.list_(pa.int64())),
     ])
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
-    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(work, SHARD_SCHEMA)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # rows of one id, or of none, can be in several parts
+    rows = docs.select("doc_id", "text")
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order).mapInArrow(work, SHARD_SCHEMA)
 
 
 def write(shards: DataFrame, folder: str) -> None:
@@ -224,20 +249,23 @@ def unpack(spark: SparkSession, folder: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                shard = Shard(row)
-                ids = expand(shard.symbols, shard.left, shard.right, shard.base).astype("<u4").tobytes()
-                ends = np.cumsum(np.asarray(row["doc_tokens"], np.int64))
-                starts = ends - np.asarray(row["doc_tokens"], np.int64)
+                row = {c: batch.column(c)[i].as_py() for c in ("part", "start", "base")}
+                raw = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind).astype(np.int64)  # noqa: B023, E731
+                ids = expand(raw("symbols", "<u4"), raw("rule_left", "<u4"), raw("rule_right", "<u4"), row["base"]).astype("<u4")
+                tokens = batch.column("doc_tokens")[i].values.to_numpy()
+                names = batch.column("doc_ids")[i].values
+                ends = np.cumsum(tokens)
+                starts = ends - tokens
                 for a in range(0, len(ends), 512):
                     z = min(a + 512, len(ends))
-                    yield pa.RecordBatch.from_pydict({
-                        "part": pa.array([row["part"]] * (z - a), pa.int32()),
-                        "doc_id": pa.array(row["doc_ids"][a:z], pa.int64()),
-                        "start": pa.array(starts[a:z] + row["start"], pa.int64()),
-                        "n_tokens": pa.array((ends - starts)[a:z], pa.int64()),
-                        "ids": pa.array([ids[4 * p : 4 * q] for p, q in zip(starts[a:z], ends[a:z], strict=True)], pa.binary()),
-                    })
+                    low = int(starts[a])
+                    offsets = np.append(starts[a:z] - low, ends[z - 1] - low) * 4
+                    data = ids[low : int(ends[z - 1])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(z - a, row["part"], np.int32)), names.slice(a, z - a), pa.array(starts[a:z] + row["start"]), pa.array(tokens[a:z]),
+                         pa.BinaryArray.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])],
+                        names=["part", "doc_id", "start", "n_tokens", "ids"],
+                    )
 
     docs = shards.mapInArrow(work, "part int, doc_id long, start long, n_tokens long, ids binary")
     return docs.join(F.broadcast(parts), "part").select("doc_id", (F.col("start") + F.col("part_start")).alias("start"), "n_tokens", "ids")

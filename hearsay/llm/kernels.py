@@ -9,6 +9,7 @@ stays bounded however many rows an Arrow batch has (one longer text is a run of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,47 +160,82 @@ def chunks(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class IdCache:
-    """Token ids of distinct chunks by hash, kept by a worker from batch to batch and emptied when it is full."""
+    """Token ids of distinct chunks by hash, kept by a worker from batch to batch.
 
-    def __init__(self, make, most: int = 1_000_000):
+    Hashes are in a table with open addressing. Both the number of chunks and the bytes of their ids are bounded; when
+    either is reached, the cache is emptied.
+    """
+
+    def __init__(self, make, most: int = 1_500_000, most_bytes: int = 96 << 20):
         """make: list of byte strings -> list of id lists."""
-        self.make, self.most = make, most
+        self.make, self.most, self.most_bytes = make, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.places = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.keys, self.places = np.zeros(1 << 16, _U), np.zeros(1 << 16, np.int32)
         self.flat, self.offsets, self.used, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
 
-    def _add(self, lists: list[list[int]]) -> None:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes; -1 where one is not in the table."""
+        mask = _U(len(self.keys) - 1)
+        slots = hashes & mask
+        held = self.keys[slots]
+        places = np.where(held == hashes, self.places[slots], -1)
+        open_ = np.flatnonzero((held != hashes) & (held != 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + _U(1)) & mask
+            at = slots[open_]
+            held, mine = self.keys[at], hashes[open_]
+            hit = held == mine
+            places[open_[hit]] = self.places[at[hit]]
+            open_ = open_[~hit & (held != 0)]
+        return places
+
+    def _put(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Distinct hashes that are not in the table; where several meet at a free slot, the others go on."""
+        mask = _U(len(self.keys) - 1)
+        slots = hashes & mask
+        while len(hashes):
+            free = self.keys[slots] == 0
+            self.keys[slots[free]] = hashes[free]
+            mine = free & (self.keys[slots] == hashes)
+            self.places[slots[mine]] = places[mine]
+            hashes, places, slots = hashes[~mine], places[~mine], (slots[~mine] + _U(1)) & mask
+
+    def _add(self, hashes: np.ndarray, lists: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.count + len(lists) + 1 > len(self.offsets):
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for ids in lists for x in ids), np.int32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
         self.offsets[self.count + 1 : self.count + 1 + len(lists)] = self.used + np.cumsum(lengths)
+        if 2 * (self.count + len(lists)) > len(self.keys):
+            at = np.flatnonzero(self.keys)
+            held, where = self.keys[at], self.places[at]
+            size = 1 << int(4 * (self.count + len(lists)) - 1).bit_length()
+            self.keys, self.places = np.zeros(size, _U), np.zeros(size, np.int32)
+            self._put(held, where)
+        self._put(hashes, (self.count + np.arange(len(lists))).astype(np.int32))
         self.used += total
         self.count += len(lists)
 
     def _places(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys, first, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if self.count + len(keys) > self.most:
-            self.clear()
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        places = np.empty(len(keys), np.int64)
-        places[known] = self.places[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = buf.tobytes()
-            fresh = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            places[new] = self.count + np.arange(len(new))
-            self._add(self.make(fresh))
-            into = np.searchsorted(self.keys, keys[new])
-            self.keys = np.insert(self.keys, into, keys[new])
-            self.places = np.insert(self.places, into, places[new])
-        return places[back]
+        hashes = np.maximum(span_hashes(buf, starts, ends), _U(1))
+        places = self._find(hashes)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            if self.count + len(missing) > self.most or 4 * self.used > self.most_bytes:
+                self.clear()
+                missing = np.arange(len(hashes))
+            order = missing[np.argsort(hashes[missing], kind="stable")]
+            keys = hashes[order]
+            edge = np.append(True, keys[1:] != keys[:-1])
+            raw, keys, first = buf.tobytes(), keys[edge], order[edge]
+            self._add(keys, self.make([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]))
+            places[missing] = self._find(hashes[missing])
+        return places
 
     def ids(self, run: Run, spans=None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run's texts, and the bounds of each text's ids; of its chunks, or of given spans."""

@@ -18,7 +18,7 @@ def test_compress_and_expand_are_exact(docs):
     docs = [d + [2] for d in docs]
     ids = np.array([i for d in docs for i in d], np.int64)
     ends = np.cumsum([len(d) for d in docs])
-    seq, (left, right), sizes = grammar.compress(ids, ends, 5, 9, 3, 2)
+    seq, (left, right), sizes = grammar.compress(ids, ends, 5, 2)
     assert grammar.expand(seq, left, right, 5).tolist() == ids.tolist()
     assert len(sizes) == len(docs) and sizes.sum() == len(seq)
     lengths = grammar.rule_lengths(left, right, 5)
