@@ -34,6 +34,17 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def vocabulary(path: str) -> list[str]:
+    """The string of each id of a tokenizer file."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    entries = [*((i, text) for text, i in spec["model"]["vocab"].items()), *((t["id"], t["content"]) for t in spec["added_tokens"])]
+    strings = [""] * (max(i for i, _ in entries) + 1)
+    for i, text in entries:
+        strings[i] = text
+    return strings
+
+
 class WordBpe:
     """A tokenizer file's vocabulary and merges, with the normalisation and pre-tokenisation that it asks for."""
 
@@ -118,15 +129,13 @@ class WordBpe:
         return " ".join([self.strings[i] for i in ids])
 
 
-_LOADED: dict[str, tuple[WordBpe, kernels.IdCache]] = {}
+def _encoder(path: str) -> kernels.IdCache:
+    """One tokenizer and cache for each worker process."""
+    return kernels.worker_state(("encode", path), lambda: kernels.IdCache(WordBpe(path).encode_chunks, most=1_000_000, most_bytes=32 << 20))
 
 
-def _loaded(path: str) -> tuple[WordBpe, kernels.IdCache]:
-    """One tokenizer and cache for each worker process."""
-    if path not in _LOADED:
-        bpe = WordBpe(path)
-        _LOADED[path] = bpe, kernels.IdCache(bpe.encode_chunks)
-    return _LOADED[path]
+def _strings(path: str) -> list[str]:
+    return kernels.worker_state(("decode", path), lambda: vocabulary(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -138,7 +147,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _loaded(path)[1]
+        cache = _encoder(path)
         for batch in batches:
             texts = batch.column(text)
             for run in kernels.runs(texts):
@@ -156,7 +165,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     schema = encoded.select(*kept).schema.add(text, T.StringType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = _loaded(path)[0].strings
+        strings = _strings(path)
         for batch in batches:
             column = batch.column(ids)
             at, flat = column.offsets.to_numpy(), column.values.to_numpy()

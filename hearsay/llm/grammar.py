@@ -143,16 +143,13 @@ class Shard:
         return expand(self.symbols[a:b], self.left, self.right, self.base)[first - before : last - before]
 
 
-_LOADED: dict[str, tuple[object, kernels.IdCache]] = {}
-
-
 def _loaded(path: str) -> tuple[int, kernels.IdCache]:
     """The tokenizer's ids end here; and its cache of chunks. One for each worker process."""
-    if path not in _LOADED:
+
+    def load():
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-
         letters = byte_alphabet()
         model = tokenizer.model
 
@@ -173,8 +170,9 @@ def _loaded(path: str) -> tuple[int, kernels.IdCache]:
             others = iter(tokenizer.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if not w], add_special_tokens=False))
             return [tokens(t) if w else next(others).ids for t, w in zip(texts, whole, strict=True)]
 
-        _LOADED[path] = tokenizer.get_vocab_size(with_added_tokens=True), kernels.IdCache(make)
-    return _LOADED[path]
+        return tokenizer.get_vocab_size(with_added_tokens=True), kernels.IdCache(make)
+
+    return kernels.worker_state(("token files", path), load)
 
 
 def pack(

@@ -27,6 +27,18 @@ _LOWER[0x41:0x5B] += 32
 _TABLES: dict[str, np.ndarray] = {}
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What make() gives, kept by this worker process for the next tasks; only the last key's, so that a worker that serves
+    several operators in turn holds the tables of one."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     x = x.astype(_U, copy=True)

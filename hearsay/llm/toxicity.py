@@ -198,17 +198,14 @@ class Model:
         self.weights, self.regression = weights, regression
 
 
-_LOADED: dict[int, tuple[Lexicon, kernels.IdCache]] = {}
-
-
 def _loaded(weights: dict[str, float]) -> tuple[Lexicon, kernels.IdCache]:
     """One lexicon and cache for each worker process and model."""
-    key = hash(tuple(sorted(weights.items())))
-    if key not in _LOADED:
-        _LOADED.clear()
+
+    def load():
         lexicon = Lexicon(weights)
-        _LOADED[key] = lexicon, kernels.IdCache(lexicon.tokens, most=600_000)
-    return _LOADED[key]
+        return lexicon, kernels.IdCache(lexicon.tokens, most=500_000, most_bytes=16 << 20)
+
+    return kernels.worker_state(("toxicity", hash(tuple(sorted(weights.items())))), load)
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms:
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicons = [Lexicon(w) for w in both.value]
-        caches = [kernels.IdCache(x.tokens, most=200_000) for x in lexicons]
+        caches = [kernels.IdCache(x.tokens, most=200_000, most_bytes=8 << 20) for x in lexicons]
         for batch in batches:
             half_, y = batch.column("half").to_numpy(), batch.column("y").to_numpy()
             for run in kernels.runs(batch.column("text")):
