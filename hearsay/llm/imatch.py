@@ -1,22 +1,27 @@
 """I-Match document fingerprints, in DataFrame functions only (operator 1).
 
-Method: terms are lower-cased words; those whose document frequency lies in a band (inverse document frequency neither
-too low nor too high) are kept, distinct ones are taken in sorted order, and hashed for each of several randomised
-subsets of the lexicon (each of two hashes parts it into 2**s subsets, of which the first 16 count). A subset's hash is the exclusive or of its terms' hashes, which is the same for any order, so
-sorting is left out. Two texts whose kept terms are equal have equal fingerprints, and texts that share most terms
-still agree in the subsets that none of the other terms fall in.
-
-For that, a subset must keep few terms of a text, whether the text is short or long; one at scale s keeps a term in
-2**s; a fingerprint holds the subsets of two scales, which follow from the number of words: the scale (two hex
-digits), then ``4 * LANES`` hashes of four hex digits at it, then as many at the next one. Likeness is the share of
-equal hashes among those that are not empty on both sides, at the scales that two fingerprints have in common.
-
-Texts of fewer than ``SHORT`` words keep all their terms. The lexicon is broadcast as 8-byte hashes: no more than
-(mean number of distinct terms of a text) * ``RAREST`` terms can be in so many texts, whatever the number of texts.
-
-Edge cases: a null text is empty and has an empty fingerprint (scale 00, all hashes 0), whose likeness to another empty
-one is 1 and to any other 0; a text of SHORT words or more without a term in the band has hashes of 0 only, so it is
-like an equal text and not like any other; equal rows keep their own results, in any order; an empty table gives an empty one.
+Method: terms are lower-cased words; those whose document frequency lies in a band (inverse document frequency neither too
+low nor too high) are kept; the distinct ones are sorted and hashed for each of several randomised subsets of the lexicon.
+Two texts whose kept terms are equal have equal fingerprints, and texts that share most terms still agree in the subsets
+that none of the other terms fall in.
+
+The subsets are fixed for all texts: at every scale s the lexicon is parted at random, in two ways, into 2**s subsets, of
+which the first ``CELLS`` count. A fingerprint lists those of three scales in a row, which follow from the text's number
+of distinct terms, so that a subset has a few terms of a text, however long it is. An entry has eight hex digits: scale,
+subset and four of the hash of the subset's terms in sorted order; subsets without a term are left out. Likeness is the share of equal
+entries among the subsets that either text has terms in, at the scales that two fingerprints have in common; texts that
+differ more than eightfold in their number of terms have none and no likeness.
+
+A text that has no term of the band in its subsets (a language or topic of few documents, or frequent words only) is told
+apart by all its terms instead; such entries have a mark in their scale and are never equal to others.
+
+The lexicon is broadcast as 8-byte hashes: no more than (mean number of distinct terms of a text) * ``RAREST`` terms can
+be in so many texts, whatever the number of texts.
+
+Edge cases: null and empty texts, and texts without words, have the empty fingerprint, whose likeness to another empty
+one is 1 and to any other 0; very long texts are read whole and send on a bounded number of terms; ties do not arise, since terms are
+distinct; equal rows keep their own results and are next to each other in the order of doc_id; extra columns are left out;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,23 +31,22 @@ from pyspark.sql import functions as F
 
 from hearsay.llm import shared
 
-#: Hashes of 64 bits that a fingerprint is made of at one scale; each is four subsets of 16 bits.
-LANES = 8
-SHORT = 40
+#: Subsets that count of each of the two ways to part the lexicon at a scale.
+CELLS = 8
+#: Scales of a fingerprint.
+SCALES = 3
 #: A kept term is in at least one of so many texts, and in at most one of COMMONEST.
 RAREST, COMMONEST = 1000, 8
 #: Fixed value: what separates words.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Added to the scale of entries that are made of all terms.
+UNBANDED = 64
 
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-cased words of a text."""
-    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-
-
-def word_number(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    words = F.split(F.lower(text), SPACE)
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
@@ -53,64 +57,85 @@ def lexicon(docs: DataFrame) -> DataFrame:
     return counts.join(total, (F.col("n") >= low) & (F.col("n") <= high)).select("term")
 
 
-def scale(words: Column) -> Column:
-    """Scale of a text of so many words: its subsets keep about one of its terms."""
-    kept = F.greatest(words, F.lit(1)) / F.when(words < SHORT, 1.0).otherwise(2.0)
-    return F.greatest(F.lit(0), F.least(F.lit(13), F.floor(F.log2(kept)))).cast("int")
-
-
-def _places(term: Column, at: Column, start: int) -> list[Column]:
-    """For both ways to part the lexicon: the lane of the subset that a term is in at a scale (null: none), and its hash there."""
-    out = []
-    for g in range(2):
-        chance = F.xxhash64(term, F.lit(g))
-        cell = chance.bitwiseAND((F.pow(F.lit(2.0), at) - 1).cast("long"))
-        lane = F.when(cell < 2 * LANES, F.floor(cell / 4) + g * LANES // 2)
-        shift = F.when(cell % 4 == 1, 1 << 16).when(cell % 4 == 2, 1 << 32).otherwise(1)
-        value = F.shiftrightunsigned(chance, 48)
-        word = F.when(cell % 4 == 3, F.shiftleft(value, 48)).otherwise(value * shift)
-        out += [lane.cast("int").alias(f"at{start + g}"), word.alias(f"word{start + g}")]
-    return out
-
-
-def fingerprints(rows: DataFrame, keys: list[str], band: DataFrame) -> DataFrame:
-    """rows (keys..., text) -> keys, fingerprint. Each row's keys are its own."""
-    counted = rows.select(*keys, word_number("text").alias("words"), "text")
-    each = counted.select(
-        *keys, scale(F.col("words")).alias("scale"), (F.col("words") < SHORT).alias("short"),
-        F.explode(F.array_append(terms(F.col("text")), F.lit(None).cast("long"))).alias("term"),
-    )
-    # a text keeps one row without a term; terms that are in no subset at the text's scales are left out before the lexicon
-    each = each.select("*", *_places(F.col("term"), F.col("scale"), 0), *_places(F.col("term"), F.col("scale") + 1, 2))
-    some = F.col("term").isNull() | F.coalesce(*(F.col(f"at{i}") for i in range(4))).isNotNull()
-    inside = F.broadcast(band.select(F.col("term").alias("t"), F.lit(True).alias("inside")))
-    kept = each.filter(some).join(inside, F.col("term") == F.col("t"), "left").filter("term IS NULL OR short OR inside")
-    lanes = []
-    for step in (0, 2):
-        for lane in range(LANES):
-            n = step + lane // (LANES // 2)
-            word = F.when(F.col("term").isNotNull() & (F.col(f"at{n}") == lane), F.col(f"word{n}"))
-            lanes.append(F.coalesce(F.bit_xor(word), F.lit(0).cast("long")).alias(f"lane{step * LANES // 2 + lane}"))
-    made = kept.groupBy(*keys, "scale").agg(*lanes)
-    parts = [F.lpad(F.hex(f"lane{i}"), 16, "0") for i in range(2 * LANES)]
-    return made.select(*keys, F.lower(F.concat(F.lpad(F.hex("scale"), 2, "0"), *parts)).alias("fingerprint"))
+def scale(n_terms: Column) -> Column:
+    """First scale of a text with so many distinct terms: its subsets keep some two to four of them."""
+    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_terms, F.lit(1)))) - 1).cast("int")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, 0 to 1."""
-    width = 16 * LANES
-    step = F.conv(F.substring(b, 1, 2), 16, 10).cast("int") - F.conv(F.substring(a, 1, 2), 16, 10).cast("int")
-    x = F.when(step == 0, F.substring(a, 3, 2 * width)).when(step == 1, F.substring(a, 3 + width, width)).when(step == -1, F.substring(a, 3, width))
-    y = F.when(step == 0, F.substring(b, 3, 2 * width)).when(step == 1, F.substring(b, 3, width)).when(step == -1, F.substring(b, 3 + width, width))
-    hashes = lambda s: F.regexp_extract_all(s, F.lit("(.{4})"))
-    pairs = F.filter(F.arrays_zip(hashes(x).alias("x"), hashes(y).alias("y")), lambda p: (p["x"] != "0000") | (p["y"] != "0000"))
-    equal = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
-    return F.when(a == b, 1.0).when(x.isNull(), 0.0).otherwise(F.coalesce(equal / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0))).cast("double")
+def _chance(term: Column, way: int) -> Column:
+    return F.xxhash64(term, F.lit(way))
+
+
+def _cell(term: Column, way: int, at: Column) -> Column:
+    """Which of 2**at subsets a term is in."""
+    return _chance(term, way).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at) - 1)
+
+
+def sampled(found: Column, at: Column) -> Column:
+    """Terms that are in a subset at the scale; those of the next scales are among them."""
+    return F.filter(found, lambda t: (_cell(t, 0, at) < CELLS) | (_cell(t, 1, at) < CELLS))
+
 
+def _entries(found: Column, at: Column, mark: int) -> Column:
+    """Entries of a text's sorted terms at one scale: (scale, subset, hash) as one number."""
+    in_way = lambda w: F.transform(F.filter(found, lambda t: _cell(t, w, at) < CELLS), lambda t: F.struct((_cell(t, w, at) + w * CELLS).alias("cell"), t.alias("term")))
+    placed = F.array_sort(F.concat(in_way(0), in_way(1)))
+    # one pass over the sorted terms: the hash of a subset takes in one term after the other
+    start = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<bigint>").alias("done"))
+    entry = lambda acc: F.array(acc["cell"] * 65536 + acc["hash"].bitwiseAND(F.lit(65535)))
+    closed = lambda acc: F.when(acc["cell"] < 0, acc["done"]).otherwise(F.concat(acc["done"], entry(acc)))
 
-def without_terms(fingerprint: Column) -> Column:
-    """Whether a text has words but no term of its subsets in the band: its fingerprint tells nothing about it."""
-    return fingerprint.rlike("^..0+$") & (F.substring(fingerprint, 1, 2) != "00")
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["cell"] == x["cell"]
+        return F.struct(
+            x["cell"].alias("cell"), F.xxhash64(F.when(same, acc["hash"]).otherwise(F.lit(0).cast("long")), x["term"]).alias("hash"),
+            F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"),
+        )
+
+    rows = F.aggregate(placed, start, step, closed)
+    return F.transform(rows, lambda e: (at + mark).cast("long") * (1 << 24) + e)
+
+
+def fingerprint(banded: Column, others: Column, first: Column) -> Column:
+    """Entries of a text from the sampled terms that are in the band and those that are not."""
+    every = lambda found, mark: F.flatten(F.array(*(_entries(found, first + i, mark) for i in range(SCALES))))
+    return F.when(F.size(banded) > 0, every(banded, 0)).otherwise(every(others, UNBANDED))
+
+
+def as_text(entries: Column) -> Column:
+    return F.lower(F.array_join(F.transform(entries, lambda e: F.lpad(F.hex(e), 8, "0")), ""))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two lists of entries, 0 to 1."""
+    at = lambda e: F.shiftright(e, 24)
+    # both have three scales in a row: those from the later first one to the earlier last one are common
+    low, high = F.greatest(F.array_min(a), F.array_min(b)), F.least(F.array_max(a), F.array_max(b))
+    mine = lambda x: F.filter(x, lambda e: (at(e) >= at(low)) & (at(e) <= at(high)))
+    subsets = lambda x: F.transform(mine(x), lambda e: F.shiftright(e, 16))
+    share = F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(subsets(a), subsets(b))), F.lit(0))
+    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))).cast("double")
+
+
+def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], band: DataFrame) -> DataFrame:
+    """rows with, for each column of texts, its entries in <column>_entries. A row's keys (no nulls) are its own."""
+    for text in texts:
+        rows = rows.withColumn(f"{text}_terms", terms(F.col(text)))
+    for text in texts:
+        first = scale(F.size(f"{text}_terms"))
+        rows = rows.withColumn(f"{text}_scale", first).withColumn(f"{text}_terms", sampled(F.col(f"{text}_terms"), first))
+    marked = lambda text, i: F.transform(f"{text}_terms", lambda t: F.struct(F.lit(i).alias("which"), t.alias("term")))
+    each = F.array(*(marked(text, i) for i, text in enumerate(texts)))
+    kept = [c for c in rows.columns if c not in texts and not c.endswith("_terms")]
+    rows = rows.select(*kept, F.explode_outer(F.flatten(each)).alias("x")).select(*kept, "x.which", "x.term")
+    inside = F.broadcast(band.select(F.col("term"), F.lit(True).alias("inside")))
+    rows = rows.join(inside, "term", "left")
+    gather = lambda i, cond: F.array_sort(F.collect_list(F.when((F.col("which") == i) & cond, F.col("term"))))
+    lists = [gather(i, cond).alias(f"{text}_{name}") for i, text in enumerate(texts) for name, cond in (("in", F.col("inside").isNotNull()), ("out", F.col("inside").isNull()))]
+    others = [F.first(c).alias(c) for c in kept if c not in keys]
+    rows = rows.groupBy(*keys).agg(*others, *lists)
+    made = [fingerprint(F.col(f"{text}_in"), F.col(f"{text}_out"), F.col(f"{text}_scale")).alias(f"{text}_entries") for text in texts]
+    return rows.select(*(c for c in kept if not c.endswith("_scale")), *made)
 
 
 def with_next(docs: DataFrame, rows_at_once: int = 4096, splits: int = 200) -> DataFrame:
@@ -161,19 +186,12 @@ def compare(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited_sha256, the fingerprints of the text and its edited text, near_edited and
     near_next (likeness to the edited text and to the next document)."""
     band = shared.cut(lexicon(docs))
-    rows = edited(with_next(docs))
-    facts = ["bucket", "place", "next_bucket", "next_place", "doc_id", "n_chars", "edited_sha256", "same_edited", "same_next"]
-    rows = rows.withColumn("same_edited", F.col("edited") == F.col("text")).withColumn("same_next", F.col("next_text") == F.col("text"))
-    texts = F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited"))))
-    each = rows.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).select(*facts, F.inline(texts))
-    made = fingerprints(each, [*facts, "which"], band)
-    of = lambda i: F.max(F.when(F.col("which") == i, F.col("fingerprint")))
-    both = shared.written(made.groupBy(*facts).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")), "fingerprints")
-    after = both.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next"))
+    rows = edited(with_next(docs)).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    rows = rows.select("bucket", "place", "next_bucket", "next_place", "doc_id", "n_chars", "edited_sha256", "text", "edited")
+    both = shared.written(fingerprints(rows, ["bucket", "place"], ["text", "edited"], band), "fingerprints")
+    after = both.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("text_entries").alias("next"))
     both = both.join(after, ["next_bucket", "next_place"])
-    # texts without terms are alike only if they are equal
-    near = lambda b, same: F.when(without_terms(F.col("fingerprint")) & without_terms(F.col(b)) & ~F.col(same), 0.0).otherwise(likeness(F.col("fingerprint"), F.col(b)))
     return both.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        near("edited_fingerprint", "same_edited").alias("near_edited"), near("next", "same_next").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("text_entries")).alias("fingerprint"), as_text(F.col("edited_entries")).alias("edited_fingerprint"),
+        likeness(F.col("text_entries"), F.col("edited_entries")).alias("near_edited"), likeness(F.col("text_entries"), F.col("next")).alias("near_next"),
     )

@@ -18,32 +18,45 @@ def terms(text):
     return {xx(w.encode()) for w in SPACE.split(text.lower()) if w}
 
 
-def fingerprint(text, band):
-    words = len([w for w in SPACE.split(text) if w])
-    kept = {t for t in terms(text) if words < imatch.SHORT or t in band}
-    scale = max(0, min(13, math.floor(math.log2(max(words, 1) / (1.0 if words < imatch.SHORT else 2.0)))))
-    out = "%02x" % scale
-    for at in (scale, scale + 1):
-        for g in range(2):
-            lanes = [0] * (imatch.LANES // 2)
-            for t in kept:
-                chance = xx(g.to_bytes(4, "little"), xx(t.to_bytes(8, "little")))
-                cell = chance & ((1 << at) - 1)
-                if cell < 16:
-                    lanes[cell // 4] ^= (chance >> 48) << 16 * (cell % 4)
-            out += "".join("%016x" % x for x in lanes)
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def eight(x):
+    return (x % (1 << 64)).to_bytes(8, "little")
+
+
+def cell(term, way, at):
+    return xx(way.to_bytes(4, "little"), xx(eight(term))) & ((1 << at) - 1)
+
+
+def entries(text, band):
+    found = terms(text)
+    first = max(0, math.floor(math.log2(max(len(found), 1))) - 1)
+    at_all = [t for t in found if any(cell(t, w, first) < imatch.CELLS for w in (0, 1))]
+    kept = [t for t in at_all if t in band]
+    mark = 0 if kept else imatch.UNBANDED
+    out = []
+    for at in range(first, first + imatch.SCALES):
+        for w in (0, 1):
+            for c in range(imatch.CELLS):
+                mine = sorted(signed(t) for t in kept or at_all if cell(t, w, at) == c)
+                h = 0
+                for t in mine:
+                    h = xx(eight(t), xx(eight(h)))
+                if mine:
+                    out.append((at + mark) << 24 | (c + w * imatch.CELLS) << 16 | h & 65535)
     return out
 
 
 def likeness(a, b):
     if a == b:
         return 1.0
-    w = 16 * imatch.LANES
-    step = int(b[:2], 16) - int(a[:2], 16)
-    x, y = {0: (a[2:], b[2:]), 1: (a[2 + w :], b[2 : 2 + w]), -1: (a[2 : 2 + w], b[2 + w :])}.get(step, ("", ""))
-    pairs = [(x[i : i + 4], y[i : i + 4]) for i in range(0, len(x), 4)]
-    pairs = [p for p in pairs if p != ("0000", "0000")]
-    return sum(p == q for p, q in pairs) / len(pairs) if pairs else 0.0
+    if not a or not b:
+        return 0.0
+    low, high = max(min(a), min(b)) >> 24, min(max(a), max(b)) >> 24
+    subsets = {e >> 16 for e in a + b if low <= e >> 24 <= high}
+    return len(set(a) & set(b)) / len(subsets) if subsets else 0.0
 
 
 def brute(rows):
@@ -56,8 +69,9 @@ def brute(rows):
         after = rows[(i + 1) % len(rows)][1]
         m = len(text) // 3
         edited = text[: len(text) - m] + after[:m]
-        a, b, c = (fingerprint(t, band) for t in (text, edited, after))
-        out.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, round(likeness(a, b), 9), round(likeness(a, c), 9)))
+        a, b, c = (entries(t, band) for t in (text, edited, after))
+        shown = ["".join("%08x" % e for e in x) for x in (a, b)]
+        out.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), *shown, round(likeness(a, b), 9), round(likeness(a, c), 9)))
     return sorted(out, key=str)
 
 
@@ -96,11 +110,18 @@ def test_query_on_whole_table(spark):
     assert (found.near_edited > found.near_next).mean() > 0.9
 
 
-def test_texts_without_a_term_in_the_band_are_not_alike(spark):
+def test_texts_without_a_term_in_the_band_are_told_apart(spark):
     rare = [" ".join("r%d_%d" % (d, i) for i in range(60)) for d in range(2)]  # each term in one text only
-    rows = [(0, rare[0]), (1, rare[1]), (2, rare[1]), (3, None)] + [(10 + i, "u%d v%d" % (i, i)) for i in range(4)]
-    got = {r.doc_id: r for r in imatch.compare(spark.createDataFrame(rows[:2] + rows[3:], "doc_id long, text string")).collect()}
-    assert got[1].near_next == 0.0 and got[1].near_edited == 0.0
-    usual = [" ".join("z%d" % ((i + j) % 60) for i in range(60)) for j in (0, 0, 7, 9)]  # in too many texts
+    rows = [(0, rare[0]), (1, rare[1]), (3, None)] + [(10 + i, "u%d v%d" % (i, i)) for i in range(4)]
+    got = {r.doc_id: r for r in imatch.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next == 0.0 and 0.0 < got[1].near_edited < 1.0
+    usual = [" ".join("z%d" % ((i + j) % 60) for i in range(40)) for j in (0, 0, 30, 9)]  # in too many texts
     got = {r.doc_id: r for r in imatch.compare(spark.createDataFrame(list(enumerate(usual)), "doc_id long, text string")).collect()}
-    assert got[1].near_next == 1.0 and got[3].near_next == 0.0
+    assert got[1].near_next == 1.0 and got[3].near_next < 0.7
+
+
+def test_very_long_texts_share_what_they_share(spark):
+    words = ["l%d" % i for i in range(60_000)]
+    rows = [(0, " ".join(words[:50_000])), (1, " ".join(words[2000:52_000]))] + [(2 + i, "l%d" % i) for i in range(3)]
+    got = {r.doc_id: r for r in imatch.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next > 0.6 and len(got[0].fingerprint) <= 8 * imatch.SCALES * 2 * imatch.CELLS
