@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,13 +26,10 @@ def has_content(text: Column) -> Column:
     return F.coalesce(F.length(strip(F.regexp_replace(text, r"\p{C}", ""))) > 0, F.lit(False))
 
 
-def is_template(text: Column, markers: tuple[str, ...] = ("---{", "~ ratings ~")) -> Column:
-    """Checklist reviews: a marker, or at least three ballot boxes."""
+def is_template(text: Column, marker: str = "---{") -> Column:
+    """Checklist reviews: the marker, or at least three ballot boxes."""
     boxes = F.length(text) - F.length(F.translate(text, "☐☑☒", ""))
-    hit = boxes >= 3
-    for m in markers:
-        hit = hit | F.contains(F.lower(text), F.lit(m))
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce((boxes >= 3) | F.contains(text, F.lit(marker)), F.lit(False))
 
 
 def _match_key(label: str) -> str:
@@ -59,30 +58,217 @@ def numerals(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({NUMERAL})"), 1)
 
 
+def quoted_words(inner: Column) -> Column:
+    """What a quotation says: without white space at its ends and without the closing punctuation."""
+    return strip(F.regexp_replace(strip(inner), r"[.,!?;:…]+$", ""))
+
+
 def quoted_parts(text: Column) -> Column:
     """What stands between pairs of double quotes, curly ones included; an unpaired last mark opens nothing."""
-    parts = F.split(plain_quotes(text), '"')
+    parts = F.split(plain_quotes(text), '"', -1)
     inner = F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: (x["i"] % 2 == 1) & (x["i"] < F.size(parts) - 1))
-    return F.transform(inner, lambda x: F.regexp_replace(x["p"], r"[.,;:!?]+$", ""))
+    return F.transform(inner, lambda x: quoted_words(x["p"]))
+
+
+def prose_spans(text: str) -> list[tuple[int, int, str, str]]:
+    """Start, end, text and kind: paired quotations with their marks, numerals outside of them, and a last mark without pair."""
+    marks = [i for i, c in enumerate(text) if c == '"']
+    pairs = list(zip(marks[0::2], marks[1::2], strict=False))
+    found = [(a, z + 1, text[a : z + 1], "quote") for a, z in pairs]
+    if len(marks) % 2:
+        found.append((marks[-1], marks[-1] + 1, '"', "unpaired"))
+    edges = marks[: 2 * len(pairs)]
+    for match in re.finditer(NUMERAL, text):
+        if bisect_left(edges, match.start()) % 2 == 0:  # a numeral never begins at a mark
+            found.append((match.start(), match.end(), match[0], "numeral"))
+    return sorted(found)
+
+
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("span", T.StringType()), T.StructField("kind", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(SPAN))
+def spans(texts: pd.Series) -> pd.Series:
+    """prose_spans of texts whose quotes are plain."""
+    return texts.map(prose_spans, na_action="ignore")
+
+
+_SENTENCE_END = re.compile(r"""[.!?]+(?:"(?=\s+[^\sa-z]|\s*$)|(?=\s|$))""")
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Start and end of each sentence, the white space after it included. Nothing inside a quotation ends one."""
+    marks = [i for i, c in enumerate(text) if c == '"']
+    marks = marks[: len(marks) // 2 * 2]
+    ends = [0]
+    for match in _SENTENCE_END.finditer(text):
+        at = match.end()
+        before = bisect_left(marks, at)
+        if before % 2 or (before < len(marks) and marks[before] == at):
+            continue
+        ends.append(at + len(text[at:]) - len(text[at:].lstrip()))
+    if ends[-1] < len(text):
+        ends.append(len(text))
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
+@F.pandas_udf(T.StringType())
+def without_sentences(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the sentences that a span (start, end) touches."""
+    def cut(text, hits):
+        if text is None:
+            return None
+        hits = [(h["start"], h["end"]) for h in (hits if hits is not None else [])]
+        return "".join(text[a:b] for a, b in sentences(text) if not any(x < b and y > a for x, y in hits)).strip()
+
+    return pd.Series([cut(t, h) for t, h in zip(texts, spans, strict=True)])
+
+
+def _ascii(name: str) -> str:
+    return unicodedata.normalize("NFKD", name.replace("™", "").replace("℠", "")).encode("ascii", "ignore").decode()
+
+
+@F.pandas_udf(T.StringType())
+def ascii_fold(names: pd.Series) -> pd.Series:
+    """Base letters of accented ones; trade marks and all that has no ASCII form go."""
+    return names.map(_ascii, na_action="ignore")
 
 
 def slug(text: Column, most: int = 80) -> Column:
     """Lower-case ASCII words joined by hyphens."""
-    low = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-")
+    low = F.regexp_replace(F.lower(ascii_fold(text)), r"[^a-z0-9]+", "-")
     return F.regexp_replace(F.substring(F.regexp_replace(low, r"^-+|-+$", ""), 1, most), r"-+$", "")
 
 
+def report_path(app_id: Column, name: Column) -> Column:
+    word = slug(name)
+    return F.concat(F.lit("/reports/"), app_id.cast("string"), F.when(word != "", F.concat(F.lit("/"), word)).otherwise(""))
+
+
+def _plain_name(name: str) -> str:
+    name = unicodedata.normalize("NFKD", re.sub("[™®©℠]", "", name).casefold())
+    kept = "".join(c if c.isalnum() else " " for c in name if not unicodedata.combining(c))
+    return " ".join(kept.split())
+
+
+@F.pandas_udf(T.StringType())
+def plain_name(names: pd.Series) -> pd.Series:
+    """A name's letters and digits alone: case, accents, trade marks and punctuation folded."""
+    return names.map(_plain_name, na_action="ignore")
+
+
+def _roman(token: Column) -> Column:
+    """Value of a numeral of i, v and x, smaller ones before larger ones taken away."""
+    letters = F.reverse(F.split(token, ""))
+    worth = lambda c: F.when(c == "i", 1).when(c == "v", 5).when(c == "x", 10).otherwise(0)
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top"))
+    step = lambda acc, c: F.struct(F.when(worth(c) < acc["top"], acc["sum"] - worth(c)).otherwise(acc["sum"] + worth(c)).alias("sum"), F.greatest(acc["top"], worth(c)).alias("top"))
+    return F.aggregate(letters, start, step, lambda acc: acc["sum"])
+
+
+def numeral_signature(plain: Column) -> Column:
+    """The numbers in a plain name, digits and short roman numerals alike, in order."""
+    tokens = F.filter(F.split(plain, " "), lambda t: t.rlike("^([0-9]+|[ivx]+)$"))
+    return F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), t.cast("long")).otherwise(_roman(t).cast("long")))
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matching-block likeness of two strings, 0 to 1."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def same_name(wanted: Column, found: Column, least: float = 0.85) -> Column:
+    """no-data, ok or mismatch of plain names: numbers must agree, then the likeness must reach ``least``, or the wanted name
+    of two words or more must be how the found one begins."""
+    likeness, begins = sequence_ratio(wanted, found), F.slice(F.split(found, " "), 1, F.size(F.split(wanted, " "))) == F.split(wanted, " ")
+    numbers = numeral_signature(wanted) == numeral_signature(found)
+    fits = numbers & ((likeness >= least) | ((F.size(F.split(wanted, " ")) >= 2) & begins))
+    return F.when(found.isNull(), "no-data").when(fits, "ok").otherwise("mismatch")
+
+
+def display_name(aspect: Column) -> Column:
+    return F.replace(aspect, F.lit("_"), F.lit(" "))
+
+
+def spaced_keys(text: Column, keys: Column) -> Column:
+    """Text in which keys with underscores, whole words alone, are written with spaces; the longest first."""
+    long_first = F.array_sort(F.filter(keys, lambda k: F.contains(k, F.lit("_"))), lambda a, b: F.length(b) - F.length(a))
+    return F.aggregate(long_first, text, lambda t, k: F.regexp_replace(t, F.concat(F.lit(r"\b"), k, F.lit(r"\b")), display_name(k)))
+
+
+def containing_sentence(span: Column, text: Column, cap: int = 300) -> Column:
+    """The span with the rest of its sentence, which .!?… and line feeds bound; past the cap a window of whole words."""
+    at = F.instr(text, span)
+    before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(span), F.length(text))
+    lead, tail = F.regexp_extract(before, r"([^.!?…\n]*)$", 1), F.regexp_extract(after, r"^([^.!?…\n]*[.!?…]?)", 1)
+    lead, tail = F.regexp_replace(lead, r"^[\s\p{Z}]+", ""), F.regexp_replace(tail, r"[\s\p{Z}]+$", "")
+    whole = strip(F.concat(lead, span, tail))
+    margin = F.floor((F.lit(cap) - F.length(span)) / 2).cast("int")
+    left = F.right(lead, margin)
+    left = F.when(F.contains(left, F.lit(" ")), F.regexp_replace(left, r"^[^ ]* ", "")).otherwise(left)
+    right = F.left(tail, margin)
+    right = F.when(F.contains(right, F.lit(" ")), F.regexp_replace(right, r" [^ ]*$", "")).otherwise(right)
+    left = F.when(F.length(lead) > margin, F.concat(F.lit("… "), left)).otherwise(lead)
+    right = F.when(F.length(tail) > margin, F.concat(right, F.lit(" …"))).otherwise(tail)
+    window = F.when(margin <= 0, span).otherwise(F.concat(left, span, right))
+    return F.when(text.isNull() | (at == 0), span).when(F.length(whole) > cap, window).otherwise(whole)
+
+
+def breached(output: Column, beacon: Column) -> Column:
+    """Does an output hold a canary's beacon, in any case."""
+    return F.contains(F.lower(output), F.lower(beacon))
+
+
+def highlighted(text: Column, part: Column, mark: str = "**") -> Column:
+    """Text with the first occurrence of a part between marks."""
+    at = F.instr(text, part)
+    shown = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(mark), part, F.lit(mark), F.substring(text, at + F.length(part), F.length(text)))
+    return F.when(at > 0, shown).otherwise(text)
+
+
+def backtick_names(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("`([^`]+)`"), 1)
+
+
+def is_snake_case(label: Column) -> Column:
+    return label.rlike("^[a-z][a-z0-9_]*$")
+
+
+def fence_for(text: Column) -> Column:
+    """Backticks, three at least, and more than any run of them in the text."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit("(`+)"), 1), lambda r: F.length(r))
+    return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
+
+
+def visitor(header: Column, peer: Column) -> Column:
+    """The last entry of a forwarding header, which the own proxy has written; without one the peer."""
+    last = F.trim(F.element_at(F.split(header, ","), -1))
+    return F.coalesce(F.when(last != "", last), peer)
+
+
 def seed64(text: Column) -> Column:
     """The first eight bytes of a text's sha256 as an unsigned number."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def matches_numeral(value: Column, token: Column) -> Column:
-    """Does a value, rounded half up at the token's own number of decimals (0 to 4), equal the token."""
+#: Decimals at which a value can be told from its rounding: doubles have no more than 17 digits.
+PLACES = 18
+
+
+def numeral_value(token: Column) -> tuple[Column, Column]:
+    """A numeral's own number of decimals and its value; a value of more decimals than PLACES (zeros at the end aside) is
+    null, and so is one that is too large to be told from others."""
     bare = F.replace(token, F.lit(","), F.lit(""))
     places = F.length(F.regexp_extract(bare, r"\.(\d+)$", 1))
-    exact, number = value.cast("string").cast("decimal(30,10)"), bare.cast("decimal(30,10)")
-    hit = F.lit(False)
-    for p in range(5):
-        hit = F.when(places == p, F.round(exact, p) == number).otherwise(hit)
-    return hit
+    short = F.when(places > PLACES, F.regexp_replace(bare, r"0+$", "")).otherwise(bare)
+    fits = F.length(F.regexp_extract(short, r"\.(\d+)$", 1)) <= PLACES
+    return F.least(places, F.lit(PLACES)), F.when(fits, short.try_cast("decimal(38,18)"))
+
+
+def roundings(values: DataFrame, by: str) -> DataFrame:
+    """by, value -> by, places, number, value: the least value that rounds, half up, to a number at a number of decimals."""
+    exact = F.col("value").cast("string").try_cast("decimal(38,18)")
+    every = F.array(*(F.struct(F.lit(p).alias("places"), F.round(exact, p).cast("decimal(38,18)").alias("number")) for p in range(PLACES + 1)))
+    rows = values.select(by, "value", F.inline(every)).filter("number IS NOT NULL")
+    return rows.groupBy(by, "places", "number").agg(F.min("value").alias("value"))

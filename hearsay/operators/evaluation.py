@@ -60,3 +60,11 @@ def bootstrap(pairs: DataFrame, resamples: int = 200, seed: str = "b") -> DataFr
     sums = each.withColumn("w", weight).groupBy("resample").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
     f1 = 2 * F.col("tp") / F.nullif((2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"), F.lit(0.0))
     return sums.select("resample", f1.alias("f1")).agg(F.count("f1").alias("n"), F.percentile("f1", 0.025).alias("low"), F.percentile("f1", 0.975).alias("high"))
+
+
+def evidence_violations(mentions: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Per key of mentions (review_id, evidence): evidence that is no part of its review's text (review_id, text), or whose
+    review has none."""
+    found = mentions.join(texts.select("review_id", "text"), "review_id", "left")
+    bad = F.coalesce(~F.contains("text", F.col("evidence")), F.lit(True))
+    return found.groupBy(key).agg(F.count("*").alias("n"), F.count_if(bad).alias("violations"))

@@ -8,22 +8,75 @@ from pyspark.sql import functions as F
 from hearsay.functions import text as tx
 
 
+def whitelist(aggregates: DataFrame) -> DataFrame:
+    """app_id, value: all that prose about an app may state. Of each pinned aspect its reviews, their share of the sample in
+    percent, each sentiment's count and its percentage of both; and the sample's size. Candidates give nothing."""
+    n, size = F.col("n_reviews").cast("double"), F.col("sample_size").cast("double")
+    percent = lambda x, of: x / F.nullif(of, F.lit(0.0)) * 100
+    counts = [F.col(f"n_{s}").cast("double") for s in ("positive", "negative", "mixed", "neutral")]
+    values = [n, percent(n, size), *counts, *(percent(c, n) for c in counts), *(percent(c, size) for c in counts)]
+    own = aggregates.filter("slot = 'pinned'").select("app_id", F.explode(F.array_compact(F.array(*values))).alias("value"))
+    return own.unionByName(aggregates.select("app_id", size.alias("value"))).distinct()
+
+
 def ungrounded_numbers(prose: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
     """Numerals of prose (key, by, text) that no value of facts (by, value) rounds to: key, token, n.
 
-    Facts are first reduced to distinct values; a token meets the values of its own group only.
+    Numerals inside quotations are left out. Distinct values are rounded to each number of decimals once, so a token meets
+    them by an equal join.
+    """
+    tokens = spans_of(prose, key, by).filter("kind = 'numeral'").groupBy(key, by, "span").agg(F.count("*").alias("n"))
+    places, number = tx.numeral_value(F.col("span"))
+    known = tx.roundings(facts.select(F.col(by), "value").distinct(), by)
+    return tokens.withColumn("places", places).withColumn("number", number).join(known, [by, "places", "number"], "left_anti").select(key, F.col("span").alias("token"), "n")
+
+
+def spans_of(prose: DataFrame, key: str, by: str) -> DataFrame:
+    """Quotations, numerals outside of them and unpaired marks of prose (key, by, text): key, by, start, end, span, kind."""
+    rows = prose.select(key, by, tx.spans(tx.plain_quotes(F.col("text"))).alias("all"))
+    return rows.select(key, by, F.explode("all").alias("x")).select(key, by, "x.*")
+
+
+def grounded(prose: DataFrame, facts: DataFrame, evidence: DataFrame, key: str, by: str) -> DataFrame:
+    """Every numeral and quotation of prose (key, by, text): key, start, end, span, kind, value, review_id, reason.
+
+    Certified spans have no reason: numerals the least value of facts (by, value) that rounds to them at their own decimals,
+    quotations the least review_id of evidence (by, review_id, text) whose text has their words. The rest are violations.
     """
-    tokens = prose.select(key, by, F.explode(tx.numerals(F.col("text"))).alias("token")).groupBy(key, by, "token").agg(F.count("*").alias("n"))
-    values = facts.select(F.col(by).alias("_by"), "value").distinct()
-    backed = tokens.join(values, (F.col(by) == F.col("_by")) & tx.matches_numeral(F.col("value"), F.col("token")), "left_anti")
-    return backed.select(key, "token", "n")
+    places, number = tx.numeral_value(F.col("span"))
+    words = tx.quoted_words(F.substring("span", F.lit(2), F.length("span") - 2))
+    numeral, quote = F.col("kind") == "numeral", F.col("kind") == "quote"
+    spans = spans_of(prose, key, by).select("*", F.when(numeral, places).alias("places"), F.when(numeral, number).alias("number"), F.when(quote, words).alias("words"))
+    known = tx.roundings(facts.select(by, "value").distinct(), by)
+    # a pool's texts are reduced to distinct ones before the words of its quotations are looked for in them
+    pool = evidence.groupBy(F.col(by), F.col("text").alias("source")).agg(F.min("review_id").alias("review_id"))
+    asked = spans.filter("words <> ''").select(by, "words").distinct()
+    found = asked.join(pool, by).filter(F.contains("source", F.col("words"))).groupBy(by, "words").agg(F.min("review_id").alias("review_id"))
+    reason = (
+        F.when(F.col("kind") == "unpaired", "unpaired quotation mark")
+        .when(numeral & F.col("value").isNull(), "matches no value at its own precision")
+        .when(quote & (F.col("words") == ""), "empty quotation")
+        .when(quote & F.col("review_id").isNull(), "not a part of the evidence")
+    )
+    rows = spans.join(known, [by, "places", "number"], "left").join(found, [by, "words"], "left")
+    return rows.select(key, "start", "end", "span", F.when(numeral, "numeral").otherwise("quote").alias("kind"), "value", "review_id", reason.alias("reason"))
+
+
+def cut_violations(prose: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """prose (key, text) with cut: the text without the sentences that a violation of spans touches."""
+    hits = spans.filter("reason IS NOT NULL").groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("hits"))
+    return prose.join(hits, key, "left").withColumn("cut", tx.without_sentences(F.col("text"), F.col("hits"))).drop("hits")
 
 
-def quotes_not_in(prose: DataFrame, sources: DataFrame, key: str, by: str) -> DataFrame:
-    """Quotations of prose that no source text (by, source) of the same group holds word for word."""
-    quotes = prose.select(key, by, F.explode(tx.quoted_parts(F.col("text"))).alias("quote")).filter(F.length("quote") > 0).distinct()
-    s = sources.select(F.col(by).alias("_by"), tx.plain_quotes(F.col("source")).alias("source"))
-    return quotes.join(s, (F.col(by) == F.col("_by")) & F.contains("source", F.col("quote")), "left_anti").select(key, "quote")
+def segments(prose: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """Prose cut along its certified spans: key, place, segment, kind (null for plain text)."""
+    own = spans.filter("reason IS NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s"))
+    rows = prose.join(own, key, "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start:int,end:int,kind:string>>")))
+    end = F.array(F.struct(F.length("text").alias("start"), F.length("text").alias("end"), F.lit(None).cast("string").alias("kind")))
+    before = lambda i: F.when(i > 0, F.get(F.col("s"), i - 1)["end"]).otherwise(0)
+    piece = lambda a, b, kind: F.struct(F.substring("text", a + 1, b - a).alias("segment"), kind.alias("kind"))
+    pieces = F.flatten(F.transform(F.concat("s", end), lambda x, i: F.array(piece(before(i), x["start"], F.lit(None).cast("string")), piece(x["start"], x["end"], x["kind"]))))
+    return rows.select(key, F.posexplode(F.filter(pieces, lambda p: p["segment"] != "")).alias("place", "p")).select(key, "place", "p.*")
 
 
 def collapse(mentions: DataFrame) -> DataFrame:

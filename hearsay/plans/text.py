@@ -28,13 +28,6 @@ def quotes(spark, sf_dir):
     return b.select("item_id", F.posexplode(tx.quoted_parts(F.col("text"))).alias("place", "quote"))
 
 
-def ungrounded(spark, sf_dir):
-    """Numbers in documents that no part's retail price, per language group, rounds to."""
-    d = views.table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("g"), "text")
-    v = views.table(spark, sf_dir, "part").select(F.lit(1).alias("g"), F.col("p_size").cast("double").alias("value"))
-    return grounding.ungrounded_numbers(d, v, "doc_id", "g")
-
-
 def collapsed(spark, sf_dir):
     return grounding.collapse(views.mentions(spark, sf_dir))
 
@@ -55,7 +48,12 @@ def pins(spark, sf_dir):
 
 
 def slugs(spark, sf_dir):
-    return views.table(spark, sf_dir, "customer").select("c_custkey", tx.slug(F.concat("c_name", F.lit(" -- "), "c_mktsegment", F.lit("!"))).alias("slug"))
+    """Paths of reports on customers, whose names get accents, marks and punctuation here; distinct names are folded once."""
+    accents = F.translate("c_mktsegment", "AEIOU", "ÁÈÎÖÜ")
+    name = F.when(F.col("c_custkey") % 9 == 4, F.lit("東方!")).otherwise(F.concat("c_name", F.lit(" -- "), accents, F.lit("™ ® "), F.repeat(F.lit("long-"), (F.col("c_custkey") % 20).cast("int"))))
+    c = views.table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"))
+    named = c.select("name").distinct().withColumn("slug", tx.slug(F.col("name")))
+    return c.join(named, "name").select("c_custkey", "slug", tx.report_path(F.col("c_custkey"), F.col("name")).alias("path"))
 
 
 def replies(spark, sf_dir):
@@ -73,18 +71,29 @@ def attribution(spark, sf_dir):
     return grounding.attributed(replies(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-TOKEN = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
+TOKEN = tx.NUMERAL
 QUERIES = {
-    "usable_corpus": usable, "numeral_tokens": numerals, "quoted_parts": quotes, "ungrounded_numbers": ungrounded, "collapse_repeats": collapsed,
+    "usable_corpus": usable, "numeral_tokens": numerals, "quoted_parts": quotes, "collapse_repeats": collapsed,
     "match_keys": folded_labels, "text_pins": pins, "slugs": slugs, "reply_attribution": attribution,
 }
 ORACLE = {
     "numeral_tokens": f"WITH t AS (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY 1",
-    "quoted_parts": """SELECT item_id, CAST(p AS INT) AS place, q AS quote FROM (SELECT item_id, unnest([0, 1]) AS p, unnest([regexp_replace(text || ',', '[.,;:!?]+$', ''), 'no']) AS q FROM benchmark)""",
-    "ungrounded_numbers": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY 1, 2)
-        SELECT doc_id, token, n FROM c WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size = CAST(replace(token, ',', '') AS DECIMAL(30, 10)))""",
+    "quoted_parts": r"""WITH b AS (SELECT item_id, replace(replace('He said "' || text || '," then “no.” and "', '“', '"'), '”', '"') AS t FROM benchmark), s AS (SELECT item_id, string_split(t, '"') AS parts FROM b),
+        x AS (SELECT item_id, unnest(range(len(parts) // 2)) AS place, parts FROM s)
+        SELECT item_id, place::INT AS place, regexp_replace(regexp_replace(trim(parts[2 * place + 2], E' \t\n'), '[.,!?;:…]+$', ''), '\s+$', '') AS quote FROM x WHERE 2 * place + 2 < len(parts)""",
     "collapse_repeats": f"""WITH {MENTIONS_SQL} SELECT review_id, aspect, min(struct_pack(p := position, s := slot)).s AS slot, CASE WHEN count(DISTINCT sentiment) = 1 THEN min(sentiment) ELSE 'mixed' END AS sentiment,
         (min(struct_pack(p := position, e := evidence)) FILTER (evidence IS NOT NULL)).e AS evidence, count(*) AS n FROM mentions GROUP BY 1, 2""",
-    "match_keys": "SELECT DISTINCT p_name AS key, 4 AS n, 4 AS n_forms FROM part",
-    "slugs": """SELECT c_custkey, trim(regexp_replace(lower(c_name || ' -- ' || c_mktsegment || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer""",
+    "match_keys": r"""WITH f AS (SELECT unnest([upper(p_name), replace(p_name, ' ', '_'), ' ' || list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') || '  ', replace(p_name, ' ', '-')]) AS label FROM (SELECT DISTINCT p_name FROM part))
+        SELECT trim(regexp_replace(regexp_replace(lower(label), '[_-]+', ' ', 'g'), '\s+', ' ', 'g')) AS key, count(*) AS n, count(DISTINCT label) AS n_forms FROM f GROUP BY 1""",
+    "slugs": r"""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 4 THEN '東方!' ELSE c_name || ' -- ' || translate(c_mktsegment, 'AEIOU', 'ÁÈÎÖÜ') || '™ ® ' || repeat('long-', c_custkey % 20) END AS name FROM customer),
+        w AS (SELECT c_custkey, rtrim(left(trim(regexp_replace(lower(strip_accents(replace(name, '™', ''))), '[^a-z0-9]+', '-', 'g'), '-'), 80), '-') AS slug FROM c)
+        SELECT c_custkey, slug, '/reports/' || c_custkey || CASE WHEN slug <> '' THEN '/' || slug ELSE '' END AS path FROM w""",
+    "usable_corpus": r"""WITH d AS (SELECT lang, coalesce(length(regexp_replace(regexp_replace(text, '\p{C}', '', 'g'), '[\s\p{Z}]', '', 'g')) > 0, false) AS c FROM documents)
+        SELECT lang, count(*) AS total, count(*) FILTER (lang <> 'en') AS other_language, count(*) FILTER (lang = 'en' AND NOT c) AS empty, count(*) FILTER (lang = 'en' AND c) AS usable FROM d GROUP BY 1""",
+    "text_pins": """WITH p AS (SELECT CASE WHEN doc_id % 17 = 5 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 13 = 4 THEN text || ' ' ELSE text END AS was FROM documents WHERE doc_id % 11 <> 3)
+        SELECT CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN sha256(d.text) IS NOT DISTINCT FROM sha256(was) THEN 'matching' ELSE 'drifted' END AS outcome, count(*) AS n FROM p LEFT JOIN documents d USING (doc_id) GROUP BY 1""",
+    "reply_attribution": f"""WITH {MENTIONS_SQL}, r AS (SELECT DISTINCT CAST(review_id AS BIGINT) AS r FROM mentions WHERE CAST(review_id AS BIGINT) % 23 <> 5), e AS (SELECT r, r // 10 AS batch, unnest(range(CASE WHEN r % 29 = 6 THEN 2 ELSE 1 END)) AS copy FROM r),
+        i AS (SELECT batch, CASE WHEN r % 17 = 3 THEN NULL WHEN r % 19 = 4 THEN 99 ELSE r % 10 END AS idx FROM e), o AS (SELECT batch, idx, CASE WHEN idx IS NULL THEN 'bad idx' WHEN idx >= 10 THEN 'out of range' WHEN count(*) OVER (PARTITION BY batch, idx) > 1 THEN 'duplicate' ELSE 'ok' END AS outcome FROM i),
+        m AS (SELECT b.batch, n.idx, 'missing' AS outcome FROM (SELECT DISTINCT batch FROM i) b CROSS JOIN range(10) n(idx) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.batch = b.batch AND o.idx = n.idx AND outcome IN ('ok', 'duplicate')))
+        SELECT outcome, count(*) AS n FROM (SELECT outcome FROM o UNION ALL SELECT outcome FROM m) GROUP BY 1""",
 }

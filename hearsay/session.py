@@ -22,5 +22,6 @@ def local_session(app: str = "hearsay", cpus: int | str = "*", shuffle_partition
         builder.config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
