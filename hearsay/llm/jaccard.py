@@ -11,9 +11,9 @@ A tree of all sets would be searched in vain nearly everywhere, so sets first me
 
 1. documents of equal sets are one class; whatever follows is about classes;
 2. a class shows the prefix of its set (in one order for all: frequent shingles last) of which every linked class must
-   have at least a sixteenth of its size; shingles that no other class shows are dropped, then classes with too few left;
-3. at each shingle, classes are compared with the first and the last class there: by the bound on their points, then
-   exactly. That gives one link to a class and shingle at most, and joins nearly all near copies;
+   have a number in proportion to its size; shingles that no other class shows are dropped, then classes with too few left;
+3. each class is compared with the centres of its shingles, that is the class of each that meets most others: with the two
+   that are centres most often. That gives two links to a class at most, and joins nearly all near copies;
 4. where the classes of a shingle are in several components still, trees are built over them, in blocks of about
    ``chunk``, and searched for all classes outside the largest component: these meet all classes there, so that no pair
    of two components is left out. Of two components the ``tries`` pairs with the widest bound are verified; where there
@@ -75,28 +75,38 @@ def set_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def points(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Group counts of each set: as many groups as a quarter to half of its size, a power of two, so that points of
-    different sizes can be folded to the fewer groups."""
-    n = np.diff(bounds)
-    groups = 1 << np.clip(np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - 1, 5, 13)
-    first = np.concatenate([[0], np.cumsum(groups)])
-    docs = np.repeat(np.arange(len(n)), n)
-    at = first[docs] + ((hashes >> np.uint64(20)).astype(np.int64) & (groups[docs] - 1))
-    counts = np.bincount(at, minlength=first[-1]).astype("<u4")
-    return [counts[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    """The group of each shingle of a set, sorted: its group counts in short."""
+    docs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    groups = ((hashes >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
+    groups = groups[np.lexsort((groups, docs))]
+    return [groups[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def fold(point: np.ndarray, groups: int) -> np.ndarray:
-    return point.reshape(-1, groups).sum(axis=0) if len(point) > groups else point
+def _occurrences(point: np.ndarray) -> np.ndarray:
+    """Group and number of each occurrence of it: what two sets have in common is the sum of coordinate minima."""
+    edge = np.flatnonzero(np.append(True, point[1:] != point[:-1])) if len(point) else np.zeros(0, np.int64)
+    number = np.arange(len(point)) - np.repeat(edge, np.diff(np.append(edge, len(point))))
+    return (point.astype(np.int64) << 32) | number
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted arrays without repeats have in common."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
 
 
 class Tree:
-    """An R-tree over points: each node has the coordinate maxima of what is under it, and its least and largest size."""
+    """An R-tree over points: each node has the coordinate maxima of what is under it, and its least and largest size.
 
-    def __init__(self, found: list[np.ndarray], sizes: np.ndarray, threshold: Fraction, fan: int = 16):
+    The tree has few groups; a point that it lets pass is bounded once more by all of them.
+    """
+
+    def __init__(self, found: list[np.ndarray], threshold: Fraction, fan: int = 16):
         self.num, self.den, self.fan = threshold.numerator, threshold.denominator, fan
-        self.groups = min(map(len, found))
-        counts = np.stack([fold(p, self.groups) for p in found]).astype(np.int32)
+        sizes = np.array([len(p) for p in found], np.int64)
+        self.groups = 1 << int(np.clip(np.floor(np.log2(max(1.0, float(np.median(sizes))))) - 1, 5, 12))
+        self.fine = [_occurrences(p) for p in found]
+        counts = np.stack([self.coarse(p) for p in found]).astype(np.int32)
         widest = np.argsort(-counts.var(axis=0))[:24]
         bits = counts[:, widest] > np.median(counts[:, widest], axis=0)  # like points are alike in these
         self.order = np.lexsort((sizes, *bits.T[::-1]))
@@ -107,24 +117,26 @@ class Tree:
             most, low, high = np.maximum.reduceat(most, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
             self.levels.append((most, low, high))
 
-    def search(self, point: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which points can be linked with a set of n shingles, and by how much their bound is more than is needed."""
-        mine = fold(point, self.groups).astype(np.int64)
-        base = mine.reshape(-1, self.groups).sum(axis=0)
+    def coarse(self, point: np.ndarray) -> np.ndarray:
+        return np.bincount(point & np.uint16(self.groups - 1), minlength=self.groups)
+
+    def search(self, point: np.ndarray) -> np.ndarray:
+        """Points that the tree lets pass."""
+        mine, n = self.coarse(point), len(point)
         nodes = np.arange(len(self.levels[-1][0]))
-        spare = np.zeros(0, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             most, low, high = self.levels[depth]
             nodes = nodes[(low[nodes] * self.num <= n * self.den) & (high[nodes] * self.den >= n * self.num)]
-            groups = min(self.groups, len(base))
-            rows = most[nodes] if groups == self.groups else most[nodes].reshape(len(nodes), -1, groups).sum(axis=1)
-            overlap = np.minimum(rows, base[:groups]).sum(axis=1)
-            spare = overlap * (self.num + self.den) - self.num * (n + low[nodes])
-            nodes, spare = nodes[spare >= 0], spare[spare >= 0]
+            overlap = np.minimum(most[nodes], mine).sum(axis=1)
+            nodes = nodes[overlap * (self.num + self.den) >= self.num * (n + low[nodes])]
             if depth:
                 nodes = (nodes[:, None] * self.fan + np.arange(self.fan)).ravel()
                 nodes = nodes[nodes < len(self.levels[depth - 1][0])]
-        return self.order[nodes], spare
+        return self.order[nodes]
+
+    def spare(self, fine: np.ndarray, j: int) -> int:
+        """By how much the bound of a set (its occurrences) and point j is more than a link needs."""
+        return _common(fine, self.fine[j]) * (self.num + self.den) - self.num * (len(fine) + len(self.fine[j]))
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
@@ -133,8 +145,7 @@ def _overlaps(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
     num, den = threshold.numerator, threshold.denominator
     if not len(small) or len(small) * den < len(large) * num:
         return False
-    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-    return int((large[at] == small).sum()) * (num + den) >= num * (len(a) + len(b))
+    return _common(small, large) * (num + den) >= num * (len(a) + len(b))
 
 
 def _sizes(docs: DataFrame, size: int) -> DataFrame:
@@ -213,9 +224,13 @@ def common(n):
     return np.maximum(1, n // 16)
 
 
+def _enough(threshold: Fraction, n: Column) -> Column:
+    """Shown shingles that a set of n has in common with any it is linked with, the smallest of which has threshold * n."""
+    return F.greatest(F.lit(1), F.floor(n * threshold.numerator / (16 * threshold.denominator)))
+
+
 def _fits(threshold: Fraction, a: str = "na", b: str = "nb") -> Column:
-    num, den = threshold.numerator, threshold.denominator
-    return (F.greatest(a, b) * num <= F.least(a, b) * den)
+    return F.greatest(a, b) * threshold.numerator <= F.least(a, b) * threshold.denominator
 
 
 def _held(keyed: DataFrame, sizes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -237,26 +252,6 @@ def _held(keyed: DataFrame, sizes: DataFrame, ids: DataFrame, size: int) -> Data
     return rows.mapInArrow(work, "set_id long, n int, point binary, text string")
 
 
-def _passing(pairs: DataFrame, held: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (a, b) that the bound on their points lets pass."""
-    num, den = threshold.numerator, threshold.denominator
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("pa"), batch.column("pb")
-            total = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
-            keep = []
-            for i, n in enumerate(total):
-                p, q = np.frombuffer(left[i].as_buffer(), "<u4"), np.frombuffer(right[i].as_buffer(), "<u4")
-                groups = min(len(p), len(q))
-                keep.append(int(np.minimum(fold(p, groups), fold(q, groups)).sum()) * (num + den) >= num * n)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    of = lambda x: held.select(F.col("set_id").alias(x), F.col("point").alias(f"p{x}"), F.col("n").alias(f"n{x}"))
-    rows = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "pa", "pb", "na", "nb")
-    return rows.mapInArrow(work, "a long, b long")
-
-
 def _verified(pairs: DataFrame, held: DataFrame, size: int, threshold: Fraction, rows_at_once: int = 2048) -> DataFrame:
     """Pairs (a, b) whose sets are linked. A set b that many are compared with goes to several tasks."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows_at_once).cast("int").alias("parts"))
@@ -301,24 +296,28 @@ def _searched(rows: DataFrame, held: DataFrame, threshold: Fraction, tries: int)
 
         for batch in batches:
             names = list(zip(*(batch.column(c).to_pylist() for c in ("token", "band", "block")), strict=True))
-            kinds, comps, ids, sizes = (batch.column(c).to_pylist() for c in ("kind", "comp", "set_id", "n"))
+            kinds, comps, ids = (batch.column(c).to_pylist() for c in ("kind", "comp", "set_id"))
             column = batch.column("point")
             for i, name in enumerate(names):
                 if name != current:
                     if best:
                         yield close()
                     current, index, tree = name, [], None
-                point = np.frombuffer(column[i].as_buffer(), "<u4")
+                point = np.frombuffer(column[i].as_buffer(), "<u2")
                 if kinds[i] < 2:
-                    index.append((kinds[i], comps[i], ids[i], sizes[i], point.copy()))
+                    index.append((kinds[i], comps[i], ids[i], point.copy()))
                     continue
                 if not index:
                     continue
-                tree = tree or Tree([x[4] for x in index], np.array([x[3] for x in index], np.int64), threshold)
-                for j, spare in zip(*(x.tolist() for x in tree.search(point, sizes[i])), strict=True):
-                    kind, comp, other, _, _ = index[j]
+                tree = tree or Tree([x[3] for x in index], threshold)
+                fine = _occurrences(point)
+                for j in tree.search(point).tolist():
+                    kind, comp, other, _ = index[j]
                     if comp == comps[i] or kind == 1 and other > ids[i]:  # the other is searched for, too
                         continue
+                    spare = tree.spare(fine, j)
+                    if spare < 0:
+                        continue
                     key = (min(comp, comps[i]), max(comp, comps[i]))
                     found = best.setdefault(key, [])
                     heapq.heappush(found, (spare, *sorted((other, ids[i]))))
@@ -327,7 +326,7 @@ def _searched(rows: DataFrame, held: DataFrame, threshold: Fraction, tries: int)
                         more.add(key)
         yield close()
 
-    rows = rows.join(held.select("set_id", "n", "point"), "set_id").select("token", "band", "block", "kind", "comp", "set_id", "n", "point")
+    rows = rows.join(held.select("set_id", "point"), "set_id").select("token", "band", "block", "kind", "comp", "set_id", "point")
     dealt = rows.repartition("token", "band", "block").sortWithinPartitions("token", "band", "block", "kind")
     return dealt.mapInArrow(work, "a long, b long, more boolean")
 
@@ -338,11 +337,16 @@ def _meetings(met: DataFrame, roots: DataFrame, threshold: Fraction, chunk: int)
     ratio = float(np.log(1 / float(threshold)))
     band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
     rows = met.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rows = rows.select("token", "set_id", F.coalesce("root", "set_id").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    rows = rows.select("token", "set_id", "n", F.coalesce("root", "set_id").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
+    for _ in range(2):  # a class must have enough shingles at which it meets others
+        open_ = rows.groupBy("token", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", "band")
+        rows = rows.join(open_, ["token", "band"])
+        able = rows.groupBy("set_id", "band").agg(F.count("*").alias("k"), F.min("n").alias("m")).filter(F.col("k") >= _enough(threshold, F.col("m"))).select("set_id", "band")
+        rows = shared.cut(rows.join(able, ["set_id", "band"]).select("token", "set_id", "n", "comp", "band"))
     check = [F.count("*").alias("k"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "set_id")).alias("x")]
     groups = rows.groupBy("token", "band").agg(*check, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     groups = groups.groupBy("band", "k", "s", "x").agg(F.min("token").alias("token")).select("token", "band", F.ceil(F.col("k") / chunk).cast("int").alias("blocks"))
-    rows = rows.join(groups, ["token", "band"])
+    rows = shared.cut(rows.join(groups, ["token", "band"]))
     largest = rows.groupBy("token", "band", "comp").agg(F.count("*").alias("m")).groupBy("token", "band").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
     rows = rows.join(largest, ["token", "band"]).withColumn("outside", (F.col("comp") != F.col("top")).cast("int"))
     own = F.pmod(F.xxhash64(F.lit(7), "set_id"), F.col("blocks")).cast("int")
@@ -368,16 +372,19 @@ def _links(keyed: DataFrame, sizes: DataFrame, size: int, threshold: Fraction, c
     first = shared.written(shown, "shown")
     several = first.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high").select("token")
     met = first.join(several, "token").select("token", "set_id", "n")
-    enough = met.groupBy("set_id").agg(F.count("*").alias("k"), F.min("n").alias("m")).filter(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("m") / 16))).select("set_id")
+    enough = met.groupBy("set_id").agg(F.count("*").alias("k"), F.min("n").alias("m")).filter(F.col("k") >= _enough(threshold, F.col("m"))).select("set_id")
     met = shared.written(met.join(enough, "set_id").select("token", "set_id", "n"), "met")
     held = shared.written(_held(keyed, sizes, met.select("set_id").distinct(), size), "held")
 
-    one = F.struct("set_id", "n")
-    ends = met.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.set_id <> high.set_id")
-    near = met.join(ends, "token").select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.explode(F.array("low", "high")).alias("x"))
-    near = near.select("a", "na", F.col("x.set_id").alias("b"), F.col("x.n").alias("nb")).filter(F.col("a") != F.col("b")).filter(_fits(threshold))
-    near = near.select("a", "b").distinct()
-    tested = shared.cut(_passing(near, held, threshold))
+    # the centre of a shingle is the class there that meets most others at all of its shingles
+    crowds = met.groupBy("token").agg(F.count("*").alias("crowd"))
+    weights = met.join(crowds, "token").groupBy("set_id").agg(F.sum("crowd").alias("weight"))
+    weighed = shared.cut(met.join(weights, "set_id"))
+    centres = weighed.groupBy("token").agg(F.max_by(F.struct("set_id", "n"), F.struct("weight", "set_id")).alias("c"))
+    near = weighed.join(centres, "token").select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("c.set_id").alias("b"), F.col("c.n").alias("nb"))
+    near = near.filter(F.col("a") != F.col("b")).filter(_fits(threshold)).groupBy("a", "b").agg(F.count("*").alias("k"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
+    tested = shared.cut(near.withColumn("place", place).filter("place <= 2").select("a", "b"))
     links = shared.cut(_verified(tested, held, size, threshold))
     roots = shared.cut(components.connected(links))
     while True:
@@ -396,7 +403,7 @@ def _links(keyed: DataFrame, sizes: DataFrame, size: int, threshold: Fraction, c
 
 def link(
     docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), doc_id: str = "doc_id", text: str = "text",
-    chunk: int = 1024, frequent: int = 100_000, tries: int = 16,
+    chunk: int = 1024, frequent: int = 1_000_000, tries: int = 16,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to); and the row's key, a hash
     of id and text, and its component's key (null for an empty set), which tell rows of one id, or of none, apart."""
