@@ -43,25 +43,6 @@ def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select("*", ratio(F.col("k"), F.col("n")).alias("agreement"), low.alias("low"), high.alias("high"))
 
 
-def bootstrap(pairs: DataFrame, resamples: int = 200, seed: str = "b") -> DataFrame:
-    """F1 with a percentile interval from Poisson resamples of reviews: each resample weighs a review by a seeded draw.
-
-    Weights come from a hash of review and resample, so any number of executors give the same interval; tallies are
-    one row a review, and a resample's sums are aggregates of weights times tallies.
-    """
-    tallies = pairs.groupBy("review_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    each = tallies.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("resample").cast("string"), F.lit("|"), "review_id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight, cumulative, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 8):  # the inverse of Poisson(1)'s distribution
-        cumulative += term
-        weight = F.when(u >= cumulative, k).otherwise(weight)
-        term /= k
-    sums = each.withColumn("w", weight).groupBy("resample").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
-    f1 = 2 * F.col("tp") / F.nullif((2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"), F.lit(0.0))
-    return sums.select("resample", f1.alias("f1")).agg(F.count("f1").alias("n"), F.percentile("f1", 0.025).alias("low"), F.percentile("f1", 0.975).alias("high"))
-
-
 def evidence_violations(mentions: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """Per key of mentions (review_id, evidence): evidence that is no part of its review's text (review_id, text), or whose
     review has none."""

@@ -39,10 +39,6 @@ def agreement(spark, sf_dir):
     return evaluation.agreement(strata, ["stratum"])
 
 
-def bootstrap(spark, sf_dir):
-    return evaluation.bootstrap(_pairs(spark, sf_dir), 100)
-
-
 def evidence_scan(spark, sf_dir):
     """Evidence must be a part of the text it is taken from. A review's text is its evidence here, without one piece in seven,
     so that there is something to find."""
@@ -68,7 +64,7 @@ SCORE = """sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn,
 sum(tp) / nullif(sum(tp + fn), 0)::DOUBLE AS recall, 2 * sum(tp) / nullif(sum(2 * tp + fp + fn), 0)::DOUBLE AS f1, sum(same_sentiment) / nullif(sum(tp), 0)::DOUBLE AS sentiment_accuracy"""
 
 QUERIES = {
-    "scorecard": scorecard, "per_aspect_f1": per_aspect, "sentiment_confusion": confusion, "holdout_agreement": agreement, "bootstrap_f1": bootstrap,
+    "scorecard": scorecard, "per_aspect_f1": per_aspect, "sentiment_confusion": confusion, "holdout_agreement": agreement, 
     "evidence_scan": evidence_scan, "label_rule_by_language": word_labels,
 }
 ORACLE = {
