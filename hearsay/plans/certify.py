@@ -115,7 +115,7 @@ def audit(spark, sf_dir):
 
 def audit_faults(spark, sf_dir):
     """Verdicts with lines lost, doubled, strange and about others on purpose, against their sample."""
-    v = _verdicts(spark, sf_dir)
+    v = _verdicts(spark, sf_dir).select("item", "review_id").distinct()
     r = F.col("review_id").cast("long")
     sample = v.filter(r % 101 != 5).select("item", "review_id")
     given = v.filter(r % 103 != 7).withColumn("review_id", F.when(r % 107 == 9, F.lit("0")).otherwise(F.col("review_id")))
@@ -219,7 +219,7 @@ ORACLE = {
         l AS (SELECT 'aspect_supported' AS field, a AS v FROM f UNION ALL SELECT 'sentiment_supported', s FROM f UNION ALL SELECT 'any', CASE WHEN a = 'no' OR s = 'no' THEN 'no' WHEN a IS NOT NULL AND s IS NOT NULL THEN 'yes' END FROM f),
         c AS (SELECT field, count(v) AS decided, count(*) FILTER (v = 'no') AS no, count(*) FILTER (v IS NULL) AS undecided, count(v) AS n, count(*) FILTER (v = 'no') / count(v)::DOUBLE AS a, 1.959963984540054 AS z FROM l GROUP BY 1)
         SELECT field, decided, no, undecided, a AS rate, greatest(0, {WILSON.format("-")}) AS low, least(1, {WILSON.format("+")}) AS high FROM c""",
-    "audit_faults": f"""WITH {MENTIONS_SQL}, v AS (SELECT CAST(review_id AS BIGINT) AS r, review_id || ':' || position AS item FROM mentions WHERE evidence IS NOT NULL AND slot = 'pinned'),
+    "audit_faults": f"""WITH {MENTIONS_SQL}, v AS (SELECT DISTINCT CAST(review_id AS BIGINT) AS r, review_id || ':' || position AS item FROM mentions WHERE evidence IS NOT NULL AND slot = 'pinned'),
         f AS (SELECT CASE WHEN r % 103 = 7 THEN CASE WHEN r % 101 <> 5 THEN 'missing' END WHEN r % 101 = 5 THEN 'strange' WHEN CASE WHEN r % 107 = 9 THEN 0 ELSE r END % 109 = 11 THEN 'twice' WHEN r % 107 = 9 THEN 'another review' END AS fault FROM v) SELECT fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY 1""",
     "run_comparison": f"""{FOUR}, a AS (SELECT 'f1/' || stratum AS metric, round({F1}, 9) AS v FROM t7 GROUP BY stratum), b AS (SELECT 'f1/' || stratum AS metric, round({F1}, 9) AS v FROM t6 GROUP BY stratum)
         SELECT metric, 'first' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT metric, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
