@@ -14,9 +14,9 @@ A tree of all sets would be searched in vain nearly everywhere, so sets first me
    have a number in proportion to its size; shingles that no other class shows are dropped, then classes with too few left;
 3. each class is compared with the centres of its shingles, that is the class of each that meets most others: with the two
    that are centres most often. That gives two links to a class at most, and joins nearly all near copies;
-4. where the classes of a shingle are in several components still, trees are built over them, in blocks of about
-   ``chunk``, and searched for all classes outside the largest component: these meet all classes there, so that no pair
-   of two components is left out. Of two components the ``tries`` pairs with the widest bound are verified; where there
+4. where the classes of a shingle are in several components still, those of shingles with the same largest component are
+   put under trees, in blocks of about ``chunk``, which are searched for all classes outside that component: these meet
+   all classes there, so that no pair of two components is left out. Of two components the ``tries`` pairs with the widest bound are verified; where there
    were more, and the components are still two, the search is done again with many more tries, until no pair is left.
 
 Frequent is what batches saw in two or more of their classes, at least 1 / ``frequent`` of all such counts, so there are
@@ -200,14 +200,10 @@ def _shown(docs: DataFrame, size: int, threshold: Fraction, late: np.ndarray, pi
                     known.add(s)
                 docs_ = np.repeat(np.arange(len(run)), n)
                 piece = np.zeros(len(hashes), np.int32)
-                place = np.arange(len(hashes)) - bounds[docs_]
-                if len(often) and len(hashes):
-                    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-                    last = often[at] == hashes
-                    piece[last] = 1 + (kernels.mix(ids[docs_[last]] ^ hashes[last]) % parts[at[last]].astype(np.uint64)).astype(np.int32)
-                    order = np.lexsort((hashes, last, docs_))
-                    hashes, piece = hashes[order], piece[order]
-                take = (place < shows(n, num, den)[docs_]) & new[docs_]
+                order, last = _late_last(hashes, docs_, often)
+                piece[last] = 1 + (kernels.mix(ids[docs_[last]] ^ hashes[last]) % parts[np.searchsorted(often, hashes[last])].astype(np.uint64)).astype(np.int32)
+                hashes, piece = hashes[order], piece[order]
+                take = (np.arange(len(hashes)) - bounds[docs_] < shows(n, num, den)[docs_]) & new[docs_]
                 yield pa.RecordBatch.from_pydict({
                     "token": hashes[take].view(np.int64), "piece": piece[take], "set_id": ids[docs_[take]].view(np.int64), "n": n[docs_[take]].astype(np.int32),
                 })
@@ -217,11 +213,7 @@ def _shown(docs: DataFrame, size: int, threshold: Fraction, late: np.ndarray, pi
 
 def shows(n, num: int, den: int):
     """How many shingles a set of n shows: as many as it can lack, and as many as linked sets must then have in common."""
-    return n - (num * n + den - 1) // den + common(n)
-
-
-def common(n):
-    return np.maximum(1, n // 16)
+    return n - (num * n + den - 1) // den + np.maximum(1, n // 16)
 
 
 def _enough(threshold: Fraction, n: Column) -> Column:
@@ -229,6 +221,14 @@ def _enough(threshold: Fraction, n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n * threshold.numerator / (16 * threshold.denominator)))
 
 
+def _late_last(hashes: np.ndarray, docs: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which sets show their shingles, and which of them are late ones."""
+    if not len(late) or not len(hashes):
+        return np.arange(len(hashes)), np.zeros(len(hashes), bool)
+    last = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+    return np.lexsort((hashes, last, docs)), last
+
+
 def _fits(threshold: Fraction, a: str = "na", b: str = "nb") -> Column:
     return F.greatest(a, b) * threshold.numerator <= F.least(a, b) * threshold.denominator
 
@@ -279,7 +279,7 @@ def _verified(pairs: DataFrame, held: DataFrame, size: int, threshold: Fraction,
 
 
 def _searched(rows: DataFrame, held: DataFrame, threshold: Fraction, tries: int) -> DataFrame:
-    """rows (token, band, block, kind, comp, set_id) -> pairs a, b of two components that the bound lets pass, and whether
+    """rows (top, band, block, kind, comp, set_id) -> pairs a, b of two components that the bound lets pass, and whether
     their components had more. kind: 0 in the tree, of the largest component there; 1 in the tree; 2 searched for."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def _searched(rows: DataFrame, held: DataFrame, threshold: Fraction, tries: int)
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(m, pa.bool_())})
 
         for batch in batches:
-            names = list(zip(*(batch.column(c).to_pylist() for c in ("token", "band", "block")), strict=True))
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("top", "band", "block")), strict=True))
             kinds, comps, ids = (batch.column(c).to_pylist() for c in ("kind", "comp", "set_id"))
             column = batch.column("point")
             for i, name in enumerate(names):
@@ -326,32 +326,31 @@ def _searched(rows: DataFrame, held: DataFrame, threshold: Fraction, tries: int)
                         more.add(key)
         yield close()
 
-    rows = rows.join(held.select("set_id", "point"), "set_id").select("token", "band", "block", "kind", "comp", "set_id", "point")
-    dealt = rows.repartition("token", "band", "block").sortWithinPartitions("token", "band", "block", "kind")
+    rows = rows.join(held.select("set_id", "point"), "set_id").select("top", "band", "block", "kind", "comp", "set_id", "point")
+    dealt = rows.repartition("top", "band", "block").sortWithinPartitions("top", "band", "block", "kind")
     return dealt.mapInArrow(work, "a long, b long, more boolean")
 
 
 def _meetings(met: DataFrame, roots: DataFrame, threshold: Fraction, chunk: int) -> DataFrame:
-    """The rows of _searched: classes that meet at a shingle where several components do. Of sizes that can be linked, they
-    are in one or in neighbouring bands; groups of the same classes are searched once."""
+    """The rows of _searched: classes that meet at a shingle where several components do, by the largest component there. Of
+    sizes that can be linked, they are in one or in neighbouring bands. Classes that have too few shingles at which they meet
+    other components go."""
     ratio = float(np.log(1 / float(threshold)))
     band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
-    rows = met.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rows = rows.select("token", "set_id", "n", F.coalesce("root", "set_id").alias("comp"), F.explode(F.array(band, band + 1)).alias("band"))
-    for _ in range(2):  # a class must have enough shingles at which it meets others
-        open_ = rows.groupBy("token", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", "band")
-        rows = rows.join(open_, ["token", "band"])
-        able = rows.groupBy("set_id", "band").agg(F.count("*").alias("k"), F.min("n").alias("m")).filter(F.col("k") >= _enough(threshold, F.col("m"))).select("set_id", "band")
-        rows = shared.cut(rows.join(able, ["set_id", "band"]).select("token", "set_id", "n", "comp", "band"))
-    check = [F.count("*").alias("k"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "set_id")).alias("x")]
-    groups = rows.groupBy("token", "band").agg(*check, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    groups = groups.groupBy("band", "k", "s", "x").agg(F.min("token").alias("token")).select("token", "band", F.ceil(F.col("k") / chunk).cast("int").alias("blocks"))
-    rows = shared.cut(rows.join(groups, ["token", "band"]))
-    largest = rows.groupBy("token", "band", "comp").agg(F.count("*").alias("m")).groupBy("token", "band").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
-    rows = rows.join(largest, ["token", "band"]).withColumn("outside", (F.col("comp") != F.col("top")).cast("int"))
+    rows = met.select("token", "set_id", "n").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rows = rows.select("token", "set_id", "n", F.coalesce("root", "set_id").alias("comp"))
+    open_ = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+    rows = shared.written(rows.join(open_, "token"), "open")
+    able = rows.groupBy("set_id").agg(F.count("*").alias("k"), F.min("n").alias("m")).filter(F.col("k") >= _enough(threshold, F.col("m"))).select("set_id")
+    rows = rows.join(able, "set_id").select("token", "set_id", "comp", F.explode(F.array(band, band + 1)).alias("band"))
+    counted = rows.groupBy("token", "band", "comp").agg(F.count("*").alias("m"))
+    largest = counted.groupBy("token", "band").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+    rows = shared.cut(rows.join(largest.select("token", "band", "top"), ["token", "band"]).select("top", "band", "set_id", "comp").distinct())
+    blocks = rows.groupBy("top", "band").agg(F.ceil(F.count("*") / chunk).cast("int").alias("blocks"))
+    rows = rows.join(blocks, ["top", "band"]).withColumn("outside", (F.col("comp") != F.col("top")).cast("int"))
     own = F.pmod(F.xxhash64(F.lit(7), "set_id"), F.col("blocks")).cast("int")
-    index = rows.select("token", "band", own.alias("block"), F.col("outside").alias("kind"), "comp", "set_id")
-    asked = rows.filter("outside = 1").select("token", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("kind"), "comp", "set_id")
+    index = rows.select("top", "band", own.alias("block"), F.col("outside").alias("kind"), "comp", "set_id")
+    asked = rows.filter("outside = 1").select("top", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("kind"), "comp", "set_id")
     return index.unionByName(asked)
 
 
@@ -363,25 +362,22 @@ def _links(keyed: DataFrame, sizes: DataFrame, size: int, threshold: Fraction, c
     # at most ``frequent`` shingles can have that many of all counts
     drawn = often.filter(F.col("n") * frequent >= total).orderBy("often").toArrow()
     late = drawn.column("often").to_numpy().view(np.uint64)
-    order = np.argsort(late)
     pieces = np.ceil(drawn.column("n").to_numpy() * (frequent / max(1, total))).astype(np.int32)
+    order = np.argsort(late)
+    late, pieces = late[order], pieces[order]
 
     at = Window.partitionBy("token", "piece")
-    shown = _shown(keyed, size, threshold, late[order], pieces[order]).withColumn("low", F.min("set_id").over(at)).withColumn("high", F.max("set_id").over(at))
-    shown = shown.filter("piece > 0 OR low <> high").select("token", "piece", "set_id", "n").dropDuplicates(["token", "piece", "set_id"])
-    first = shared.written(shown, "shown")
-    several = first.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("low <> high").select("token")
-    met = first.join(several, "token").select("token", "set_id", "n")
-    enough = met.groupBy("set_id").agg(F.count("*").alias("k"), F.min("n").alias("m")).filter(F.col("k") >= _enough(threshold, F.col("m"))).select("set_id")
-    met = shared.written(met.join(enough, "set_id").select("token", "set_id", "n"), "met")
+    shown = _shown(keyed, size, threshold, late, pieces).dropDuplicates(["token", "piece", "set_id"])
+    shown = shown.withColumn("low", F.min("set_id").over(at)).withColumn("high", F.max("set_id").over(at)).withColumn("crowd", F.count("*").over(at))
+    first = shared.written(shown.filter("piece > 0 OR low <> high").select("token", "piece", "set_id", "n", "crowd"), "shown")
+    sums = first.groupBy("set_id").agg(F.count("*").alias("k"), F.min("n").alias("m"), F.sum("crowd").alias("weight"))
+    sums = sums.filter(F.col("k") >= _enough(threshold, F.col("m"))).select("set_id", "weight")
+    met = shared.written(first.join(sums, "set_id").select("token", "piece", "set_id", "n", "weight"), "met")
     held = shared.written(_held(keyed, sizes, met.select("set_id").distinct(), size), "held")
 
-    # the centre of a shingle is the class there that meets most others at all of its shingles
-    crowds = met.groupBy("token").agg(F.count("*").alias("crowd"))
-    weights = met.join(crowds, "token").groupBy("set_id").agg(F.sum("crowd").alias("weight"))
-    weighed = shared.cut(met.join(weights, "set_id"))
-    centres = weighed.groupBy("token").agg(F.max_by(F.struct("set_id", "n"), F.struct("weight", "set_id")).alias("c"))
-    near = weighed.join(centres, "token").select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("c.set_id").alias("b"), F.col("c.n").alias("nb"))
+    # the centre of a shingle's piece is the class there that meets most others at all of its shingles
+    centre = F.max(F.struct("weight", "set_id", "n")).over(at)
+    near = met.withColumn("c", centre).select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("c.set_id").alias("b"), F.col("c.n").alias("nb"))
     near = near.filter(F.col("a") != F.col("b")).filter(_fits(threshold)).groupBy("a", "b").agg(F.count("*").alias("k"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
     tested = shared.cut(near.withColumn("place", place).filter("place <= 2").select("a", "b"))
@@ -403,7 +399,7 @@ def _links(keyed: DataFrame, sizes: DataFrame, size: int, threshold: Fraction, c
 
 def link(
     docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), doc_id: str = "doc_id", text: str = "text",
-    chunk: int = 1024, frequent: int = 1_000_000, tries: int = 16,
+    chunk: int = 1024, frequent: int = 1_000_000, tries: int = 256,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links lead to); and the row's key, a hash
     of id and text, and its component's key (null for an empty set), which tell rows of one id, or of none, apart."""
