@@ -18,7 +18,9 @@ is encoded whole in one task; extra columns are left out; an empty table gives f
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,17 @@ SHARD_SCHEMA = """part int, shard int, start long, base long, n_rules long, rule
 rule_length binary, symbols binary, doc_ids array<bigint>, doc_symbols array<int>, doc_tokens array<bigint>"""
 
 
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of symbols under ``top`` as one number each, sorted, and their places; sorted together where both fit in 63 bits."""
+    pairs = left * (top + 1) + right
+    shift = int(places[-1]).bit_length() if len(places) else 0
+    if 2 * (top + 1).bit_length() + shift > 63:
+        order = np.argsort(pairs)
+        return pairs[order], places[order]
+    both = np.sort((pairs << shift) | places)
+    return both >> shift, both & ((1 << shift) - 1)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int):
     """Symbols, rules (left, right) and each document's number of symbols.
 
@@ -53,9 +66,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int):
     lefts, rights, top = [], [], base
     places = np.flatnonzero(after[:n] < n)  # where pairs start that can be frequent: at first all
     while len(places) >= least:
-        pairs = (seq[places] << 32) | seq[after[places]]
-        order = np.argsort(pairs)
-        pairs = pairs[order]
+        pairs, at = _sorted_pairs(seq[places], seq[after[places]], places, top)
         edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         counts = np.diff(np.append(edge, len(pairs)))
         often = np.flatnonzero(counts >= least)
@@ -66,17 +77,20 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int):
         rank = np.empty(len(keys), np.int32)
         rank[by_rank] = np.arange(len(keys))
         starts = np.repeat(edge[often] - np.concatenate([[0], np.cumsum(numbers)[:-1]]), numbers) + np.arange(numbers.sum())
-        at = places[order[starts]].astype(np.int32)  # of frequent pairs only
+        at = at[starts].astype(np.int32)  # of frequent pairs only
         mine = np.repeat(rank, numbers)
         ranks[at] = mine
         take = (mine < ranks[before[at]]) & (mine <= ranks[after[at]])
         ranks[at] = n + 1
         first = at[take]
         second = after[first]
-        used, number = np.unique(mine[take], return_inverse=True)
+        seen = np.zeros(len(keys), bool)
+        seen[mine[take]] = True
+        used = np.flatnonzero(seen)
+        number = (np.cumsum(seen) - 1)[mine[take]]
         made = keys[by_rank[used]]
-        lefts.append(made >> 32)
-        rights.append(made & 0xFFFFFFFF)
+        lefts.append(made // (top + 1))
+        rights.append(made % (top + 1))
         seq[first] = top + number
         top += len(used)
         gone[second] = True
@@ -102,7 +116,7 @@ def rule_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+    """The ids that a few symbols stand for, level by level."""
     seq = symbols.astype(np.int64)
     while True:
         high = seq >= base
@@ -116,6 +130,29 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int)
         seq = out
 
 
+def expand_all(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
+    """The ids of a whole shard: each rule is expanded once, into at most as many ids as the longest document has."""
+    rules: list[list[int]] = []
+    for a, b in zip((left - base).tolist(), (right - base).tolist(), strict=True):
+        rules.append((rules[a] if a >= 0 else [a + base]) + (rules[b] if b >= 0 else [b + base]))
+    lengths = np.fromiter(map(len, rules), np.int64, len(rules))
+    flat = np.fromiter(chain.from_iterable(rules), np.int64, int(lengths.sum()))
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    # plain ids follow the rules' ids in one table that is gathered from
+    high = symbols >= base
+    rule = np.where(high, symbols - base, 0)
+    sizes = np.ones(len(symbols), np.int64)
+    sizes[high] = lengths[rule[high]]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total, np.int64)
+    out[(ends - sizes)[~high]] = symbols[~high]
+    first, n = (ends - sizes)[high], sizes[high]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(first, n) + step] = flat[np.repeat(starts[rule[high]], n) + step]
+    return out
+
+
 class Shard:
     """One row of the files, for random access."""
 
@@ -153,22 +190,25 @@ def _loaded(path: str) -> tuple[int, kernels.IdCache]:
         letters = byte_alphabet()
         model = tokenizer.model
 
-        def pretoken(text: str) -> bool:
-            """Latin letters, with or without one space before them, are cut no further."""
-            word = text[1:] if text[:1] == " " else text
-            return word.isalpha() and (word.isascii() or max(word) < "\u0250")
-
-        def tokens(text: str) -> list[int]:
-            """Of a pre-token, by the library's model alone."""
-            if text.isascii():
-                return [t.id for t in model.tokenize(text.replace(" ", letters[0x20]))]
-            return [t.id for t in model.tokenize("".join([letters[b] for b in text.encode()]))]
+        tokens, space = model.tokenize, letters[0x20]
+        # Latin letters, with or without one space before them, are cut no further: the library's model alone does them
+        english, latin = re.compile(rb" ?[A-Za-z]+").fullmatch, re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
         def make(chunks: list[bytes]) -> list[list[int]]:
-            texts = [c.decode("utf-8", "replace") for c in chunks]
-            whole = [pretoken(t) for t in texts]
-            others = iter(tokenizer.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if not w], add_special_tokens=False))
-            return [tokens(t) if w else next(others).ids for t, w in zip(texts, whole, strict=True)]
+            out, others = [], []
+            for chunk in chunks:
+                if english(chunk):
+                    out.append([t.id for t in tokens(chunk.decode().replace(" ", space))])
+                    continue
+                text = chunk.decode("utf-8", "replace")
+                if latin(text):
+                    out.append([t.id for t in tokens("".join([letters[b] for b in chunk]))])
+                else:
+                    others.append((len(out), text))
+                    out.append([])
+            for (i, _), found in zip(others, tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
+                out[i] = found.ids
+            return out
 
         return tokenizer.get_vocab_size(with_added_tokens=True), kernels.IdCache(make)
 
@@ -249,7 +289,7 @@ def unpack(spark: SparkSession, folder: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("part", "start", "base")}
                 raw = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind).astype(np.int64)  # noqa: B023, E731
-                ids = expand(raw("symbols", "<u4"), raw("rule_left", "<u4"), raw("rule_right", "<u4"), row["base"]).astype("<u4")
+                ids = expand_all(raw("symbols", "<u4"), raw("rule_left", "<u4"), raw("rule_right", "<u4"), row["base"]).astype("<u4")
                 tokens = batch.column("doc_tokens")[i].values.to_numpy()
                 names = batch.column("doc_ids")[i].values
                 ends = np.cumsum(tokens)

@@ -19,7 +19,10 @@ def test_compress_and_expand_are_exact(docs):
     ids = np.array([i for d in docs for i in d], np.int64)
     ends = np.cumsum([len(d) for d in docs])
     seq, (left, right), sizes = grammar.compress(ids, ends, 5, 2)
-    assert grammar.expand(seq, left, right, 5).tolist() == ids.tolist()
+    assert grammar.expand(seq, left, right, 5).tolist() == ids.tolist() == grammar.expand_all(seq, left, right, 5).tolist()
+    pairs = [p for d in np.split(seq, np.cumsum(sizes)[:-1]) for p in zip(d[:-1].tolist(), d[1:].tolist(), strict=True)]
+    apart = {p: sum(1 for i, q in enumerate(pairs) if q == p) for p in set(pairs)}
+    assert all(n < 2 or p[0] == p[1] for p, n in apart.items())  # nothing is frequent any more, but for runs that overlap
     assert len(sizes) == len(docs) and sizes.sum() == len(seq)
     lengths = grammar.rule_lengths(left, right, 5)
     row = {
