@@ -6,14 +6,15 @@ by weight; no target passes ``cap`` times its source's size, and what it would h
 The mix is made of equal blocks of words. Sainte-Lague (the highest quotients target / (2k + 1)) gives each source
 whole blocks, then each shard of the source whole blocks by the shard's size. A shard is a seeded hash share of the
 source's documents, small enough for one task, so a source with a third of all rows is spread over many tasks.
-In a shard, documents in seeded order form a stream of words that is taken from the start, and over again when the
-quota is more than the stream. A document at the edge is taken in part; none is taken more than ``cap`` times.
+In a shard, documents in seeded order form a stream of words, whose blocks are taken from the start, and over again when
+the quota is more than the stream; a shard that is given all it may give leaves the next block to the others. A document at the edge is taken in part; none is taken more than ``cap`` times.
 
 Only one row per source, and one per shard of a source, is ever in one group. Reruns give the same rows.
 
 Edge cases: null or empty texts have size 0 and nothing is taken of them; documents of a null source form a source;
-repeated rows are documents of their own (equal doc_ids share their place by size); a null size counts as 0; an empty
-table gives an empty one. Extra columns are kept.
+repeated rows are documents of their own (ties in place go by doc_id and size); a null size counts as 0; a document of any
+length is one row of its size; an empty table gives an empty one. Extra columns are kept, whatever their names, but those
+named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from hearsay.llm import shared
 
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
+_OWN = "_hearsay_mix_"
 
 
 def word_count(text: str = "text") -> Column:
@@ -36,17 +38,20 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
-    """Seats by highest quotients votes / (2k + 1), ties to the earlier; found by bisecting the divisor."""
+def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
+    """Seats by highest quotients votes / (2k + 1), ties to the earlier; found by bisecting the divisor. One that has as many
+    seats as it can have (``most``) leaves the next to the others."""
     votes = np.asarray(votes, np.float64)
     given = np.zeros(len(votes), np.int64)
+    most = np.full(len(votes), np.iinfo(np.int64).max) if most is None else np.where(votes > 0, most, 0).astype(np.int64)
+    seats = min(int(seats), int(most[votes > 0].sum())) if (votes > 0).any() and most.max() < np.iinfo(np.int64).max else int(seats)
     if seats <= 0 or not (votes > 0).any():
         return given
     low, high = 0.0, 1.0  # quotients per seat: more seats than asked for at low's side
     scale = votes.max()
 
     def at(x: float) -> np.ndarray:
-        return np.floor(votes * x / scale + 0.5).astype(np.int64)
+        return np.minimum(np.floor(votes * x / scale + 0.5), most).astype(np.int64)
 
     while at(high).sum() < seats:
         high *= 2
@@ -60,7 +65,7 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
             low = middle
     given = at(low)
     while (short := seats - int(given.sum())) > 0:  # seats at one and the same quotient: to the earlier
-        quotients = votes / (2 * given + 1)
+        quotients = np.where(given < most, votes / (2 * given + 1), -1.0)
         best = np.argsort(-quotients, kind="stable")[:short]
         best = best[quotients[best] >= quotients[best[0]] * (1 - 1e-12)]
         given[best] += 1
@@ -92,7 +97,8 @@ def mix(
     shard_words: int = 1_000_000, shard_docs: int = 2048,
 ) -> DataFrame:
     """docs (doc_id, source, size, ...) with source_size, target (of its source) and taken (words the mix takes)."""
-    docs = shared.cut(docs.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long")))
+    made = ("source_size", "target", "taken")
+    docs = shared.cut(docs.drop(*made).withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long")))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
 
     def source_blocks(sources: pd.DataFrame) -> pd.DataFrame:
@@ -103,28 +109,30 @@ def mix(
     schema = "source string, source_size long, n_docs long, target double, blocks long"
     planned = targets(sizes, weights, cap).groupBy().applyInPandas(source_blocks, schema)
     shards = F.ceil(F.greatest(F.col("source_size") / shard_words, F.col("n_docs") / shard_docs, F.lit(1.0))).cast("int")
-    planned = shared.cut(planned.withColumn("shards", shards).withColumnRenamed("source", "of"))
+    # names of its own, which none of the documents' columns can have
+    of, shard, size, quota, blocks = (f"{_OWN}{c}" for c in ("of", "shard", "size", "quota", "blocks"))
+    planned = shared.cut(planned.select(F.col("source").alias(of), "source_size", "target", F.col("blocks").alias(blocks), shards.alias(f"{_OWN}shards")))
 
-    dealt = docs.join(planned, docs["source"].eqNullSafe(planned["of"])).drop("of", "n_docs")
-    place = F.xxhash64(F.lit(seed), "doc_id")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int"))
-    cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"), F.first("blocks").alias("blocks"))
+    dealt = docs.join(planned, docs["source"].eqNullSafe(planned[of])).drop(of)
+    place = F.xxhash64(F.lit(seed), "doc_id", "size")  # documents of one id, or of none, are dealt by their size
+    dealt = dealt.withColumn(shard, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col(f"{_OWN}shards")).cast("int"))
+    cells = dealt.groupBy("source", F.col(shard).alias("shard")).agg(F.sum("size").alias("cell_size"), F.first(blocks).alias("blocks"))
 
     def cell_blocks(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("shard")
-        given = sainte_lague(cells["cell_size"].to_numpy(), int(cells["blocks"].iloc[0]))
+        most = np.floor(cap * cells["cell_size"].to_numpy() / block)
+        given = sainte_lague(cells["cell_size"].to_numpy(), int(cells["blocks"].iloc[0]), most)
         return cells[["source", "shard", "cell_size"]].assign(quota=given * block)
 
     quotas = cells.groupBy("source").applyInPandas(cell_blocks, "source string, shard int, cell_size long, quota long")
-    quotas = quotas.select(F.col("source").alias("of"), F.col("shard").alias("in"), "cell_size", "quota")
-    joined = dealt.join(quotas, dealt["source"].eqNullSafe(quotas["of"]) & (dealt["shard"] == quotas["in"]))
-    stream = Window.partitionBy("source", "shard").orderBy(place, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    quotas = quotas.select(F.col("source").alias(of), F.col("shard").alias(f"{_OWN}in"), F.col("cell_size").alias(size), F.col("quota").alias(quota))
+    joined = dealt.join(quotas, dealt["source"].eqNullSafe(quotas[of]) & (dealt[shard] == quotas[f"{_OWN}in"]))
+    stream = Window.partitionBy("source", shard).orderBy(place, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(stream), F.lit(0))
-    quota = F.least(F.col("quota"), F.floor(cap * F.col("cell_size")))
-    whole = F.floor(quota / F.nullif(F.col("cell_size"), F.lit(0)))
-    rest = quota - whole * F.col("cell_size")
+    whole = F.floor(F.col(quota) / F.nullif(F.col(size), F.lit(0)))
+    rest = F.col(quota) - whole * F.col(size)
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return joined.withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long")).drop("of", "in", "cell_size", "quota", "shard", "shards", "blocks")
+    return joined.withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long")).select(*docs.columns, *made)
 
 
 def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -132,15 +140,14 @@ def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
     Only one document of a shard can be taken in part; documents without words are not in a mix.
     """
-    key = F.xxhash64("doc_id", F.col(text))
-    sizes = docs.select("doc_id", "source", word_count(text).alias("size"), key.alias("_key"))
-    taken = mix(sizes, **options).filter("taken > 0").select("_key", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    key, times, rows_, turn = (f"{_OWN}{c}" for c in ("key", "times", "rows", "turn"))
+    rows = docs.withColumn(key, F.xxhash64("doc_id", F.col(text)))
+    sizes = rows.select("doc_id", "source", word_count(text).alias("size"), key)
+    taken = mix(sizes, **options).filter("taken > 0").select(key, F.round(F.col("taken") / F.col("size")).cast("int").alias(times))
     # equal rows of one id share a key: together they occur as often as each of them is taken
-    taken = taken.filter("_times > 0").groupBy("_key").agg(F.sum("_times").alias("_sum"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_key", key)
-    once = rows.join(taken.filter("_rows = 1"), "_key")
-    out = once
-    several = taken.filter("_rows > 1")
+    taken = taken.filter(F.col(times) > 0).groupBy(key).agg(F.sum(times).alias(times), F.count("*").alias(rows_))
+    out = rows.join(taken.filter(F.col(rows_) == 1), key)
+    several = taken.filter(F.col(rows_) > 1)
     if not several.isEmpty():
-        out = once.unionByName(rows.join(several, "_key").dropDuplicates(["_key"]))
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int")))).drop("_i", "_key", "_sum", "_rows")
+        out = out.unionByName(rows.join(several, key).dropDuplicates([key]))
+    return out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

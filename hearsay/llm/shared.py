@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under the temporary folder only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/hearsay-shared"
+    """A new folder under spark.checkpoint.dir. A local master may do without the setting, as in tests; a cluster may not,
+    since its machines do not share their temporary folders."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = f"{tempfile.gettempdir()}/hearsay-shared"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -17,8 +17,10 @@ block; blocks are what is counted, so exact copies, however many, fold to one ro
 Hashes are 64 bits; blocks and windows are matched on two of them at once. The hot rows are those of many copies; they
 are pre-aggregated in the map tasks before any exchange, and joined back by joins that adaptive execution can split.
 
-Edge cases: null and empty texts, and texts with fewer words than a window, lose nothing; two rows of one doc_id, even
-equal ones, are two documents; an empty table gives an empty one; extra columns are kept.
+Edge cases: null and empty texts, and texts with fewer words than a window, lose nothing; a very long text is read whole by
+one task; of equally small hashes the leftmost window is chosen; two rows of one doc_id, even equal ones, are two
+documents; an empty table gives an empty one; extra columns are kept, whatever their names, but n_words, n_removed and
+kept are replaced.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def _levels(docs: DataFrame, kinds: DataFrame, window: int, short: int, half: in
     return docs.select(key, "text").join(of, key).select("text", "kinds").mapInArrow(work, schema)
 
 
-def covered(docs: DataFrame, window: int = 35, key: str = "_key") -> DataFrame:
+def covered(docs: DataFrame, window: int = 35, key: str = "_hearsay_key") -> DataFrame:
     """Where repeated windows start: key and ranges, an array of (first, last) window starts of the document.
 
     docs has the columns key (a hash of the row) and text.
@@ -144,21 +146,22 @@ def covered(docs: DataFrame, window: int = 35, key: str = "_key") -> DataFrame:
     partly = repeated.filter("NOT alike").join(starts, ["gram", "block"]).select(
         key, F.explode(F.transform("starts", lambda i: F.struct((F.col("first") + i).alias("first"), (F.col("first") + i).alias("last")))).alias("range")
     )
-    return alike.unionAll(partly).groupBy(key).agg(F.collect_list("range").alias("ranges"))
+    # equal rows have one key and the same ranges: each counts once
+    return alike.unionAll(partly).groupBy(key).agg(F.collect_set("range").alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_words, n_removed and kept: the words of ``text`` that no repeated window covers, joined by one space."""
-    key = "_key"
+    key, held = "_hearsay_key", "_hearsay_ranges"
     keyed = docs.withColumn(key, F.xxhash64(doc_id, text))
-    ranges = covered(keyed.select(key, F.col(text).alias("text")), window, key)
+    ranges = covered(keyed.select(key, F.col(text).alias("text")), window, key).withColumnRenamed("ranges", held)
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     schema = T.StructType([f for f in docs.schema.fields if f.name in kept])
     schema = schema.add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept", T.StringType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ranges = batch.column("ranges")
+            all_ranges = batch.column(held)
             for run in kernels.runs(batch.column(text)):
                 starts, ends, bounds, buf = kernels.words(run)
                 mine = all_ranges.slice(run.first, len(run))
@@ -176,4 +179,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
                     names=[*kept, "n_words", "n_removed", "kept"],
                 )
 
-    return keyed.join(ranges, key, "left").select(*kept, "ranges").mapInArrow(work, schema)
+    return keyed.join(ranges, key, "left").select(*dict.fromkeys([*kept, text]), held).mapInArrow(work, schema)

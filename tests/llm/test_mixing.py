@@ -83,3 +83,17 @@ def test_empty_tables(spark):
     assert mixing.mix(none).collect() == []
     nothing = spark.createDataFrame([(1, "a", 0), (2, None, None)], "doc_id long, source string, size long")
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(nothing).collect()) == [(1, 0), (2, 0)]
+
+
+def test_capped_seats_go_to_the_others():
+    assert mixing.sainte_lague(np.array([10, 10, 1]), 9, np.array([2, 9, 9])).tolist() == [2, 6, 1]
+    assert mixing.sainte_lague(np.array([10, 0]), 9, np.array([4, 9])).tolist() == [4, 0]
+
+
+def test_names_do_not_clash(spark):
+    names = ["quota", "blocks", "cell_size", "n_docs", "of", "shard", "shards", "in", "weight", "_key", "_sum", "_i", "_rows"]
+    docs = spark.createDataFrame([(i, f"s{i % 3}", 10 + i, "w " * (10 + i), *range(len(names)), 1.5) for i in range(30)], "doc_id long, source string, size long, text string, " + ", ".join(f"`{n}` long" for n in names) + ", target double")
+    out = mixing.mix(docs)
+    assert out.columns == [*(c for c in docs.columns if c != "target"), "source_size", "target", "taken"]
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))} and out.count() == 30
+    assert mixing.mixed(docs).columns == docs.columns

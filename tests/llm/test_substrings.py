@@ -91,3 +91,13 @@ def test_words_and_kept_text(texts):
             words = found[run.first + i]
             assert kept[run.first + i] == " ".join(w for w in words if next(flags))
     assert found == [WORD.findall(t or "") for t in texts]
+
+
+def test_equal_rows_and_clashing_names(spark):
+    text = " ".join("e%d" % i for i in range(300))
+    docs = spark.createDataFrame([(1, text, 5, 6, "k") for _ in range(400)] + [(2, "other words", 7, 8, "k")], "doc_id long, text string, ranges long, _key long, kept string")
+    got = substrings.remove_repeats(docs, 35)
+    assert got.columns == ["doc_id", "text", "ranges", "_key", "n_words", "n_removed", "kept"]
+    rows = got.collect()
+    assert len(rows) == 401 and {(r.ranges, r._key, r.n_removed) for r in rows} == {(5, 6, 300), (7, 8, 0)}
+    assert substrings.covered(docs.selectExpr("xxhash64(doc_id, text) AS _hearsay_key", "text")).selectExpr("max(size(ranges))").first()[0] < 400
