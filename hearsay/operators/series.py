@@ -81,3 +81,12 @@ def peak_share(buckets: DataFrame) -> DataFrame:
     out = buckets.groupBy("app_id").agg(F.max(volume).alias("peak"), F.sum(volume).alias("total"))
     share = F.col("peak") / F.nullif(F.col("total").cast("double"), F.lit(0.0))
     return out.withColumn("peak_share", share).withColumn("regime", F.when(share >= SPIKY, "spiky").when(share.isNotNull(), "calm"))
+
+
+def threshold_sweep(spiked: DataFrame, times: list[float], floor: int = FLOOR) -> DataFrame:
+    """Per app and factor: buckets, those that would be flagged, and their runs. spiked: what ``spikes`` gives."""
+    each = spiked.select("app_id", "place", "volume", "baseline", F.explode(F.array(*map(F.lit, times))).alias("times"))
+    hit = F.coalesce((F.col("volume") >= floor) & (F.col("baseline") > 0) & (F.col("volume") > F.col("times") * F.col("baseline")), F.lit(False))
+    order = Window.partitionBy("app_id", "times").orderBy("place")
+    rows = each.withColumn("hit", hit).withColumn("begins", F.col("hit") & ~F.coalesce(F.lag("hit").over(order), F.lit(False)))
+    return rows.groupBy("app_id", "times").agg(F.count("*").alias("buckets"), F.count_if("hit").alias("flagged"), F.count_if("begins").alias("episodes"))

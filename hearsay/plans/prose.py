@@ -67,6 +67,13 @@ def ladder(spark, sf_dir):
     return rows.groupBy("app_id", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def corrective_prompts(spark, sf_dir):
+    """What a second draft of each narrative with violations must put right."""
+    from hearsay.operators import display
+
+    return display.corrective_prompt(judged(spark, sf_dir)[1], "id")
+
+
 def sentence_quotes(spark, sf_dir):
     """Quotations with the rest of their sentence: each document's fifth word in it."""
     d = views.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("span", F.get(F.split("text", r"[\s]+"), 4)).filter("length(span) > 3")
@@ -115,7 +122,7 @@ cut AS (SELECT id, app_id, (b1 OR b2 OR b3 OR coalesce(b4, false)) AS touched, t
 TOKEN = tx.NUMERAL
 
 QUERIES = {
-    "grounded_spans": grounded_spans, "whitelist_values": whitelist, "cut_sentences": cut_sentences, "narrative_segments": narrative_segments, "compose_ladder": ladder,
+    "grounded_spans": grounded_spans, "whitelist_values": whitelist, "cut_sentences": cut_sentences, "narrative_segments": narrative_segments, "compose_ladder": ladder, "corrective_prompts": corrective_prompts,
     "sentence_quotes": sentence_quotes, "canary_report": canary_report, "ungrounded_numbers": ungrounded,
 }
 ORACLE = {
@@ -125,6 +132,7 @@ ORACLE = {
     "narrative_segments": f"""{BASE}, g AS (SELECT id, count(*) FILTER (reason IS NULL) AS certified FROM spans GROUP BY 1)
         SELECT id, 2 * certified + 1 AS n, certified, length(s1 || s2 || s3 || s4) AS chars FROM narratives JOIN g USING (id)""",
     "compose_ladder": f"{BASE}, {BAD} SELECT app_id, CASE WHEN NOT touched THEN 'composed' WHEN cut = '' THEN 'withheld' ELSE 'trimmed' END AS outcome, count(*) AS n FROM cut GROUP BY 1, 2",
+    "corrective_prompts": f"""{BASE} SELECT id, E'Rewrite without these:\\n' || string_agg('- ' || span || ': ' || reason, E'\\n' ORDER BY start) AS prompt FROM spans WHERE reason IS NOT NULL GROUP BY 1""",
     "sentence_quotes": r"""WITH d AS (SELECT doc_id, text, regexp_split_to_array(text, '\s+')[5] AS span FROM documents), a AS (SELECT doc_id, text, span, strpos(text, span) AS p FROM d WHERE length(span) > 3),
         l AS (SELECT *, ltrim(regexp_extract(text[:p - 1], '[^.!?…\n]*$'), E' \t\r\n') AS lead, rtrim(regexp_extract(text[p + length(span):], '^[^.!?…\n]*[.!?…]?'), E' \t\r\n') AS tail, (300 - length(span)) // 2 AS m FROM a),
         c AS (SELECT *, CASE WHEN length(lead) <= m THEN lead ELSE '… ' || regexp_replace(right(lead, m), '^[^ ]* ', '') END AS le, CASE WHEN length(tail) <= m THEN tail ELSE regexp_replace(left(tail, m), ' [^ ]*$', '') || ' …' END AS ta FROM l)

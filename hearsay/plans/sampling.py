@@ -85,6 +85,11 @@ ORACLE = {
         ds AS (SELECT review_id, app_id FROM scope WHERE review_id IN (SELECT review_id FROM drawn)), t AS ({SHARES.format("scope")}), f AS ({SHARES.format("ds")})
         SELECT t.app_id, t.aspect, t.share AS reference_share, coalesce(f.share, 0) AS sample_share, coalesce(f.share, 0) - t.share AS error FROM t LEFT JOIN f USING (app_id, aspect)""",
 }
+ORACLE["plan_equal_per_window"] = f"""{BASE}, windows AS (SELECT app_id, start, coalesce(lead(start) OVER (PARTITION BY app_id ORDER BY start), TIMESTAMP '{CLOSING}') AS "end", (up + down)::BIGINT AS population FROM months),
+    w AS (SELECT *, row_number() OVER o AS j, count(*) OVER a AS m, sum(population) OVER (o ROWS UNBOUNDED PRECEDING) - population AS below, least({ASKED}, sum(population) OVER a) AS n FROM windows WHERE population > 0 WINDOW a AS (PARTITION BY app_id), o AS (PARTITION BY app_id ORDER BY population, start)),
+    l AS (SELECT app_id, max((n - below)::DOUBLE / (m - j + 1)) AS level FROM w GROUP BY 1), i AS (SELECT w.*, round(least(population, level), 6) AS ideal FROM w JOIN l USING (app_id)),
+    q AS (SELECT *, floor(ideal)::BIGINT AS base, row_number() OVER (PARTITION BY app_id ORDER BY ideal - floor(ideal) DESC, start) AS rk, n - sum(floor(ideal)) OVER (PARTITION BY app_id) AS short FROM i)
+    SELECT app_id, start, "end", population, (base + (rk <= short)::INT)::BIGINT AS quota FROM q"""
 ORACLE["draw_errors"] = f"""WITH m AS ({ORACLE["measure_draw"]}) SELECT app_id, count(*) AS aspects, avg(abs(error)) AS mean_error, quantile_cont(abs(error), 0.5) AS p50_error,
     quantile_cont(abs(error), 0.9) AS p90_error, max(abs(error)) AS max_error FROM m GROUP BY 1"""
 ORACLE["stratified_interval"] = f"""{BASE}, {PLAN_SQL}, {DRAW_SQL},

@@ -16,7 +16,7 @@ def _months(spark, sf_dir):
 def _days(spark, sf_dir):
     """Event volume by day and event type, as a second series: types stand for apps."""
     e = views.table(spark, sf_dir, "events").select(
-        F.crc32(F.col("event_type").cast("binary")).alias("app_id"), F.col("ts").alias("created_at"), (F.col("value") > 50).alias("voted_up")
+        (F.ascii("event_type") * 100 + F.length("event_type")).cast("long").alias("app_id"), F.col("ts").alias("created_at"), (F.col("value") > 50).alias("voted_up")
     )
     return series.histogram(e, "day")
 
@@ -38,6 +38,11 @@ def spikes(spark, sf_dir):
     return series.spikes(_months(spark, sf_dir), floor=10, times=1.2).select("app_id", "start", "volume", "baseline", "ratio", "spike")
 
 
+def thresholds(spark, sf_dir):
+    """What the detector would flag at each of several factors."""
+    return series.threshold_sweep(series.spikes(_months(spark, sf_dir), floor=10), [1.1, 1.2, 1.5, 2.0, 4.0], 10)
+
+
 def _episodes(spark, sf_dir):
     return series.episodes(series.spikes(_months(spark, sf_dir), floor=10, times=1.2))
 
@@ -85,7 +90,7 @@ ALL = f"{BASE}, {SPIKES_SQL}, {EPISODES_SQL}, {PERIODS_SQL}"
 
 QUERIES = {
     "corpus_histogram": histogram, "year_rollup": yearly_rollup, "detect_spikes": spikes, "spike_episodes": episodes,
-    "flagged_episodes": flagged_episodes, "period_counts": period_counts, "peak_window_share": peak_share, "daily_histogram": daily_histogram,
+    "flagged_episodes": flagged_episodes, "period_counts": period_counts, "peak_window_share": peak_share, "daily_histogram": daily_histogram, "threshold_sweep": thresholds,
 }
 ORACLE = {
     "corpus_histogram": f"{BASE} SELECT * FROM months",
@@ -95,6 +100,11 @@ ORACLE = {
     "flagged_episodes": f"""{ALL} SELECT e.*, EXISTS (SELECT 1 FROM periods p WHERE p.app_id = e.app_id AND e.start < p."end" AND e."end" > p.start) AS flagged FROM episodes e""",
     "period_counts": f"""{ALL} SELECT p.app_id, p.start, p."end", count(r.created_at) AS n_reviews FROM periods p
         LEFT JOIN reviews r ON r.app_id = p.app_id AND r.created_at >= p.start AND r.created_at < p."end" GROUP BY 1, 2, 3""",
+    "daily_histogram": """WITH e AS (SELECT (ascii(event_type) * 100 + length(event_type))::BIGINT AS app_id, date_trunc('day', ts)::TIMESTAMP AS start, value > 50 AS up FROM events), c AS (SELECT app_id, start, count(*) FILTER (up) AS up, count(*) FILTER (NOT up) AS down FROM e GROUP BY 1, 2),
+        d AS (SELECT app_id, unnest(generate_series(min(start), max(start), INTERVAL 1 DAY)) AS start FROM c GROUP BY 1) SELECT app_id, d.start, coalesce(up, 0) AS up, coalesce(down, 0) AS down FROM d LEFT JOIN c USING (app_id, start)""",
+    "threshold_sweep": f"""{ALL}, k AS (SELECT unnest([1.1, 1.2, 1.5, 2.0, 4.0]::DOUBLE[]) AS times), p AS (SELECT app_id, times, place, coalesce(volume >= 10 AND baseline > 0 AND volume > times * baseline, false) AS f FROM spiked, k),
+        i AS (SELECT *, place - row_number() OVER (PARTITION BY app_id, times ORDER BY place) AS island FROM p WHERE f)
+        SELECT app_id, times, count(*) AS buckets, count(*) FILTER (f) AS flagged, (SELECT count(DISTINCT island) FROM i WHERE i.app_id = p.app_id AND i.times = p.times) AS episodes FROM p GROUP BY 1, 2""",
     "peak_window_share": f"""{BASE}, t AS (SELECT app_id, max(up + down) AS peak, sum(up + down)::BIGINT AS total FROM months GROUP BY 1)
         SELECT app_id, peak, total, peak / total::DOUBLE AS peak_share, CASE WHEN peak / total::DOUBLE >= 2.0 / 3 THEN 'spiky' ELSE 'calm' END AS regime FROM t""",
 }
