@@ -72,7 +72,7 @@ def hashed_draw(reviews: DataFrame, n: int, seed: str) -> DataFrame:
 
 
 def shares(members: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Per app and pinned aspect the share of members that mention it; aspects that the app's pool has keep zero."""
+    """Per app and pinned aspect the share of members that mention it; aspects that no member mentions have no row."""
     scope = members.select("review_id", "app_id")
     sizes = scope.groupBy("app_id").agg(F.count("*").alias("n"))
     pinned = mentions.filter("slot = 'pinned'").select("review_id", "aspect").distinct()

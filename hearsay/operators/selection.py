@@ -40,6 +40,16 @@ def top_per_key(rows: DataFrame, keys: list[str], n: int, *order: Column, rank:
 
 
 def batches(rows: DataFrame, size: int, partition: str, *order: Column) -> DataFrame:
-    """Consecutive batches of a fixed size within each partition key."""
-    place = F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("long"))
+    """Consecutive batches of a fixed size within each partition key.
+
+    Rows are numbered within ranges of key and order, and each range starts where the earlier ranges of its key end, so no
+    task sorts all rows of a key.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, F.col(partition), *order).withColumn("_part", F.spark_partition_id())
+    own = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part", partition).orderBy(*order)) - 1)
+    sizes = own.groupBy("_part", partition).agg(F.count("*").alias("_n"))  # a row a range and key
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", partition, before.alias("_before"))
+    placed = own.join(F.broadcast(offsets), ["_part", partition])
+    return placed.withColumn("batch", F.floor((F.col("_place") + F.col("_before")) / size).cast("long")).drop("_part", "_place", "_before")

@@ -69,10 +69,15 @@ def flagged_overlap(spans: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def period_counts(periods: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews in each half-open period of their app; periods without any keep zero."""
-    r = reviews.select(F.col("app_id").alias("r_app"), "created_at")
-    inside = (F.col("app_id") == F.col("r_app")) & (F.col("created_at") >= F.col("start")) & (F.col("created_at") < F.col("end"))
-    return periods.join(r, inside, "left").groupBy("app_id", "start", "end").agg(F.count("created_at").alias("n_reviews"))
+    """Reviews in each half-open period of their app; periods without any keep zero.
+
+    Periods are a few rows an app and go to the reviews, which are counted where they are read.
+    """
+    p = F.broadcast(periods.select(F.col("app_id").alias("_app"), F.col("start").alias("_start"), F.col("end").alias("_end")))
+    inside = (F.col("app_id") == F.col("_app")) & (F.col("created_at") >= F.col("_start")) & (F.col("created_at") < F.col("_end"))
+    counts = reviews.select("app_id", "created_at").join(p, inside).groupBy("_app", "_start", "_end").agg(F.count("*").alias("n_reviews"))
+    counts = counts.select(F.col("_app").alias("app_id"), F.col("_start").alias("start"), F.col("_end").alias("end"), "n_reviews")
+    return periods.join(counts, ["app_id", "start", "end"], "left").withColumn("n_reviews", F.coalesce("n_reviews", F.lit(0)))
 
 
 def peak_share(buckets: DataFrame) -> DataFrame:
