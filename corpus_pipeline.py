@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns the documents that go on. What a stage
 returns is written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Edge cases, for every stage: an empty table gives an empty one; columns beyond those of documents are kept, whatever their
+names, by all but the last stage, which adds its own; texts are read whole. Null and empty texts pass the classifier by its
+own score for them, are near duplicates of nothing, lose no passage, are in no mix (they have no words), and so have no ids.
+Equal rows count as near duplicates of each other: one stays; without words all stay. Ties go to the smaller doc_id, null
+ids last.
 """
 
 from __future__ import annotations
