@@ -19,7 +19,7 @@ A tree of all sets would be searched in vain nearly everywhere, so sets first me
    all classes there, so that no pair of two components is left out. Of two components the ``tries`` pairs with the widest bound are verified; where there
    were more, and the components are still two, the search is done again with many more tries, until no pair is left.
 
-Frequent is what batches saw in two or more of their classes, at least 1 / ``frequent`` of all such counts, so there are
+Frequent is what runs of about a million shingles have in two or more of their classes, at least 1 / ``frequent`` of all such counts, so there are
 no more than ``frequent`` such shingles, which are broadcast with 12 bytes each. The order only moves work, never the
 result. Frequent shingles are dealt out in pieces, so no task gets all classes of one.
 
@@ -153,7 +153,28 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, seen, known = [], [], set()
+            rows: list[tuple] = []
+            seen: list[np.ndarray] = []
+            known: set[int] = set()
+
+            def flush() -> pa.RecordBatch:
+                """What was read since the last time; the first row has the repeated shingles."""
+                often, counts = np.unique(np.concatenate(seen), return_counts=True)
+                often, counts = often[counts > 1], counts[counts > 1]
+                first, last = rows[0][0].first, rows[-1][0].last  # noqa: B023
+                ends = np.full(last - first + 1, len(often), np.int32)
+                ends[0] = 0
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (often.view(np.int64), counts)]
+                made = pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(first, last - first) for c in ("doc_id", _KEY)),  # noqa: B023
+                     pa.array(np.concatenate([r[1] for r in rows]).astype(np.int64)), pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)), *lists],  # noqa: B023
+                    names=["doc_id", _KEY, "n", "set_id", "often", "counts"],
+                )
+                rows.clear()  # noqa: B023
+                seen.clear()  # noqa: B023
+                known.clear()  # noqa: B023
+                return made
+
             for run in kernels.runs(batch.column("text")):
                 hashes, bounds = shingle_sets(run, size)
                 ids = set_ids(hashes, bounds)
@@ -164,17 +185,10 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
                         new[i] = True
                 seen.append(hashes[np.repeat(new, np.diff(bounds))])
                 rows.append((run, np.diff(bounds), ids))
-            often, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often, counts = often[counts > 1], counts[counts > 1]
-            for i, (run, n, ids) in enumerate(rows):
-                here = np.zeros(len(run) + 1, np.int32)
-                here[1:] = len(often) if i == 0 else 0
-                lists = [pa.ListArray.from_arrays(pa.array(here), pa.array(x if i == 0 else x[:0])) for x in (often.view(np.int64), counts)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(run.first, len(run)), batch.column(_KEY).slice(run.first, len(run)),
-                     pa.array(n.astype(np.int64)), pa.array(ids.view(np.int64)), *lists],
-                    names=["doc_id", _KEY, "n", "set_id", "often", "counts"],
-                )
+                if sum(map(len, seen)) > 1 << 20:
+                    yield flush()
+            if rows:
+                yield flush()
 
     return docs.mapInArrow(work, f"doc_id long, {_KEY} long, n long, set_id long, often array<bigint>, counts array<bigint>")
 

@@ -208,9 +208,16 @@ def _loaded(weights: dict[str, float]) -> tuple[Lexicon, kernels.IdCache]:
     return kernels.worker_state(("toxicity", hash(tuple(sorted(weights.items())))), load)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that few texts are held as Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds sign: a hash of the whole set of a text's words."""
-    for batch in batches:
+    for batch in parts(batches):
         signs = []
         for text in batch.column("text").to_pylist():
             words = sorted(set(text.lower().split()))  # with their digits and marks
@@ -236,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms:
         return Model({}, np.array([math.log(share / (1 - share)), *[0.0] * (N_FEATURES - 1)]))
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for text, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True):
                 terms = list(terms_of(set(_PARTS.findall(text.lower()))))
                 yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "half": pa.array([h] * len(terms), pa.int32())})
@@ -250,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms:
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], int] = defaultdict(int)
-        for batch in batches:
+        for batch in parts(batches):
             for text, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True):
                 for term in terms_of(set(_PARTS.findall(text.lower()))) & sent.value:
                     counts[term, h] += 1
