@@ -39,17 +39,31 @@ def top_per_key(rows: DataFrame, keys: list[str], n: int, *order: Column, rank:
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
-def batches(rows: DataFrame, size: int, partition: str, *order: Column) -> DataFrame:
-    """Consecutive batches of a fixed size within each partition key.
+def numbered(rows: DataFrame, keys: list[str], place: str = "_place", ranges: int = 100) -> DataFrame:
+    """rows with their place, from 0, in the order of keys (ascending, distinct, no nulls).
 
-    Rows are numbered within ranges of key and order, and each range starts where the earlier ranges of its key end, so no
-    task sorts all rows of a key.
+    Rows are numbered within ranges, whose bounds are keys of a bounded sample of smallest hash, and each range starts where
+    the ranges before it end: no task sorts all rows, and the same rows give the same places.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, F.col(partition), *order).withColumn("_part", F.spark_partition_id())
-    own = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part", partition).orderBy(*order)) - 1)
-    sizes = own.groupBy("_part", partition).agg(F.count("*").alias("_n"))  # a row a range and key
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", partition, before.alias("_before"))
-    placed = own.join(F.broadcast(offsets), ["_part", partition])
-    return placed.withColumn("batch", F.floor((F.col("_place") + F.col("_before")) / size).cast("long")).drop("_part", "_place", "_before")
+    key = F.struct(*keys)
+    drawn = rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(ranges * 20)
+    edges = [tuple(r) for r in sorted(map(tuple, drawn.collect()))][10::20]  # of the sample
+    kinds = [rows.schema[k].dataType for k in keys]
+    bounds = F.array(*(F.struct(*(F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, e, kinds, strict=True))) for e in edges)) if edges else None
+    part = F.size(F.filter(bounds, lambda e: e <= key)) if edges else F.lit(0)
+    dealt = rows.withColumn("_part", part.cast("int"))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_part").alias("_of"), before.alias("_before"))
+    own = dealt.withColumn(place, F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
+    placed = own.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))
+    return placed.withColumn(place, F.col(place) + F.col("_before")).drop("_part", "_of", "_before")
+
+
+def batches(rows: DataFrame, size: int, partition: str, key: str) -> DataFrame:
+    """Consecutive batches of a fixed size within each partition, in the order of a key."""
+    placed = numbered(rows, [partition, key])
+    first = rows.groupBy(partition).agg(F.count("*").alias("_n"))
+    starts = first.select(F.col(partition).alias("_of"), F.coalesce(F.sum("_n").over(Window.orderBy(partition).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    joined = placed.join(F.broadcast(starts), placed[partition] == F.col("_of"))
+    return joined.withColumn("batch", F.floor((F.col("_place") - F.col("_first")) / size).cast("long")).drop("_of", "_first", "_place")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.functions.intervals import covers, needed_inflation, share_band, shipped, tolerance, wilson
+from hearsay.operators.selection import numbered
 
 REGISTER = 0.95
 
@@ -188,13 +189,7 @@ def recomposed(gold: DataFrame, fillers: DataFrame, size: int = 10, seed: str =
     return used.unionByName(top).withColumn("is_gold", F.lit(False)).unionByName(gold.select(F.col("review_id").alias("batch"), "review_id").withColumn("is_gold", F.lit(True)))
 
 
-def systematic(frame: DataFrame, step: int, start: int, *order: Column) -> DataFrame:
-    """Every step-th row of a frame in a total order, from a start. Rows are numbered within range partitions, whose sizes
-    are added up, so no task sorts all of them."""
-    parts = frame.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = frame.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
-    own = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    at = F.col("_place") + F.col("_before") - start
-    return own.join(F.broadcast(before), "_part").withColumn("_at", at).filter((F.col("_at") >= 0) & (F.col("_at") % step == 0)).drop("_part", "_place", "_before", "_at")
+def systematic(frame: DataFrame, step: int, start: int, *keys: str) -> DataFrame:
+    """Every step-th row of a frame in the order of keys, from a start."""
+    at = F.col("_place") - start
+    return numbered(frame, list(keys)).filter((at >= 0) & (at % step == 0)).drop("_place")

@@ -81,7 +81,7 @@ def top_aspects(spark, sf_dir):
 
 def label_batches(spark, sf_dir):
     """Reviews still owed, in batches of ten per app, as calls would be made."""
-    rows = selection.batches(unlabeled(spark, sf_dir), 10, "app_id", F.col("review_id"))
+    rows = selection.batches(unlabeled(spark, sf_dir), 10, "app_id", "review_id")
     return rows.groupBy("app_id", "batch").agg(F.count("*").alias("n"), F.min("review_id").alias("first_id"), F.max("review_id").alias("last_id"))
 
 

@@ -159,7 +159,7 @@ def systematic_sample(spark, sf_dir):
     """Every 37th envelope in the order of app and id, with whether it is empty."""
     empty = views.mentions(spark, sf_dir).select("review_id").distinct().withColumn("has", F.lit(True))
     frame = _members(spark, sf_dir).select("app_id", "review_id").join(empty, "review_id", "left").select("app_id", "review_id", F.col("has").isNull().alias("is_empty"))
-    return studies.systematic(frame, 37, 5, F.col("app_id"), F.col("review_id"))
+    return studies.systematic(frame, 37, 5, "app_id", "review_id")
 
 
 def _wilson(k, n, sign):
