@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import ann, bpe, chat, grammar, imatch, jaccard, licences, mixing, shared, substrings, toxicity
+from hearsay.llm import ann, bpe, chat, grammar, imatch, jaccard, licences, merkle, mixing, packing, shared, substrings, toxicity, trie
+from hearsay.llm.oracle import ORACLE
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -88,6 +89,27 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    fields = lambda text: merkle.leaf("doc_id", "source", "lang", "n_chars", text)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, fields(lower))
+    found = merkle.build(docs, fields("text"), "lang", ["doc_id"], {"tampered": tampered}).proofs()
+    folded = merkle.fold(F.coalesce("tampered", "digest"), F.col("path"))
+    proven = found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(packing.token_ids(docs, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(trie.turns(read(spark, sf_dir, "conversations")))).drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_jaccard": op2_jaccard,
@@ -99,8 +121,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
+    "op13_trie": op13_trie,
 }
-ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
