@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,130 +89,3 @@ def pool_digest(labels: DataFrame) -> Column:
 def regrouped(labels: DataFrame, apps: DataFrame) -> DataFrame:
     """Labels by app; those of reviews that no app has are an error's matter: app_id null."""
     return labels.join(apps.select("review_id", "app_id"), "review_id", "left").groupBy("app_id", "aspect").agg(F.count_distinct("review_id").alias("n"))
-
-
-GATE = "request_id long, ip string, day string, outcome string"
-
-
-def gate(requests: DataFrame, per_ip: int, per_day: int, backstop: float) -> DataFrame:
-    """Admissions of each UTC day in the order of (at, request_id): in_flight, ip_day_cap, day_cap, backstop or admitted.
-
-    requests: request_id, ip, at, seconds (how long the job would run), cost. Guards are asked in that order, only admitted
-    ones count. A day's requests are decided in sequence by one task, in batches: its state is a count for each visitor who
-    was admitted, which the cap of the day bounds.
-    """
-    def decide(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used: dict[str, int] = {}
-        live: dict[str, pd.Timestamp] = {}
-        total, spent = 0, 0.0
-        for rows in batches:
-            out = []
-            for request, ip, at, seconds, cost in zip(rows["request_id"], rows["ip"], rows["at"], rows["seconds"], rows["cost"], strict=True):
-                if ip in live and at < live[ip]:
-                    outcome = "in_flight"
-                elif used.get(ip, 0) >= per_ip:
-                    outcome = "ip_day_cap"
-                elif total >= per_day:
-                    outcome = "day_cap"
-                elif spent >= backstop:
-                    outcome = "backstop"
-                else:
-                    outcome = "admitted"
-                    used[ip], live[ip] = used.get(ip, 0) + 1, at + pd.Timedelta(seconds=float(seconds))
-                    total, spent = total + 1, spent + float(cost)
-                out.append((request, ip, key[0], outcome))
-            yield pd.DataFrame(out, columns=["request_id", "ip", "day", "outcome"])
-
-    days = requests.withColumn("day", F.date_format("at", "yyyy-MM-dd"))
-    sorted_ = days.repartition("day").sortWithinPartitions("day", "at", "request_id")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-        for frame in batches:
-            for day, rows in frame.groupby("day", sort=False):
-                if state.get("day") != day:
-                    state = {"day": day, "decide": _resumable(decide, day)}
-                yield state["decide"](rows)
-
-    return sorted_.mapInPandas(work, GATE)
-
-
-def _resumable(decide, day):
-    """decide over the batches of one day as they come."""
-    waiting: list[pd.DataFrame] = []
-
-    def batches():
-        while True:
-            yield waiting.pop()
-
-    made = decide((day,), batches())
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        waiting.append(rows)
-        return next(made)
-
-    return step
-
-
-WALK = "app_id long, pages long, collected long, out_of_window long, reported long, stopped_empty boolean, why string"
-
-
-def walks(pages: DataFrame, start, end, quota: int | None = None, strict: bool = False, retries: int = 2) -> DataFrame:
-    """Newest-first walks over the pages of each app (app_id, n, cursor, total, times: creation times of a page's reviews), as a
-    client that asks for one page after the other would walk them; a page that was asked for again is another row.
-
-    A walk ends below the window, at a page with strangers if it is strict, at its quota, at a cursor that was seen, or at an
-    empty page for the third time. Pages stream by in their order; only cursors are held.
-    """
-    def work(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, count, got, strangers, reported, left, why = {"*"}, 0, 0, 0, None, retries, ""
-        for frame in batches:
-            for cursor, total, times in zip(frame["cursor"], frame["total"], frame["times"], strict=True):
-                if why:
-                    break
-                count += 1
-                if reported is None and total == total and total is not None:
-                    reported = int(total)
-                if not len(times):
-                    left -= 1
-                    why = "empty pages" if left < 0 else ""
-                    continue
-                left = retries
-                inside = [t for t in times if start <= t <= end]
-                below = any(t < start for t in times)
-                strangers += (len(times) - len(inside)) if strict else 0
-                got += len(inside)
-                if below:
-                    why = "below the window"
-                elif strict and strangers:
-                    why = "strangers"
-                elif quota is not None and got >= quota:
-                    why = "quota"
-                elif cursor is None or cursor in seen:
-                    why = "cursor"
-                seen.add(cursor)
-        got = got if quota is None else min(got, quota)
-        yield pd.DataFrame([(key[0], count, got, strangers, reported, why == "empty pages", why or "no more pages")], columns=["app_id", "pages", "collected", "out_of_window", "reported", "stopped_empty", "why"])
-
-    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(work(key, iter([frame.sort_values("n")])))
-
-    return pages.groupBy("app_id").applyInPandas(whole, WALK)
-
-
-def attached(requests: DataFrame, seconds: int) -> DataFrame:
-    """Which job a request attaches to: the first of its app starts one, others within ``seconds`` of that start join it, and the
-    next after that starts another. requests: request_id, app_id, at -> request_id, app_id, job (the request that started it).
-
-    Requests of an app are folded in order; its state is one start.
-    """
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "request_id"])
-        jobs, job, until = [], None, None
-        for request, at in zip(frame["request_id"], frame["at"], strict=True):
-            if until is None or at >= until:
-                job, until = request, at + pd.Timedelta(seconds=seconds)
-            jobs.append(job)
-        return frame[["request_id", "app_id"]].assign(job=jobs)
-
-    return requests.groupBy("app_id").applyInPandas(fold, "request_id long, app_id string, job long")

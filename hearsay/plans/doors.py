@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from hearsay import views
@@ -81,28 +79,6 @@ def label_regrouping(spark, sf_dir):
     return doors.regrouped(views.mentions(spark, sf_dir).filter("slot = 'pinned'"), apps)
 
 
-def gate(spark, sf_dir):
-    """Requests made from events: their kind is the visitor, a few hundred seconds a job."""
-    e = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("event_type").alias("ip"), F.col("ts").cast("timestamp").alias("at"), F.lit(900).alias("seconds"), F.lit(0.125).alias("cost"))
-    return doors.gate(e, 5, 20, 2.0).groupBy("day", "outcome").agg(F.count("*").alias("n"))
-
-
-def live_attach(spark, sf_dir):
-    e = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("app_id"), F.col("ts").cast("timestamp").alias("at"))
-    return doors.attached(e, 36_000).groupBy("job").agg(F.count("*").alias("n"))
-
-
-def page_walks(spark, sf_dir):
-    """Pages of seven reviews of each app, newest first, with an empty page after every tenth."""
-    r = views.reviews(spark, sf_dir).withColumn("p", F.floor((F.expr("row_number() OVER (PARTITION BY app_id ORDER BY created_at DESC, review_id DESC)") - 1) / 7).cast("long"))
-    pages = r.groupBy("app_id", "p").agg(F.array_sort(F.collect_list("created_at")).alias("times")).withColumn("n", F.col("p") * 2)
-    empty = pages.filter("p % 10 = 9").select("app_id", (F.col("n") + 1).alias("n"), F.col("p"), F.array().cast("array<timestamp_ntz>").alias("times"))
-    both = pages.select("app_id", "n", "p", "times").unionByName(empty).withColumn("cursor", F.concat(F.lit("c"), F.col("p").cast("string")))
-    total = F.when(F.col("n") == 0, 12345)
-    shaped = both.select("app_id", "n", F.when(F.size("times") > 0, F.col("cursor")).otherwise(F.concat("cursor", F.lit("e"))).alias("cursor"), total.alias("total"), F.transform("times", lambda t: t.cast("timestamp")).alias("times"))
-    return doors.walks(shaped, datetime(1995, 6, 1), datetime(2099, 1, 1))
-
-
 def _pages(spark, sf_dir):
     """Review pages as a store would send them: one JSON an app and month."""
     r = views.reviews(spark, sf_dir).withColumn("m", F.date_format("created_at", "yyyy-MM"))
@@ -173,7 +149,7 @@ def label_sheets(spark, sf_dir):
 BASE = f"WITH {REVIEWS_SQL}, {ENVELOPES_SQL}, {MENTIONS_SQL}, {MONTHS_SQL}, v AS (SELECT review_id, app_id, CAST(review_id AS BIGINT) AS r FROM reviews)"
 QUERIES = {
     "insert_faults": insert_faults, "archive_puts": archive_puts, "settlement_faults": settlements, "report_faults": report_faults, "stored_spans": stored_spans, "run_metrics": run_metrics, "config_fingerprints": config_fingerprints,
-    "label_regrouping": label_regrouping, "admission_gate": gate, "live_attach": live_attach, "page_walks": page_walks, "review_pages": review_pages, "histogram_payloads": histogram_payloads, "store_search": store_search,
+    "label_regrouping": label_regrouping, "review_pages": review_pages, "histogram_payloads": histogram_payloads, "store_search": store_search,
     "provider_replies": provider_replies, "record_faults": record_faults, "label_sheets": label_sheets,
 }
 ORACLE = {
@@ -193,6 +169,4 @@ ORACLE = {
     "record_faults": """WITH l AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 17 = 1) SELECT 'sentiment is not allowed' AS problem, count(*) AS n FROM l WHERE doc_id % 11 = 2 GROUP BY 1 UNION ALL SELECT 'note is empty', count(*) FROM l WHERE doc_id % 13 = 5 HAVING count(*) > 0
         UNION ALL SELECT 'key twice', count(*) FROM (SELECT doc_id FROM l GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0""",
     "label_sheets": """SELECT unnest(['needs one of mentions, zero, skip', 'no such sentiment', 'evidence is not in the text', 'cannot be read: hm']) AS problem, unnest([count(*) FILTER (doc_id % 5 = 4), count(*) FILTER (doc_id % 5 = 3), count(*) FILTER (doc_id % 5 = 3), count(*) FILTER (doc_id % 20 = 7)]) AS n FROM documents""",
-    "live_attach": """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), w AS (SELECT user_id, rn, event_id AS job, ts AS began, event_id FROM e WHERE rn = 1
-        UNION ALL SELECT e.user_id, e.rn, CASE WHEN e.ts >= w.began + INTERVAL 10 HOUR THEN e.event_id ELSE w.job END, CASE WHEN e.ts >= w.began + INTERVAL 10 HOUR THEN e.ts ELSE w.began END, e.event_id FROM e JOIN w ON e.user_id = w.user_id AND e.rn = w.rn + 1) SELECT job, count(*) AS n FROM w GROUP BY 1""",
 }

@@ -1,13 +1,9 @@
-"""Streams over the event table: windowed counts with a watermark, deduplication, and a keyed admission limiter."""
+"""Streams over the event table: windowed counts with a watermark, and deduplication."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -28,33 +24,6 @@ def deduplicated(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def admissions(events: DataFrame, per_day: int) -> DataFrame:
-    """The first ``per_day`` requests of each visitor and UTC day are admitted; refused ones don't count.
-
-    The state of a visitor is a day and its count, so it stays small however long the stream runs. Within a
-    micro-batch requests are taken in the order of (ts, event_id).
-    """
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        day, used = state.get if state.exists else ("", 0)
-        out = []
-        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            now = ts.strftime("%Y-%m-%d")
-            if now != day:
-                day, used = now, 0
-            admitted = used < per_day
-            used += admitted
-            out.append((event_id, key[0], day, admitted))
-        state.update((day, used))
-        yield pd.DataFrame(out, columns=["event_id", "visitor", "day", "admitted"])
-
-    keyed = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("visitor"))
-    return keyed.groupBy("visitor").applyInPandasWithState(
-        decide, "event_id long, visitor long, day string, admitted boolean", "day string, used long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def run_once(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Works through all that is there and returns the in-memory table of results; for tests and backfills."""
     query = stream.writeStream.format("memory").queryName(table).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

@@ -181,9 +181,3 @@ def test_doors(spark, tmp_path):
     assert doors.append(rows, none, str(tmp_path / "t")) == 2 and spark.read.parquet(str(tmp_path / "t")).count() == 2
     with pytest.raises(ValueError):
         doors.append(rows, doors.insert_faults(rows, rows, ["review_id"]), str(tmp_path / "t"))
-    at = lambda m: f"2026-01-01 00:{m:02d}:00"
-    asked = [(1, "a", at(0)), (2, "a", at(1)), (3, "a", at(20)), (4, "a", at(40)), (5, "b", at(41)), (6, "c", at(42))]
-    requests = spark.createDataFrame(asked, "request_id long, ip string, at string").select("request_id", "ip", F.to_timestamp("at").alias("at"), F.lit(600).alias("seconds"), F.lit(1.0).alias("cost"))
-    got = {r.request_id: r.outcome for r in doors.gate(requests, 2, 3, 9.0).collect()}
-    assert got == {1: "admitted", 2: "in_flight", 3: "admitted", 4: "ip_day_cap", 5: "admitted", 6: "day_cap"}
-    assert {r.request_id: r.outcome for r in doors.gate(requests, 9, 9, 2.0).collect()}[5] == "backstop"

@@ -25,15 +25,6 @@ def test_daily_counts_close_with_the_watermark(spark, tmp_path):
     assert got.day.max() <= last
 
 
-def test_admissions_are_the_first_of_each_day(spark, tmp_path):
-    at, rows = folder(spark, tmp_path)
-    schema = spark.read.parquet(at).schema
-    got = ev.run_once(ev.admissions(ev.read(spark, at, schema), 1), "admitted", str(tmp_path / "c")).toPandas()
-    rows = rows.sort_values(["ts", "event_id"])
-    first = rows.groupby(["user_id", rows.ts.dt.floor("D")]).cumcount() < 1
-    assert dict(zip(got.event_id, got.admitted, strict=True)) == dict(zip(rows.event_id, first, strict=True))
-
-
 def test_deduplication(spark, tmp_path):
     at, rows = folder(spark, tmp_path)
     rows.head(50).to_parquet(tmp_path / "in" / "3.parquet", coerce_timestamps="us")
