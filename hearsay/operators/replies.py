@@ -149,11 +149,6 @@ def next_attempts(outcomes: DataFrame) -> DataFrame:
     return last.filter(~F.col("ok")).select("batch", "idx", step.alias("next")).filter("next IS NOT NULL")
 
 
-def run_totals(outcomes: DataFrame) -> DataFrame:
-    """Counters of a pass: calls, texts labelled, texts failed, evidence repairs."""
-    return outcomes.agg(F.count("*").alias("rows"), F.count_if("ok").alias("labelled"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("repairs"), F.lit(0)).alias("repairs"))
-
-
 def first_value_drift(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Keys whose value is not what it was first: key, pinned, drifted (the first other value)."""
     at = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

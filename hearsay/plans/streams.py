@@ -8,8 +8,8 @@ from hearsay import views
 from hearsay.operators import logs
 from hearsay.operators.selection import numbered
 from hearsay.sources import pages
-from hearsay.streaming import ordered, runs
-from hearsay.views import REVIEWS_SQL
+from hearsay.streaming import ordered, passes, runs
+from hearsay.views import MENTIONS_SQL, REVIEWS_SQL
 
 
 def requests(spark, sf_dir):
@@ -102,6 +102,41 @@ def walked_reviews(spark, sf_dir):
     return r.groupBy("app_id", "language").agg(F.count("*").alias("n"), F.count_if("voted_up").alias("up"), F.max("created_at").cast("timestamp_ntz").alias("newest"), F.max("page").alias("last_page"))
 
 
+def _ladder(spark, sf_dir):
+    """A run over the reviews of mentions: one in 31 gets a sentiment that is none unless it is asked about alone, one in 97 always,
+    and every eleventh full batch comes back as prose."""
+    folder = runs.folder(spark, "passes")
+    texts = views.mentions(spark, sf_dir).groupBy("review_id").agg(F.concat_ws(" / ", F.array_sort(F.collect_set("evidence"))).alias("text"))
+    texts.write.parquet(f"{folder}/in")
+    kept = spark.read.schema(texts.schema).parquet(f"{folder}/in")
+
+    def answer(asked):
+        r = F.col("review_id").cast("long")
+        alone = F.col("size") == 1
+        sentiment = F.when((r % 97 == 5) | (r % 31 == 7) & ~alone, "angry").otherwise("positive")
+        quote = F.when(r % 5 == 0, F.lit("not in the text")).otherwise(F.substring_index("text", " / ", 1))
+        item = F.struct(F.lit("Brand_New").alias("aspect"), sentiment.alias("sentiment"), quote.alias("evidence"))
+        one = F.struct("idx", F.array(item).alias("aspects"))
+        whole = asked.groupBy("batch", "size").agg(F.to_json(F.array_sort(F.collect_list(F.struct("idx", one.alias("o"))))["o"]).alias("t"))
+        return whole.select("batch", "size", F.when((F.col("batch") % 11 == 6) & (F.col("size") > 1), F.lit("I can't say.")).otherwise(F.col("t")).alias("reply"))
+
+    ladder = passes.Passes(spark, folder, answer, spark.createDataFrame([], "key string, label string"))
+    ladder.follow(spark.readStream.schema(kept.schema).parquet(f"{folder}/in"), f"{folder}/c")
+    ladder.finish()
+    return ladder
+
+
+def labelled_run(spark, sf_dir):
+    """How each review came out of the ladder, with its mentions and whether their evidence held."""
+    ladder = _ladder(spark, sf_dir)
+    m = ladder.mentions().groupBy("review_id").agg(F.count("*").alias("mentions"), F.count("evidence").alias("with_evidence"))
+    return ladder.outcomes().join(m, "review_id", "left").groupBy("attempt", "ok").agg(F.count("*").alias("n"), F.sum("mentions").alias("mentions"), F.sum("with_evidence").alias("with_evidence"), F.min("review_id").alias("first"))
+
+
+def run_totals(spark, sf_dir):
+    return _ladder(spark, sf_dir).totals()
+
+
 #: Pages of the capture, what each is for a walk, and where the walks end.
 PAGES_SQL = f"""{REVIEWS_SQL}, pr AS (SELECT *, (row_number() OVER (PARTITION BY app_id ORDER BY created_at DESC, review_id::BIGINT DESC) - 1) // 7 AS p FROM reviews),
   pg AS (SELECT app_id, p, count(*) FILTER (created_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31') AS inside, count(*) AS n, bool_or(created_at < TIMESTAMP '1996-01-01') AS below,
@@ -110,8 +145,15 @@ PAGES_SQL = f"""{REVIEWS_SQL}, pr AS (SELECT *, (row_number() OVER (PARTITION BY
     CASE WHEN empties = 3 THEN 'empty pages' WHEN below THEN 'below the window' WHEN way = 'strict' AND sum(n - inside) OVER w > 0 THEN 'strangers' WHEN way = 'quota' AND sum(inside) OVER w >= 100 THEN 'quota' WHEN last OR app_id % 5 = 1 AND p = 60 THEN 'cursor' END AS why
     FROM pg, (SELECT unnest(['window', 'quota', 'strict']) AS way) WINDOW w AS (PARTITION BY way, app_id ORDER BY p)),
   ends AS (SELECT way, app_id, min(p) AS p FROM pw WHERE why IS NOT NULL GROUP BY 1, 2)"""
-QUERIES = {"page_walks": page_walks, "walked_reviews": walked_reviews, "admission_gate": admission_gate, "live_attach": live_attach, "event_frames": event_frames}
+#: The ladder's passes: place among what is asked, whether it failed.
+LADDER_SQL = f"""{MENTIONS_SQL}, a AS (SELECT review_id, review_id::BIGINT AS r, count(DISTINCT evidence) > 0 AS has, (row_number() OVER (ORDER BY review_id) - 1) // 10 AS b FROM mentions GROUP BY review_id),
+  f0 AS (SELECT * FROM a WHERE b % 11 = 6 AND (SELECT count(*) FROM a z WHERE z.b = a.b) > 1 OR r % 31 = 7 OR r % 97 = 5), g AS (SELECT * EXCLUDE b, (row_number() OVER (ORDER BY review_id) - 1) // 10 AS b FROM f0),
+  f1 AS (SELECT * FROM g WHERE b % 11 = 6 AND (SELECT count(*) FROM g z WHERE z.b = g.b) > 1 OR (r % 31 = 7 AND (SELECT count(*) FROM g z WHERE z.b = g.b) > 1) OR r % 97 = 5),
+  o AS (SELECT review_id, has AND r % 5 <> 0 AS held, has, r, CASE WHEN review_id IN (SELECT review_id FROM f1) THEN 'isolate' WHEN review_id IN (SELECT review_id FROM f0) THEN 'rebatch' ELSE 'initial' END AS attempt, NOT (review_id IN (SELECT review_id FROM f1) AND r % 97 = 5) AS ok FROM a)"""
+QUERIES = {"labelled_run": labelled_run, "run_totals": run_totals, "page_walks": page_walks, "walked_reviews": walked_reviews, "admission_gate": admission_gate, "live_attach": live_attach, "event_frames": event_frames}
 ORACLE = {
+    "labelled_run": f"""WITH {LADDER_SQL} SELECT attempt, ok, count(*) AS n, CASE WHEN ok THEN count(*) END AS mentions, CASE WHEN ok THEN count(*) FILTER (held) END AS with_evidence, min(review_id) AS first FROM o GROUP BY 1, 2""",
+    "run_totals": f"""WITH {LADDER_SQL} SELECT count(*) AS members, count(*) FILTER (ok) AS labelled, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (attempt <> 'initial') AS rebatched, count(*) FILTER (attempt = 'isolate') AS isolated, count(*) FILTER (ok) AS mentions, count(*) FILTER (ok AND r % 5 = 0) AS repairs FROM o""",
     "page_walks": f"""WITH {PAGES_SQL} SELECT way, app_id, p + lost + (why <> 'empty pages')::INT AS pages, least(got - CASE why WHEN 'empty pages' THEN inside ELSE 0 END, CASE way WHEN 'quota' THEN 100 ELSE 1e9 END)::BIGINT AS collected, CASE WHEN way = 'strict' AND why <> 'empty pages' THEN strangers ELSE 0 END AS out_of_window,
       (SELECT count(*) FROM reviews r WHERE r.app_id = pw.app_id) AS reported, why = 'empty pages' AS stopped_empty, why FROM pw JOIN ends USING (way, app_id, p)""",
     "walked_reviews": f"""WITH {PAGES_SQL} SELECT pr.app_id, language, count(*) AS n, count(*) FILTER (voted_up) AS up, max(created_at) AS newest, max(pr.p + (SELECT sum(empties) FROM pg WHERE pg.app_id = pr.app_id AND pg.p <= pr.p))::BIGINT AS last_page
