@@ -49,10 +49,13 @@ def binomial_bounds(successes: pd.Series, trials: pd.Series) -> pd.DataFrame:
             low.append(k / n)
             high.append(k / n)
             continue
-        i = np.arange(n + 1)
-        logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-        total = np.cumsum(np.exp(logs[n] - logs - logs[::-1] + i * math.log(k / n) + (n - i) * math.log1p(-k / n)))
-        at = np.minimum(np.searchsorted(total, [0.025, 0.975]), n)
+        # all but 1e-30 of the weight lies within a few deviations of k: a window of the order of sqrt(n)
+        reach = 12 * math.sqrt(k * (1 - k / n)) + 12
+        i = np.arange(max(0, math.floor(k - reach)), min(n, math.ceil(k + reach)) + 1)
+        steps = np.log((n - i[:-1]) / (i[:-1] + 1.0)) + math.log(k / n) - math.log1p(-k / n)
+        logs = np.concatenate([[0.0], np.cumsum(steps)])
+        total = np.cumsum(np.exp(logs - logs.max()))
+        at = i[np.minimum(np.searchsorted(total / total[-1], [0.025, 0.975]), len(i) - 1)]
         low.append(at[0] / n)
         high.append(at[1] / n)
     return pd.DataFrame({"low": low, "high": high})

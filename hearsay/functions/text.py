@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,58 +69,62 @@ def quoted_parts(text: Column) -> Column:
     return F.transform(inner, lambda x: quoted_words(x["p"]))
 
 
-def prose_spans(text: str) -> list[tuple[int, int, str, str]]:
-    """Start, end, text and kind: paired quotations with their marks, numerals outside of them, and a last mark without pair."""
-    marks = [i for i, c in enumerate(text) if c == '"']
-    pairs = list(zip(marks[0::2], marks[1::2], strict=False))
-    found = [(a, z + 1, text[a : z + 1], "quote") for a, z in pairs]
-    if len(marks) % 2:
-        found.append((marks[-1], marks[-1] + 1, '"', "unpaired"))
-    edges = marks[: 2 * len(pairs)]
-    for match in re.finditer(NUMERAL, text):
-        if bisect_left(edges, match.start()) % 2 == 0:  # a numeral never begins at a mark
-            found.append((match.start(), match.end(), match[0], "numeral"))
-    return sorted(found)
+def _running(rows: DataFrame, key: str, order: str, width: Column) -> Column:
+    """Sum of the widths of a key's rows before each."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(width).over(before), F.lit(0)).cast("int")
 
 
-SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("span", T.StringType()), T.StructField("kind", T.StringType())])
+def prose_spans(prose: DataFrame, key: str, *others: str) -> DataFrame:
+    """key (distinct), others, start, end, span, kind of prose (key, others, text; quotes plain): paired quotations with their
+    marks (quote), numerals outside of them (numeral), and a last mark without a pair (unpaired).
 
+    Texts are cut at their marks, then what lies outside at its numerals; places are running lengths of the pieces.
+    """
+    cut = prose.select(key, *others, F.size(F.split("text", '"', -1)).alias("n"), F.posexplode(F.split("text", '"', -1)).alias("i", "part"))
+    parts = cut.withColumn("at", _running(cut, key, "i", F.length("part") + 1))
+    odd, last = F.col("i") % 2 == 1, F.col("i") == F.col("n") - 1
+    size, at = F.length("part"), F.col("at")
+    marked = parts.filter(odd).select(
+        key, *others, (at - 1).alias("start"), F.when(last, at).otherwise(at + size + 1).cast("int").alias("end"),
+        F.when(last, F.lit('"')).otherwise(F.concat(F.lit('"'), "part", F.lit('"'))).alias("span"), F.when(last, "unpaired").otherwise("quote").alias("kind"),
+    )
+    outside = parts.filter(~odd | last).withColumn("numbers", numerals(F.col("part"))).filter(F.size("numbers") > 0)
+    gaps = F.transform(F.split("part", NUMERAL, -1), lambda g: F.length(g))
+    each = outside.select(key, *others, "at", "i", F.posexplode(F.arrays_zip(F.col("numbers").alias("number"), F.slice(gaps, F.lit(1), F.size("numbers")).alias("gap"))).alias("k", "x"))
+    each = each.select(key, *others, "at", F.struct("i", "k").alias("place"), F.col("i").alias("i"), F.col("x.number").alias("span"), F.col("x.gap").alias("gap"))
+    piece = Window.partitionBy(key, "i").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("at") + F.col("gap") + F.coalesce(F.sum(F.length("span") + F.col("gap")).over(piece), F.lit(0))
+    numbers = each.select(key, *others, start.cast("int").alias("start"), (start + F.length("span")).cast("int").alias("end"), "span", F.lit("numeral").alias("kind"))
+    return marked.unionByName(numbers)
 
-@F.pandas_udf(T.ArrayType(SPAN))
-def spans(texts: pd.Series) -> pd.Series:
-    """prose_spans of texts whose quotes are plain."""
-    return texts.map(prose_spans, na_action="ignore")
 
+#: In masked text: stops inside a quotation, its closing stops, and a mark without a pair.
+_HELD, _CLOSING, _ALONE = "\u0001", "\u0002", "\u0003"
 
-_SENTENCE_END = re.compile(r"""[.!?]+(?:"(?=\s+[^\sa-z]|\s*$)|(?=\s|$))""")
 
+def masked(text: Column) -> Column:
+    """Text of the same length in which stops inside quotations can be told from others."""
+    parts = F.split(text, '"', -1)
+    last = F.size(parts) - 1
+    closing = lambda p: F.length(F.regexp_extract(p, "[.!?]*$", 0))
+    inner = lambda p: F.concat(F.translate(F.left(p, F.length(p) - closing(p)), ".!?", _HELD * 3), F.repeat(F.lit(_CLOSING), closing(p)))
+    shown = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (i < last), inner(p)).otherwise(p))
+    whole = F.array_join(shown, '"')
+    head = F.array_join(F.slice(shown, F.lit(1), last), '"')
+    return F.when(last % 2 == 1, F.concat(head, F.lit(_ALONE), F.get(shown, last))).otherwise(whole)
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence, the white space after it included. Nothing inside a quotation ends one."""
-    marks = [i for i, c in enumerate(text) if c == '"']
-    marks = marks[: len(marks) // 2 * 2]
-    ends = [0]
-    for match in _SENTENCE_END.finditer(text):
-        at = match.end()
-        before = bisect_left(marks, at)
-        if before % 2 or (before < len(marks) and marks[before] == at):
-            continue
-        ends.append(at + len(text[at:]) - len(text[at:].lstrip()))
-    if ends[-1] < len(text):
-        ends.append(len(text))
-    return list(zip(ends[:-1], ends[1:], strict=True))
 
+#: A sentence with the white space after it. After a closing mark, a small letter goes on with the sentence.
+_SENTENCE = rf"(?U)(?s:.*?)(?:[.!?]+(?=\s|$)|(?:{_CLOSING}+\"|[.!?]+{_ALONE})(?=\s+[^\sa-z]|\s*$))\s*|(?s:.+)$"
 
-@F.pandas_udf(T.StringType())
-def without_sentences(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Texts without the sentences that a span (start, end) touches."""
-    def cut(text, hits):
-        if text is None:
-            return None
-        hits = [(h["start"], h["end"]) for h in (hits if hits is not None else [])]
-        return "".join(text[a:b] for a, b in sentences(text) if not any(x < b and y > a for x, y in hits)).strip()
 
-    return pd.Series([cut(t, h) for t, h in zip(texts, spans, strict=True)])
+def sentences(prose: DataFrame, key: str) -> DataFrame:
+    """key (distinct), place, start, end, sentence of prose (key, text; quotes plain)."""
+    cut = prose.select(key, "text", F.posexplode(F.regexp_extract_all(masked(F.col("text")), F.lit(_SENTENCE), 0)).alias("place", "piece"))
+    size = F.length("piece")
+    placed = cut.withColumn("start", _running(cut, key, "place", size)).withColumn("end", (F.col("start") + size).cast("int"))
+    return placed.select(key, "place", "start", "end", F.substring("text", F.col("start") + 1, size).alias("sentence"))
 
 
 def _ascii(name: str) -> str:
@@ -158,12 +161,10 @@ def plain_name(names: pd.Series) -> pd.Series:
 
 
 def _roman(token: Column) -> Column:
-    """Value of a numeral of i, v and x, smaller ones before larger ones taken away."""
-    letters = F.reverse(F.split(token, ""))
-    worth = lambda c: F.when(c == "i", 1).when(c == "v", 5).when(c == "x", 10).otherwise(0)
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top"))
-    step = lambda acc, c: F.struct(F.when(worth(c) < acc["top"], acc["sum"] - worth(c)).otherwise(acc["sum"] + worth(c)).alias("sum"), F.greatest(acc["top"], worth(c)).alias("top"))
-    return F.aggregate(letters, start, step, lambda acc: acc["sum"])
+    """Value of a numeral of i, v and x: an i before the last larger letter counts against it, and so does a v before the last x."""
+    count = lambda text, letter: F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+    to_last, to_x = F.regexp_extract(token, "^.*[vx]", 0), F.regexp_extract(token, "^.*x", 0)
+    return 10 * count(token, "x") + 5 * (count(token, "v") - 2 * count(to_x, "v")) + count(token, "i") - 2 * count(to_last, "i")
 
 
 def numeral_signature(plain: Column) -> Column:

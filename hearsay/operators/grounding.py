@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.functions import text as tx
+from hearsay.functions.search import parts_of
 
 
 def whitelist(aggregates: DataFrame) -> DataFrame:
@@ -33,8 +34,7 @@ def ungrounded_numbers(prose: DataFrame, facts: DataFrame, key: str, by: str) ->
 
 def spans_of(prose: DataFrame, key: str, by: str) -> DataFrame:
     """Quotations, numerals outside of them and unpaired marks of prose (key, by, text): key, by, start, end, span, kind."""
-    rows = prose.select(key, by, tx.spans(tx.plain_quotes(F.col("text"))).alias("all"))
-    return rows.select(key, by, F.explode("all").alias("x")).select(key, by, "x.*")
+    return tx.prose_spans(prose.select(key, by, tx.plain_quotes(F.col("text")).alias("text")), key, by)
 
 
 def grounded(prose: DataFrame, facts: DataFrame, evidence: DataFrame, key: str, by: str) -> DataFrame:
@@ -48,10 +48,10 @@ def grounded(prose: DataFrame, facts: DataFrame, evidence: DataFrame, key: str,
     numeral, quote = F.col("kind") == "numeral", F.col("kind") == "quote"
     spans = spans_of(prose, key, by).select("*", F.when(numeral, places).alias("places"), F.when(numeral, number).alias("number"), F.when(quote, words).alias("words"))
     known = tx.roundings(facts.select(by, "value").distinct(), by)
-    # a pool's texts are reduced to distinct ones before the words of its quotations are looked for in them
+    # a pool's texts are reduced to distinct ones, and read once for the words of all quotations
     pool = evidence.groupBy(F.col(by), F.col("text").alias("source")).agg(F.min("review_id").alias("review_id"))
     asked = spans.filter("words <> ''").select(by, "words").distinct()
-    found = asked.join(pool, by).filter(F.contains("source", F.col("words"))).groupBy(by, "words").agg(F.min("review_id").alias("review_id"))
+    found = parts_of(pool, "source", asked, "words").join(asked, [by, "words"], "left_semi").groupBy(by, "words").agg(F.min("review_id").alias("review_id"))
     reason = (
         F.when(F.col("kind") == "unpaired", "unpaired quotation mark")
         .when(numeral & F.col("value").isNull(), "matches no value at its own precision")
@@ -65,7 +65,25 @@ def grounded(prose: DataFrame, facts: DataFrame, evidence: DataFrame, key: str,
 def cut_violations(prose: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """prose (key, text) with cut: the text without the sentences that a violation of spans touches."""
     hits = spans.filter("reason IS NOT NULL").groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("hits"))
-    return prose.join(hits, key, "left").withColumn("cut", tx.without_sentences(F.col("text"), F.col("hits"))).drop("hits")
+    own = tx.sentences(prose.select(key, tx.plain_quotes(F.col("text")).alias("text")), key).drop("sentence")
+    touched = F.exists("hits", lambda h: (h["start"] < F.col("end")) & (h["end"] > F.col("start")))
+    kept = own.join(hits, key, "left").filter(~F.coalesce(touched, F.lit(False)))
+    places = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("kept"))
+    rows = prose.join(places, key, "left")
+    text = F.array_join(F.transform("kept", lambda k: F.substring(F.col("text"), k["start"] + 1, k["end"] - k["start"])), "")
+    return rows.withColumn("cut", F.when(F.col("text").isNotNull(), tx.strip(F.coalesce(text, F.lit(""))))).drop("kept")
+
+
+def regrounding(prose: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """What to do with stored prose whose spans no longer hold, a row for each sentence that goes: key, place, sentence, reasons
+    (distinct, sorted), and action: cut, or withhold where nothing would be left."""
+    own = tx.sentences(prose.select(key, tx.plain_quotes(F.col("text")).alias("text")), key)
+    hits = spans.filter("reason IS NOT NULL").select(key, F.col("start").alias("from"), F.col("end").alias("to"), "reason")
+    bad = own.join(hits, key).filter("from < end AND to > start").groupBy(key, "place").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    judged = own.join(bad, [key, "place"], "left")
+    left = judged.groupBy(key).agg(F.count_if(F.col("reasons").isNull() & (tx.strip(F.col("sentence")) != "")).alias("left"))
+    rows = judged.filter("reasons IS NOT NULL").join(left, key)
+    return rows.select(key, "place", tx.strip(F.col("sentence")).alias("sentence"), F.array_join("reasons", "; ").alias("reasons"), F.when(F.col("left") > 0, "cut").otherwise("withhold").alias("action"))
 
 
 def segments(prose: DataFrame, spans: DataFrame, key: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearsay.functions import text as tx
 from hearsay.operators import grounding
@@ -44,37 +43,39 @@ def normalized(raw: DataFrame, index: DataFrame, column: str = "aspect") -> Data
     return raw.join(known, raw[column].eqNullSafe(known["_raw"]), "left").select(*kept, F.col("_aspect").alias("aspect"), F.col("_slot").alias("slot"))
 
 
-_FENCE = re.compile(r"```[A-Za-z]*\s*\n(.*?)```", re.DOTALL)
+_STRING_OR_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]]', re.DOTALL)
 
 
-def decoded(reply: str) -> str | None:
-    """The JSON of a reply: the whole of it, else the first fenced block that is JSON, else the first value that a [ begins."""
-    for text in (reply, *_FENCE.findall(reply)):
-        try:
-            return json.dumps(json.loads(text), ensure_ascii=False)
-        except ValueError:
-            continue
-    decoder = json.JSONDecoder()
-    at = reply.find("[")
-    while at >= 0:
-        try:
-            return json.dumps(decoder.raw_decode(reply, at)[0], ensure_ascii=False)
-        except ValueError:
-            at = reply.find("[", at + 1)
-    return None
+def _pairs(text: str) -> list[tuple[int, int]]:
+    """For each square bracket that opens, where it is closed, counting those between that stand outside of JSON strings."""
+    found = []
+    for opened in (i for i, c in enumerate(text) if c == "["):
+        depth = 0
+        for token in _STRING_OR_BRACKET.finditer(text, opened):
+            depth += {"[": 1, "]": -1}.get(token[0], 0)
+            if not depth:
+                found.append((opened, token.end()))
+                break
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def bracketed(texts: pd.Series) -> pd.Series:
+    """What stands in square brackets, from the left."""
+    return texts.map(lambda t: [t[a:z] for a, z in _pairs(t)], na_action="ignore")
 
 
 def with_payload(replies: DataFrame) -> DataFrame:
-    """replies (..., reply) with payload: the reply's JSON, null if it has none. Plain JSON is taken as it is; only replies
-    that are none go through Python."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [decoded(x) if x is not None else None for x in batch.column("reply").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "payload"])
-
-    plain = F.expr("try_parse_json(reply)").isNotNull()
-    others = replies.filter(~plain).mapInArrow(work, replies.schema.add("payload", "string"))
-    return replies.filter(plain).withColumn("payload", F.col("reply")).unionByName(others)
+    """replies (..., reply) with payload: the reply itself if it is JSON, else its first fenced block that is, else the first of what
+    it has in square brackets that is; null if there is none. Only replies that are no JSON are looked through."""
+    is_json = lambda c: F.call_function("try_parse_json", c).isNotNull()
+    pieces = F.split("reply", "```", -1)
+    blocks = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: (x["i"] % 2 == 1) & (x["i"] < F.size(pieces) - 1) & x["p"].rlike(r"^[A-Za-z]*\s*\n"))
+    bodies = F.transform(blocks, lambda x: F.regexp_replace(x["p"], r"^[A-Za-z]*\s*\n", ""))
+    plain = replies.filter(is_json(F.col("reply"))).withColumn("payload", F.col("reply"))
+    others = replies.filter(~F.coalesce(is_json(F.col("reply")), F.lit(False)))
+    found = F.get(F.filter(F.concat(bodies, F.coalesce(bracketed("reply"), F.array().cast("array<string>"))), is_json), 0)
+    return plain.unionByName(others.withColumn("payload", found))
 
 
 def parsed(replies: DataFrame, texts: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearsay import views
 from hearsay.operators import doors, series
+from hearsay.plans.marts import MINT_SQL, SCOPE
 from hearsay.plans.series import MONTHS_SQL
 from hearsay.sources import files, payloads
 from hearsay.views import ENVELOPES_SQL, MENTIONS_SQL, REVIEWS_SQL
@@ -136,10 +137,10 @@ def label_sheets(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("text of "), F.col("doc_id").cast("string")).alias("text"))
     k = F.col("doc_id")
     says = (
-        F.when(k % 5 == 0, F.lit("Zero mentions.")).when(k % 5 == 1, F.lit("SKIP: empty_text")).when(k % 5 == 2, F.concat(F.lit('- story / positive / "text of '), k.cast("string"), F.lit('"')))
+        F.when(k % 5 == 0, F.lit("Zero mentions.")).when(k % 5 == 1, F.lit("SKIP: empty_text")).when(k % 5 == 2, F.concat(F.lit('- story / positive / "text of '), k.cast("string"), F.lit('"\n- pace / mixed / (no span)')))
         .when(k % 5 == 3, F.lit('- story / angry / "not there"')).otherwise(F.lit("Zero mentions.\n- combat / mixed"))
     )
-    block = F.concat(F.lit("## 1 · review "), k.cast("string"), F.lit("\n- [x] reviewed\n````text\n## 2 · review 99\n"), "text", F.lit("\n````\n"), says, F.when(k % 20 == 7, F.lit("\nhm")).otherwise(""))
+    block = F.concat(F.lit("## 1 · review "), k.cast("string"), F.when(k % 15 == 4, F.lit("\n- [ ] reviewed")).otherwise(F.lit("\n- [x] reviewed")), F.lit("\n````text\n## 2 · review 99\n"), "text", F.lit("\n````\n"), says, F.when(k % 20 == 7, F.lit("\nhm")).otherwise(""))
     sheets = d.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
     rows = files.sheets(sheets.select(F.col("source").alias("file"), F.concat(F.lit("A preamble.\n"), "text").alias("text")))
     faults = files.sheet_problems(rows, d.select(k.cast("string").alias("review_id"), "text"))
@@ -157,7 +158,10 @@ ORACLE = {
         SELECT fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY 1""",
     "archive_puts": """SELECT CASE WHEN doc_id % 25 = 3 THEN 'conflict' WHEN doc_id % 14 = 4 AND doc_id % 9 = 1 THEN 'conflict' WHEN doc_id % 2 = 1 THEN 'new' WHEN doc_id % 14 = 4 THEN 'conflict' ELSE 'same' END AS outcome, count(*) AS n FROM documents GROUP BY 1""",
     "settlement_faults": """WITH s AS (SELECT event_id AS j FROM events WHERE event_id % 6 = 0 OR event_id % 35 = 1) SELECT CASE WHEN j % 3 <> 0 THEN 'no such job' WHEN j % 12 = 0 THEN 'settled already' WHEN j % 42 = 0 THEN 'settled twice' END AS fault, count(*) AS n FROM s WHERE j % 3 <> 0 OR j % 12 = 0 OR j % 42 = 0 GROUP BY 1""",
-    "report_faults": """SELECT unnest([4, 6, 7])::BIGINT AS report_id, unnest(['aspect of another app', 'more reviews than the sample', 'sample is not the members']) AS fault""",
+    "report_faults": f"""{BASE}, m AS ({MINT_SQL}), s AS (SELECT app_id, any_value(sample_size) AS size FROM m GROUP BY 1), k AS (SELECT app_id, count(*) FILTER (app_id <> 7 OR review_id::BIGINT % 2 = 0) AS members FROM envelopes WHERE {SCOPE} GROUP BY 1),
+        a AS (SELECT app_id AS report_id, CASE WHEN app_id = 4 AND slot = 'candidate' THEN 5 ELSE app_id END AS app_id, n_reviews + CASE WHEN app_id = 6 THEN 1000000 ELSE 0 END AS n_reviews FROM m)
+        SELECT s.app_id AS report_id, 'sample is not the members' AS fault FROM s LEFT JOIN k USING (app_id) WHERE size <> coalesce(members, 0)
+        UNION SELECT report_id, 'aspect of another app' FROM a WHERE report_id <> app_id UNION SELECT report_id, 'more reviews than the sample' FROM a JOIN s ON s.app_id = report_id WHERE n_reviews > size""",
     "run_metrics": "SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*)::DOUBLE AS calls, (count(*) FILTER (event_type = 'error'))::DOUBLE AS errors, count(DISTINCT user_id)::DOUBLE AS users FROM events GROUP BY 1",
     "config_fingerprints": f"""{BASE} SELECT DISTINCT origin || '/' || ontology_version AS k, sha256('{{"model_version":"' || model_version || '","ontology_version":"' || ontology_version || '","origin":"' || origin || '","prompt_version":"' || prompt_version || '"}}') AS digest FROM envelopes""",
     "label_regrouping": f"{BASE} SELECT CASE WHEN r % 50 <> 9 THEN app_id END AS app_id, aspect, count(DISTINCT review_id) AS n FROM mentions JOIN v USING (review_id) WHERE slot = 'pinned' GROUP BY 1, 2",
@@ -168,5 +172,5 @@ ORACLE = {
     "provider_replies": "SELECT event_type AS text, CASE event_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' ELSE 'blocked' END AS finish, count(*) AS n FROM events GROUP BY 1, 2",
     "record_faults": """WITH l AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 17 = 1) SELECT 'sentiment is not allowed' AS problem, count(*) AS n FROM l WHERE doc_id % 11 = 2 GROUP BY 1 UNION ALL SELECT 'note is empty', count(*) FROM l WHERE doc_id % 13 = 5 HAVING count(*) > 0
         UNION ALL SELECT 'key twice', count(*) FROM (SELECT doc_id FROM l GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0""",
-    "label_sheets": """SELECT unnest(['needs one of mentions, zero, skip', 'no such sentiment', 'evidence is not in the text', 'cannot be read: hm']) AS problem, unnest([count(*) FILTER (doc_id % 5 = 4), count(*) FILTER (doc_id % 5 = 3), count(*) FILTER (doc_id % 5 = 3), count(*) FILTER (doc_id % 20 = 7)]) AS n FROM documents""",
+    "label_sheets": """SELECT unnest(['cannot be read: malformed mention line: - combat / mixed', 'no such sentiment', 'evidence is not in the text', 'cannot be read: hm', 'not reviewed']) AS problem, unnest([count(*) FILTER (doc_id % 5 = 4), count(*) FILTER (doc_id % 5 = 3), count(*) FILTER (doc_id % 5 = 3), count(*) FILTER (doc_id % 20 = 7), count(*) FILTER (doc_id % 15 = 4)]) AS n FROM documents""",
 }

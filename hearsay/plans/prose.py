@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hearsay import views
 from hearsay.functions import text as tx
+from hearsay.functions.search import parts_of
 from hearsay.operators import grounding
 from hearsay.operators.aggregates import on_version
 from hearsay.plans.marts import MINT_SQL, SCOPE, mint
@@ -81,18 +82,26 @@ def sentence_quotes(spark, sf_dir):
 
 
 def canary_report(spark, sf_dir):
-    """Beacons (the first word of every benchmark item) in answers of assistants: which leak, and how often."""
-    beacons = views.table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.get(F.split("text", " "), 0)).alias("beacon")).filter("item_id < 40")
+    """Beacons (the first two words of every benchmark item) in answers of assistants, in any case and anywhere: which leak, and in how
+    many answers."""
+    words = F.split("text", " ")
+    beacons = views.table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.concat_ws(" ", F.get(words, 0), F.get(words, 1))).alias("beacon"))
     kind = F.when(F.col("item_id") % 2 == 0, "blocked").otherwise("counted")
-    answers = views.table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("beacon"))
-    hits = answers.groupBy("beacon").agg(F.count("*").alias("hits"))  # words meet beacons by an equal join
+    answers = views.table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.lower("text").alias("text"))
+    hits = parts_of(answers, "text", beacons, "beacon").groupBy("beacon").agg(F.count("*").alias("hits"))
     rows = beacons.withColumn("expectation", kind).join(hits, "beacon", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return rows.select("item_id", "expectation", "hits", (F.col("hits") > 0).alias("breached"), ((F.col("hits") > 0) & (F.col("expectation") == "blocked")).alias("failed"))
 
 
+def regrounding_plan(spark, sf_dir):
+    """What each narrative must lose, sentence by sentence."""
+    prose, spans = judged(spark, sf_dir)
+    return grounding.regrounding(prose, spans, "id")
+
+
 def ungrounded(spark, sf_dir):
-    """Numbers in documents that no part's retail price, of a quarter of parts for each language, rounds to."""
-    d = views.table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("doc_id", "lang", "text")
+    """Numbers in documents that no part's retail price, of a quarter of parts for each language, rounds to; a document without a language has no such parts."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     lang = F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     v = views.table(spark, sf_dir, "part").select(lang.alias("lang"), F.explode(F.array(F.col("p_retailprice").cast("double"), F.col("p_size").cast("double"))).alias("value"))
     return grounding.ungrounded_numbers(d, v, "doc_id", "lang")
@@ -123,7 +132,7 @@ TOKEN = tx.NUMERAL
 
 QUERIES = {
     "grounded_spans": grounded_spans, "whitelist_values": whitelist, "cut_sentences": cut_sentences, "narrative_segments": narrative_segments, "compose_ladder": ladder, "corrective_prompts": corrective_prompts,
-    "sentence_quotes": sentence_quotes, "canary_report": canary_report, "ungrounded_numbers": ungrounded,
+    "sentence_quotes": sentence_quotes, "canary_report": canary_report, "regrounding_plan": regrounding_plan, "ungrounded_numbers": ungrounded,
 }
 ORACLE = {
     "grounded_spans": f"{BASE} SELECT * FROM spans",
@@ -137,10 +146,12 @@ ORACLE = {
         l AS (SELECT *, ltrim(regexp_extract(text[:p - 1], '[^.!?…\n]*$'), E' \t\r\n') AS lead, rtrim(regexp_extract(text[p + length(span):], '^[^.!?…\n]*[.!?…]?'), E' \t\r\n') AS tail, (300 - length(span)) // 2 AS m FROM a),
         c AS (SELECT *, CASE WHEN length(lead) <= m THEN lead ELSE '… ' || regexp_replace(right(lead, m), '^[^ ]* ', '') END AS le, CASE WHEN length(tail) <= m THEN tail ELSE regexp_replace(left(tail, m), ' [^ ]*$', '') || ' …' END AS ta FROM l)
         SELECT doc_id, span, CASE WHEN length(lead || span || tail) <= 300 THEN lead || span || tail ELSE le || span || ta END AS shown FROM c""",
-    "canary_report": r"""WITH b AS (SELECT item_id, lower(string_split(text, ' ')[1]) AS beacon, CASE WHEN item_id % 2 = 0 THEN 'blocked' ELSE 'counted' END AS expectation FROM benchmark WHERE item_id < 40),
-        w AS (SELECT unnest(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}]+'))) AS beacon FROM conversations WHERE role = 'assistant'), h AS (SELECT beacon, count(*) AS hits FROM w GROUP BY 1)
-        SELECT item_id, expectation, coalesce(hits, 0) AS hits, coalesce(hits, 0) > 0 AS breached, coalesce(hits, 0) > 0 AND expectation = 'blocked' AS failed FROM b LEFT JOIN h USING (beacon)""",
-    "ungrounded_numbers": f"""WITH p AS (SELECT doc_id, lang, unnest(string_split(text, '"')) AS part, generate_subscripts(string_split(text, '"'), 1) AS i, len(string_split(text, '"')) AS k FROM documents WHERE lang IS NOT NULL),
+    "canary_report": r"""WITH b AS (SELECT item_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS beacon, CASE WHEN item_id % 2 = 0 THEN 'blocked' ELSE 'counted' END AS expectation FROM benchmark),
+        h AS (SELECT item_id, count(c.text) AS hits FROM b LEFT JOIN conversations c ON role = 'assistant' AND contains(lower(c.text), beacon) GROUP BY 1)
+        SELECT item_id, expectation, hits, hits > 0 AS breached, hits > 0 AND expectation = 'blocked' AS failed FROM b JOIN h USING (item_id)""",
+    "regrounding_plan": f"""{BASE}, {BAD}, p AS (SELECT id, unnest([0, 1, 2, 3]) AS place, unnest([s1, s2, s3, s4]) AS s, unnest([0, length(s1), length(s1 || s2), length(s1 || s2 || s3)]) AS a, unnest([b1, b2, b3, coalesce(b4, false)]) AS bad, NOT (b1 AND b2 AND b3) AS stays FROM bad)
+        SELECT id, place, trim(s) AS sentence, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons, CASE WHEN stays THEN 'cut' ELSE 'withhold' END AS action FROM p JOIN spans USING (id) WHERE bad AND reason IS NOT NULL AND start >= a AND start < a + length(s) GROUP BY id, place, s, stays""",
+    "ungrounded_numbers": f"""WITH p AS (SELECT doc_id, coalesce(lang, '') AS lang, unnest(string_split(text, '"')) AS part, generate_subscripts(string_split(text, '"'), 1) AS i, len(string_split(text, '"')) AS k FROM documents),
         t AS (SELECT doc_id, lang, unnest(regexp_extract_all(part, '{TOKEN}')) AS token FROM p WHERE i % 2 = 1 OR i = k), c AS (SELECT doc_id, lang, token, count(*) AS n FROM t GROUP BY 1, 2, 3),
         z AS (SELECT *, replace(token, ',', '') AS bare, length(regexp_extract(replace(token, ',', ''), '\\.([0-9]+)$', 1)) AS places FROM c),
         v AS (SELECT DISTINCT ['de', 'en', 'es', 'fr'][p_partkey % 4 + 1] AS lang, unnest([p_retailprice::DOUBLE, p_size::DOUBLE])::DECIMAL(30, 6) AS value FROM part)

@@ -139,9 +139,9 @@ def ruling_table(spark, sf_dir):
 
 def exact_intervals(spark, sf_dir):
     """Exact and shipped intervals of each app's aspects."""
-    n = _members(spark, sf_dir).groupBy("app_id").agg(F.count("*").alias("all")).withColumn("n", F.least("all", F.lit(400)).cast("long"))
+    n = _members(spark, sf_dir).groupBy("app_id").agg(F.count("*").alias("n"))
     k = _members(spark, sf_dir).join(_hits(spark, sf_dir), "review_id").groupBy("app_id", "aspect").agg(F.count("*").alias("hits"))
-    rows = k.join(n, "app_id").join(_regimes(spark), "app_id").select("app_id", "aspect", "regime", iv.guarded(F.least("hits", "n").cast("long"), F.col("n")).alias("k"), "n")
+    rows = k.join(n, "app_id").join(_regimes(spark), "app_id").select("app_id", "aspect", "regime", iv.guarded(F.col("hits"), F.col("n")).alias("k"), "n")
     low, high = iv.shipped(F.col("k"), F.col("n"), F.col("regime"))
     return iv.exact_bounds(rows, "k", "n").select("app_id", "aspect", "k", "n", "exact_low", "exact_high", low.alias("low"), high.alias("high"))
 
@@ -223,8 +223,8 @@ ORACLE = {
     "wiring_guard": f"""{BASE} SELECT app_id, aspect, reference_share AS share, 'second' AS side FROM truth WHERE quantile = 1.0 AND aspect LIKE 'PROMO%' AND reference_share > 0""",
     "error_curves": f"""{SWEEP} SELECT size, band, count(*) AS n, quantile_cont(sample_share - reference_share, 0.1) AS bias_p10, quantile_cont(sample_share - reference_share, 0.5) AS bias_p50, quantile_cont(sample_share - reference_share, 0.9) AS bias_p90, quantile_cont(error, 0.9) AS error_p90, avg(covered::INT) AS coverage FROM m GROUP BY 1, 2""",
     "ruling_table": f"""{SWEEP} SELECT regime, band, count(*) AS n, {DISC.format("error")} AS p95_error, {DISC.format("needed")} AS p95_needed, max({ALLOWED.format("band")})::DOUBLE AS shipped FROM m GROUP BY 1, 2""",
-    "exact_intervals": f"""{BASE}, n AS (SELECT app_id, least(count(*), 400) AS n FROM reviews GROUP BY 1), k AS (SELECT app_id, aspect, least(count(*), any_value(n)) AS k, any_value(n) AS n, CASE WHEN app_id % 3 = 0 THEN 'spiky' ELSE 'calm' END AS regime FROM reviews JOIN hits USING (review_id) JOIN n USING (app_id) GROUP BY app_id, aspect),
-        d AS (SELECT DISTINCT k, n FROM k WHERE k < n), c AS (SELECT k, n, i, sum(exp(lgamma(n + 1.0) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1.0) END - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1.0) END + i * ln(k / n::DOUBLE) + (n - i) * ln(1 - k / n::DOUBLE))) OVER (PARTITION BY k, n ORDER BY i) AS p FROM d, range(401) r(i) WHERE i <= n),
+    "exact_intervals": f"""{BASE}, n AS (SELECT app_id, count(*) AS n FROM reviews GROUP BY 1), k AS (SELECT app_id, aspect, count(*) AS k, any_value(n) AS n, CASE WHEN app_id % 3 = 0 THEN 'spiky' ELSE 'calm' END AS regime FROM reviews JOIN hits USING (review_id) JOIN n USING (app_id) GROUP BY app_id, aspect),
+        d AS (SELECT DISTINCT k, n FROM k WHERE k < n), c AS (SELECT k, n, i, sum(exp(lgamma(n + 1.0) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1.0) END - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1.0) END + i * ln(k / n::DOUBLE) + (n - i) * ln(1 - k / n::DOUBLE))) OVER (PARTITION BY k, n ORDER BY i) AS p FROM (SELECT k, n, unnest(range(0, n + 1)) AS i FROM d)),
         b AS (SELECT k, n, min(i) FILTER (p >= 0.025) / n::DOUBLE AS lo, min(i) FILTER (p >= 0.975) / n::DOUBLE AS hi FROM c GROUP BY 1, 2)
         SELECT app_id, aspect, k.k, k.n, coalesce(lo, 1.0) AS exact_low, coalesce(hi, 1.0) AS exact_high, greatest(0, {_wilson("k.k", "k.n", "-")} - {ALLOWED.format(BAND.format("(k.k / k.n::DOUBLE)"))}) AS low, least(1, {_wilson("k.k", "k.n", "+")} + {ALLOWED.format(BAND.format("(k.k / k.n::DOUBLE)"))}) AS high FROM k LEFT JOIN b ON b.k = k.k AND b.n = k.n""",
     "recomposed_batches": f"""{BASE}, v AS (SELECT app_id, review_id, CAST(review_id AS BIGINT) AS r FROM reviews), g AS (SELECT app_id, review_id AS batch, row_number() OVER (PARTITION BY app_id ORDER BY review_id) - 1 AS turn FROM v WHERE r % 16 = 0 AND app_id < 4),

@@ -4,12 +4,9 @@ raises with all of them."""
 from __future__ import annotations
 
 import hashlib
-import re
 import tomllib
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearsay.functions import text as tx
@@ -98,51 +95,84 @@ def manifest_windows(spark: SparkSession, path: str) -> DataFrame:
     return games.withColumn("w", one).select("app_id", F.to_timestamp("w.start").alias("start"), F.to_timestamp("w.end").alias("end"))
 
 
-_HEAD, _BOX, _FENCE = re.compile(r"^## \d+ · review (\S+)$"), re.compile(r"^- \[( |x)\] reviewed$"), re.compile(r"^(`{3,})text$")
-_MENTION, _SKIP = re.compile(r'^- ([^/]+?) / (\w+)(?: / "(.*)")?$'), re.compile(r"^SKIP: (non_english|empty_text)\.?$")
-
-
-def sheet_lines(text: str) -> list[tuple]:
-    """Rows of a label sheet: (review_id, what, aspect, sentiment, evidence, line); what is review, checked, mention, zero, skip
-    or problem. What stands in a fence is the review's own text and says nothing."""
-    out: list[tuple] = []
-    review, fence = None, None
-    for number, raw in enumerate(text.splitlines(), 1):
-        line = raw.strip()
-        if fence:
-            fence = None if line == fence else fence
-        elif m := _HEAD.match(line):
-            review = m[1]
-            out.append((review, "review", None, None, None, number))
-        elif review is None or not line or line.startswith(">") or line == "---":
-            continue
-        elif m := _FENCE.match(line):
-            fence = m[1]
-        elif m := _BOX.match(line):
-            out += [(review, "checked", None, None, None, number)] if m[1] == "x" else []
-        elif line == "Zero mentions.":
-            out.append((review, "zero", None, None, None, number))
-        elif m := _SKIP.match(line):
-            out.append((review, "skip", m[1], None, None, number))
-        elif m := _MENTION.match(line):
-            out.append((review, "mention", m[1].strip(), m[2], m[3], number))
-        else:
-            out.append((review, "problem", line, None, None, number))
-    return out + ([(review, "problem", "the last fence is open", None, None, 0)] if fence else [])
+#: The lines of a label sheet, as patterns.
+HEAD_LINE, BOX_LINE, OPEN_LINE, SKIP_LINE = r"^## \d+ · review (\S+)$", r"^- \[( |x)\] reviewed$", "^(`{3,})text$", r"^SKIP: (non_english|empty_text)\.?$"
+ZERO_LINE, NO_SPAN = "Zero mentions.", "(no span)"
+
+
+def _fenced(lines: DataFrame) -> DataFrame:
+    """lines (file, line, text) with fenced: 1 for lines of a review's own text and the line that ends it, 2 for a fence's first line.
+
+    Only lines that can open or end a fence are folded, an array a file; a fence ends at the next line of just its own backticks.
+    """
+    ticks = lines.filter(F.col("text").startswith("```")).select("file", "line", F.regexp_extract("text", OPEN_LINE, 1).alias("opens"), "text")
+    entry = "struct<open:int,close:int>"
+    state = F.struct(F.lit("").alias("run"), F.lit(0).alias("since"), F.array().cast(f"array<{entry}>").alias("found"))
+
+    def step(acc, x):
+        free = acc["run"] == ""
+        begins, ends = free & (x["opens"] != ""), ~free & (x["text"] == acc["run"])
+        pair = F.struct(acc["since"].alias("open"), x["line"].alias("close"))
+        return F.struct(
+            F.when(begins, x["opens"]).when(ends, "").otherwise(acc["run"]).alias("run"), F.when(begins, x["line"]).otherwise(acc["since"]).alias("since"),
+            F.when(ends, F.array_append(acc["found"], pair)).otherwise(acc["found"]).alias("found"),
+        )
+
+    last = F.lit(2**31 - 1)
+    fold = lambda acc: F.when(acc["run"] != "", F.array_append(acc["found"], F.struct(acc["since"].alias("open"), last.alias("close")))).otherwise(acc["found"])
+    per = ticks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "opens", "text"))).alias("t"))
+    edges = per.select("file", F.inline(F.aggregate("t", state, step, fold)))
+    marks = edges.select("file", F.explode(F.array(F.struct(F.col("open").alias("line"), F.lit(1).alias("d")), F.struct((F.col("close").cast("long") + 1).alias("line"), F.lit(-1).alias("d")))).alias("m")).select("file", F.col("m.line").alias("line"), F.col("m.d").alias("d"))
+    marks = marks.groupBy("file", "line").agg(F.sum("d").alias("d"), F.max("d").alias("top"))
+    so_far = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("file").orderBy("line"))
+    inside = lines.join(marks, ["file", "line"], "left").withColumn("fenced", so_far)
+    return inside.withColumn("fenced", F.when((F.col("fenced") > 0) & (F.col("top") == 1), 2).otherwise(F.col("fenced"))).drop("d", "top")
 
 
 SHEET = "file string, review_id string, what string, aspect string, sentiment string, evidence string, line int"
 
 
 def sheets(files: DataFrame) -> DataFrame:
-    """files (file, text: whole sheets) -> rows of SHEET. A sheet is one small file."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(f, *r) for f, t in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in sheet_lines(t or "")]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:6]), pa.array(columns[6], pa.int32())], names=["file", "review_id", "what", "aspect", "sentiment", "evidence", "line"])
-
-    return files.select("file", "text").mapInArrow(work, SHEET)
+    """files (file, text: whole sheets) -> rows of SHEET, one for each line that says something.
+
+    what: review, checked (its box is ticked), mention, zero, skip (aspect: why) or problem (aspect: the line). A mention is
+    ``- aspect / sentiment / "evidence"``, or (no span) in place of the evidence, in which \\n and \\r stand for line ends; with fewer
+    than three parts, or evidence without two marks, it is a malformed mention line. What stands in a fence is the review's own
+    text and says nothing; notes (>), rules and what comes before the first review say nothing either.
+    """
+    lines = files.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("at", "raw")).select("file", (F.col("at") + 1).alias("line"), tx.strip(F.col("raw")).alias("text"))
+    own = _fenced(lines)
+    t = F.col("text")
+    plain = F.col("fenced") == 0
+    head = F.when(plain & t.rlike(HEAD_LINE), F.regexp_extract(t, HEAD_LINE, 1))
+    reviewed = own.withColumn("review_id", F.last(head, ignorenulls=True).over(Window.partitionBy("file").orderBy("line")))
+    parts = F.split(F.substring(t, 3, 10**6), " / ", 3)
+    shown = tx.strip(F.get(parts, 2))
+    quoted = F.regexp_extract(shown, '(?s)"(.*)"', 1)
+    readable = (F.size(parts) == 3) & ((shown == NO_SPAN) | shown.rlike('(?s)".*"'))
+    evidence = F.when(shown != NO_SPAN, F.replace(F.replace(quoted, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    what = (
+        F.when(t.rlike(HEAD_LINE), "review").when(t.rlike(BOX_LINE), F.when(t == "- [x] reviewed", "checked").otherwise("open")).when(t == ZERO_LINE, "zero").when(t.rlike(SKIP_LINE), "skip")
+        .when(t.startswith("- "), F.when(readable, "mention").otherwise("problem")).otherwise("problem")
+    )
+    said = reviewed.filter(plain & F.col("review_id").isNotNull() & (t != "") & ~t.startswith(">") & (t != "---"))
+    said = said.withColumn("what", what).filter("what <> 'open'")
+    mention = F.col("what") == "mention"
+    aspect = F.when(mention, tx.strip(F.get(parts, 0))).when(F.col("what") == "skip", F.regexp_extract(t, SKIP_LINE, 1)).when(F.col("what") == "problem", F.when(t.startswith("- "), F.concat(F.lit("malformed mention line: "), t)).otherwise(t))
+    rows = said.select("file", "review_id", "what", aspect.alias("aspect"), F.when(mention, tx.strip(F.get(parts, 1))).alias("sentiment"), F.when(mention, evidence).alias("evidence"), "line")
+    open_ = reviewed.groupBy("file").agg(F.max_by(F.struct("review_id", "fenced", "line"), "line").alias("x")).filter("x.fenced > 0")
+    return rows.unionByName(open_.select("file", "x.review_id", F.lit("problem").alias("what"), F.lit("the last fence is open").alias("aspect"), F.lit(None).cast("string").alias("sentiment"), F.lit(None).cast("string").alias("evidence"), F.col("x.line").alias("line")))
+
+
+def unchecked(rows: DataFrame) -> DataFrame:
+    """file, review_id: reviews of sheets whose box is not ticked."""
+    per = rows.groupBy("file", "review_id").agg(F.count_if(F.col("what") == "review").alias("n"), F.count_if(F.col("what") == "checked").alias("c"))
+    return per.filter("n > 0 AND c = 0").select("file", "review_id")
+
+
+def sheet_reference(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What sheets say of each review: mentions (review_id, aspect, sentiment, evidence), and skips (review_id, why)."""
+    return rows.filter("what = 'mention'").select("review_id", "aspect", "sentiment", "evidence"), rows.filter("what = 'skip'").select("review_id", F.col("aspect").alias("why"))
 
 
 def sheet_problems(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -151,7 +181,10 @@ def sheet_problems(rows: DataFrame, texts: DataFrame) -> DataFrame:
     per = rows.groupBy("review_id").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("mention", "zero", "skip")])
     states = (F.col("mention") > 0).cast("int") + (F.col("zero") > 0).cast("int") + (F.col("skip") > 0).cast("int")
     known = per.join(texts.select("review_id", F.lit(True).alias("here")), "review_id", "left")
-    out = known.filter("here IS NULL").select("review_id", F.lit("unknown review").alias("problem"))
+    out = known.filter("here IS NULL AND review_id IS NOT NULL").select("review_id", F.lit("unknown review").alias("problem"))
+    out = out.unionByName(unchecked(rows).select("review_id", F.lit("not reviewed").alias("problem")))
+    twice = rows.filter("what = 'mention'").groupBy("review_id", "aspect").agg(F.count("*").alias("n")).filter("n > 1")
+    out = out.unionByName(twice.select("review_id", F.concat(F.lit("an aspect twice: "), "aspect").alias("problem")))
     out = out.unionByName(known.filter(F.col("here").isNotNull() & (states != 1)).select("review_id", F.lit("needs one of mentions, zero, skip").alias("problem")))
     m = rows.filter("what = 'mention'").join(texts.select("review_id", "text"), "review_id")
     out = out.unionByName(m.filter(~F.col("sentiment").isin(*SENTIMENTS)).select("review_id", F.lit("no such sentiment").alias("problem")))

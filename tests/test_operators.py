@@ -62,7 +62,6 @@ def test_grounding_takes_the_least(spark):
     got = {r.span: (r.value, r.review_id) for r in spans.filter("reason IS NULL").collect()}
     assert got == {'"asking price is far too high,"': (None, "r1"), "27": (26.9, None)}
     assert grounding.cut_violations(prose, spans, "id").first().cut.endswith("27 left.")
-    assert tx.sentences('Too "high. Very." Next') == [(0, 18), (18, 22)] and tx.sentences('"a." and b. C') == [(0, 12), (12, 13)]
 
 
 def test_replies(spark):
@@ -76,7 +75,18 @@ def test_replies(spark):
     assert [(r.aspect, r.evidence) for r in repairs.collect()] == [("new thing", "not there")]
     got = sorted((r.batch, -1 if r.idx is None else r.idx, r.reason) for r in failures.collect())
     assert got == [(1, -1, "bad idx"), (1, -1, "out of range"), (1, 1, "aspects is no list"), (1, 2, "missing"), (2, 0, "not valid JSON")]
-    assert replies.decoded("a [1, 2] b [3") == "[1, 2]" and replies.decoded('{"a": 1}') == '{"a": 1}' and replies.decoded("no") is None
+
+
+@pytest.mark.parametrize(
+    ("reply", "payload"),
+    [
+        ('{"a": 1}', '{"a": 1}'), ("a [1, 2] b [3", "[1, 2]"), ("no", None), ("", None), (None, None), ("see [here] and [1]", "[1]"), ('say "[" then [{"a": "x ] y"}] end', '[{"a": "x ] y"}]'),
+        ("[open and [[2], 3] after", "[[2], 3]"), ("one ```json\n[1,\n```\ntwo ```\n[2]\n``` [3]", "\n[2]\n"), ("```json\n[4]\n```", "[4]\n"), ('[{"a": "q\\\\"}] [5]', '[{"a": "q\\\\"}]'), ("```json\n[6]", "[6]"),
+    ],
+)
+def test_payload_of_a_reply(spark, reply, payload):
+    got = replies.with_payload(spark.createDataFrame([(1, reply)], "batch long, reply string")).first().payload
+    assert (got if got is None else json.loads(got)) == (payload if payload is None else json.loads(payload))
 
 
 def test_intervals(spark):
