@@ -81,7 +81,7 @@ def test_replies(spark):
     ("reply", "payload"),
     [
         ('{"a": 1}', '{"a": 1}'), ("a [1, 2] b [3", "[1, 2]"), ("no", None), ("", None), (None, None), ("see [here] and [1]", "[1]"), ('say "[" then [{"a": "x ] y"}] end', '[{"a": "x ] y"}]'),
-        ("[open and [[2], 3] after", "[[2], 3]"), ("one ```json\n[1,\n```\ntwo ```\n[2]\n``` [3]", "\n[2]\n"), ("```json\n[4]\n```", "[4]\n"), ('[{"a": "q\\\\"}] [5]', '[{"a": "q\\\\"}]'), ("```json\n[6]", "[6]"),
+        ("[open and [[2], 3] after", "[[2], 3]"), ("one ```json\n[1,\n```\ntwo ```\n[2]\n``` [3]", "\n[2]\n"), ("```json\n[4]\n```", "[4]\n"), ('x [{"a": "q\\\\"}] [5]', '[{"a": "q\\\\"}]'), ("```json\n[6]", "[6]"),
     ],
 )
 def test_payload_of_a_reply(spark, reply, payload):
