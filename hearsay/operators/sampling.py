@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,18 +14,18 @@ def plan_windows(buckets: DataFrame, closing: str) -> DataFrame:
     return buckets.select("app_id", "start", end.alias("end"), population.alias("population")).filter("population > 0")
 
 
-def apportion(windows: DataFrame, n: int, kind: str = "time-proportional", rounds: int = 40) -> DataFrame:
+def apportion(windows: DataFrame, n: int | Column, kind: str = "time-proportional", rounds: int = 40, keys: tuple[str, ...] = ("app_id",)) -> DataFrame:
     """Largest-remainder quotas of n among an app's windows, none above its population; what a full window can't take
-    flows to the others. kind equal-per-window weighs all windows alike.
+    flows to the others. kind equal-per-window weighs all windows alike. keys: what has a plan of its own; n may be one of them.
 
     Per app the quotas are the floors at a common level, found by bisection over arrays of the app's windows (its
     history's length, not its reviews), then one more for the largest remainders, ties to the earlier window.
     """
     weight = F.col("population").cast("double") if kind == "time-proportional" else F.lit(1.0)
     rows = windows.withColumn("w", weight)
-    per_app = rows.groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "population", "w"))).alias("ws"))
+    per_app = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "population", "w"))).alias("ws"))
     total = F.aggregate("ws", F.lit(0).cast("long"), lambda a, x: a + x["population"])
-    per_app = per_app.withColumn("n", F.least(F.lit(n).cast("long"), total))
+    per_app = per_app.withColumn("n", F.least((n if isinstance(n, Column) else F.lit(n)).cast("long"), total))
     # the level: each window gets min(population, w * level); bisected until the sum is n
     taken = lambda level: F.aggregate("ws", F.lit(0.0), lambda a, x: a + F.least(x["population"].cast("double"), x["w"] * level))
     high = F.aggregate("ws", F.lit(1.0), lambda a, x: F.greatest(a, x["population"] / x["w"]))
@@ -37,14 +37,14 @@ def apportion(windows: DataFrame, n: int, kind: str = "time-proportional", round
         return F.struct(F.when(low, middle).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(middle).alias("hi"))
 
     per_app = per_app.withColumn("level", F.aggregate(F.sequence(F.lit(1), F.lit(rounds + 20)), start, halve)["hi"])
-    each = per_app.select("app_id", "n", "level", F.inline("ws"))
+    each = per_app.select(*keys, "n", "level", F.inline("ws"))
     ideal = F.round(F.least(F.col("population").cast("double"), F.col("w") * F.col("level")), 6)
     each = each.withColumn("ideal", ideal).withColumn("base", F.floor("ideal"))
-    app = Window.partitionBy("app_id")
+    app = Window.partitionBy(*keys)
     short = F.col("n") - F.sum("base").over(app)
     rank = F.row_number().over(app.orderBy((F.col("ideal") - F.col("base")).desc(), "start"))
     quota = (F.col("base") + (rank <= short).cast("long")).cast("long")
-    return each.withColumn("quota", quota).select("app_id", "start", "end", "population", "quota")
+    return each.withColumn("quota", quota).select(*keys, "start", "end", "population", "quota")
 
 
 def windowed_draw(reviews: DataFrame, plan: DataFrame, unit: str = "month") -> DataFrame:

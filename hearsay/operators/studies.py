@@ -51,12 +51,13 @@ def reference(members: DataFrame, hits: DataFrame) -> DataFrame:
     return every.select("app_id", "quantile", "aspect", (F.coalesce("k", F.lit(0)) / F.col("pool")).alias("reference_share"))
 
 
-def measured(drawn: DataFrame, hits: DataFrame, truth: DataFrame, regime: DataFrame) -> DataFrame:
+def measured(drawn: DataFrame, hits: DataFrame, truth: DataFrame, regime: DataFrame, *more: str) -> DataFrame:
     """Each draw against the truth, for all aspects at once: share, error, interval, band, whether it is covered and within
-    the tolerance, and what inflation it would have needed. regime: app_id, regime."""
-    cell = ["app_id", "quantile", "size", "repeat"]
+    the tolerance, and what inflation it would have needed. regime: app_id, regime. more: what else tells cells apart, in drawn
+    and, where it has them, in truth."""
+    cell = ["app_id", "quantile", "size", "repeat", *more]
     counts = drawn.join(hits, "review_id").groupBy(*cell, "aspect").agg(F.count("*").alias("k"))
-    cells = drawn.select(*cell).distinct().join(truth, ["app_id", "quantile"]).join(counts, [*cell, "aspect"], "left").join(F.broadcast(regime), "app_id")
+    cells = drawn.select(*cell).distinct().join(truth, ["app_id", "quantile", *(c for c in more if c in truth.columns)]).join(counts, [*cell, "aspect"], "left").join(F.broadcast(regime), "app_id")
     k, n = F.coalesce("k", F.lit(0)), F.col("size")
     low, high = wilson(k, n)
     ship_low, ship_high = shipped(k, n, F.col("regime"))
@@ -70,10 +71,10 @@ def measured(drawn: DataFrame, hits: DataFrame, truth: DataFrame, regime: DataFr
     )
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """One row for each cell and aspect over its repeats: errors, coverage, mean width."""
+def cells(rows: DataFrame, *more: str) -> DataFrame:
+    """One row for each cell (more: what else tells them apart) and aspect over its repeats: errors, coverage, mean width."""
     rate = lambda c: F.avg(F.col(c).cast("double"))
-    return rows.groupBy("app_id", "quantile", "size", "aspect").agg(
+    return rows.groupBy("app_id", "quantile", "size", *more, "aspect").agg(
         F.count("*").alias("repeats"), F.first("reference_share").alias("reference_share"), F.first("band").alias("band"), F.avg("sample_share").alias("mean_share"),
         F.avg("error").alias("mean_error"), F.percentile("error", 0.5).alias("p50_error"), F.percentile("error", 0.9).alias("p90_error"), F.max("error").alias("max_error"),
         rate("covered").alias("coverage"), F.avg("width").alias("mean_width"), rate("within_tolerance").alias("within_rate"), rate("shipped_covered").alias("shipped_rate"),

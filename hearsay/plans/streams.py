@@ -87,7 +87,7 @@ def page_walks(spark, sf_dir):
     folder = runs.folder(spark, "capture")
     capture(spark, sf_dir, folder)
     spark.dataSource.register(pages.ReviewPages)
-    source = spark.read.format("review_pages").option("path", folder).option("start", "1996-01-01T00:00:00+00:00").option("end", "1997-12-31T00:00:00+00:00")
+    source = spark.read.format("review_pages").option("path", folder).option("start", "1998-01-01T00:00:00+00:00").option("end", "2001-01-01T00:00:00+00:00")
     ways = {"window": {}, "quota": {"quota": 100}, "strict": {"strict": "true"}}
     found = [source.options(quota=way.get("quota", ""), strict=way.get("strict", "false"), table="walks").load().select(F.lit(name).alias("way"), "*") for name, way in ways.items()]
     return found[0].unionAll(found[1]).unionAll(found[2])
@@ -98,7 +98,7 @@ def walked_reviews(spark, sf_dir):
     folder = runs.folder(spark, "capture")
     capture(spark, sf_dir, folder)
     spark.dataSource.register(pages.ReviewPages)
-    r = spark.read.format("review_pages").option("path", folder).option("start", "1996-01-01T00:00:00+00:00").option("end", "1997-12-31T00:00:00+00:00").load()
+    r = spark.read.format("review_pages").option("path", folder).option("start", "1998-01-01T00:00:00+00:00").option("end", "2001-01-01T00:00:00+00:00").load()
     return r.groupBy("app_id", "language").agg(F.count("*").alias("n"), F.count_if("voted_up").alias("up"), F.max("created_at").cast("timestamp_ntz").alias("newest"), F.max("page").alias("last_page"))
 
 
@@ -139,7 +139,7 @@ def run_totals(spark, sf_dir):
 
 #: Pages of the capture, what each is for a walk, and where the walks end.
 PAGES_SQL = f"""{REVIEWS_SQL}, pr AS (SELECT *, (row_number() OVER (PARTITION BY app_id ORDER BY created_at DESC, review_id::BIGINT DESC) - 1) // 7 AS p FROM reviews),
-  pg AS (SELECT app_id, p, count(*) FILTER (created_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31') AS inside, count(*) AS n, bool_or(created_at < TIMESTAMP '1996-01-01') AS below,
+  pg AS (SELECT app_id, p, count(*) FILTER (created_at BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '2001-01-01') AS inside, count(*) AS n, bool_or(created_at < TIMESTAMP '1998-01-01') AS below,
     p = max(p) OVER (PARTITION BY app_id) AS last, CASE WHEN app_id % 5 = 3 AND p = 40 THEN 3 WHEN p > 0 AND p % 10 = 0 THEN 1 ELSE 0 END AS empties FROM pr GROUP BY app_id, p),
   pw AS (SELECT way, pg.*, sum(inside) OVER w AS got, sum(empties) OVER w AS lost, sum(n - inside) OVER w AS strangers,
     CASE WHEN empties = 3 THEN 'empty pages' WHEN below THEN 'below the window' WHEN way = 'strict' AND sum(n - inside) OVER w > 0 THEN 'strangers' WHEN way = 'quota' AND sum(inside) OVER w >= 100 THEN 'quota' WHEN last OR app_id % 5 = 1 AND p = 60 THEN 'cursor' END AS why
@@ -158,7 +158,7 @@ ORACLE = {
       (SELECT count(*) FROM reviews r WHERE r.app_id = pw.app_id) AS reported, why = 'empty pages' AS stopped_empty, why FROM pw JOIN ends USING (way, app_id, p)""",
     "walked_reviews": f"""WITH {PAGES_SQL} SELECT pr.app_id, language, count(*) AS n, count(*) FILTER (voted_up) AS up, max(created_at) AS newest, max(pr.p + (SELECT sum(empties) FROM pg WHERE pg.app_id = pr.app_id AND pg.p <= pr.p))::BIGINT AS last_page
       FROM pr JOIN ends ON ends.way = 'window' AND ends.app_id = pr.app_id JOIN pw ON pw.way = 'window' AND pw.app_id = pr.app_id AND pw.p = ends.p
-      WHERE (pr.p < ends.p OR pr.p = ends.p AND pw.why <> 'empty pages') AND created_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' GROUP BY 1, 2""",
+      WHERE (pr.p < ends.p OR pr.p = ends.p AND pw.why <> 'empty pages') AND created_at BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '2001-01-01' GROUP BY 1, 2""",
     "admission_gate": """WITH RECURSIVE e AS (SELECT event_id, (user_id % 40)::VARCHAR AS v, ts, value / 1500 AS cost, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS rn FROM events),
       w AS (SELECT day, 0::BIGINT AS rn, NULL::BIGINT AS event_id, '' AS outcome, MAP {'': 0} AS used, MAP {'': TIMESTAMP '1970-01-01'} AS live, 0 AS n, 0::DOUBLE AS spent FROM e GROUP BY 1
         UNION ALL SELECT day, rn, event_id, o, CASE WHEN o = 'admitted' THEN map_concat(used, MAP {v: coalesce(used[v], 0) + 1}) ELSE used END, CASE WHEN o = 'admitted' THEN map_concat(live, MAP {v: ts + INTERVAL 1 HOUR}) ELSE live END,
