@@ -97,7 +97,7 @@ def timeline(buckets: DataFrame, periods: DataFrame, few: int, width: float = 60
     rows = buckets.withColumn("total", total).withColumn("end", F.add_months("start", 1).cast("timestamp_ntz")).withColumn("place", F.row_number().over(order))
     healthy = F.col("total") >= few
     rows = rows.withColumn("breaks", F.sum(F.when(~healthy, 1).otherwise(0)).over(order))
-    p = F.broadcast(periods.select(F.col("app_id").alias("_app"), F.col("start").alias("_s"), F.col("end").alias("_e")))
+    p = periods.select(F.col("app_id").alias("_app"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     marked = rows.join(p, (F.col("app_id") == F.col("_app")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")), "left_semi").select("app_id", "start").withColumn("marked", F.lit(True))
     rows = rows.withColumn("first", F.min("start").over(every)).withColumn("last", F.max("start").over(every)).withColumn("peak", F.max("total").over(every))
     rows = rows.join(marked, ["app_id", "start"], "left").withColumn("marked", F.coalesce("marked", F.lit(False))).filter("total > 0")
@@ -181,12 +181,12 @@ def window_report(windows: DataFrame, buckets: DataFrame, reviews: DataFrame) ->
     w = windows.select("app_id", "start", "end", (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))).alias("length"))
     t = F.unix_micros(F.col("created_at").cast("timestamp"))
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    joined = reviews.select(F.col("app_id").alias("_a"), "created_at").join(F.broadcast(w), F.col("_a") == F.col("app_id"))
+    joined = reviews.select(F.col("app_id").alias("_a"), "created_at").join(w, F.col("_a") == F.col("app_id"))
     near = joined.filter((t >= at("start") - F.col("length")) & (t < at("end") + F.col("length")))
     part = near.groupBy("app_id", "start", "end").agg(F.count_if((t >= at("start")) & (t < at("end"))).alias("inside"), F.count_if(t < at("start")).alias("before"), F.count_if(t >= at("end")).alias("after"))
     b = buckets.withColumn("b_end", F.coalesce(F.lead("start").over(Window.partitionBy("app_id").orderBy("start")), F.add_months("start", 1).cast("timestamp_ntz")))
     b = b.select(F.col("app_id").alias("_b"), F.col("start").alias("b_start"), "b_end", (F.col("up") + F.col("down")).alias("claim"))
-    claims = b.join(F.broadcast(w), (F.col("_b") == F.col("app_id")) & (F.col("b_start") < F.col("end")) & (F.col("b_end") > F.col("start"))).groupBy("app_id", "start", "end").agg(F.sum("claim").alias("claimed"), F.count("*").alias("n_buckets"))
+    claims = b.join(w, (F.col("_b") == F.col("app_id")) & (F.col("b_start") < F.col("end")) & (F.col("b_end") > F.col("start"))).groupBy("app_id", "start", "end").agg(F.sum("claim").alias("claimed"), F.count("*").alias("n_buckets"))
     out = w.drop("length").join(part, ["app_id", "start", "end"], "left").join(claims, ["app_id", "start", "end"], "left")
     return out.na.fill(0, ["inside", "before", "after", "claimed", "n_buckets"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,9 @@ def append(arriving: DataFrame, faults: DataFrame, folder: str) -> int:
     first = faults.limit(5).collect()
     if first:
         raise ValueError(f"nothing was written: {[tuple(r) for r in first]}")
-    n = arriving.count()
-    arriving.write.mode("append").parquet(folder)
-    return n
+    seen = Observation("append")
+    arriving.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(folder)  # counted as it is written
+    return seen.get["n"]
 
 
 def put_archive(stored: DataFrame, arriving: DataFrame, key: str = "key", body: str = "body") -> DataFrame:
@@ -79,13 +79,6 @@ def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("digest"))
 
 
-def pool_digest(labels: DataFrame) -> Column:
-    """Digest of a whole label set: sorted lines of review, aspect and sentiment. For a bounded set."""
-    del labels
-    line = F.concat_ws("\t", "review_id", "aspect", "sentiment")
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)
-
-
 def regrouped(labels: DataFrame, apps: DataFrame) -> DataFrame:
     """Labels by app; those of reviews that no app has are an error's matter: app_id null."""
     return labels.join(apps.select("review_id", "app_id"), "review_id", "left").groupBy("app_id", "aspect").agg(F.count_distinct("review_id").alias("n"))

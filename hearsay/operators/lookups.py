@@ -34,7 +34,7 @@ def all_or_none(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
 def with_runs(envelopes: DataFrame, mentions: DataFrame, runs: DataFrame) -> DataFrame:
     """Envelopes with their run, a small dimension, and their mentions in order; an envelope may have none."""
     listed = mentions.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("position", "aspect", "sentiment"))).alias("mentions"))
-    out = envelopes.join(F.broadcast(runs), "run_id").join(listed, "review_id", "left")
+    out = envelopes.join(runs, "run_id").join(listed, "review_id", "left")
     return out.withColumn("mentions", F.coalesce("mentions", F.array().cast(listed.schema["mentions"].dataType)))
 
 

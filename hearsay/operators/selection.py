@@ -65,5 +65,5 @@ def batches(rows: DataFrame, size: int, partition: str, key: str) -> DataFrame:
     placed = numbered(rows, [partition, key])
     first = rows.groupBy(partition).agg(F.count("*").alias("_n"))
     starts = first.select(F.col(partition).alias("_of"), F.coalesce(F.sum("_n").over(Window.orderBy(partition).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    joined = placed.join(F.broadcast(starts), placed[partition] == F.col("_of"))
+    joined = placed.join(starts, placed[partition] == F.col("_of"))
     return joined.withColumn("batch", F.floor((F.col("_place") - F.col("_first")) / size).cast("long")).drop("_of", "_first", "_place")

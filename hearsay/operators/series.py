@@ -73,7 +73,7 @@ def period_counts(periods: DataFrame, reviews: DataFrame) -> DataFrame:
 
     Periods are a few rows an app and go to the reviews, which are counted where they are read.
     """
-    p = F.broadcast(periods.select(F.col("app_id").alias("_app"), F.col("start").alias("_start"), F.col("end").alias("_end")))
+    p = periods.select(F.col("app_id").alias("_app"), F.col("start").alias("_start"), F.col("end").alias("_end"))
     inside = (F.col("app_id") == F.col("_app")) & (F.col("created_at") >= F.col("_start")) & (F.col("created_at") < F.col("_end"))
     counts = reviews.select("app_id", "created_at").join(p, inside).groupBy("_app", "_start", "_end").agg(F.count("*").alias("n_reviews"))
     counts = counts.select(F.col("_app").alias("app_id"), F.col("_start").alias("start"), F.col("_end").alias("end"), "n_reviews")

@@ -27,7 +27,7 @@ def anchors(buckets: DataFrame, quantiles: list[float]) -> DataFrame:
 
 def pools(reviews: DataFrame, grid: DataFrame) -> DataFrame:
     """Reviews as of each anchor: created at or before its cutoff."""
-    return reviews.join(F.broadcast(grid), "app_id").filter(F.col("created_at") <= F.col("cutoff"))
+    return reviews.join(grid, "app_id").filter(F.col("created_at") <= F.col("cutoff"))
 
 
 def draws(members: DataFrame, sizes: list[int], repeats: int, seed: str) -> DataFrame:
@@ -57,7 +57,7 @@ def measured(drawn: DataFrame, hits: DataFrame, truth: DataFrame, regime: DataFr
     and, where it has them, in truth."""
     cell = ["app_id", "quantile", "size", "repeat", *more]
     counts = drawn.join(hits, "review_id").groupBy(*cell, "aspect").agg(F.count("*").alias("k"))
-    cells = drawn.select(*cell).distinct().join(truth, ["app_id", "quantile", *(c for c in more if c in truth.columns)]).join(counts, [*cell, "aspect"], "left").join(F.broadcast(regime), "app_id")
+    cells = drawn.select(*cell).distinct().join(truth, ["app_id", "quantile", *(c for c in more if c in truth.columns)]).join(counts, [*cell, "aspect"], "left").join(regime, "app_id")
     k, n = F.coalesce("k", F.lit(0)), F.col("size")
     low, high = wilson(k, n)
     ship_low, ship_high = shipped(k, n, F.col("regime"))
@@ -105,7 +105,7 @@ def contaminated(sample: DataFrame, marked: DataFrame, shares: list[float], seed
     supply = marked.groupBy("app_id").agg(F.count("*").alias("m"))
     twice = sample.select("review_id").intersect(marked.select("review_id")).limit(1).agg(F.count("*").alias("twice"))
     plan = n.join(supply, "app_id").select("app_id", "n", "m", F.explode(F.array(*map(F.lit, shares))).alias("share"))
-    plan = plan.withColumn("out", F.floor(F.col("share") * F.col("n") + 0.5)).withColumn("_k", F.lit(1)).join(F.broadcast(twice.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    plan = plan.withColumn("out", F.floor(F.col("share") * F.col("n") + 0.5)).withColumn("_k", F.lit(1)).join(twice.withColumn("_k", F.lit(1)), "_k").drop("_k")
     trouble = F.when(F.col("twice") > 0, "a review is in the sample and in the marked pool").when(F.col("out") >= F.col("n"), "nothing of the sample would be left").when(F.col("out") > F.col("m"), "too few marked reviews")
     plan = plan.withColumn("out", F.when(trouble.isNotNull(), F.raise_error(trouble).cast("long")).otherwise(F.col("out"))).select("app_id", "share", "out")
     place = lambda tag: F.row_number().over(Window.partitionBy("app_id").orderBy(F.md5(F.concat_ws("|", F.lit(f"{seed}-{tag}"), "review_id")), "review_id"))
@@ -184,7 +184,7 @@ def recomposed(gold: DataFrame, fillers: DataFrame, size: int = 10, seed: str =
     # slots and spare fillers are numbered over all apps; both are as few as the gold reviews
     slots = short.select("batch", F.explode(F.sequence(F.lit(1), F.col("short").cast("int"))).alias("i")).select("batch", F.row_number().over(Window.orderBy("batch", "i")).alias("slot"))
     wanted = slots.agg(F.coalesce(F.max("slot"), F.lit(0)).alias("most"))
-    spare = matched.filter("batch IS NULL").select("review_id", hashed("t").alias("h")).withColumn("_k", F.lit(1)).join(F.broadcast(wanted.withColumn("_k", F.lit(1))), "_k")
+    spare = matched.filter("batch IS NULL").select("review_id", hashed("t").alias("h")).withColumn("_k", F.lit(1)).join(wanted.withColumn("_k", F.lit(1)), "_k")
     spare = spare.withColumn("slot", F.row_number().over(Window.orderBy("h", "review_id"))).filter("slot <= most").select("review_id", "slot")
     top = slots.join(spare, "slot").select("batch", "review_id")
     return used.unionByName(top).withColumn("is_gold", F.lit(False)).unionByName(gold.select(F.col("review_id").alias("batch"), "review_id").withColumn("is_gold", F.lit(True)))

@@ -108,3 +108,28 @@ def mixing(members: DataFrame, base: DataFrame, marked: DataFrame, hits: DataFra
     return rows.groupBy("app_id", "quantile", "source", "share").agg(
         F.count_distinct("repeat").alias("repeats"), F.avg("error").alias("mean_error"), F.max("error").alias("max_error"), rate("shipped_covered").alias("shipped_rate"), rate("within_tolerance").alias("within_rate")
     )
+
+
+def marked_faults(usable: DataFrame, labelled: DataFrame, windows: DataFrame) -> DataFrame:
+    """source, review_id, fault: labelled reviews that are not usable, and usable labelled ones outside of their source's window, or of
+    a source without one. usable: source, review_id, created_at; windows: source, start, end, both inclusive."""
+    strange = labelled.join(usable, ["source", "review_id"], "left_anti").select("source", "review_id", F.lit("labelled but not usable").alias("fault"))
+    held = usable.join(labelled.select("source", "review_id").distinct(), ["source", "review_id"], "left_semi").join(windows, "source", "left")
+    fault = F.when(F.col("start").isNull(), "no window").when(~F.col("created_at").between(F.col("start"), F.col("end")), "outside its window")
+    return strange.unionByName(held.select("source", "review_id", fault.alias("fault")).filter("fault IS NOT NULL"))
+
+
+def marked_pool(usable: DataFrame, labelled: DataFrame, windows: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources whose reviews are all in order: reviews (source, review_id), and their index (source, aspect, n). Any fault refuses all."""
+    first = marked_faults(usable, labelled, windows).limit(5).collect()
+    if first:
+        raise ValueError(f"marked pools are not in order: {[tuple(r) for r in first]}")
+    pool = usable.join(labelled.select("source", "review_id").distinct(), ["source", "review_id"], "left_semi").select("source", "review_id")
+    return pool, pool.join(hits, "review_id").groupBy("source", "aspect").agg(F.count_distinct("review_id").alias("n"))
+
+
+def regimes(members: DataFrame, peak: float = 2 / 3) -> DataFrame:
+    """The regime of each pool, all in one pass: app_id, quantile, population, peak_share, regime (spiky from ``peak``, inclusive)."""
+    months = members.groupBy("app_id", "quantile", F.date_trunc("month", "created_at").alias("start")).agg(F.count("*").alias("n"))
+    per = months.groupBy("app_id", "quantile").agg(F.sum("n").alias("population"), (F.max("n") / F.sum("n")).alias("peak_share"))
+    return per.withColumn("regime", F.when(F.col("peak_share") >= peak, "spiky").otherwise("calm"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from hearsay import views
 from hearsay.operators import logs
 from hearsay.operators.selection import numbered
 from hearsay.sources import pages
-from hearsay.streaming import ordered, passes, runs
+from hearsay.streaming import metrics, ordered, passes, runs
 from hearsay.views import MENTIONS_SQL, REVIEWS_SQL
 
 
@@ -150,8 +152,29 @@ LADDER_SQL = f"""{MENTIONS_SQL}, a AS (SELECT review_id, review_id::BIGINT AS r,
   f0 AS (SELECT * FROM a WHERE b % 11 = 6 AND (SELECT count(*) FROM a z WHERE z.b = a.b) > 1 OR r % 31 = 7 OR r % 97 = 5), g AS (SELECT * EXCLUDE b, (row_number() OVER (ORDER BY review_id) - 1) // 10 AS b FROM f0),
   f1 AS (SELECT * FROM g WHERE b % 11 = 6 AND (SELECT count(*) FROM g z WHERE z.b = g.b) > 1 OR (r % 31 = 7 AND (SELECT count(*) FROM g z WHERE z.b = g.b) > 1) OR r % 97 = 5),
   o AS (SELECT review_id, has AND r % 5 <> 0 AS held, has, r, CASE WHEN review_id IN (SELECT review_id FROM f1) THEN 'isolate' WHEN review_id IN (SELECT review_id FROM f0) THEN 'rebatch' ELSE 'initial' END AS attempt, NOT (review_id IN (SELECT review_id FROM f1) AND r % 97 = 5) AS ok FROM a)"""
-QUERIES = {"labelled_run": labelled_run, "run_totals": run_totals, "page_walks": page_walks, "walked_reviews": walked_reviews, "admission_gate": admission_gate, "live_attach": live_attach, "event_frames": event_frames}
+def tee_counts(spark, sf_dir):
+    """What a batch and a stream over events tell of themselves while they are written."""
+    e = views.table(spark, sf_dir, "events")
+    at = runs.folder(spark, "tee")
+    tee = metrics.Tee(spark)
+    errors = F.count_if(F.col("event_type") == "error").alias("errors")
+    tee.counted(e, "copy", errors, F.max("value").alias("most")).write.parquet(f"{at}/copy")
+    spark.streams.addListener(tee)
+    stream = spark.readStream.schema(e.schema).parquet(f"{at}/copy")
+    runs.to_table(tee.observed(stream, "stream", errors), f"{at}/out", f"{at}/c")
+    rows = tee.rows()
+    for _ in range(50):  # progress is told by another thread
+        if rows.filter("stage = 'stream'").count():
+            break
+        time.sleep(0.2)
+        rows = tee.rows()
+    spark.streams.removeListener(tee)
+    return rows.groupBy("stage", "metric").agg(F.sum("value").alias("value"))
+
+
+QUERIES = {"tee_counts": tee_counts, "labelled_run": labelled_run, "run_totals": run_totals, "page_walks": page_walks, "walked_reviews": walked_reviews, "admission_gate": admission_gate, "live_attach": live_attach, "event_frames": event_frames}
 ORACLE = {
+    "tee_counts": """WITH c AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (event_type = 'error'))::DOUBLE AS e, max(value) AS most FROM events) SELECT unnest(['copy', 'copy', 'copy', 'stream', 'stream']) AS stage, unnest(['rows', 'errors', 'most', 'rows', 'errors']) AS metric, unnest([n, e, most, n, e]) AS value FROM c""",
     "labelled_run": f"""WITH {LADDER_SQL} SELECT attempt, ok, count(*) AS n, CASE WHEN ok THEN count(*) END AS mentions, CASE WHEN ok THEN count(*) FILTER (held) END AS with_evidence, min(review_id) AS first FROM o GROUP BY 1, 2""",
     "run_totals": f"""WITH {LADDER_SQL} SELECT count(*) AS members, count(*) FILTER (ok) AS labelled, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (attempt <> 'initial') AS rebatched, count(*) FILTER (attempt = 'isolate') AS isolated, count(*) FILTER (ok) AS mentions, count(*) FILTER (ok AND r % 5 = 0) AS repairs FROM o""",
     "page_walks": f"""WITH {PAGES_SQL} SELECT way, app_id, p + lost + (why <> 'empty pages')::INT AS pages, least(got - CASE why WHEN 'empty pages' THEN inside ELSE 0 END, CASE way WHEN 'quota' THEN 100 ELSE 1e9 END)::BIGINT AS collected, CASE WHEN way = 'strict' AND why <> 'empty pages' THEN strangers ELSE 0 END AS out_of_window,

@@ -32,7 +32,7 @@ def _pools(spark, sf_dir):
     members = _members(spark, sf_dir)
     pools = studies.pools(members, _grid(spark, sf_dir).drop("pool_size"))
     sizes = pools.groupBy("app_id", "quantile").agg(F.count("*").alias("pool_size"))
-    return pools.join(F.broadcast(sizes), ["app_id", "quantile"]).select("app_id", "quantile", "pool_size", "review_id")
+    return pools.join(sizes, ["app_id", "quantile"]).select("app_id", "quantile", "pool_size", "review_id")
 
 
 def _regimes(spark):

@@ -41,6 +41,31 @@ def mixing_floors(spark, sf_dir):
     return studies.floors(studies.register_reads(_mixed(spark, sf_dir)), 0.85)
 
 
+def _marked(spark, sf_dir):
+    m = st._members(spark, sf_dir).withColumn("source", (F.col("app_id") % 3).cast("string"))
+    r = F.col("review_id").cast("long")
+    usable = m.filter(r % 8 != 3).select("source", "review_id", "created_at")
+    labelled = m.filter((r % 4 == 1) | (r % 40 == 3)).select("source", "review_id")
+    windows = spark.range(2).select(F.col("id").cast("string").alias("source"), F.lit("1996-01-01").cast("timestamp_ntz").alias("start"), F.lit("2001-01-01").cast("timestamp_ntz").alias("end"))
+    return usable, labelled, windows
+
+
+def marked_faults(spark, sf_dir):
+    """Labelled reviews of three sources that are not usable, lie outside of their source's window, or have none."""
+    return sweeps.marked_faults(*_marked(spark, sf_dir)).groupBy("source", "fault").agg(F.count("*").alias("n"), F.min("review_id").alias("first"))
+
+
+def marked_index(spark, sf_dir):
+    """The index of the two sources with windows, once what is not in order is gone."""
+    usable, labelled, windows = _marked(spark, sf_dir)
+    bad = sweeps.marked_faults(usable, labelled, windows).select("source", "review_id")
+    return sweeps.marked_pool(usable, labelled.join(bad, ["source", "review_id"], "left_anti"), windows, st._hits(spark, sf_dir))[1]
+
+
+def pool_regimes(spark, sf_dir):
+    return sweeps.regimes(_pools(spark, sf_dir), 0.03)
+
+
 Q = st.BASE + f""", pw AS (SELECT app_id, quantile, date_trunc('month', created_at) AS start, count(*) AS population, any_value(pool_size) AS pool_size FROM pools GROUP BY 1, 2, 3),
 zs AS (SELECT pw.*, s AS size, coalesce(sum(population) OVER (PARTITION BY app_id, quantile, s ORDER BY start DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM pw, (SELECT unnest({[*SIZES, BASE_SIZE]}) AS s) WHERE s < pool_size),
 qn AS (SELECT app_id, quantile, size, start, 'cursor-prefix' AS policy, greatest(0, least(population, size - later)) AS quota FROM zs),
@@ -74,8 +99,12 @@ va AS (SELECT DISTINCT source, aspect FROM mk JOIN hits USING (review_id)), trut
   UNION ALL SELECT p.app_id, p.quantile, va.aspect, 0.0, source FROM (SELECT DISTINCT app_id, quantile FROM truth WHERE app_id < 8) p, va WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.app_id = p.app_id AND t.quantile = p.quantile AND t.aspect = va.aspect)),
 {_judged("app_id, quantile, size, repeat, source, share", "app_id, quantile, source")},
 curve AS (SELECT app_id, quantile, source, share, count(DISTINCT repeat) AS repeats, avg(error) AS mean_error, max(error) AS max_error, avg(shipped_covered::INT) AS shipped_rate, avg(within_tolerance::INT) AS within_rate FROM m GROUP BY 1, 2, 3, 4)"""
-QUERIES = {"policy_sweep": policy_sweep, "mixing_curve": mixing_curve, "mixing_floors": mixing_floors}
+MARKED = f"""{st.BASE}, mm AS (SELECT (app_id % 3)::VARCHAR AS source, review_id, created_at, review_id::BIGINT AS r FROM reviews), lb AS (SELECT *, r % 8 = 3 AS lost, created_at < TIMESTAMP '1996-01-01' OR created_at > TIMESTAMP '2001-01-01' AS out FROM mm WHERE r % 4 = 1 OR r % 40 = 3)"""
+QUERIES = {"policy_sweep": policy_sweep, "mixing_curve": mixing_curve, "mixing_floors": mixing_floors, "marked_faults": marked_faults, "marked_index": marked_index, "pool_regimes": pool_regimes}
 ORACLE = {
+    "marked_faults": f"""{MARKED} SELECT source, CASE WHEN lost THEN 'labelled but not usable' WHEN source = '2' THEN 'no window' ELSE 'outside its window' END AS fault, count(*) AS n, min(review_id) AS first FROM lb WHERE lost OR source = '2' OR out GROUP BY 1, 2""",
+    "marked_index": f"{MARKED} SELECT source, aspect, count(DISTINCT review_id) AS n FROM lb JOIN hits USING (review_id) WHERE NOT lost AND NOT out AND source <> '2' GROUP BY 1, 2",
+    "pool_regimes": f"""{st.BASE}, mo AS (SELECT app_id, quantile, count(*) AS n FROM pools GROUP BY app_id, quantile, date_trunc('month', created_at)) SELECT app_id, quantile, sum(n)::BIGINT AS population, max(n) / sum(n)::DOUBLE AS peak_share, CASE WHEN max(n) / sum(n)::DOUBLE >= 0.03 THEN 'spiky' ELSE 'calm' END AS regime FROM mo GROUP BY 1, 2""",
     "policy_sweep": f"""{SWEEP} SELECT app_id, quantile, size, policy, aspect, count(*) AS repeats, any_value(reference_share) AS reference_share, any_value(band) AS band, avg(sample_share) AS mean_share, avg(error) AS mean_error, quantile_cont(error, 0.5) AS p50_error, quantile_cont(error, 0.9) AS p90_error,
       max(error) AS max_error, avg(covered::INT) AS coverage, avg(width) AS mean_width, avg(within_tolerance::INT) AS within_rate, avg(shipped_covered::INT) AS shipped_rate FROM m GROUP BY 1, 2, 3, 4, 5""",
     "mixing_curve": f"{MIX} SELECT * FROM curve",

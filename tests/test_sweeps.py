@@ -57,3 +57,15 @@ def test_blends(spark):
         sweeps.blends(base, marked, [0.5], 1, "s").collect()
     with pytest.raises(PySparkException, match="nothing of the sample"):
         sweeps.blends(base.limit(4), marked, [1.0], 1, "s").collect()
+
+
+def test_marked_pools_are_refused_as_a_whole(spark):
+    usable = spark.createDataFrame([("s", "1", "2020-01-02"), ("s", "2", "2020-01-01"), ("s", "3", "2021-01-01"), ("t", "4", "2020-01-02")], "source string, review_id string, at string").select("source", "review_id", F.col("at").cast("timestamp_ntz").alias("created_at"))
+    window = spark.createDataFrame([("s", "2020-01-01", "2020-12-31")], "source string, a string, b string").select("source", F.col("a").cast("timestamp_ntz").alias("start"), F.col("b").cast("timestamp_ntz").alias("end"))
+    hits = spark.createDataFrame([("1", "x"), ("2", "x"), ("2", "y"), ("3", "x")], "review_id string, aspect string")
+    labelled = lambda *ids: spark.createDataFrame([("t" if i == "4" else "s", i) for i in ids], "source string, review_id string")
+    for ids, why in ((("1", "9"), "labelled but not usable"), (("1", "3"), "outside its window"), (("4",), "no window")):
+        with pytest.raises(ValueError, match=why):
+            sweeps.marked_pool(usable, labelled(*ids), window, hits)
+    pool, index = sweeps.marked_pool(usable, labelled("1", "2", "2"), window, hits)
+    assert pool.count() == 2 and {(r.aspect, r.n) for r in index.collect()} == {("x", 2), ("y", 1)}
