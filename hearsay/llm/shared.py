@@ -32,3 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
+    """From now on Arrow batches between Spark and its Python workers hold no more rows or bytes than this, so that texts in flight
+    are few on both sides, however long they are. A session that has smaller ones keeps them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
