@@ -23,17 +23,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; it learns from the labels outside the held-out fold."""
+    shared.small_batches(spark)
     labels = read(spark, sf_dir, "labels").filter(~toxicity.held_out())
     return toxicity.score(docs, toxicity.fit(docs, labels)).filter("predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, that of the smallest doc_id."""
+    shared.small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that occur anywhere else go; documents without such words keep their text as it is."""
+    shared.small_batches(spark)
     found = substrings.remove_repeats(docs)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
@@ -47,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they decode to."""
+    shared.small_batches(spark)
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     return bpe.decode(bpe.encode(docs, path), path).withColumn("n_tokens", F.size("ids").cast("long"))
 
