@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Each module has QUERIES (name -> callable) and ORACLE (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("hearsay.plans.marts", "hearsay.plans.selection", "hearsay.plans.series", "hearsay.plans.sampling", "hearsay.plans.journals", "hearsay.plans.evaluation", "hearsay.plans.text", "hearsay.plans.prose", "hearsay.plans.replies", "hearsay.plans.certify", "hearsay.plans.studies", "hearsay.plans.display", "hearsay.plans.doors", "hearsay.plans.lookups", "hearsay.plans.streams", "hearsay.plans.stores", "hearsay.plans.sweeps")
+MODULES: tuple[str, ...] = ("hearsay.plans.marts", "hearsay.plans.selection", "hearsay.plans.series", "hearsay.plans.sampling", "hearsay.plans.journals", "hearsay.plans.evaluation", "hearsay.plans.text", "hearsay.plans.prose", "hearsay.plans.replies", "hearsay.plans.certify", "hearsay.plans.studies", "hearsay.plans.display", "hearsay.plans.doors", "hearsay.plans.lookups", "hearsay.plans.streams", "hearsay.plans.stores", "hearsay.plans.sweeps", "hearsay.plans.workbooks")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
