@@ -51,6 +51,26 @@ def as_log(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", place.alias("seq"), F.lit("message").alias("kind"), place.alias("turn"), "role", "text")
 
 
+def streamed_log(conversations: DataFrame) -> DataFrame:
+    """The log of a service that streamed these turns: what an assistant says is drafted, asked about too early, and regenerated in
+    three deltas; what others say is sent by half and then edited. Folding gives the turns as they are.
+
+    The turn that was sent before the regeneration is ended by it; the one that takes its place comes later.
+    """
+    turns = as_log(conversations).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.char_length("text")
+    part = lambda k: F.col("text").substr((F.floor(n * k / 3) + 1).cast("int"), (F.floor(n * (k + 1) / 3) - F.floor(n * k / 3)).cast("int"))
+    half = F.col("text").substr(F.lit(1), F.floor(n / 2).cast("int"))
+    event = lambda kind, turn, role, text: F.struct(F.lit(kind).alias("kind"), turn.alias("turn"), role.cast("string").alias("role"), text.alias("text"))
+    turn, role, none = F.col("turn"), F.col("role"), F.lit(None)
+    answer = F.array(
+        event("message", turn, role, half), event("message", turn + 1, F.lit("user"), F.lit("too early")), event("regenerate", turn, role, part(0)), event("delta", turn, none, part(1)), event("delta", turn, none, part(2))
+    )
+    said = F.array(event("message", turn, role, half), event("edit", turn, none, F.col("text")))
+    each = turns.select("conv_id", F.col("turn").alias("place"), F.posexplode(F.when(role == "assistant", answer).otherwise(said)).alias("k", "e"))
+    return each.select("conv_id", (F.col("place") * 8 + F.col("k")).alias("seq"), "e.kind", "e.turn", "e.role", "e.text")
+
+
 def fold(log: DataFrame) -> DataFrame:
     """Final messages: conv_id, turn, role, text."""
     events = log.select(

@@ -6,8 +6,8 @@ that the fit has not seen; and a template comparison confirms the prediction: th
 that the paragraph has must be at least ``CONFIRM``, else the family is unknown.
 
 Training is by full gradient steps as joins and sums over (paragraph, gram, value) rows. Positives are made from the
-templates below by leaving words out; negatives are a bounded sample of the corpus' own paragraphs (``negatives`` of
-smallest hash) without any word that templates alone have in common, so their number doesn't grow with the input. Scoring
+templates below by leaving words out; negatives are a bounded sample of the corpus' own distinct lines (``negatives`` of
+smallest hash, so that a line with many copies counts once) without any word that templates alone have in common, so their number doesn't grow with the input. Scoring
 joins the corpus' grams with the weights, which are broadcast: as many rows as the templates' grams times the families.
 
 Lines are joined as far as a notice of the longest template's length can be wrapped, but not over blank lines. Only
@@ -15,7 +15,8 @@ paragraphs that have CONFIRM of some template's grams are scored: no other can b
 word of ``_telling`` is, without which too few grams are left of every template. Of confirmed paragraphs of a family that
 overlap, the one that ends first counts. Unknown are lines with a licence word (WORDS) outside every confirmed paragraph.
 
-Edge cases: null and empty texts have no paragraphs and no licence; equal rows are scored each for itself; a document
+Edge cases: very long texts are read whole; work grows with their lines, also where each of them is a notice; null and
+empty texts have no paragraphs and no licence; equal rows are scored each for itself; a document
 takes the families of all its paragraphs; an empty table gives an empty one; extra columns are left out.
 """
 
@@ -88,7 +89,10 @@ def train(docs: DataFrame, negatives: int = 2000, versions: int = 12, steps: int
     made = known.withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(versions - 1))))
     made = made.select("family", F.when(F.col("version") == 0, F.col("text")).otherwise(F.concat_ws(" ", words)).alias("line"), (F.col("version") % 4 == 3).alias("held"))
     lines = docs.select(F.explode(F.split("text", r"\R")).alias("line")).filter(~F.col("line").rlike(WORDS) & (F.length("line") <= 1000))
-    drawn = lines.withColumn("h", F.xxhash64(F.lit(7), "line")).orderBy("h", "line").limit(negatives)
+    # the smallest hashes first, for equal lines count once: only hashes are compared over all lines
+    h = F.xxhash64(F.lit(7), "line")
+    most = lines.select(h.alias("h")).distinct().orderBy("h").limit(negatives).agg(F.max("h")).first()[0]
+    drawn = lines.withColumn("h", h).filter(F.col("h") <= F.lit(most).cast("long")).dropDuplicates(["line"])
     drawn = drawn.select(F.lit("").alias("family"), "line", (F.pmod("h", F.lit(4)) == 3).alias("held"))
     rows = made.unionByName(drawn).select(F.xxhash64("family", "line", "held").alias("id"), "family", "held", grams(F.col("line")).alias("grams")).dropDuplicates(["id"])
     vocabulary = known.select(F.explode("grams").alias("gram")).distinct()
@@ -169,22 +173,27 @@ def scan(docs: DataFrame, weights: DataFrame) -> DataFrame:
     agreed = lambda x: F.transform(F.filter(literal, lambda t: share(x, t) >= CONFIRM), lambda t: t["family"])
     fit = F.transform("known", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["grams"].alias("grams"), agreed(x).alias("agreed")))
     rows = rows.select("row", "doc_id", "asked", F.explode_outer(F.array(fit)).alias("fit"))
-    rows = rows.select("row", "doc_id", "asked", F.explode_outer(F.filter("fit", lambda x: F.size(x["agreed"]) > 0)).alias("x")).select("row", "doc_id", "asked", "x.*")
+    # asked goes with the first span, and then its first gram, alone: a text of many licence lines isn't copied to each of its spans
+    first = lambda place: F.when(F.coalesce(place, F.lit(0)) == 0, F.col("asked")).alias("asked")
+    rows = rows.select("row", "doc_id", "asked", F.posexplode_outer(F.filter("fit", lambda x: F.size(x["agreed"]) > 0)).alias("place", "x")).select("row", "doc_id", first(F.col("place")), "x.*")
     value = 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))
-    each = rows.select("row", "doc_id", "asked", "i", "j", "agreed", value.alias("value"), F.explode_outer("grams").alias("gram"))
+    each = rows.select("row", "doc_id", "asked", "i", "j", "agreed", value.alias("value"), F.posexplode_outer("grams").alias("place", "gram")).withColumn("asked", first(F.col("place"))).drop("place")
     scored = each.join(F.broadcast(weights), "gram", "left").groupBy("row", "doc_id", "i", "j", "of").agg(
-        F.first("asked").alias("asked"), F.first("agreed").alias("agreed"), F.first("floor").alias("floor"),
+        F.first("asked", ignorenulls=True).alias("asked"), F.first("agreed").alias("agreed"), F.first("floor").alias("floor"),
         (F.sum(F.col("value") * F.col("weight")) + F.first("bias")).alias("z"),
     )
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
-    best = scored.groupBy("row", "doc_id", "i", "j").agg(F.first("asked").alias("asked"), F.max_by(F.struct("of", "p", "floor", "agreed"), F.struct("p", "of")).alias("b"))
+    best = scored.groupBy("row", "doc_id", "i", "j").agg(F.first("asked", ignorenulls=True).alias("asked"), F.max_by(F.struct("of", "p", "floor", "agreed"), F.struct("p", "of")).alias("b"))
     sure = (F.col("b.p") >= F.col("b.floor")) & F.array_contains("b.agreed", F.col("b.of"))
     one = F.when(sure, F.struct("j", (-F.col("i")).alias("back"), F.col("b.of").alias("of"), F.col("b.p").alias("p")))
-    out = best.groupBy("row", "doc_id").agg(F.first("asked").alias("asked"), F.array_sort(F.collect_list(one)).alias("all"))
-    free = lambda taken, x: ~F.exists(taken, lambda y: (y["of"] == x["of"]) & (y["j"] >= -x["back"]))
-    taken = F.aggregate("all", F.slice("all", 1, 0), lambda a, x: F.when(free(a, x), F.array_append(a, x)).otherwise(a))
+    out = best.groupBy("row", "doc_id").agg(F.first("asked", ignorenulls=True).alias("asked"), F.array_sort(F.collect_list(one)).alias("all"))
+    # in the order of their ends, a span is free if the last one taken of its family ends before it starts
+    free = lambda a, x: F.coalesce(F.try_element_at(a, F.lit(-1))["j"] < -x["back"], F.lit(True))
+    families = F.array(*map(F.lit, sorted({f for f, _ in found})))
+    of_family = lambda f: F.aggregate(F.filter("all", lambda x: x["of"] == f), F.slice("all", 1, 0), lambda a, x: F.when(free(a, x), F.array_append(a, x)).otherwise(a))
+    taken = F.flatten(F.transform(families, of_family))
     out = out.select("doc_id", "asked", F.explode(F.array(taken)).alias("taken"))
-    unknown = F.filter("asked", lambda k: ~F.coalesce(F.exists("taken", lambda x: (k <= x["j"]) & (k >= -x["back"])), F.lit(False)))
+    unknown = F.array_except("asked", F.flatten(F.transform("taken", lambda x: F.sequence(-x["back"], x["j"]))))
     return out.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.transform("taken", lambda x: x["of"]), F.array().cast("array<string>")))), ",").alias("families"),

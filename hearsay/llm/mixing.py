@@ -4,7 +4,8 @@ Sources, by code point with null last, weigh 5, 2, 1 and so on again. Their targ
 by weight; no target passes ``cap`` times its source's size, and what it would have had over that is shared again.
 
 The mix is made of equal blocks of words. Sainte-Lague (the highest quotients target / (2k + 1)) gives each source
-whole blocks, then each shard of the source whole blocks by the shard's size. A shard is a seeded hash share of the
+whole blocks up to its target, then each shard of the source whole blocks by the shard's size; what stays below a block is
+given out again in blocks of one word, so that a source smaller than a block has its target too. A shard is a seeded hash share of the
 source's documents, small enough for one task, so a source with a third of all rows is spread over many tasks.
 In a shard, documents in seeded order form a stream of words, whose blocks are taken from the start, and over again when
 the quota is more than the stream; a shard that is given all it may give leaves the next block to the others. A document at the edge is taken in part; none is taken more than ``cap`` times.
@@ -72,6 +73,13 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return given
 
 
+def quotas(shares: np.ndarray, words: int, block: int, most: np.ndarray) -> np.ndarray:
+    """Words for each share: whole blocks as far as a share holds them, then one-word blocks by what is left of the shares."""
+    shares = np.asarray(shares, np.float64)
+    whole = sainte_lague(shares, words // block, np.floor(shares / block)) * block
+    return whole + sainte_lague(shares - whole, words - int(whole.sum()), np.maximum(most - whole, 0))
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """sizes: source, source_size -> and target. One row per source, so windows over all of them stay small."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -103,30 +111,30 @@ def mix(
 
     def source_blocks(sources: pd.DataFrame) -> pd.DataFrame:
         sources = sources.sort_values("source", na_position="last", kind="stable")
-        total = int(sources["source_size"].sum())
-        return sources.assign(blocks=sainte_lague(sources["target"].to_numpy(), round(total / block)))
+        target = sources["target"].to_numpy()
+        return sources.assign(words=quotas(target, round(float(target.sum())), block, np.floor(cap * sources["source_size"].to_numpy())))
 
-    schema = "source string, source_size long, n_docs long, target double, blocks long"
+    schema = "source string, source_size long, n_docs long, target double, words long"
     planned = targets(sizes, weights, cap).groupBy().applyInPandas(source_blocks, schema)
     shards = F.ceil(F.greatest(F.col("source_size") / shard_words, F.col("n_docs") / shard_docs, F.lit(1.0))).cast("int")
     # names of its own, which none of the documents' columns can have
-    of, shard, size, quota, blocks = (f"{_OWN}{c}" for c in ("of", "shard", "size", "quota", "blocks"))
-    planned = shared.cut(planned.select(F.col("source").alias(of), "source_size", "target", F.col("blocks").alias(blocks), shards.alias(f"{_OWN}shards")))
+    of, shard, size, quota, words = (f"{_OWN}{c}" for c in ("of", "shard", "size", "quota", "words"))
+    planned = shared.cut(planned.select(F.col("source").alias(of), "source_size", "target", F.col("words").alias(words), shards.alias(f"{_OWN}shards")))
 
     dealt = docs.join(planned, docs["source"].eqNullSafe(planned[of])).drop(of)
     place = F.xxhash64(F.lit(seed), "doc_id", "size")  # documents of one id, or of none, are dealt by their size
     dealt = dealt.withColumn(shard, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col(f"{_OWN}shards")).cast("int"))
-    cells = dealt.groupBy("source", F.col(shard).alias("shard")).agg(F.sum("size").alias("cell_size"), F.first(blocks).alias("blocks"))
+    cells = dealt.groupBy("source", F.col(shard).alias("shard")).agg(F.sum("size").alias("cell_size"), F.first(words).alias("words"))
 
-    def cell_blocks(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    def cell_words(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("shard")
-        most = np.floor(cap * cells["cell_size"].to_numpy() / block)
-        given = sainte_lague(cells["cell_size"].to_numpy(), int(cells["blocks"].iloc[0]), most)
-        return cells[["source", "shard", "cell_size"]].assign(quota=given * block)
+        sizes, words = cells["cell_size"].to_numpy(), int(cells["words"].iloc[0])
+        shares = sizes * (words / max(sizes.sum(), 1))
+        return cells[["source", "shard", "cell_size"]].assign(quota=quotas(shares, words, block, np.floor(cap * sizes)))
 
-    quotas = cells.groupBy("source").applyInPandas(cell_blocks, "source string, shard int, cell_size long, quota long")
-    quotas = quotas.select(F.col("source").alias(of), F.col("shard").alias(f"{_OWN}in"), F.col("cell_size").alias(size), F.col("quota").alias(quota))
-    joined = dealt.join(quotas, dealt["source"].eqNullSafe(quotas[of]) & (dealt[shard] == quotas[f"{_OWN}in"]))
+    dealt_words = cells.groupBy("source").applyInPandas(cell_words, "source string, shard int, cell_size long, quota long")
+    dealt_words = dealt_words.select(F.col("source").alias(of), F.col("shard").alias(f"{_OWN}in"), F.col("cell_size").alias(size), F.col("quota").alias(quota))
+    joined = dealt.join(dealt_words, dealt["source"].eqNullSafe(dealt_words[of]) & (dealt[shard] == dealt_words[f"{_OWN}in"]))
     stream = Window.partitionBy("source", shard).orderBy(place, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(stream), F.lit(0))
     whole = F.floor(F.col(quota) / F.nullif(F.col(size), F.lit(0)))

@@ -69,7 +69,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"),
     )
-    return chat.summarize(chat.render(chat.fold(chat.as_log(turns.unionByName(own)))))
+    return chat.summarize(chat.render(chat.fold(chat.streamed_log(turns.unionByName(own)))))
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from hearsay.llm import chat, queries
 
 
@@ -69,3 +71,20 @@ def test_query_on_whole_table(spark):
 
 def test_empty_log(spark):
     assert chat.summarize(chat.render(chat.fold(log(spark, [])))).collect() == []
+
+
+def test_streamed_log_folds_to_its_turns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a longer answer \U0001f600!"), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 5, None, "no role"), (2, 5, None, "no role"), (None, None, "assistant", "x"), (3, 1, "assistant", "ab")]
+    table = spark.createDataFrame([(*r, "more") for r in rows], "conv_id long, turn int, role string, text string, seq string")
+    streamed = chat.streamed_log(table)
+    final = lambda log: sorted((tuple(r) for r in chat.fold(log).collect()), key=str)
+    want = final(chat.as_log(table))
+    assert final(streamed) == want and final(streamed.repartition(5)) == want
+    for kind in ("delta", "edit", "regenerate"):
+        assert final(streamed.filter(f"kind <> '{kind}'")) != want, kind
+
+
+def test_odd_events(spark):
+    rows = [(1, 1, "message", 0, "user", "b"), (1, 1, "message", 0, "user", "a"), (1, None, "message", 0, "user", "first"), (1, 1, "delta", 0, None, "d"), (None, None, "delta", None, None, None)]
+    wide = log(spark, rows).withColumn("version", F.lit(1)).withColumn("place", F.lit("x"))
+    assert sorted((tuple(r) for r in chat.fold(wide).collect()), key=str) == [(1, 0, "user", "b"), (None, None, None, "")]

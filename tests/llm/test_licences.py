@@ -1,3 +1,5 @@
+import time
+
 from hearsay.llm import licences, queries
 
 #: The corpus' licence lines and what they are.
@@ -56,3 +58,14 @@ def test_wrapped_notices(spark):
         1: ("bsd", 1, 0), 2: ("gpl-3.0", 1, 0), 3: ("apache-2.0", 1, 0), 4: ("bsd", 1, 0), 5: ("", 0, 1), 6: ("bsd", 2, 0), 7: ("mit", 1, 0), 8: ("apache-2.0", 1, 0),
         9: ("gpl-3.0,proprietary", 2, 0),
     }
+
+
+def test_many_notices_in_one_text_and_copies_of_one_line(spark):
+    train = queries.read(spark, "/root/testdata/sf0.001", "documents")
+    copies = spark.range(5000).selectExpr("id AS doc_id", "'one and the same line' AS text")
+    weights = licences.train(train.select("doc_id", "text").unionByName(copies))
+    docs = spark.createDataFrame([(1, "All rights reserved.\n" * 4000), (2, "Released under the MIT License.\n\nlicensed to nobody\n\n" * 1000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.families, r.n_licences, r.n_unknown) for r in licences.scan(docs, weights).collect()}
+    assert got == {1: ("proprietary", 4000, 0), 2: ("mit", 1000, 1000)}
+    assert time.perf_counter() - began < 60

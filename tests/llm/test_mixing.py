@@ -97,3 +97,16 @@ def test_names_do_not_clash(spark):
     assert out.columns == [*(c for c in docs.columns if c != "target"), "source_size", "target", "taken"]
     assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))} and out.count() == 30
     assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_small_sources_have_their_targets(spark):
+    small = {"a": 3, "b": 5, "c": 20, None: 1}
+    docs = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(small.items())] + [(10 + i, "large", 50) for i in range(40)], "doc_id long, source string, size long")
+    for shard_docs in (2048, 3):
+        rows = mixing.mix(docs, shard_docs=shard_docs).collect()
+        got = {}
+        for r in rows:
+            assert 0 <= r.taken <= 3 * r.size
+            got[r.source] = got.get(r.source, 0) + r.taken
+        for s, want in plain_targets({**small, "large": 2000}).items():
+            assert abs(got[s] - want) <= 1, (s, got[s], want)
