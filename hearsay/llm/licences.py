@@ -1,19 +1,21 @@
 """Licence families of paragraphs, in DataFrame functions only (operator 8).
 
-Method: a paragraph (a line of a text, or lines next to each other that a notice is wrapped over) is a sparse set of word 1- and 2-grams. A logistic regression for each family,
-trained here, gives its probability; the margin that tells a family from the unknown class is calibrated on paragraphs
-that the fit has not seen; and a template comparison confirms the prediction: the share of a template's 1- and 2-grams
-that the paragraph has must be at least ``CONFIRM``, else the family is unknown.
-
-Training is by full gradient steps as joins and sums over (paragraph, gram, value) rows. Positives are made from the
-templates below by leaving words out; negatives are a bounded sample of the corpus' own distinct lines (``negatives`` of
-smallest hash, so that a line with many copies counts once) without any word that templates alone have in common, so their number doesn't grow with the input. Scoring
-joins the corpus' grams with the weights, which are broadcast: as many rows as the templates' grams times the families.
-
-Lines are joined as far as a notice of the longest template's length can be wrapped, but not over blank lines. Only
-paragraphs that have CONFIRM of some template's grams are scored: no other can be confirmed. They are looked for where a
-word of ``_telling`` is, without which too few grams are left of every template. Of confirmed paragraphs of a family that
-overlap, the one that ends first counts. Unknown are lines with a licence word (WORDS) outside every confirmed paragraph.
+Method: a paragraph (a line of a text, or lines next to each other that a notice is wrapped over) is a sparse set of word 1- and
+2-grams. A logistic regression for each family, trained here, gives its probability; the family of the highest is predicted,
+or the unknown class if that is below the family's floor. The floor is calibrated on paragraphs that the fit has not seen, hard
+ones among them. A template comparison then confirms the prediction: the share of the 1- and 2-grams of one of the predicted
+family's templates that the paragraph has must be at least ``CONFIRM``, else the class is unknown.
+
+Training is by full gradient steps as joins and sums over (paragraph, gram, value) rows. Positives are made from the templates
+below by leaving words out. Hard negatives are templates that have lost too many words to be confirmed, and the corpus' own
+lines that have a licence word and agree with no template; the other negatives are lines without one. Of each of these two
+kinds of lines ``negatives`` distinct ones are drawn, those of smallest hash, so that a line with many copies counts once and
+their number doesn't grow with the input. The weights are broadcast: a row for each gram of the templates.
+
+Lines are joined as far as a notice of the longest template's length can be wrapped, but not over blank lines. Candidates are
+paragraphs that hold a word of ``_telling``, without which too few grams are left of every template; each is classified. Of
+confirmed paragraphs of a family that overlap, the one that ends first counts. Lines with a licence word (WORDS) that are in no
+paragraph of a confirmed family are of the unknown class.
 
 Edge cases: very long texts are read whole; work grows with their lines, also where each of them is a notice; null and
 empty texts have no paragraphs and no licence; equal rows are scored each for itself; a document
@@ -22,6 +24,7 @@ takes the families of all its paragraphs; an empty table gives an empty one; ext
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,8 +34,10 @@ from hearsay.llm import shared
 
 #: Licence families and phrases of their notices, as public licence texts word them.
 TEMPLATES = (
+    ("agpl-3.0", "licensed under the gnu affero general public license, version 3"),
     ("apache-2.0", "licensed under the apache license, version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the license"),
+    ("boost-1.0", "distributed under the boost software license, version 1.0"),
     ("bsd", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("cc-by", "licensed under cc by 4.0"),
@@ -41,19 +46,23 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by-sa 4.0"),
     ("cc-by-sa", "licensed under a creative commons attribution-sharealike 4.0 international license"),
     ("cc0", "to the extent possible under law, the author has waived all copyright and related rights to this work"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"),
     ("gpl-2.0", "this work is licensed under the gnu general public license, version 2"),
     ("gpl-3.0", "this work is licensed under the gnu general public license, version 3"),
     ("gpl-3.0", "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("isc", "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "licensed under the gnu lesser general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license, v. 2.0"),
+    ("odbl", "made available under the open database license"),
     ("proprietary", "all rights reserved"),
     ("public-domain", "this work is in the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 #: Share of a template's grams that a paragraph must have.
 CONFIRM = 0.7
-#: What makes a line without a confirmed notice an unknown licence.
+#: Licence words: a line with one of them and without a confirmed notice is of the unknown class.
 WORDS = r"(?i)licen[cs]|copyright|rights reserved|public domain|redistribut|creative commons|free software|permission is hereby"
 
 
@@ -71,55 +80,96 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, family string, text string").withColumn("grams", grams(F.col("text")))
 
 
-def _pairs(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """rows (id, family, held, grams) -> id, family, held, gram, value: a paragraph's grams have length one together; the
-    empty gram, of value 1, stands for the bias."""
-    known = rows.select("id", "family", "held", F.explode("grams").alias("gram")).join(F.broadcast(vocabulary), "gram", "left_semi")
-    value = 1 / F.sqrt(F.count("*").over(Window.partitionBy("id")))
-    known = known.select("id", "family", "held", "gram", value.alias("value"))
-    return known.unionByName(rows.select("id", "family", "held", F.lit("").alias("gram"), F.lit(1.0).alias("value")))
+def _fixed(found: list) -> tuple[Column, Column]:
+    """The templates as an array of (family, grams), and all their grams, for use in expressions."""
+    rows = [{"family": r["family"], "grams": r["grams"]} for r in found]
+    every = sorted({g for r in rows for g in r["grams"]})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<family: string, grams: array<string>>>"), F.from_json(F.lit(json.dumps(every)), "array<string>")
 
 
-def train(docs: DataFrame, negatives: int = 2000, versions: int = 12, steps: int = 20, ridge: float = 0.005) -> DataFrame:
-    """Weights: of (family), gram, weight, bias, floor. One row for each family and gram of a template."""
+def agreed(grams: Column, fixed: Column) -> Column:
+    """Families of the templates of whose grams a paragraph has CONFIRM or more."""
+    share = lambda t: F.size(F.array_intersect(grams, t["grams"])) / F.size(t["grams"])
+    return F.transform(F.filter(fixed, lambda t: share(t) >= CONFIRM), lambda t: t["family"])
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that later expressions take as it is; exploded, so that it isn't made anew wherever they name it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def paragraphs(docs: DataFrame, negatives: int = 2000, versions: int = 12) -> DataFrame:
+    """What is learnt from: family (empty: none), held, grams (those of templates alone, sorted) and n, the number of paragraphs
+    that are alike in these."""
     spark = docs.sparkSession
     known = templates(spark)
-    # versions of a template lack words by chance
-    words = F.filter(F.split("text", " "), lambda w: F.pmod(F.xxhash64(F.col("version"), w), F.lit(8)) > 0)
-    made = known.withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(versions - 1))))
-    made = made.select("family", F.when(F.col("version") == 0, F.col("text")).otherwise(F.concat_ws(" ", words)).alias("line"), (F.col("version") % 4 == 3).alias("held"))
-    lines = docs.select(F.explode(F.split("text", r"\R")).alias("line")).filter(~F.col("line").rlike(WORDS) & (F.length("line") <= 1000))
-    # the smallest hashes first, for equal lines count once: only hashes are compared over all lines
+    fixed, vocabulary = _fixed(known.collect())  # fixed rows
+    # versions of a template lack words by chance, one in eight or, of those that are to be unknown, most of them
+    least = F.when(F.col("version") < versions, 1).otherwise(5)
+    words = F.filter(F.split("text", " "), lambda w: F.pmod(F.xxhash64(F.col("version"), w), F.lit(8)) >= least)
+    made = known.select("family", "text", F.explode(F.sequence(F.lit(0), F.lit(2 * versions - 1))).alias("version"))
+    line = F.when(F.col("version") == 0, F.col("text")).otherwise(F.concat_ws(" ", words))
+    made = _once(made.select("family", line.alias("line"), (F.col("version") % 4 == 3).alias("held")), "grams", grams(F.col("line")))
+    made = _once(made, "agreed", agreed(F.col("grams"), fixed))
+    made = made.filter("array_contains(agreed, family) OR size(agreed) = 0").withColumn("family", F.when(F.size("agreed") > 0, F.col("family")).otherwise(""))
+    lines = docs.select(F.explode(F.split("text", r"\R")).alias("line")).filter(F.length("line") <= 1000)
     h = F.xxhash64(F.lit(7), "line")
-    most = lines.select(h.alias("h")).distinct().orderBy("h").limit(negatives).agg(F.max("h")).first()[0]
-    drawn = lines.withColumn("h", h).filter(F.col("h") <= F.lit(most).cast("long")).dropDuplicates(["line"])
-    drawn = drawn.select(F.lit("").alias("family"), "line", (F.pmod("h", F.lit(4)) == 3).alias("held"))
-    rows = made.unionByName(drawn).select(F.xxhash64("family", "line", "held").alias("id"), "family", "held", grams(F.col("line")).alias("grams")).dropDuplicates(["id"])
-    vocabulary = known.select(F.explode("grams").alias("gram")).distinct()
-    # bounded from here on: the drawn paragraphs and the templates' versions
-    pairs = shared.cut(_pairs(rows, vocabulary).coalesce(4))
-    families = known.select(F.col("family").alias("of")).distinct()
-    weights = shared.cut(families.join(vocabulary.unionByName(spark.createDataFrame([("",)], "gram string")), F.lit(True)).withColumn("weight", F.lit(0.0)).coalesce(1))
-
-    def probability(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-        z = pairs.join(F.broadcast(weights), "gram").groupBy("id", "family", "held", "of").agg(F.sum(F.col("value") * F.col("weight")).alias("z"))
-        return z.select("id", "family", "held", "of", (1 / (1 + F.exp(-F.col("z")))).alias("p"))
+    lines = lines.select("line", h.alias("h"), F.col("line").rlike(WORDS).alias("asked"))
+    # hashes below a bound that some more than enough lines have by their estimated number; then the smallest of these
+    counts = {r["asked"]: r["n"] for r in lines.groupBy("asked").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    rate = F.when(F.col("asked"), F.lit(1.5 * negatives / max(1, counts.get(True, 0)))).otherwise(F.lit(1.5 * negatives / max(1, counts.get(False, 0))))
+    near = shared.written(lines.filter(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < rate).dropDuplicates(["line"]), "lines")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.shiftrightunsigned("h", 11), "line"))  # of some 3 * negatives lines
+    drawn = near.withColumn("place", place).filter(F.col("place") <= negatives)
+    drawn = _once(drawn.select(F.lit("").alias("family"), "line", (F.pmod("h", F.lit(4)) == 3).alias("held")), "grams", grams(F.col("line")))
+    drawn = drawn.filter(F.size(agreed(F.col("grams"), fixed)) == 0)
+    rows = made.drop("agreed").unionByName(drawn).dropDuplicates(["family", "line", "held"])
+    rows = rows.select("family", "held", F.array_sort(F.array_intersect("grams", vocabulary)).alias("grams"))
+    return rows.groupBy("family", "held", "grams").agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame, negatives: int = 2000, versions: int = 12, steps: int = 20, ridge: float = 0.05) -> DataFrame:
+    """Weights: of (family), gram, weight, bias, floor. One row for each family and gram of a template."""
+    families = sorted({f for f, _ in TEMPLATES})
+    # bounded from here on: the drawn lines and the templates' versions
+    rows = shared.written(paragraphs(docs, negatives, versions).withColumn("id", F.xxhash64("family", "held", "grams")).coalesce(4), "paragraphs")
+    # the empty gram, which every paragraph has, stands for the bias
+    pairs = shared.written(rows.select("id", "held", "n", (F.size("grams") + 1).alias("size"), F.explode(F.array_append("grams", F.lit(""))).alias("gram")), "grams")
+    each_of = range(len(families))
+    # weights of each family, and how they last moved
+    weights = pairs.select("gram").distinct().selectExpr("gram", *(f"0D AS w{k}" for k in each_of), *(f"0D AS v{k}" for k in each_of)).coalesce(1)
+    weights = shared.written(weights, "weights")
+
+    def probabilities(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+        z = pairs.join(F.broadcast(weights), "gram").groupBy("id").agg(*(F.expr(f"sum(w{k}) AS z{k}") for k in each_of))
+        return z.selectExpr("id", *(f"1 / (1 + exp(-z{k})) AS p{k}" for k in each_of))
 
     fit = pairs.filter("NOT held")
-    for _ in range(steps):  # Newton's method on the diagonal, damped since grams of a template come together
-        p = probability(fit, weights).select("id", "of", "p", ((F.col("family") == F.col("of")).cast("double") - F.col("p")).alias("r"))
-        sums = fit.select("id", "gram", "value").join(p, "id").groupBy("of", "gram")
-        sums = sums.agg(F.sum(F.col("r") * F.col("value")).alias("g"), F.sum(F.col("p") * (1 - F.col("p")) * F.col("value") ** 2).alias("h"))
-        step = 0.9 * (F.col("g") - ridge * F.col("weight")) / (F.col("h") + ridge)
-        moved = F.col("weight") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.coalesce(step, F.lit(0.0))))
-        weights = shared.cut(weights.join(F.broadcast(sums), ["of", "gram"], "left").select("of", "gram", moved.alias("weight")).coalesce(1))
-    # the floor lies between what unseen paragraphs of the family, and all others, are given
-    unseen = probability(pairs.filter("held"), weights)
+    told = rows.filter("NOT held").select("id", "family")
+    # steps by the gradient over what bounds the curvature, since grams of a template come together, with momentum
+    for i in range(steps):
+        p = probabilities(fit, weights).join(F.broadcast(told), "id")
+        sums = fit.join(F.broadcast(p), "id").groupBy("gram").agg(
+            *(F.expr(f"sum(n * (int(family = '{f}') - p{k})) AS g{k}") for k, f in enumerate(families)),
+            *(F.expr(f"sum(n * size * p{k} * (1 - p{k})) AS h{k}") for k in each_of),
+        )
+        moved = weights.join(F.broadcast(sums), "gram").withColumn("keep", F.lit(i / (i + 3)))
+        moved = moved.selectExpr("gram", *(f"w{k}" for k in each_of), *(f"greatest(-2D, least(2D, (g{k} - {ridge} * w{k}) / (h{k} + {ridge}))) + keep * v{k} AS v{k}" for k in each_of))
+        weights = shared.written(moved.selectExpr("gram", *(f"w{k} + v{k} AS w{k}" for k in each_of), *(f"v{k}" for k in each_of)).coalesce(1), "weights")
+    # the floor is where unseen paragraphs are told apart with fewest errors, halfway to the next lower probability
+    unseen = probabilities(pairs.filter("held"), weights).join(rows.select("id", "family", "n"), "id")
+    unseen = unseen.select("family", "n", F.explode(F.array(*(F.struct(F.lit(f).alias("of"), F.col(f"p{k}").alias("p")) for k, f in enumerate(families)))).alias("x")).select("family", "n", "x.*")
     mine = F.col("family") == F.col("of")
-    floor = (F.coalesce(F.min(F.when(mine, F.col("p"))), F.lit(1.0)) + F.coalesce(F.max(F.when(~mine, F.col("p"))), F.lit(0.0))) / 2
-    floors = unseen.groupBy("of").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.8), floor)).alias("floor"))
-    bias = weights.filter("gram = ''").select("of", F.col("weight").alias("bias"))
-    return shared.cut(weights.filter("gram <> ''").join(bias, "of").join(floors, "of").coalesce(1))
+    each = unseen.groupBy("of", "p").agg(F.sum(F.when(mine, F.col("n")).otherwise(0)).alias("mine"), F.sum(F.when(mine, 0).otherwise(F.col("n"))).alias("others"))
+    by_p = Window.partitionBy("of").orderBy("p")  # of held rows
+    below, above = by_p.rowsBetween(Window.unboundedPreceding, -1), by_p.rowsBetween(0, Window.unboundedFollowing)
+    errors = F.coalesce(F.sum("mine").over(below), F.lit(0)) + F.sum("others").over(above)
+    tried = each.select("of", "p", errors.alias("errors"), F.coalesce(F.max("p").over(below), F.lit(0.0)).alias("lower"))
+    floor = F.min_by((F.col("p") + F.col("lower")) / 2, F.struct("errors", "p"))
+    floors = tried.groupBy("of").agg(F.greatest(F.lit(0.05), F.least(F.lit(0.8), floor)).alias("floor"))
+    long = weights.select("gram", F.explode(F.array(*(F.struct(F.lit(f).alias("of"), F.col(f"w{k}").alias("weight")) for k, f in enumerate(families)))).alias("x")).select("gram", "x.*")
+    bias = long.filter("gram = ''").select("of", F.col("weight").alias("bias"))
+    return shared.cut(long.filter("gram <> ''").join(F.broadcast(bias), "of").join(F.broadcast(floors), "of").coalesce(1))
 
 
 def _telling(found: list[list[str]]) -> list[str]:
@@ -141,9 +191,9 @@ def scan(docs: DataFrame, weights: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, families (sorted, joined by a comma), n_licences and n_unknown (paragraphs), probability
     (the highest of a confirmed paragraph; null without one)."""
     spark = docs.sparkSession
-    found = [(r["family"], r["grams"]) for r in templates(spark).collect()]  # fixed rows
-    literal = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, g)).alias("grams")) for f, g in found))
-    vocabulary = F.array(*(F.lit(g) for g in sorted({g for _, gs in found for g in gs})))
+    known = templates(spark).collect()  # fixed rows
+    found = [(r["family"], r["grams"]) for r in known]
+    literal, vocabulary = _fixed(known)
     longest = max(sum(" " not in g for g in gs) + 1 for _, gs in found) + 8  # words; some come twice
     telling = rf"(?i)\b(?:{'|'.join(_telling([gs for _, gs in found]))})\b"
     text = F.coalesce("text", F.lit(""))
@@ -169,23 +219,24 @@ def scan(docs: DataFrame, weights: DataFrame) -> DataFrame:
     joined = lambda x: F.array_join(F.slice("lines", x["i"] + 1, x["j"] - x["i"] + 1), " ")
     known = F.transform("spans", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), F.array_intersect(grams(joined(x)), vocabulary).alias("grams")))
     rows = rows.select("row", "doc_id", "asked", F.explode_outer(F.array(known)).alias("known"))
-    share = lambda x, t: F.size(F.array_intersect(x["grams"], t["grams"])) / F.size(t["grams"])
-    agreed = lambda x: F.transform(F.filter(literal, lambda t: share(x, t) >= CONFIRM), lambda t: t["family"])
-    fit = F.transform("known", lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["grams"].alias("grams"), agreed(x).alias("agreed")))
-    rows = rows.select("row", "doc_id", "asked", F.explode_outer(F.array(fit)).alias("fit"))
     # asked goes with the first span, and then its first gram, alone: a text of many licence lines isn't copied to each of its spans
-    first = lambda place: F.when(F.coalesce(place, F.lit(0)) == 0, F.col("asked")).alias("asked")
-    rows = rows.select("row", "doc_id", "asked", F.posexplode_outer(F.filter("fit", lambda x: F.size(x["agreed"]) > 0)).alias("place", "x")).select("row", "doc_id", first(F.col("place")), "x.*")
-    value = 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))
-    each = rows.select("row", "doc_id", "asked", "i", "j", "agreed", value.alias("value"), F.posexplode_outer("grams").alias("place", "gram")).withColumn("asked", first(F.col("place"))).drop("place")
-    scored = each.join(F.broadcast(weights), "gram", "left").groupBy("row", "doc_id", "i", "j", "of").agg(
-        F.first("asked", ignorenulls=True).alias("asked"), F.first("agreed").alias("agreed"), F.first("floor").alias("floor"),
-        (F.sum(F.col("value") * F.col("weight")) + F.first("bias")).alias("z"),
+    first = lambda place, name: F.when(F.coalesce(place, F.lit(0)) == 0, F.col(name)).alias(name)
+    rows = rows.select("row", "doc_id", "asked", F.posexplode_outer("known").alias("place", "x")).select("row", "doc_id", first(F.col("place"), "asked"), "x.*")
+    each = rows.select("row", "doc_id", "asked", "i", "j", "grams", F.posexplode_outer("grams").alias("place", "gram"))
+    each = each.select("row", "doc_id", "i", "j", "gram", *(first(F.col("place"), c) for c in ("asked", "grams")))
+    fitted = {r["of"]: (r["bias"], r["floor"]) for r in weights.select("of", "bias", "floor").distinct().collect()}  # a row a family
+    wide = weights.groupBy("gram").pivot("of", sorted(fitted)).agg(F.first("weight"))
+    wide = wide.select("gram", *(F.col(f"`{f}`").alias(f"w{n}") for n, f in enumerate(sorted(fitted))))
+    scored = each.join(F.broadcast(wide), "gram", "left").groupBy("row", "doc_id", "i", "j").agg(
+        F.first("asked", ignorenulls=True).alias("asked"), F.first("grams", ignorenulls=True).alias("grams"),
+        *(F.sum(f"w{n}").alias(f"z{n}") for n in range(len(fitted))),
     )
-    scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
-    best = scored.groupBy("row", "doc_id", "i", "j").agg(F.first("asked", ignorenulls=True).alias("asked"), F.max_by(F.struct("of", "p", "floor", "agreed"), F.struct("p", "of")).alias("b"))
-    sure = (F.col("b.p") >= F.col("b.floor")) & F.array_contains("b.agreed", F.col("b.of"))
-    one = F.when(sure, F.struct("j", (-F.col("i")).alias("back"), F.col("b.of").alias("of"), F.col("b.p").alias("p")))
+    p = lambda n, bias: 1 / (1 + F.exp(-(F.coalesce(F.col(f"z{n}"), F.lit(0.0)) + bias)))
+    classes = (F.struct(p(n, fitted[f][0]).alias("p"), F.lit(f).alias("of"), F.lit(fitted[f][1]).alias("floor")) for n, f in enumerate(sorted(fitted)))
+    best = scored.select("row", "doc_id", "i", "j", "asked", "grams", F.array_max(F.array(*classes)).alias("b"))
+    sure = F.col("i").isNotNull() & (F.col("b.p") >= F.col("b.floor"))  # else the class is unknown
+    mine = F.filter(literal, lambda t: t["family"] == F.col("b.of"))
+    one = F.when(sure & (F.size(agreed(F.col("grams"), mine)) > 0), F.struct("j", (-F.col("i")).alias("back"), F.col("b.of").alias("of"), F.col("b.p").alias("p")))
     out = best.groupBy("row", "doc_id").agg(F.first("asked", ignorenulls=True).alias("asked"), F.array_sort(F.collect_list(one)).alias("all"))
     # in the order of their ends, a span is free if the last one taken of its family ends before it starts
     free = lambda a, x: F.coalesce(F.try_element_at(a, F.lit(-1))["j"] < -x["back"], F.lit(True))
