@@ -6,6 +6,11 @@ and how many edits are left, so misspelled terms are found without listing their
 context: a window of words around a hit that holds quotation marks on it counts as quotation, not as abuse. A logistic
 regression turns the sums of hits into a score.
 
+Most words an edit away from a term are words of their own. Those that toxic texts don't have more often than others are
+ordinary and are no hits, so that what is left of near hits is misspellings. Labelled texts hold few misspellings and
+quotations of terms, so the regression is also fitted on planted ones: each toxic text of the sample once with its terms
+misspelt by a letter, which is still toxic, and once with its terms in quotation marks, which is not.
+
 Everything is learnt from labelled rows. Terms are those that toxic texts have far more often than others; texts of a
 class with the same set of words count once for it, as copies. Terms and
 regression are fitted on a bounded sample (``fit_rows`` labelled rows of smallest hash); the regression's features of
@@ -22,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,6 +44,7 @@ STEMS = range(4, 10)
 #: Words around a hit in which quotation marks count.
 WINDOW = 3
 _PARTS = re.compile(r"[^\W\d_]+")
+_MARKS = "\"“”„«»‹›‘’'`.,;:!?()[]{}<>-|"
 _QUOTES = set("\"“”„«»‹›‘’'`")
 
 
@@ -48,10 +55,10 @@ def terms_of(words: set[str]) -> set[str]:
 class Lexicon:
     """Terms with weights, in a trie; terms that end with * are stems."""
 
-    def __init__(self, weights: dict[str, float], edits: int = 1, fuzzy_from: int = 5):
+    def __init__(self, weights: dict[str, float], edits: int = 1, fuzzy_from: int = 5, ordinary: frozenset[str] = frozenset()):
         self.terms = sorted(weights)
         self.weights = np.array([0.0, *(weights[t] for t in self.terms)])
-        self.edits, self.fuzzy_from = edits, fuzzy_from
+        self.edits, self.fuzzy_from, self.ordinary = edits, fuzzy_from, ordinary
         self.root: dict = {}
         self.whole: dict = {}  # of the words that misspellings are looked up in, and of the same read backwards
         self.back: dict = {}
@@ -126,8 +133,8 @@ class Lexicon:
         best = max((self.exact(p) for p in parts), key=lambda i: self.weights[i], default=0)
         if best:
             return [best, marks]
-        core = low.strip("\"“”„«»‹›‘’'`.,;:!?()[]{}<>-|")
-        tried = {core, *parts} if any(c.isalpha() for c in core) else set()
+        core = low.strip(_MARKS)
+        tried = {core, *parts} - self.ordinary if any(c.isalpha() for c in core) else set()
         best = max((self.near(p) for p in tried if self.fuzzy_from - self.edits <= len(p) <= 40), key=lambda i: self.weights[i], default=0)
         return [best, marks + 1]
 
@@ -139,7 +146,8 @@ N_FEATURES = 8
 
 
 def features(lexicon: Lexicon, cache: kernels.IdCache, run: kernels.Run) -> np.ndarray:
-    """One row per text: 1; sums of exact, near and quoted weights; heaviest; kinds of terms; density; length."""
+    """One row per text: 1; sums of exact, near and quoted weights; of hits that aren't quoted: heaviest, kinds of terms, density;
+    length."""
     starts, ends, bounds, _ = kernels.words(run)
     out = np.zeros((len(run), N_FEATURES))
     out[:, 0] = 1
@@ -160,10 +168,10 @@ def features(lexicon: Lexicon, cache: kernels.IdCache, run: kernels.Run) -> np.n
         return np.bincount(docs[mask], weight[mask], minlength=len(run))
 
     out[:, 1], out[:, 2], out[:, 3] = (np.log1p(total(m)) for m in (~quoted & ~near, ~quoted & near, quoted))
-    np.maximum.at(out[:, 4], docs, weight * np.where(near | quoted, 0.5, 1.0))
-    kinds = np.unique(np.stack([docs, term[hits]]), axis=1)[0]
+    np.maximum.at(out[:, 4], docs[~quoted], weight[~quoted])
+    kinds = np.unique(np.stack([docs[~quoted], term[hits][~quoted]]), axis=1)[0]
     out[:, 5] = np.log1p(np.bincount(kinds, minlength=len(run)))
-    out[:, 6] = np.minimum(1.0, total(np.ones(len(hits), bool)) / np.maximum(n, 1) * 10)
+    out[:, 6] = np.minimum(1.0, total(~quoted) / np.maximum(n, 1) * 10)
     return out
 
 
@@ -193,19 +201,36 @@ def choose_terms(counts: dict[str, tuple[float, float]], toxic: float, other: fl
     return {t: found[t] for t in best}
 
 
+def misspelt(word: str) -> str:
+    """word with one edit at a place that its hash tells: a letter less, another or one more; never the first."""
+    h = zlib.crc32(word.encode("utf-8", "replace"))
+    letters = [i for i, c in enumerate(word) if c.isalpha()][1:]
+    if not letters:
+        return word
+    i, other = letters[h % len(letters)], "qxzvkjwy"[h // 64 % 8]
+    return word[:i] + ("", other, other + word[i])[h // 4096 % 3] + word[i + 1 :]
+
+
+def planted(text: str, lexicon: Lexicon) -> tuple[str, str]:
+    """A text with its terms misspelt, and with its terms in quotation marks."""
+    words = [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()]  # split as kernels.words does
+    hit = [bool(found[0]) and found[1] % 2 == 0 for found in map(lexicon.token, words)]
+    return " ".join(misspelt(w) if x else w for w, x in zip(words, hit, strict=True)), " ".join(f'"{w}"' if x else w for w, x in zip(words, hit, strict=True))
+
+
 class Model:
-    def __init__(self, weights: dict[str, float], regression: np.ndarray):
-        self.weights, self.regression = weights, regression
+    def __init__(self, weights: dict[str, float], regression: np.ndarray, ordinary: frozenset[str] = frozenset()):
+        self.weights, self.regression, self.ordinary = weights, regression, ordinary
 
 
-def _loaded(weights: dict[str, float]) -> tuple[Lexicon, kernels.IdCache]:
+def _loaded(weights: dict[str, float], ordinary: frozenset[str]) -> tuple[Lexicon, kernels.IdCache]:
     """One lexicon and cache for each worker process and model."""
 
     def load():
-        lexicon = Lexicon(weights)
+        lexicon = Lexicon(weights, ordinary=ordinary)
         return lexicon, kernels.IdCache(lexicon.tokens, most=500_000, most_bytes=16 << 20)
 
-    return kernels.worker_state(("toxicity", hash(tuple(sorted(weights.items())))), load)
+    return kernels.worker_state(("toxicity", hash((tuple(sorted(weights.items())), ordinary))), load)
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
@@ -273,23 +298,67 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, most_terms:
         choose_terms({t: (p[h], negative[t][h]) for t, p in positive.items()}, toxic[h], other[h], most_terms) for h in (0, 1)
     ]
     weights = choose_terms({t: (sum(p), sum(negative[t])) for t, p in positive.items()}, sum(toxic), sum(other), most_terms)
-    both = spark.sparkContext.broadcast(halves)
+    all_three = spark.sparkContext.broadcast([*halves, weights])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words an edit away from a term, with the texts that have them: of each half, by the terms of each lexicon."""
+        lexicons = [Lexicon(w) for w in all_three.value]
+        known: dict[str, tuple[bool, ...]] = {}
+        counts: dict[tuple[str, int, int, int], int] = defaultdict(int)
+        for batch in parts(batches):
+            for text, y, h in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half")), strict=True):
+                low = text.lower()
+                for word in {*_PARTS.findall(low), *(w.strip(_MARKS) for w in low.split())}:
+                    if word not in known:
+                        short = not 4 <= len(word) <= 40
+                        known[word] = tuple(not short and not x.exact(word) and bool(x.near(word)) for x in lexicons)
+                        if len(known) > 500_000:
+                            known.pop(next(iter(known)))
+                    for k, found in enumerate(known.get(word, ())):
+                        if found:
+                            counts[word, k, h, y] += 1
+        keys = list(counts)
+        yield pa.RecordBatch.from_pydict({
+            "word": pa.array([w for w, *_ in keys], pa.string()), **{c: pa.array([x[i] for x in keys], pa.int32()) for i, c in enumerate(("lexicon", "half", "y"), 1)},
+            "n": pa.array(list(counts.values()), pa.int64()),
+        })
+
+    met_near = once.mapInArrow(close, "word string, lexicon int, half int, y int, n long")
+    # what a half is fitted with comes from the other half alone
+    met_near = met_near.filter("lexicon = 2 OR lexicon = half").groupBy("word", "lexicon").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)))
+    sums = [(toxic[0], other[0]), (toxic[1], other[1]), (sum(toxic), sum(other))]
+    more = F.lit(False)
+    for k, (n1, n0) in enumerate(sums):
+        more |= (F.col("lexicon") == k) & ((F.col("n1") + 0.5) / (n1 + 1) > (F.col("n0") + 1.0) / (n0 + 2))
+    # no more words than are an edit away from most_terms terms and in fit_rows texts
+    ordinary: list[set[str]] = [set(), set(), set()]
+    for r in met_near.filter(~more).select("word", "lexicon").collect():
+        ordinary[r["lexicon"]].add(r["word"])
+    both = spark.sparkContext.broadcast([(w, frozenset(o)) for w, o in zip(halves, ordinary, strict=False)])
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicons = [Lexicon(w) for w in both.value]
+        lexicons = [Lexicon(w, ordinary=o) for w, o in both.value]
         caches = [kernels.IdCache(x.tokens, most=200_000, most_bytes=8 << 20) for x in lexicons]
-        for batch in batches:
+        for batch in parts(batches):
             half_, y = batch.column("half").to_numpy(), batch.column("y").to_numpy()
             for run in kernels.runs(batch.column("text")):
                 h = half_[run.first : run.last]
                 x = [features(lexicons[k], caches[k], run) for k in (0, 1)]
                 mine = np.where((h == 0)[:, None], x[1], x[0])  # terms of the other half
                 yield pa.RecordBatch.from_pydict({"y": y[run.first : run.last], "x": pa.array(mine.tolist(), pa.list_(pa.float64()))})
-
-    rows = sample.mapInArrow(crossed, "y int, x array<double>").toArrow()  # fit_rows rows at most
+            for k in (0, 1):
+                texts = [t for t, h, toxic_ in zip(batch.column("text").to_pylist(), half_, y, strict=True) if toxic_ and h != k]
+                made = [planted(t, lexicons[k]) for t in texts]
+                for label, which, column in ((1, 0, 2), (0, 1, 3)):
+                    for run in kernels.runs(pa.array([m[which] for m in made], pa.string())):
+                        x = features(lexicons[k], caches[k], run)
+                        x = x[(x[:, column] > 0) & (x[:, 1] == 0)]  # where nothing else was hit
+                        yield pa.RecordBatch.from_pydict({"y": pa.array([label] * len(x), pa.int32()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+
+    rows = sample.mapInArrow(crossed, "y int, x array<double>").toArrow()  # 3 * fit_rows rows at most
     x = np.array(rows.column("x").to_pylist())
     y = np.array(rows.column("y").to_pylist(), float)
-    return Model(weights, fit_regression(x, y))
+    return Model(weights, fit_regression(x, y), frozenset(ordinary[2]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -299,7 +368,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([f for f in docs.schema.fields if f.name in kept]).add("score", T.DoubleType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, cache = _loaded(sent.value.weights)
+        lexicon, cache = _loaded(sent.value.weights, sent.value.ordinary)
         for batch in batches:
             for run in kernels.runs(batch.column(text)):
                 z = np.clip(features(lexicon, cache, run) @ sent.value.regression, -30, 30)

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -107,3 +109,59 @@ def test_query_on_whole_table(spark, sf_dir):
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
     wrong = got.filter(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)).count()
     assert wrong == 0
+
+
+def brute(text, model):
+    """The score of a text from all its words beside all terms, by edit distance."""
+    weights, marks_ = model.weights, "\"“”„«»‹›‘’'`"
+    words = re.findall(r"[^\x20\x09-\x0d]+", text)
+    hits = []
+    quotes = [w[0] in marks_ or w.rstrip(".,;:!?)")[-1:] in tuple(marks_) for w in words]
+    for i, w in enumerate(words):
+        low = w.lower()
+        parts = re.findall(r"[^\W\d_]+", low)
+        exact = [weights[t] for t in weights for p in parts if p == t or t.endswith("*") and p.startswith(t[:-1])]
+        core = low.strip("\"“”„«»‹›‘’'`.,;:!?()[]{}<>-|")
+        tried = {core, *parts} - model.ordinary if re.search(r"[^\W\d_]", core) else set()
+        near = [weights[t] for t in weights for p in tried if not t.endswith("*") and len(t) >= 5 and 4 <= len(p) <= 40 and distance(p, t) <= 1]
+        if exact or near:
+            before, after = any(quotes[max(0, i - 3) : i]), any(quotes[i + 1 : i + 4])
+            found = max(exact or near)
+            terms = [t for t in weights if weights[t] == found]
+            hits.append((found, not exact, before and after or quotes[i], terms))
+    said = [h for h in hits if not h[2]]
+    x = [
+        1, math.log1p(sum(h[0] for h in said if not h[1])), math.log1p(sum(h[0] for h in said if h[1])), math.log1p(sum(h[0] for h in hits if h[2])),
+        max((h[0] for h in said), default=0), math.log1p(len({h[0] for h in said})), min(1.0, sum(h[0] for h in said) / max(1, len(words)) * 10), math.log1p(len(words)),
+    ]
+    return 1 / (1 + math.exp(-float(np.dot(x, model.regression))))
+
+
+def test_misspelt_terms_raise_scores_quoted_ones_do_not_and_all_scores_are_brute_force(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    # terms of one weight are one kind to the brute force, so each gets a weight of its own
+    model.weights = {t: w + k * 1e-6 for k, (t, w) in enumerate(sorted(model.weights.items()))}
+    lexicon = toxicity.Lexicon(model.weights, ordinary=model.ordinary)
+    clean = " ".join("wo%dcc" % i for i in range(30))
+    texts = [clean + " vermin " + clean + " rotten", clean + " vrmin " + clean + " rxtten", clean + ' "vermin" ' + clean + " 'rotten'", clean + " he said \"you're vermin to me\" " + clean, clean, ""]
+    texts += [t for _, t, _ in rows[:150]] + [m for _, t, y in rows[:150] if y for m in toxicity.planted(t, lexicon)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert got == pytest.approx({i: brute(t, model) for i, t in enumerate(texts)}, abs=1e-9)
+    assert got[0] > 0.5 and got[1] > 0.5 and max(got[k] for k in (2, 3, 4, 5)) < 0.5
+    # without the automaton's hits the misspelt text is clean, and without its marks the quoting one is not
+    exact_only = toxicity.Model(model.weights, model.regression, model.ordinary | {"vrmin", "rxtten"})
+    assert brute(texts[1], exact_only) < 0.5 < brute(texts[2].replace('"', "").replace("'", ""), model)
+
+
+def test_ordinary_words_near_a_term_are_no_hits(spark):
+    rng = random.Random(2)
+    text = lambda *more: " ".join([*rng.sample(["c%s" % (chr(97 + i) * 4) for i in range(26)], 12), *more])
+    rows = [(i, text("rotter" if i % 2 else "cotten"), 0) for i in range(300)] + [(300 + i, text("rotten"), 1) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert {"rotter", "cotten"} <= model.ordinary and "rotten" in model.weights
+    texts = [(text("rotter"),), (text("rotten"),), (text("rottxn"),)]
+    assert [r.predicted for r in toxicity.score(spark.createDataFrame(texts, "text string"), model).collect()] == [0, 1, 1]
