@@ -17,7 +17,7 @@ NUMERAL = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
 
 
 def has_content(text: Column) -> Column:
@@ -202,14 +202,15 @@ def containing_sentence(span: Column, text: Column, cap: int = 300) -> Column:
     """The span with the rest of its sentence, which .!?… and line feeds bound; past the cap a window of whole words."""
     at = F.instr(text, span)
     before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(span), F.length(text))
-    lead, tail = F.regexp_extract(before, r"([^.!?…\n]*)$", 1), F.regexp_extract(after, r"^([^.!?…\n]*[.!?…]?)", 1)
-    lead, tail = F.regexp_replace(lead, r"^[\s\p{Z}]+", ""), F.regexp_replace(tail, r"[\s\p{Z}]+$", "")
+    # a $ would also match before a line end that is the text's last
+    lead, tail = F.regexp_extract(before, r"([^.!?…\n]*)\z", 1), F.regexp_extract(after, r"^([^.!?…\n]*[.!?…]?)", 1)
+    lead, tail = F.regexp_replace(lead, r"^[\s\p{Z}]+", ""), F.regexp_replace(tail, r"[\s\p{Z}]+\z", "")
     whole = strip(F.concat(lead, span, tail))
     margin = F.floor((F.lit(cap) - F.length(span)) / 2).cast("int")
     left = F.right(lead, margin)
     left = F.when(F.contains(left, F.lit(" ")), F.regexp_replace(left, r"^[^ ]* ", "")).otherwise(left)
     right = F.left(tail, margin)
-    right = F.when(F.contains(right, F.lit(" ")), F.regexp_replace(right, r" [^ ]*$", "")).otherwise(right)
+    right = F.when(F.contains(right, F.lit(" ")), F.regexp_replace(right, r" [^ ]*\z", "")).otherwise(right)
     left = F.when(F.length(lead) > margin, F.concat(F.lit("… "), left)).otherwise(lead)
     right = F.when(F.length(tail) > margin, F.concat(right, F.lit(" …"))).otherwise(tail)
     window = F.when(margin <= 0, span).otherwise(F.concat(left, span, right))

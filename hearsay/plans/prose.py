@@ -142,10 +142,10 @@ ORACLE = {
         SELECT id, 2 * certified + 1 AS n, certified, length(s1 || s2 || s3 || s4) AS chars FROM narratives JOIN g USING (id)""",
     "compose_ladder": f"{BASE}, {BAD} SELECT app_id, CASE WHEN NOT touched THEN 'composed' WHEN cut = '' THEN 'withheld' ELSE 'trimmed' END AS outcome, count(*) AS n FROM cut GROUP BY 1, 2",
     "corrective_prompts": f"""{BASE} SELECT id, E'Rewrite without these:\\n' || string_agg('- ' || span || ': ' || reason, E'\\n' ORDER BY start) AS prompt FROM spans WHERE reason IS NOT NULL GROUP BY 1""",
-    "sentence_quotes": r"""WITH d AS (SELECT doc_id, text, regexp_split_to_array(text, '\s+')[5] AS span FROM documents), a AS (SELECT doc_id, text, span, strpos(text, span) AS p FROM d WHERE length(span) > 3),
-        l AS (SELECT *, ltrim(regexp_extract(text[:p - 1], '[^.!?…\n]*$'), E' \t\r\n') AS lead, rtrim(regexp_extract(text[p + length(span):], '^[^.!?…\n]*[.!?…]?'), E' \t\r\n') AS tail, (300 - length(span)) // 2 AS m FROM a),
-        c AS (SELECT *, CASE WHEN length(lead) <= m THEN lead ELSE '… ' || regexp_replace(right(lead, m), '^[^ ]* ', '') END AS le, CASE WHEN length(tail) <= m THEN tail ELSE regexp_replace(left(tail, m), ' [^ ]*$', '') || ' …' END AS ta FROM l)
-        SELECT doc_id, span, CASE WHEN length(lead || span || tail) <= 300 THEN lead || span || tail ELSE le || span || ta END AS shown FROM c""",
+    "sentence_quotes": r"""WITH d AS (SELECT doc_id, text, regexp_split_to_array(text, '[\s\x0b]+')[5] AS span FROM documents), a AS (SELECT doc_id, text, span, strpos(text, span) AS p FROM d WHERE length(span) > 3),
+        l AS (SELECT *, regexp_replace(regexp_extract(text[:p - 1], '[^.!?…\n]*$'), '^[\s\x0b\pZ]+', '') AS lead, regexp_replace(regexp_extract(text[p + length(span):], '^[^.!?…\n]*[.!?…]?'), '[\s\x0b\pZ]+$', '') AS tail, (300 - length(span)) // 2 AS m FROM a),
+        c AS (SELECT *, regexp_replace(lead || span || tail, '^[\s\x0b\pZ]+|[\s\x0b\pZ]+$', '', 'g') AS whole, CASE WHEN length(lead) <= m THEN lead ELSE '… ' || regexp_replace(right(lead, m), '^[^ ]* ', '') END AS le, CASE WHEN length(tail) <= m THEN tail ELSE regexp_replace(left(tail, m), ' [^ ]*$', '') || ' …' END AS ta FROM l)
+        SELECT doc_id, span, CASE WHEN length(whole) <= 300 THEN whole WHEN m <= 0 THEN span ELSE le || span || ta END AS shown FROM c""",
     "canary_report": r"""WITH b AS (SELECT item_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS beacon, CASE WHEN item_id % 2 = 0 THEN 'blocked' ELSE 'counted' END AS expectation FROM benchmark),
         h AS (SELECT item_id, count(c.text) AS hits FROM b LEFT JOIN conversations c ON role = 'assistant' AND contains(lower(c.text), beacon) GROUP BY 1)
         SELECT item_id, expectation, hits, hits > 0 AS breached, hits > 0 AND expectation = 'blocked' AS failed FROM b JOIN h USING (item_id)""",

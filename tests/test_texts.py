@@ -123,3 +123,19 @@ def test_sheet(spark):
     assert ("14", "unknown review") in problems and ("12", "not reviewed") in problems and ("13", "cannot be read: what is this") in problems
     mentions, skips = files.sheet_reference(rows)
     assert mentions.count() == 2 and [tuple(r) for r in skips.collect()] == [("12", "non_english")]
+
+
+def test_sentences_do_not_reach_over_line_ends(spark, tmp_path):
+    import duckdb
+
+    from hearsay.plans import prose
+
+    blanks = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u2028", "\u3000", "\t", " "]
+    texts = [t for w in blanks for t in (f"aa bb cc dd{w}hello world again. More", f"One. {w}bb cc dd hello{w}{w} ee {w}! gg", f"One.{w} bb{w} cc dd {w}hello{w} ee {w}")]
+    texts += ["a b c d " + "x" * n + " tail words" for n in (280, 299, 300, 301, 400)] + ["a b c d hello " + "word " * 100, "word " * 3 + "l" * 400 + " hello", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.span, r.shown) for r in prose.sentence_quotes(spark, str(tmp_path)).collect()}
+    assert got[0] == ("hello", "hello world again.")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {r[0]: (r[1], r[2]) for r in db.execute(prose.ORACLE["sentence_quotes"]).fetchall()}
