@@ -69,3 +69,14 @@ def test_marked_pools_are_refused_as_a_whole(spark):
             sweeps.marked_pool(usable, labelled(*ids), window, hits)
     pool, index = sweeps.marked_pool(usable, labelled("1", "2", "2"), window, hits)
     assert pool.count() == 2 and {(r.aspect, r.n) for r in index.collect()} == {("x", 2), ("y", 1)}
+
+
+def test_shares_of_equal_samples_have_equal_means(spark):
+    pools = members(spark, 60).filter("app_id = 0")
+    base = pools.select("app_id", "quantile", "review_id")  # 30 reviews: shares of 0.02 and 0.04 both swap one
+    marked = spark.range(3).select(F.lit("a").alias("source"), F.concat(F.lit("m"), "id").alias("review_id"))
+    of = lambda d: d.select("review_id", F.concat(F.lit("x"), F.pmod(F.xxhash64("review_id"), F.lit(7)).cast("string")).alias("aspect"))
+    hits = of(base).unionByName(of(marked))
+    regime = spark.range(1).select(F.col("id").alias("app_id"), F.lit("calm").alias("regime"))
+    got = {r.share: r for r in sweeps.mixing(pools, base, marked, hits, regime, [0.02, 0.04], 3, "s").collect()}
+    assert got[0.02].mean_error == got[0.04].mean_error == round(got[0.02].mean_error, 12) > 0
