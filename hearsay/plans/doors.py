@@ -133,7 +133,7 @@ def record_faults(spark, sf_dir):
 
 
 def label_sheets(spark, sf_dir):
-    """A sheet for each source of documents, rendered and read back; its faults against the documents."""
+    """A sheet for each source and range of 1,000 document numbers, rendered and read back; its faults against the documents."""
     d = views.table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("text of "), F.col("doc_id").cast("string")).alias("text"))
     k = F.col("doc_id")
     says = (
@@ -141,8 +141,9 @@ def label_sheets(spark, sf_dir):
         .when(k % 5 == 3, F.lit('- story / angry / "not there"')).otherwise(F.lit("Zero mentions.\n- combat / mixed"))
     )
     block = F.concat(F.lit("## 1 · review "), k.cast("string"), F.when(k % 15 == 4, F.lit("\n- [ ] reviewed")).otherwise(F.lit("\n- [x] reviewed")), F.lit("\n````text\n## 2 · review 99\n"), "text", F.lit("\n````\n"), says, F.when(k % 20 == 7, F.lit("\nhm")).otherwise(""))
-    sheets = d.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
-    rows = files.sheets(sheets.select(F.col("source").alias("file"), F.concat(F.lit("A preamble.\n"), "text").alias("text")))
+    file = F.concat_ws("/", "source", F.floor(k / 1000).cast("string"))
+    sheets = d.groupBy(file.alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+    rows = files.sheets(sheets.select("file", F.concat(F.lit("A preamble.\n"), "text").alias("text")))
     faults = files.sheet_problems(rows, d.select(k.cast("string").alias("review_id"), "text"))
     return faults.groupBy("problem").agg(F.count("*").alias("n"))
 

@@ -27,14 +27,28 @@ def _pinned(spark, sf_dir):
     return views.mentions(spark, sf_dir).filter("slot = 'pinned'").select("aspect").distinct()
 
 
+#: A sheet holds reviews of one app, month and range of this many review numbers, so sheets get more, not longer, as tables grow.
+SHEET_RANGE = 50_000
+
+
+def _workbook():
+    """The app and month that a sheet belongs to."""
+    return F.concat_ws("/", "app_id", F.date_format("created_at", "yyyy-MM"))
+
+
+def _sheet():
+    return F.concat_ws("/", _workbook(), F.floor(_r() / SHEET_RANGE).cast("string"))
+
+
 def _sheets(spark, sf_dir):
-    """A sheet an app and month: reviews in order, one in 23 skipped, boxes ticked."""
+    """A sheet an app, month and range of reviews: reviews in order, one in 23 skipped, boxes ticked."""
     said = F.concat(F.lit("- "), "aspect", F.lit(" / "), "sentiment", F.lit(" / "), F.coalesce(F.concat(F.lit('"'), "evidence", F.lit('"')), F.lit("(no span)")))
-    m = views.mentions(spark, sf_dir).groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", said.alias("s")))), lambda x: x["s"]), "\n").alias("lines"))
-    r = _texts(spark, sf_dir).join(m, "review_id", "left")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", said.alias("s")))), lambda x: x["s"]), "\n")
+    m = views.mentions(spark, sf_dir).groupBy("review_id").agg(F.array_join(F.array_sort(F.collect_list("evidence")), "\n").alias("text"), lines.alias("lines"))
+    r = views.reviews(spark, sf_dir).join(m, "review_id", "left")
     says = F.when(_r() % 23 == 5, "SKIP: empty_text.").when(F.col("lines").isNull(), "Zero mentions.").otherwise(F.col("lines"))
-    block = F.concat(F.lit("## 1 · review "), "review_id", F.lit("\n- [x] reviewed\n````text\n"), "text", F.lit("\n````\n"), says, F.lit("\n\n---\n"))
-    per = r.groupBy(F.concat_ws("/", "app_id", F.date_format("created_at", "yyyy-MM")).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_r().alias("r"), block.alias("b")))), lambda x: x["b"]), "").alias("text"))
+    block = F.concat(F.lit("## 1 · review "), "review_id", F.lit("\n- [x] reviewed\n````text\n"), F.coalesce("text", F.lit("")), F.lit("\n````\n"), says, F.lit("\n\n---\n"))
+    per = r.groupBy(_sheet().alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_r().alias("r"), block.alias("b")))), lambda x: x["b"]), "").alias("text"))
     return per.select("file", F.concat(F.lit("# A workbook\n\n> how to\n\n"), "text").alias("text"))
 
 
@@ -91,17 +105,18 @@ def assist_changes(spark, sf_dir):
 
 
 def _audits(spark, sf_dir):
-    """An audit sheet an app and month, of a claim for each first mention."""
+    """An audit sheet an app, month and range of reviews, of a claim for each first mention."""
     m = views.mentions(spark, sf_dir).filter("position = 1").join(views.reviews(spark, sf_dir).select("review_id", "app_id", "created_at"), "review_id")
     r = _r()
     says = F.when(r % 9 == 2, "SKIP: non_english").when(r % 9 == 3, "- aspect_supported: Yes\n- sentiment_supported: NO").when(r % 9 == 4, "- aspect_supported: maybe\n- sentiment_supported:").when(r % 9 == 5, "SKIP: empty_text.\n- aspect_supported: yes").otherwise("- aspect_supported: yes\n- sentiment_supported: yes\n- note: A fine one")
     block = F.concat(F.lit("## "), r.cast("string"), F.lit(" · a claim\n"), F.when(r % 31 != 6, F.concat(F.lit("review `"), "review_id", F.lit("` · mention `1`\n"))).otherwise(F.lit("")), F.lit("> "), "aspect", F.lit("\n\n"), says, F.when(r % 40 == 7, "\nhm").otherwise(""), F.lit("\n---\n"))
-    per = m.groupBy(F.concat_ws("/", "app_id", F.date_format("created_at", "yyyy-MM")).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(r.alias("r"), block.alias("b")))), lambda x: x["b"]), "").alias("text"))
+    per = m.groupBy(_sheet().alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(r.alias("r"), block.alias("b")))), lambda x: x["b"]), "").alias("text"))
     return per.select("file", F.concat(F.lit("Preamble\n"), "text").alias("text"))
 
 
 def audit_sheets(spark, sf_dir):
-    rows = workbooks.audit_sheets(_audits(spark, sf_dir))
+    """What sheets say, in how many claims and in how many apps' months."""
+    rows = workbooks.audit_sheets(_audits(spark, sf_dir)).withColumn("file", F.substring_index("file", "/", 2))
     return rows.groupBy("what", F.coalesce("says", F.concat_ws(" ", "aspect_supported", "sentiment_supported", "note")).alias("says")).agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
 
 

@@ -6,8 +6,10 @@ from __future__ import annotations
 import hashlib
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearsay.functions import text as tx
 
@@ -100,33 +102,40 @@ HEAD_LINE, BOX_LINE, OPEN_LINE, SKIP_LINE = r"^## \d+ · review (\S+)$", r"^- \[
 ZERO_LINE, NO_SPAN = "Zero mentions.", "(no span)"
 
 
-def _fenced(lines: DataFrame) -> DataFrame:
-    """lines (file, line, text) with fenced: 1 for lines of a review's own text and the line that ends it, 2 for a fence's first line.
+RUNS = T.StructType([T.StructField("first", T.ArrayType(T.IntegerType())), T.StructField("last", T.ArrayType(T.IntegerType())), T.StructField("review_id", T.ArrayType(T.StringType())), T.StructField("left_open", T.BooleanType()), T.StructField("open_in", T.StringType())])
 
-    Only lines that can open or end a fence are folded, an array a file; a fence ends at the next line of just its own backticks.
-    """
-    ticks = lines.filter(F.col("text").startswith("```")).select("file", "line", F.regexp_extract("text", OPEN_LINE, 1).alias("opens"), "text")
-    entry = "struct<open:int,close:int>"
-    state = F.struct(F.lit("").alias("run"), F.lit(0).alias("since"), F.array().cast(f"array<{entry}>").alias("found"))
-
-    def step(acc, x):
-        free = acc["run"] == ""
-        begins, ends = free & (x["opens"] != ""), ~free & (x["text"] == acc["run"])
-        pair = F.struct(acc["since"].alias("open"), x["line"].alias("close"))
-        return F.struct(
-            F.when(begins, x["opens"]).when(ends, "").otherwise(acc["run"]).alias("run"), F.when(begins, x["line"]).otherwise(acc["since"]).alias("since"),
-            F.when(ends, F.array_append(acc["found"], pair)).otherwise(acc["found"]).alias("found"),
-        )
-
-    last = F.lit(2**31 - 1)
-    fold = lambda acc: F.when(acc["run"] != "", F.array_append(acc["found"], F.struct(acc["since"].alias("open"), last.alias("close")))).otherwise(acc["found"])
-    per = ticks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "opens", "text"))).alias("t"))
-    edges = per.select("file", F.inline(F.aggregate("t", state, step, fold)))
-    marks = edges.select("file", F.explode(F.array(F.struct(F.col("open").alias("line"), F.lit(1).alias("d")), F.struct((F.col("close").cast("long") + 1).alias("line"), F.lit(-1).alias("d")))).alias("m")).select("file", F.col("m.line").alias("line"), F.col("m.d").alias("d"))
-    marks = marks.groupBy("file", "line").agg(F.sum("d").alias("d"), F.max("d").alias("top"))
-    so_far = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("file").orderBy("line"))
-    inside = lines.join(marks, ["file", "line"], "left").withColumn("fenced", so_far)
-    return inside.withColumn("fenced", F.when((F.col("fenced") > 0) & (F.col("top") == 1), 2).otherwise(F.col("fenced"))).drop("d", "top")
+
+def _plain_runs(lines, opens, texts, heads, n: int) -> tuple:
+    """The runs of lines outside of fences that belong to a review: first lines, last lines, reviews; is the last fence open, and in which
+    review. A fence ends at the next line of just its own backticks. Only lines that can open or end a fence, and headings, are given."""
+    first, last, reviews, review, run, since = [], [], [], None, "", 1
+
+    def end(at: int) -> None:
+        if review is not None and since <= at:
+            first.append(since)
+            last.append(at)
+            reviews.append(review)
+
+    for line, opened, text, head in zip(lines, opens, texts, heads, strict=True):
+        if run:
+            if text == run:
+                run, since = "", line + 1
+        elif head:
+            end(line - 1)
+            review, since = head, line
+        elif opened:
+            end(line - 1)
+            run = opened
+    if not run:
+        end(n)
+    return first, last, reviews, bool(run), review if run else None
+
+
+@F.pandas_udf(RUNS)
+def plain_runs(lines: pd.Series, opens: pd.Series, texts: pd.Series, heads: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """``_plain_runs`` of each file, in one pass over what can open or end a run."""
+    found = [((), (), (), False, None) if a is None else _plain_runs(a.tolist(), b, c, d, k) for a, b, c, d, k in zip(lines, opens, texts, heads, n, strict=True)]
+    return pd.DataFrame(found, columns=RUNS.names)
 
 
 SHEET = "file string, review_id string, what string, aspect string, sentiment string, evidence string, line int"
@@ -140,12 +149,15 @@ def sheets(files: DataFrame) -> DataFrame:
     than three parts, or evidence without two marks, it is a malformed mention line. What stands in a fence is the review's own
     text and says nothing; notes (>), rules and what comes before the first review say nothing either.
     """
-    lines = files.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("at", "raw")).select("file", (F.col("at") + 1).alias("line"), tx.strip(F.col("raw")).alias("text"))
-    own = _fenced(lines)
-    t = F.col("text")
-    plain = F.col("fenced") == 0
-    head = F.when(plain & t.rlike(HEAD_LINE), F.regexp_extract(t, HEAD_LINE, 1))
-    reviewed = own.withColumn("review_id", F.last(head, ignorenulls=True).over(Window.partitionBy("file").orderBy("line")))
+    whole = files.filter("text IS NOT NULL").select("file", F.transform(F.split("text", r"\r\n|\n|\r", -1), tx.strip).alias("lines"))
+    can = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract(x, OPEN_LINE, 1).alias("opens"), x.alias("text"), F.regexp_extract(x, HEAD_LINE, 1).alias("head")))
+    marked = whole.select("file", "lines", F.filter(can, lambda m: m["text"].startswith("```") | (m["head"] != "")).alias("m"))
+    cut = marked.select("file", "lines", plain_runs("m.line", "m.opens", "m.text", "m.head", F.size("lines")).alias("runs"))
+    runs = F.arrays_zip("runs.first", "runs.last", "runs.review_id")
+    of = lambda x: F.transform(F.slice("lines", x["first"], x["last"] - x["first"] + 1), lambda t, i: F.struct((x["first"] + i).cast("int").alias("line"), x["review_id"].alias("review_id"), t.alias("t")))
+    open_ = F.when(F.col("runs.left_open"), F.array(F.struct(F.size("lines").alias("line"), F.col("runs.open_in").alias("review_id"), F.lit(None).cast("string").alias("t"))))
+    said = cut.select("file", F.inline(F.concat(F.flatten(F.transform(runs, of)), F.coalesce(open_, F.array().cast("array<struct<line:int,review_id:string,t:string>>")))))
+    t = F.col("t")
     parts = F.split(F.substring(t, 3, 10**6), " / ", 3)
     shown = tx.strip(F.get(parts, 2))
     quoted = F.regexp_extract(shown, '(?s)"(.*)"', 1)
@@ -155,13 +167,11 @@ def sheets(files: DataFrame) -> DataFrame:
         F.when(t.rlike(HEAD_LINE), "review").when(t.rlike(BOX_LINE), F.when(t == "- [x] reviewed", "checked").otherwise("open")).when(t == ZERO_LINE, "zero").when(t.rlike(SKIP_LINE), "skip")
         .when(t.startswith("- "), F.when(readable, "mention").otherwise("problem")).otherwise("problem")
     )
-    said = reviewed.filter(plain & F.col("review_id").isNotNull() & (t != "") & ~t.startswith(">") & (t != "---"))
-    said = said.withColumn("what", what).filter("what <> 'open'")
+    said = said.filter(t.isNull() | ((t != "") & ~t.startswith(">") & (t != "---"))).withColumn("what", what).filter("what <> 'open'")
     mention = F.col("what") == "mention"
-    aspect = F.when(mention, tx.strip(F.get(parts, 0))).when(F.col("what") == "skip", F.regexp_extract(t, SKIP_LINE, 1)).when(F.col("what") == "problem", F.when(t.startswith("- "), F.concat(F.lit("malformed mention line: "), t)).otherwise(t))
-    rows = said.select("file", "review_id", "what", aspect.alias("aspect"), F.when(mention, tx.strip(F.get(parts, 1))).alias("sentiment"), F.when(mention, evidence).alias("evidence"), "line")
-    open_ = reviewed.groupBy("file").agg(F.max_by(F.struct("review_id", "fenced", "line"), "line").alias("x")).filter("x.fenced > 0")
-    return rows.unionByName(open_.select("file", "x.review_id", F.lit("problem").alias("what"), F.lit("the last fence is open").alias("aspect"), F.lit(None).cast("string").alias("sentiment"), F.lit(None).cast("string").alias("evidence"), F.col("x.line").alias("line")))
+    problem = F.when(t.isNull(), "the last fence is open").when(t.startswith("- "), F.concat(F.lit("malformed mention line: "), t)).otherwise(t)
+    aspect = F.when(mention, tx.strip(F.get(parts, 0))).when(F.col("what") == "skip", F.regexp_extract(t, SKIP_LINE, 1)).when(F.col("what") == "problem", problem)
+    return said.select("file", "review_id", "what", aspect.alias("aspect"), F.when(mention, tx.strip(F.get(parts, 1))).alias("sentiment"), F.when(mention, evidence).alias("evidence"), "line")
 
 
 def unchecked(rows: DataFrame) -> DataFrame:

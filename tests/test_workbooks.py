@@ -216,3 +216,39 @@ def test_rows_are_validated_as_they_are_read(spark):
             scopes.validated(spark.createDataFrame([(s, t)], "sentiment string, at string"), {"sentiment": files.SENTIMENTS}, ("at",)).collect()
     ids = spark.range(1).select(scopes.run_id(F.lit("p"), F.lit(datetime(2024, 5, 6, 7, 8, 9))).alias("i")).first().i
     assert ids.startswith("p-20240506T070809Z-") and len(ids) == 27
+
+
+def test_sheets_get_more_not_longer_as_tables_grow(spark, tmp_path):
+    from hearsay.plans import workbooks as queries
+
+    sf = "/root/testdata/sf0.001"
+    for t in ("part", "lineitem", "orders"):
+        d = spark.read.parquet(f"{sf}/{t}.parquet")
+        if t != "part":
+            key = "o_orderkey" if t == "orders" else "l_orderkey"
+            d = d.unionByName(d.withColumn(key, F.col(key) + queries.SHEET_RANGE))
+        d.write.parquet(f"{tmp_path}/{t}.parquet")
+    longest = lambda d: d.agg(F.max(F.length("text"))).first()[0]
+    for made in (queries._sheets, queries._audits):
+        assert longest(made(spark, str(tmp_path))) < 1.2 * longest(made(spark, sf))
+
+
+def test_plain_runs_are_those_of_a_scan_line_by_line(spark):
+    import random
+
+    rng = random.Random(5)
+    kinds = ["```text", "````text", "```", "````", "## 1 · review 7", "## 2 · review 8", "- a / b / (no span)", "hm", ""]
+    for _ in range(300):
+        lines = rng.choices(kinds, k=rng.randrange(12))
+        run, review, want = "", None, []
+        for i, t in enumerate(lines, 1):
+            if run:
+                run = "" if t == run else run
+            elif t.endswith("text"):
+                run = t[:-4]
+            else:
+                review = t[-1] if t.startswith("##") else review
+                want += [(i, review)] if review else []
+        can = [(i, t[:-4] if t.endswith("text") else "", t, t[-1] if t.startswith("##") else "") for i, t in enumerate(lines, 1) if t[:2] in ("``", "##")]
+        first, last, reviews, left, where = files._plain_runs(*([c[i] for c in can] for i in range(4)), len(lines))
+        assert [(i, r) for a, z, r in zip(first, last, reviews) for i in range(a, z + 1)] == want and left == bool(run) and where == (review if run else None)
