@@ -59,10 +59,11 @@ def _pairs(text: str) -> list[tuple[int, int]]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def bracketed(texts: pd.Series) -> pd.Series:
-    """What stands in square brackets, from the left."""
-    return texts.map(lambda t: [t[a:z] for a, z in _pairs(t)], na_action="ignore")
+    """Where square brackets stand, from the left: first character (from 1) and length. Places, not pieces: nested ones would hold a
+    text many times over."""
+    return texts.map(lambda t: [[a + 1, z - a] for a, z in _pairs(t)], na_action="ignore")
 
 
 def with_payload(replies: DataFrame) -> DataFrame:
@@ -74,8 +75,9 @@ def with_payload(replies: DataFrame) -> DataFrame:
     bodies = F.transform(blocks, lambda x: F.regexp_replace(x["p"], r"^[A-Za-z]*\s*\n", ""))
     plain = replies.filter(is_json(F.col("reply"))).withColumn("payload", F.col("reply"))
     others = replies.filter(~F.coalesce(is_json(F.col("reply")), F.lit(False)))
-    found = F.get(F.filter(F.concat(bodies, F.coalesce(bracketed("reply"), F.array().cast("array<string>"))), is_json), 0)
-    return plain.unionByName(others.withColumn("payload", found))
+    others = others.withColumn("_at", F.coalesce(bracketed("reply"), F.array().cast("array<array<int>>")))
+    inside = F.transform("_at", lambda x: F.substring("reply", x[0], x[1]))
+    return plain.unionByName(others.withColumn("payload", F.get(F.filter(F.concat(bodies, inside), is_json), 0)).drop("_at"))
 
 
 def parsed(replies: DataFrame, texts: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -139,3 +139,14 @@ def test_sentences_do_not_reach_over_line_ends(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == {r[0]: (r[1], r[2]) for r in db.execute(prose.ORACLE["sentence_quotes"]).fetchall()}
+
+
+def test_bracketed_pieces_are_places_of_the_reply(spark):
+    from hearsay.operators import replies
+
+    said = ['Sure \U0001f600. [{"idx": 0, "aspects": [["é"], ["\U0001f44d ]"]]}] hope [1', "none [here", "[x] then [[1], 2]", "so [1] [2]", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, reply string")
+    got = {r.i: r.payload for r in replies.with_payload(rows).collect()}
+    assert got == {0: '[{"idx": 0, "aspects": [["é"], ["\U0001f44d ]"]]}]', 1: None, 2: "[[1], 2]", 3: "[1]", 4: None}
+    places = rows.filter("i = 2").select(replies.bracketed("reply").alias("p")).first().p
+    assert [list(p) for p in places] == [[1, 3], [10, 8], [11, 3]]  # a piece costs two numbers, however long it is
