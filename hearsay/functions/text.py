@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,7 @@ def is_template(text: Column, marker: str = "---{") -> Column:
     return F.coalesce((boxes >= 3) | F.contains(text, F.lit(marker)), F.lit(False))
 
 
+@lru_cache(1 << 16)  # labels come again and again
 def _match_key(label: str) -> str:
     text = "".join(c for c in unicodedata.normalize("NFKC", label) if unicodedata.category(c) != "Cf").casefold()
     return " ".join(re.sub(r"[_-]+", " ", text).split())
@@ -42,6 +44,12 @@ def match_key(labels: pd.Series) -> pd.Series:
     return labels.map(_match_key, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def match_keys(lists: pd.Series) -> pd.Series:
+    """match_key of each label of a list."""
+    return lists.map(lambda labels: [None if x is None else _match_key(x) for x in labels], na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def candidate_form(labels: pd.Series) -> pd.Series:
     """An open label's own form: case and underscores folded, hyphens kept."""

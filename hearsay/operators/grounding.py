@@ -112,17 +112,30 @@ def attributed(replies: DataFrame) -> DataFrame:
     Rows that are not objects, or whose idx is no whole number (true is none), lies outside the batch or comes twice, are
     failures; ids that no row has are missing. The array is read as VARIANT, which tells numbers from booleans.
     """
-    rows = replies.select("batch", "size", F.expr("inline_outer(transform(try_cast(try_parse_json(reply) AS array<variant>), x -> struct(x AS row)))"))
-    kind = F.expr("schema_of_variant(variant_get(row, '$.idx', 'variant'))")
-    idx = F.when(kind == "BIGINT", F.expr("try_variant_get(row, '$.idx', 'bigint')"))
-    rows = rows.filter("row IS NOT NULL").select("batch", "size", idx.alias("idx"), F.expr("to_json(try_variant_get(row, '$.aspects', 'variant'))").alias("aspects"))
+    items = F.expr("try_cast(try_parse_json(reply) AS array<variant>)")
+    rows = placed(replies.select("batch", "size", items.alias("items"), F.lit(None).cast("string").alias("trouble")))
+    return rows.select("batch", "idx", "outcome", F.to_json("aspects").alias("aspects"))
+
+
+def placed(lists: DataFrame) -> DataFrame:
+    """lists (batch, size, items: array of VARIANT, trouble) -> batch, idx, outcome, aspects (VARIANT), as ``attributed``, but for lists
+    with a trouble, whose ids all have that as their outcome.
+
+    Every list brings a row for each id that was asked, so one sort by batch and id tells what is missing and what comes twice.
+    """
+    kind = "schema_of_variant(variant_get(x, '$.idx', 'variant'))"
+    came = F.expr(f"""transform(filter(items, x -> x IS NOT NULL), x -> struct(CASE WHEN {kind} = 'BIGINT' THEN try_variant_get(x, '$.idx', 'bigint') END AS idx,
+        try_variant_get(x, '$.aspects', 'variant') AS aspects, true AS came))""")
+    asked = F.expr("transform(filter(sequence(0L, CAST(size AS BIGINT) - 1), i -> i >= 0), i -> struct(i AS idx, CAST(NULL AS VARIANT) AS aspects, false AS came))")
+    none = F.array().cast("array<struct<idx:bigint,aspects:variant,came:boolean>>")
+    rows = lists.select("batch", "size", "trouble", F.inline(F.concat(F.coalesce(came, none), F.coalesce(asked, none))))
     good = F.col("idx").isNotNull() & (F.col("idx") >= 0) & (F.col("idx") < F.col("size"))
-    times = F.count("*").over(Window.partitionBy("batch", "idx"))
-    outcome = F.when(F.col("idx").isNull(), "bad idx").when(~good, "out of range").when(times > 1, "duplicate").otherwise("ok")
-    rows = rows.select("batch", "idx", outcome.alias("outcome"), "aspects")
-    asked = replies.select("batch", F.explode(F.expr("sequence(0L, CAST(size AS BIGINT) - 1)")).alias("idx")).filter("idx >= 0")
-    missing = asked.join(rows.filter("outcome IN ('ok', 'duplicate')"), ["batch", "idx"], "left_anti")
-    return rows.unionByName(missing.select("batch", "idx", F.lit("missing").alias("outcome"), F.lit(None).cast("string").alias("aspects")))
+    bad = F.when(F.col("idx").isNull(), "bad idx").when(~good, "out of range")
+    same = Window.partitionBy("batch", "idx")
+    rows = rows.withColumn("bad", bad).withColumns({"times": F.count_if("came").over(same), "held": F.count_if(F.col("came") & F.col("bad").isNull()).over(same)})
+    own = F.coalesce("bad", F.when(F.col("times") > 1, "duplicate").otherwise("ok"))
+    outcome = F.when(F.col("came"), own).otherwise(F.coalesce("trouble", F.when(F.col("held") == 0, "missing")))
+    return rows.select("batch", "idx", outcome.alias("outcome"), "aspects").filter("outcome IS NOT NULL")
 
 
 def checked_pins(pins: DataFrame, texts: DataFrame, key: str) -> DataFrame:

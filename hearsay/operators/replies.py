@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +32,13 @@ def collisions(vocabulary: DataFrame) -> DataFrame:
 
 def normalized(raw: DataFrame, index: DataFrame, column: str = "aspect") -> DataFrame:
     """raw with aspect and slot: pinned labels by the index, others as candidates in their own form. Labels that are empty
-    once folded have neither. Distinct labels are folded once; a vocabulary is small enough to be sent to all tasks."""
-    labels = raw.select(F.col(column).alias("_raw")).distinct().select("_raw", tx.match_key("_raw").alias("key"), tx.candidate_form("_raw").alias("form"))
-    known = labels.join(index.withColumnRenamed("label", "_label"), "key", "left")
-    empty = F.coalesce(F.col("key") == "", F.lit(True))
-    aspect = F.when(~empty, F.coalesce("_label", "form")).alias("_aspect")
-    slot = F.when(~empty, F.when(F.col("_label").isNotNull(), "pinned").otherwise("candidate")).alias("_slot")
-    known = known.select("_raw", aspect, slot)
-    kept = [c for c in raw.columns if c not in (column, "aspect", "slot")]
-    return raw.join(known, raw[column].eqNullSafe(known["_raw"]), "left").select(*kept, F.col("_aspect").alias("aspect"), F.col("_slot").alias("slot"))
+    once folded have neither. raw is read once; a vocabulary is small enough to be sent to all tasks."""
+    folded = raw.withColumns({"_key": tx.match_key(column), "_form": tx.candidate_form(column)})
+    known = folded.join(index.select(F.col("key").alias("_key"), F.col("label").alias("_label")), "_key", "left")
+    some = F.col("_key") != ""
+    aspect = F.when(some, F.coalesce("_label", "_form")).alias("aspect")
+    slot = F.when(some, F.when(F.col("_label").isNotNull(), "pinned").otherwise("candidate")).alias("slot")
+    return known.select(*[c for c in raw.columns if c not in (column, "aspect", "slot")], aspect, slot)
 
 
 _STRING_OR_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]]', re.DOTALL)
@@ -68,16 +66,62 @@ def bracketed(texts: pd.Series) -> pd.Series:
 
 def with_payload(replies: DataFrame) -> DataFrame:
     """replies (..., reply) with payload: the reply itself if it is JSON, else its first fenced block that is, else the first of what
-    it has in square brackets that is; null if there is none. Only replies that are no JSON are looked through."""
-    is_json = lambda c: F.call_function("try_parse_json", c).isNotNull()
+    it has in square brackets that is; null if there is none; and value: the payload as VARIANT. Replies are read once, and only those
+    that are no JSON are looked through."""
+    json = lambda c: F.call_function("try_parse_json", c)
+    read = replies.withColumn("_own", json(F.col("reply")))
+    read = read.withColumn("_at", F.coalesce(bracketed(F.when(F.col("_own").isNull(), F.col("reply"))), F.array().cast("array<array<int>>")))
     pieces = F.split("reply", "```", -1)
     blocks = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: (x["i"] % 2 == 1) & (x["i"] < F.size(pieces) - 1) & x["p"].rlike(r"^[A-Za-z]*\s*\n"))
     bodies = F.transform(blocks, lambda x: F.regexp_replace(x["p"], r"^[A-Za-z]*\s*\n", ""))
-    plain = replies.filter(is_json(F.col("reply"))).withColumn("payload", F.col("reply"))
-    others = replies.filter(~F.coalesce(is_json(F.col("reply")), F.lit(False)))
-    others = others.withColumn("_at", F.coalesce(bracketed("reply"), F.array().cast("array<array<int>>")))
     inside = F.transform("_at", lambda x: F.substring("reply", x[0], x[1]))
-    return plain.unionByName(others.withColumn("payload", F.get(F.filter(F.concat(bodies, inside), is_json), 0)).drop("_at"))
+    found = F.get(F.filter(F.concat(bodies, inside), lambda c: json(c).isNotNull()), 0)
+    read = read.withColumn("payload", F.when(F.col("_own").isNotNull(), F.col("reply")).otherwise(found))
+    return read.withColumn("value", F.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(json(F.col("payload")))).drop("_own", "_at")
+
+
+def verdicts(replies: DataFrame) -> DataFrame:
+    """replies (batch, size, reply) -> batch, idx, reason, items: a row for each text of a list, each failure and each thing that a list
+    has and that was not asked for. items (aspect, sentiment, evidence) in their order, of texts without a reason, which hold
+    as a whole. One pass over the replies and one sort by batch and id."""
+    got = with_payload(replies)
+    lists = got.select("batch", "size", "payload", F.expr("try_cast(value AS array<variant>)").alias("items"))
+    trouble = F.when(F.col("items").isNull(), F.when(F.col("payload").isNull(), "not valid JSON").otherwise("not a JSON array"))
+    rows = grounding.placed(lists.select("batch", "size", "items", trouble.alias("trouble")))
+    ok = F.col("outcome") == "ok"
+    listed = rows.withColumn("items", F.when(ok, F.expr("try_cast(aspects AS array<variant>)")))
+    parts = F.expr("""transform(items, x -> struct(x, try_variant_get(x, '$.aspect', 'variant') AS a,
+        try_variant_get(x, '$.sentiment', 'variant') AS s, try_variant_get(x, '$.evidence', 'variant') AS e))""")
+    text = lambda v: f"CASE WHEN schema_of_variant(x.{v}) = 'STRING' THEN try_variant_get(x.{v}, '$', 'string') END"
+    read = F.expr(f"""transform(parts, x -> struct({text("a")} AS aspect, {text("s")} AS sentiment, {text("e")} AS evidence,
+        x.e IS NULL OR schema_of_variant(x.e) IN ('STRING', 'VOID') AS evidence_ok, x.a IS NOT NULL OR coalesce(schema_of_variant(x.x) LIKE 'OBJECT%', false) AS is_object))""")
+    each = listed.withColumn("parts", parts).select("batch", "idx", "outcome", read.alias("items"))
+    each = each.withColumn("keys", tx.match_keys(F.transform("items", lambda x: x["aspect"])))
+    fault = lambda x, i: (
+        F.when(~x["is_object"], "an aspect entry is no object").when(~F.coalesce(F.get("keys", i) != "", F.lit(False)), "an aspect is no label")
+        .when(~F.coalesce(x["sentiment"].isin(*SENTIMENTS), F.lit(False)), "unknown sentiment").when(~x["evidence_ok"], "evidence is no text")
+    )
+    first = F.get(F.filter(F.transform("items", fault), lambda r: r.isNotNull()), 0)
+    reason = F.when(~ok, F.col("outcome")).when(F.col("items").isNull(), "aspects is no list").otherwise(first)
+    idx = F.when(~F.col("outcome").isin("bad idx", "out of range"), F.col("idx")).alias("idx")
+    return each.select("batch", idx, reason.alias("reason"), F.transform("items", lambda x: F.struct(x["aspect"].alias("aspect"), x["sentiment"].alias("sentiment"), x["evidence"].alias("evidence"))).alias("items"))
+
+
+def found(replies: DataFrame, texts: DataFrame, index: DataFrame) -> DataFrame:
+    """All of ``parsed`` in one pass over the replies: batch, idx, kind (mentions, failures or repairs), aspect, slot, sentiment,
+    evidence, reason."""
+    v = verdicts(replies).join(texts.select("batch", "idx", "text", F.lit(True).alias("here")), ["batch", "idx"], "left")
+    v = v.filter("reason IS NOT NULL OR here").select("batch", "idx", "reason", "text", F.posexplode_outer(F.when(F.col("reason").isNull(), F.col("items"))).alias("position", "x"))
+    each = normalized(v.filter("reason IS NOT NULL OR position IS NOT NULL").select("batch", "idx", "reason", "text", "position", "x.*"), index)
+    quote = F.when(tx.strip(F.col("evidence")) != "", F.col("evidence"))
+    held = F.contains("text", F.col("quote"))
+    each = each.withColumn("quote", quote).withColumn("evidence", F.when(held, F.col("quote"))).withColumn("gone", F.when(~held, F.col("quote")))
+    per = each.groupBy("batch", "idx", "reason", "aspect").agg(*_fold(), F.collect_list("gone").alias("gone"))
+    none = F.lit(None).cast("string")
+    row = lambda kind, slot, sentiment, evidence: F.struct(kind.alias("kind"), slot.alias("slot"), sentiment.alias("sentiment"), evidence.alias("evidence"))
+    own = row(F.when(F.col("reason").isNull(), "mentions").otherwise("failures"), F.col("slot"), F.when(F.col("reason").isNull(), F.col("sentiment")), F.col("evidence"))
+    rows = F.concat(F.array(own), F.transform("gone", lambda g: row(F.lit("repairs"), none, none, g)))
+    return per.select("batch", "idx", "reason", "aspect", F.inline(rows)).select("batch", "idx", "kind", "aspect", "slot", "sentiment", "evidence", "reason")
 
 
 def parsed(replies: DataFrame, texts: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -85,48 +129,26 @@ def parsed(replies: DataFrame, texts: DataFrame, index: DataFrame) -> tuple[Data
 
     mentions: batch, idx, aspect, slot, sentiment, evidence, one row for each aspect of a text; failures: batch, idx, reason;
     repairs: batch, idx, aspect, evidence that was not in the text and so went. A text fails as a whole with any bad item;
-    evidence that is blank is none, without a repair.
+    evidence that is blank is none, without a repair. Who needs several of them takes ``found``, which reads the replies once.
     """
-    got = with_payload(replies)
-    is_list = F.coalesce(F.expr("schema_of_variant(try_parse_json(payload)) LIKE 'ARRAY%'"), F.lit(False))
-    whole = got.filter(~is_list).select("batch", F.explode(F.expr("sequence(0L, CAST(size AS BIGINT) - 1)")).alias("idx"), F.when(F.col("payload").isNull(), "not valid JSON").otherwise("not a JSON array").alias("reason"))
-    rows = grounding.attributed(got.filter(is_list).select("batch", "size", F.col("payload").alias("reply")))
-    failures = rows.filter("outcome <> 'ok'").select("batch", F.when(F.col("outcome").isin("duplicate", "missing"), F.col("idx")).alias("idx"), F.col("outcome").alias("reason")).distinct()
-    ok = rows.filter("outcome = 'ok'").select("batch", "idx", "aspects")
-    items = F.expr("try_cast(try_parse_json(aspects) AS array<variant>)")
-    listed = ok.withColumn("items", items)
-    bad_list = listed.filter("items IS NULL").select("batch", "idx", F.lit("aspects is no list").alias("reason"))
-    each = listed.filter("items IS NOT NULL").select("batch", "idx", F.expr("posexplode_outer(items)").alias("position", "item"))
-    kind = lambda path: F.expr(f"schema_of_variant(try_variant_get(item, '{path}', 'variant'))")
-    text = lambda name: F.when(kind(f"$.{name}") == "STRING", F.expr(f"try_variant_get(item, '$.{name}', 'string')"))
-    each = each.select(
-        "batch", "idx", "position", text("aspect").alias("aspect"), text("sentiment").alias("sentiment"), text("evidence").alias("evidence"),
-        F.coalesce(kind("$.evidence"), F.lit("VOID")).isin("STRING", "VOID").alias("evidence_ok"), F.expr("schema_of_variant(item) LIKE 'OBJECT%'").alias("is_object"),
-    )
-    each = normalized(each, index)
-    reason = (
-        F.when(F.col("position").isNull(), None).when(~F.coalesce("is_object", F.lit(False)), "an aspect entry is no object")
-        .when(F.col("aspect").isNull(), "an aspect is no label").when(~F.coalesce(F.col("sentiment").isin(*SENTIMENTS), F.lit(False)), "unknown sentiment")
-        .when(~F.col("evidence_ok"), "evidence is no text")
-    )
-    each = each.withColumn("reason", reason)
-    first_bad = each.filter("reason IS NOT NULL").groupBy("batch", "idx").agg(F.min_by("reason", "position").alias("reason"))
-    good = each.filter("position IS NOT NULL").join(first_bad.select("batch", "idx"), ["batch", "idx"], "left_anti")
-    own = F.when(tx.strip(F.col("evidence")) != "", F.col("evidence"))
-    checked = good.withColumn("quote", own).join(texts.select("batch", "idx", "text"), ["batch", "idx"])
-    held = F.contains("text", F.col("quote"))
-    repairs = checked.filter("quote IS NOT NULL").filter(~held).select("batch", "idx", "aspect", F.col("quote").alias("evidence"))
-    checked = checked.withColumn("evidence", F.when(held, F.col("quote")))
-    mentions = folded(checked)
-    return mentions, failures.unionByName(whole).unionByName(bad_list).unionByName(first_bad), repairs
+    both = found(replies, texts, index)
+    reasons = F.explode(F.when(F.col("reason").isNotNull(), F.array("reason"))).alias("reason")  # a filter would work out each reason twice
+    failures = verdicts(replies).select("batch", "idx", reasons).distinct()
+    repairs = both.filter("kind = 'repairs'").select("batch", "idx", "aspect", "evidence")
+    return both.filter("kind = 'mentions'").select("batch", "idx", "aspect", "slot", "sentiment", "evidence"), failures, repairs
 
 
 def folded(mentions: DataFrame) -> DataFrame:
     """One row for each aspect of a text: sentiments that differ make mixed, the first evidence stays, and the first slot."""
-    return mentions.groupBy("batch", "idx", "aspect").agg(
-        F.min_by("slot", "position").alias("slot"), F.when(F.count_distinct("sentiment") == 1, F.min("sentiment")).otherwise("mixed").alias("sentiment"),
+    return mentions.groupBy("batch", "idx", "aspect").agg(*_fold())
+
+
+def _fold() -> list[Column]:
+    one = F.min("sentiment") == F.max("sentiment")
+    return [
+        F.min_by("slot", "position").alias("slot"), F.when(one, F.min("sentiment")).otherwise("mixed").alias("sentiment"),
         F.min(F.when(F.col("evidence").isNotNull(), F.struct("position", "evidence")))["evidence"].alias("evidence"),
-    )
+    ]
 
 
 def usage(bodies: DataFrame) -> DataFrame:

@@ -50,8 +50,9 @@ def numbered(rows: DataFrame, keys: list[str], place: str = "_place", ranges: in
     edges = [tuple(r) for r in sorted(map(tuple, drawn.collect()))][10::20]  # of the sample
     kinds = [rows.schema[k].dataType for k in keys]
     bounds = F.array(*(F.struct(*(F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, e, kinds, strict=True))) for e in edges)) if edges else None
-    part = F.size(F.filter(bounds, lambda e: e <= key)) if edges else F.lit(0)
-    dealt = rows.withColumn("_part", part.cast("int"))
+    dealt, step = rows.withColumn("_part", F.lit(0)), 1 << len(edges).bit_length() >> 1
+    while step:  # a range is found by bisection, a comparison a step; beyond the last bound there is null
+        dealt, step = dealt.withColumn("_part", F.col("_part") + F.when(F.get(bounds, F.col("_part") + (step - 1)) <= key, step).otherwise(0)), step >> 1
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("_part").alias("_of"), before.alias("_before"))

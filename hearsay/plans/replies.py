@@ -22,7 +22,7 @@ def texts(spark, sf_dir):
 
 def made(spark, sf_dir):
     """batch, size, reply."""
-    m = _asked(spark, sf_dir)
+    m = _asked(spark, sf_dir).repartition("batch")  # texts of a batch, and batches, are put together where they are
     aspect = F.when(F.col("position") % 3 == 0, F.upper("aspect")).when(F.col("position") % 3 == 1, F.replace("aspect", F.lit(" "), F.lit("_"))).otherwise(F.col("aspect"))
     sentiment = F.when(F.col("r") % 31 == 7, F.lit("angry")).otherwise(F.col("sentiment"))
     evidence = F.when(F.col("position") % 4 == 1, F.lit("")).when(F.col("position") % 4 == 2, F.concat("evidence", F.lit("x"))).otherwise(F.col("evidence"))

@@ -191,3 +191,31 @@ def test_doors(spark, tmp_path):
     assert doors.append(rows, none, str(tmp_path / "t")) == 2 and spark.read.parquet(str(tmp_path / "t")).count() == 2
     with pytest.raises(ValueError):
         doors.append(rows, doors.insert_faults(rows, rows, ["review_id"]), str(tmp_path / "t"))
+
+
+def relations(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_replies_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(1, 2, '[{"idx": 0, "aspects": []}]'), (1, 1, "no"), (2, 1, '{"a": 1}')], "batch long, size int, reply string").write.parquet(str(tmp_path / "r"))
+    spark.createDataFrame([(1, 0, "a")], "batch long, idx long, text string").write.parquet(str(tmp_path / "t"))
+    rows, texts = spark.read.parquet(str(tmp_path / "r")), spark.read.parquet(str(tmp_path / "t"))
+    index = spark.createDataFrame([("combat", "combat")], "key string, label string")
+    mentions, failures, repairs = replies.parsed(rows, texts, index)
+    assert relations(failures) == 1 and relations(mentions) == 2 and relations(repairs) == 2
+    found = replies.found(rows, texts, index)
+    assert relations(found) == 2
+    want = [(1, 0, "not valid JSON"), (1, 1, "missing"), (2, 0, "not a JSON array")]
+    assert sorted(tuple(r) for r in failures.collect()) == want
+    assert sorted((r.batch, r.idx, r.reason) for r in found.collect()) == want and not mentions.collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 25, 3000])
+def test_numbered_finds_ranges_by_bisection(spark, n):
+    from hearsay.operators.selection import numbered
+
+    got = numbered(spark.range(n).select((F.col("id") % 7).alias("a"), F.col("id").cast("string").alias("b")), ["a", "b"])
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.a, r.b) for r in sorted(got.collect(), key=lambda r: r._place)] == sorted((i % 7, str(i)) for i in range(n))
+    assert sorted(r._place for r in got.collect()) == list(range(n))
