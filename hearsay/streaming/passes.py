@@ -14,7 +14,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearsay.operators import replies
@@ -66,14 +66,10 @@ class Passes:
         got = self.spark.read.schema("batch long, size int, reply string").parquet(f"{at}/replies")
         # a batch of which no reply came back has failed as a whole
         got = sizes.join(got.select("batch", "reply"), "batch", "left").select("batch", "size", F.coalesce("reply", F.lit("")).alias("reply"))
-        mentions, failures, repairs = replies.parsed(got, asked.select("batch", "idx", "text"), self.index)
         names = asked.select("batch", "idx", "review_id")
-        bad = failures.filter("idx IS NOT NULL").groupBy("batch", "idx").agg(F.min("reason").alias("reason"))
-        none = lambda *columns: [F.lit(None).cast("string").alias(c) for c in columns]
-        held = lambda df: df.join(bad.select("batch", "idx"), ["batch", "idx"], "left_anti")
-        found = held(mentions).select("batch", "idx", F.lit("mentions").alias("kind"), "aspect", "slot", "sentiment", "evidence", *none("reason"))
-        found = found.unionAll(held(repairs).select("batch", "idx", F.lit("repairs"), "aspect", *none("slot", "sentiment"), "evidence", *none("reason")))
-        found = found.unionAll(bad.select("batch", "idx", F.lit("failures"), *none("aspect", "slot", "sentiment", "evidence"), "reason"))
+        # replies are read once for all that is found; a text that any reply fails has nothing but its failure
+        found = replies.found(got, asked.select("batch", "idx", "text"), self.index).filter("idx IS NOT NULL")
+        found = found.withColumn("_bad", F.min("reason").over(Window.partitionBy("batch", "idx"))).filter("_bad IS NULL OR reason = _bad").drop("_bad")
         found.join(names, ["batch", "idx"]).drop("batch", "idx").write.partitionBy("kind").parquet(f"{at}/found")  # one job: its parts share their shuffles
         st.publish(self.spark, f"{self.folder}/_log/{entry}.json", json.dumps({"data": where}))
 
