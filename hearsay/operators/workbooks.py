@@ -53,37 +53,44 @@ def assist_problems(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     words, evidence stands in the review's text, flags are known and notes are texts. Order counts only where the reviews agree.
     """
     said = annotations(outputs)
-    say = lambda d, id_, text: d.select("batch", id_.alias("review_id"), (F.lit(text) if isinstance(text, str) else text).alias("problem"))
-    none = F.lit(None).cast("string")
-    out = say(said.filter("broken"), none, "unreadable output")
-    unanswered = inputs.select("batch").distinct().join(outputs.select("batch"), "batch", "left_anti")
-    out = out.unionByName(say(unanswered, none, "no output"))
-    whole = said.filter("NOT broken")
-    out = out.unionByName(say(whole.filter("NOT coalesce(says = batch, false)").select("batch").distinct(), none, "batch field differs"))
-    # reviews that were asked for against reviews that came
-    came = whole.filter("place IS NOT NULL").groupBy("batch", "review_id").agg(F.count("*").alias("times"), F.min("place").alias("at"))
-    asked = inputs.join(whole.select("batch").distinct(), "batch", "left_semi").select("batch", "review_id", F.col("place").alias("wanted"))
-    both = asked.join(came, ["batch", "review_id"], "full_outer")
-    wrong = F.when(F.col("times").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("times") > 1, "comes twice")
-    both = both.withColumn("wrong", wrong)
-    out = out.unionByName(say(both.filter("wrong IS NOT NULL"), F.col("review_id"), F.col("wrong")))
-    order = both.groupBy("batch").agg(F.count("wrong").alias("n"), F.max((F.col("wanted") != F.col("at")).cast("int")).alias("moved"))
-    out = out.unionByName(say(order.filter("n = 0 AND moved = 1"), none, "out of order"))
-    # what stands in an annotation
-    flags = whole.select("batch", "review_id", F.explode("flags").alias("f")).withColumn("f", F.try_variant_get("f", "$", "string"))
-    out = out.unionByName(say(flags.filter(~F.coalesce(F.col("f").isin(*FLAGS), F.lit(False))), F.col("review_id"), "unknown flag"))
+    text = lambda c: f"try_variant_get(m, '$.{c}', 'string')"
+    worded = "coalesce(schema_of_variant(try_variant_get(m, '$.aspect', 'variant')) = 'STRING', false)"
+    parts = F.expr(f"transform(mentions, m -> struct({text('sentiment')} AS sentiment, {text('evidence')} AS evidence, {worded} AND trim(coalesce({text('aspect')}, '')) <> '' AS aspect_ok))")
     note = F.col("note").isNotNull() & ~F.is_variant_null("note") & ~_is_text(F.col("note"))
-    out = out.unionByName(say(whole.filter(note), F.col("review_id"), "note is no text"))
-    m = whole.select("batch", "review_id", F.explode("mentions").alias("m"))
-    m = m.select("batch", "review_id", _is_text(_get("m", "$.aspect", "variant")).alias("worded"), *[_get("m", f"$.{c}", "string").alias(c) for c in ("aspect", "sentiment", "evidence")])
-    texts = inputs.select("batch", "review_id", F.coalesce("text", F.lit("")).alias("text"))
-    seen = m.join(texts, ["batch", "review_id"], "left")
-    faults = F.array_compact(F.array(
-        F.when(~F.coalesce(F.col("sentiment").isin(*files.SENTIMENTS), F.lit(False)), "bad sentiment"),
-        F.when(F.col("evidence").isNotNull() & ~F.contains(F.coalesce("text", F.lit("")), F.col("evidence")), "evidence is not in the text"),
-        F.when(~F.col("worded") | (F.trim(F.coalesce("aspect", F.lit(""))) == ""), "bad aspect"),
-    ))
-    return out.unionByName(seen.select("batch", "review_id", F.explode(faults).alias("problem")))
+    said = said.select(
+        "batch", "broken", "says", "place", "review_id", parts.alias("parts"), F.expr("transform(flags, f -> try_variant_get(f, '$', 'string'))").alias("flags"), F.coalesce(note, F.lit(False)).alias("odd_note"),
+        F.lit(None).cast("long").alias("wanted"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("asked"),
+    )
+    asked = inputs.select("batch", "review_id", F.col("place").cast("long").alias("wanted"), "text", F.lit(True).alias("asked"))
+    # inputs and outputs meet once, by batch: a review's rows stand together, and a batch's
+    rows = said.unionByName(asked, allowMissingColumns=True).repartition("batch")
+    one, all_ = Window.partitionBy("batch", "review_id"), Window.partitionBy("batch")
+    rows = rows.withColumns({
+        "times": F.count("place").over(one), "at": F.min("place").over(one), "due": F.count_if("asked").over(one), "should": F.max("wanted").over(one),
+        "source": F.coalesce(F.max("text").over(one), F.lit("")), "k": F.row_number().over(one.orderBy("asked", F.col("place").asc_nulls_last())),
+    })
+    came = ~F.col("asked") & F.col("place").isNotNull()
+    # a review that is missing is told by its input, one that came by the first of its annotations
+    wrong = F.when(F.col("asked") & (F.col("times") == 0), "missing").when(came & (F.col("k") == 1), F.when(F.col("due") == 0, "unexpected").when(F.col("times") > 1, "comes twice"))
+    rows = rows.withColumn("wrong", wrong)
+    rows = rows.withColumns({
+        "read": F.coalesce(F.bool_or(~F.col("asked") & ~F.col("broken")).over(all_), F.lit(False)), "answered": F.bool_or(~F.col("asked")).over(all_), "n": F.count("wrong").over(all_),
+        "differs": F.coalesce(F.bool_or(~F.col("asked") & ~F.col("broken") & ~F.coalesce(F.col("says") == F.col("batch"), F.lit(False))).over(all_), F.lit(False)),
+        "moved": F.coalesce(F.bool_or(came & (F.col("should") != F.col("at"))).over(all_), F.lit(False)), "first": F.row_number().over(all_.orderBy("review_id", "k")) == 1,
+    })
+    whole = ~F.col("asked") & ~F.col("broken")
+    bad_sentiment = lambda x: F.when(~F.coalesce(x["sentiment"].isin(*files.SENTIMENTS), F.lit(False)), "bad sentiment")
+    unseen = lambda x: F.when(x["evidence"].isNotNull() & ~F.contains(F.col("source"), x["evidence"]), "evidence is not in the text")
+    faults = F.flatten(F.transform("parts", lambda x: F.array(bad_sentiment(x), unseen(x), F.when(~x["aspect_ok"], "bad aspect"))))
+    unknown = F.transform("flags", lambda f: F.when(~F.coalesce(f.isin(*FLAGS), F.lit(False)), "unknown flag"))
+    none = F.array().cast("array<string>")
+    own = F.concat(F.array(F.when(F.col("read"), F.col("wrong")), F.when(whole & F.col("odd_note"), "note is no text")), F.when(whole, F.coalesce(unknown, none)).otherwise(none), F.when(whole, F.coalesce(faults, none)).otherwise(none))
+    of_batch = F.array(
+        F.when(~F.col("asked") & F.col("broken"), "unreadable output"), F.when(F.col("first") & ~F.col("answered"), "no output"), F.when(F.col("first") & F.col("differs"), "batch field differs"),
+        F.when(F.col("first") & F.col("read") & (F.col("n") == 0) & F.col("moved"), "out of order"),
+    )
+    said_of = lambda problems, review: F.transform(F.array_compact(problems), lambda p: F.struct(review.alias("review_id"), p.alias("problem")))
+    return rows.select("batch", F.inline(F.concat(said_of(of_batch, F.lit(None).cast("string")), said_of(own, F.col("review_id")))))
 
 
 def assist_totals(outputs: DataFrame, pinned: DataFrame) -> DataFrame:

@@ -252,3 +252,14 @@ def test_plain_runs_are_those_of_a_scan_line_by_line(spark):
         can = [(i, t[:-4] if t.endswith("text") else "", t, t[-1] if t.startswith("##") else "") for i, t in enumerate(lines, 1) if t[:2] in ("``", "##")]
         first, last, reviews, left, where = files._plain_runs(*([c[i] for c in can] for i in range(4)), len(lines))
         assert [(i, r) for a, z, r in zip(first, last, reviews) for i in range(a, z + 1)] == want and left == bool(run) and where == (review if run else None)
+
+
+def test_assist_tables_are_read_once(spark, tmp_path):
+    body = '{"batch": 1, "annotations": [{"mentions": []}, {"id": "a", "mentions": [{"aspect": "x", "sentiment": "odd", "evidence": "no"}]}]}'
+    spark.createDataFrame([(1, body), (1, "{}x"), (3, "no")], "batch long, payload string").write.parquet(str(tmp_path / "o"))
+    spark.createDataFrame([(1, 0, "a", "t"), (1, 1, "b", None), (2, 0, "c", "t")], "batch long, place long, review_id string, text string").write.parquet(str(tmp_path / "i"))
+    got = workbooks.assist_problems(spark.read.parquet(str(tmp_path / "i")), spark.read.parquet(str(tmp_path / "o")))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert sorted((r.batch, r.review_id or "", r.problem) for r in got.collect()) == [
+        (1, "", "unexpected"), (1, "", "unreadable output"), (1, "a", "bad sentiment"), (1, "a", "evidence is not in the text"), (1, "b", "missing"), (2, "", "no output"), (3, "", "unreadable output"),
+    ]
