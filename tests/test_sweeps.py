@@ -80,3 +80,10 @@ def test_shares_of_equal_samples_have_equal_means(spark):
     regime = spark.range(1).select(F.col("id").alias("app_id"), F.lit("calm").alias("regime"))
     got = {r.share: r for r in sweeps.mixing(pools, base, marked, hits, regime, [0.02, 0.04], 3, "s").collect()}
     assert got[0.02].mean_error == got[0.04].mean_error == round(got[0.02].mean_error, 12) > 0
+
+
+def test_months_are_cut_before_they_are_shuffled(spark):
+    pool = spark.range(500).select((F.col("id") % 2).alias("app_id"), F.lit(1.0).alias("quantile"), F.lit(250).cast("long").alias("pool_size"), F.col("id").cast("string").alias("review_id"), F.lit("2020-01-05").cast("timestamp_ntz").alias("created_at"))
+    drawn = sweeps.policy_draws(pool, [10, 40])
+    assert "WindowGroupLimit" in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["size"], r["count"]) for r in drawn.groupBy("policy", "size").count().collect()} == {(10, 20), (40, 80)}
