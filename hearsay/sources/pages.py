@@ -4,7 +4,7 @@ A capture is a folder with a folder app_id=<id> for each app, whose text files,
 for each answer: {"asked", "success", "next", "total", "reviews": [{"id", "at", "language", "up"}]}; at: epoch seconds. An answer
 to a cursor that is asked again is another line.
 
-A walk holds a page at a time, and the cursors it has seen. It ends at the first of: success 2 (no result); an empty page after
+A walk holds a page at a time, what it hands on together, and the cursors it has seen. It ends at the first of: success 2 (no result); an empty page after
 ``retries`` empty ones in a row; a review below the window; when strict, a page with a review outside; its quota; no next cursor, or
 one that was seen; no more answers. A success of another kind is an error.
 
@@ -31,6 +31,8 @@ REVIEWS = "app_id long, page long, review_id string, created_at timestamp, langu
 WALKS = "app_id long, pages long, collected long, out_of_window long, reported long, stopped_empty boolean, why string"
 PLACED = "app_id long, review_id string, created_at timestamp, language string, voted_up boolean, place string"
 FIRST = "*"
+#: Reviews that are handed on together; a page has few.
+ROWS = 2_000
 
 
 class App(InputPartition):
@@ -153,12 +155,25 @@ class _Reader(DataSourceReader):
             raise ValueError(f"no pages in {self.options['path']}")
         return [App(a, files) for a, files in found.items()]
 
+    @staticmethod
+    def _batch(app_id: int, pages: list[int], rows: list[dict]) -> pa.RecordBatch:
+        own = [pa.array([app_id] * len(rows), pa.int64()), pa.array(pages, pa.int64()), *_columns(rows)]
+        return pa.RecordBatch.from_arrays(own, names=["app_id", "page", "review_id", "created_at", "language", "voted_up"])
+
     def read(self, partition: App) -> Iterator[pa.RecordBatch]:
         walk, walks = _walk(self.options), self.options.get("table") == "walks"
+        kept: list[dict] = []
+        pages: list[int] = []
         for rows in walk.over(answers(self.options["path"], partition.files)):
-            if rows and not walks:
-                own = [pa.array([partition.app_id] * len(rows), pa.int64()), pa.array([walk.pages - 1] * len(rows), pa.int64()), *_columns(rows)]
-                yield pa.RecordBatch.from_arrays(own, names=["app_id", "page", "review_id", "created_at", "language", "voted_up"])
+            if walks:
+                continue
+            kept += rows
+            pages += [walk.pages - 1] * len(rows)
+            if len(kept) >= ROWS:
+                yield self._batch(partition.app_id, pages, kept)
+                kept, pages = [], []
+        if kept:
+            yield self._batch(partition.app_id, pages, kept)
         if walks:
             row = {"app_id": partition.app_id, "pages": walk.pages, "collected": walk.collected, "out_of_window": walk.strangers, "reported": walk.reported, "stopped_empty": walk.why == "empty pages", "why": walk.why}
             kinds = {"stopped_empty": pa.bool_(), "why": pa.string()}

@@ -94,3 +94,13 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert {r.place: r["count"] for r in got} == {"above": 4, "in": 3, "below": 3}
     with pytest.raises(PySparkException):
         runs.to_table(spark.readStream.format("new_review_pages").options(**options | {"progress": ""}).load(), where + "x", str(tmp_path / "cx"))
+
+
+def test_pages_are_handed_on_together(tmp_path):
+    n = 1_000
+    write(tmp_path, 4, "0.txt", [answer("*" if k == 0 else f"c{k}", [10_000 - 3 * k, 9_999 - 3 * k, 9_998 - 3 * k], f"c{k + 1}") for k in range(n)])
+    reader = pages._Reader({"path": str(tmp_path), "start": "1970-01-01T00:00:00+00:00", "end": "1971-01-01T00:00:00+00:00"})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert len(batches) == 2 and max(map(len, batches)) <= pages.ROWS + 3
+    assert [x for b in batches for x in b["page"].to_pylist()] == [k for k in range(n) for _ in range(3)]
+    assert [x for b in batches for x in b["review_id"].to_pylist()] == [f"r{10_000 - i}" for i in range(3 * n)]
