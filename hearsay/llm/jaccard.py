@@ -11,13 +11,15 @@ A tree of all sets would be searched in vain nearly everywhere, so sets first me
 
 1. documents of equal sets are one class; whatever follows is about classes;
 2. a class shows the prefix of its set (in one order for all: frequent shingles last) of which every linked class must
-   have a number in proportion to its size; shingles that no other class shows are dropped, then classes with too few left;
+   have a number in proportion to its size; shingles that no other class of a size that can be linked shows are dropped, then
+   classes with too few left;
 3. each class is compared with the centres of its shingles, that is the class of each that meets most others: with the two
    that are centres most often. That gives two links to a class at most, and joins nearly all near copies;
 4. where the classes of a shingle are in several components still, those of shingles with the same largest component are
    put under trees, in blocks of about ``chunk``, which are searched for all classes outside that component: these meet
    all classes there, so that no pair of two components is left out. Of two components the ``tries`` pairs with the widest bound are verified; where there
-   were more, and the components are still two, the search is done again with many more tries, until no pair is left.
+   were more, and the components are still two, the search is done again for such components, with many more tries, until no
+   pair is left.
 
 Frequent is what runs of about a million shingles have in two or more of their classes, at least 1 / ``frequent`` of all such counts, so there are
 no more than ``frequent`` such shingles, which are broadcast with 12 bytes each. The order only moves work, never the
@@ -249,8 +251,9 @@ def _fits(threshold: Fraction, a: str = "na", b: str = "nb") -> Column:
 
 def _held(keyed: DataFrame, sizes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """set_id, n, point, text of one document of each class in ids (set_id)."""
-    one = sizes.filter("n > 0").groupBy("set_id").agg(F.min(_KEY).alias(_KEY)).join(ids, "set_id", "left_semi")
-    rows = keyed.select(_KEY, "text").join(one, _KEY).dropDuplicates([_KEY, "set_id"]).select("set_id", "text")
+    one = shared.cut(sizes.filter("n > 0").groupBy("set_id").agg(F.min(_KEY).alias(_KEY)).join(ids, "set_id", "left_semi"))
+    # most texts are of no such class: they are left out before texts are dealt
+    rows = shared.likely(keyed.select(_KEY, "text"), _KEY, one.select(_KEY)).join(one, _KEY).dropDuplicates([_KEY, "set_id"]).select("set_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +272,7 @@ def _held(keyed: DataFrame, sizes: DataFrame, ids: DataFrame, size: int) -> Data
 def _verified(pairs: DataFrame, held: DataFrame, size: int, threshold: Fraction, rows_at_once: int = 2048) -> DataFrame:
     """Pairs (a, b) whose sets are linked. A set b that many are compared with goes to several tasks."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows_at_once).cast("int").alias("parts"))
-    texts = held.select("set_id", "text")
+    texts = shared.likely(held.select("set_id", "text"), "set_id", pairs.select(F.explode(F.array("a", "b"))))
     heads = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("a"), F.lit(0).alias("kind"))
     rows = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a", F.lit(1).alias("kind"))
     rows = rows.unionByName(heads).join(texts, F.col("a") == F.col("set_id")).select("b", "part", "kind", "a", "text")
@@ -340,21 +343,23 @@ def _searched(rows: DataFrame, held: DataFrame, threshold: Fraction, tries: int)
                         more.add(key)
         yield close()
 
-    rows = rows.join(held.select("set_id", "point"), "set_id").select("top", "band", "block", "kind", "comp", "set_id", "point")
+    rows = rows.join(shared.likely(held.select("set_id", "point"), "set_id", rows.select("set_id")), "set_id").select("top", "band", "block", "kind", "comp", "set_id", "point")
     dealt = rows.repartition("top", "band", "block").sortWithinPartitions("top", "band", "block", "kind")
     return dealt.mapInArrow(work, "a long, b long, more boolean")
 
 
-def _meetings(met: DataFrame, roots: DataFrame, threshold: Fraction, chunk: int) -> DataFrame:
+def _meetings(met: DataFrame, roots: DataFrame, unsettled: DataFrame | None, threshold: Fraction, chunk: int) -> DataFrame:
     """The rows of _searched: classes that meet at a shingle where several components do, by the largest component there. Of
     sizes that can be linked, they are in one or in neighbouring bands. Classes that have too few shingles at which they meet
-    other components go."""
+    other components go, and so do components that are not among the unsettled ones (comp), if these are given."""
     ratio = float(np.log(1 / float(threshold)))
     band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
     rows = met.select("token", "set_id", "n").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     rows = rows.select("token", "set_id", "n", F.coalesce("root", "set_id").alias("comp"))
+    if unsettled is not None:
+        rows = rows.join(unsettled, "comp", "left_semi")
     open_ = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-    rows = shared.written(rows.join(open_, "token"), "open")
+    rows = shared.cut(rows.join(open_, "token").select("token", "set_id", "n", "comp"))
     able = rows.groupBy("set_id").agg(F.count("*").alias("k"), F.min("n").alias("m")).filter(F.col("k") >= _enough(threshold, F.col("m"))).select("set_id")
     rows = rows.join(able, "set_id").select("token", "set_id", "comp", F.explode(F.array(band, band + 1)).alias("band"))
     counted = rows.groupBy("token", "band", "comp").agg(F.count("*").alias("m"))
@@ -380,13 +385,17 @@ def _links(keyed: DataFrame, sizes: DataFrame, size: int, threshold: Fraction, c
     order = np.argsort(late)
     late, pieces = late[order], pieces[order]
 
+    # dealt once: what follows needs the rows of a shingle's piece together. Of the classes there that one can be linked with, if
+    # any, the next smaller or the next larger is one
     at = Window.partitionBy("token", "piece")
-    shown = _shown(keyed, size, threshold, late, pieces).dropDuplicates(["token", "piece", "set_id"])
-    shown = shown.withColumn("low", F.min("set_id").over(at)).withColumn("high", F.max("set_id").over(at)).withColumn("crowd", F.count("*").over(at))
-    first = shared.written(shown.filter("piece > 0 OR low <> high").select("token", "piece", "set_id", "n", "crowd"), "shown")
-    sums = first.groupBy("set_id").agg(F.count("*").alias("k"), F.min("n").alias("m"), F.sum("crowd").alias("weight"))
-    sums = sums.filter(F.col("k") >= _enough(threshold, F.col("m"))).select("set_id", "weight")
-    met = shared.written(first.join(sums, "set_id").select("token", "piece", "set_id", "n", "weight"), "met")
+    by_size = at.orderBy("n")
+    shown = _shown(keyed, size, threshold, late, pieces).repartition("token", "piece").dropDuplicates(["token", "piece", "set_id"])
+    shown = shown.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size)).withColumn("crowd", F.count("*").over(at))
+    near = [F.col(c).isNotNull() & _fits(threshold, "n", c) for c in ("smaller", "larger")]
+    first = shown.filter((F.col("piece") > 0) | near[0] | near[1]).select("token", "piece", "set_id", "n", "crowd")
+    of = Window.partitionBy("set_id")
+    first = first.withColumn("k", F.count("*").over(of)).withColumn("weight", F.sum("crowd").over(of))
+    met = shared.written(first.filter(F.col("k") >= _enough(threshold, F.col("n"))).select("token", "piece", "set_id", "n", "weight"), "met")
     held = shared.written(_held(keyed, sizes, met.select("set_id").distinct(), size), "held")
 
     # the centre of a shingle's piece is the class there that meets most others at all of its shingles
@@ -397,15 +406,22 @@ def _links(keyed: DataFrame, sizes: DataFrame, size: int, threshold: Fraction, c
     tested = shared.cut(near.withColumn("place", place).filter("place <= 2").select("a", "b"))
     links = shared.cut(_verified(tested, held, size, threshold))
     roots = shared.cut(components.connected(links))
+    unsettled = None
     while True:
-        rows = _meetings(met, roots, threshold, chunk)
+        rows = shared.cut(_meetings(met, roots, unsettled, threshold, chunk))
         found = shared.cut(_searched(rows, held, threshold, tries))
-        pairs = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = shared.cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         new = shared.cut(_verified(pairs, held, size, threshold))
         if not new.isEmpty():
             links = links.unionAll(new)
             roots = shared.cut(components.connected(links))
-        if found.filter("more").isEmpty():
+        # of two components without more pairs every pair that can be linked is tested
+        more = found.filter("more").select("a", "b").distinct()
+        for c in ("a", "b"):
+            more = more.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+        unsettled = shared.cut(more.filter("a <> b").select(F.explode(F.array("a", "b")).alias("comp")).distinct())
+        if unsettled.isEmpty():
+            shared.dropped(met, held)
             return roots
         tested = shared.cut(tested.unionAll(pairs))
         tries *= 16

@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 from fractions import Fraction
@@ -135,3 +136,44 @@ def test_connected_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 60), (70, 70), (81, 80), (80, 81)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys((40, 50, 60), 40), 80: 80, 81: 80}
+
+
+def test_only_what_can_be_linked_meets(spark, monkeypatch):
+    """Texts that share a passage but whose sizes no link allows do not meet, and what was written for the join is deleted."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(k, " ".join(passage + [f"w{rng.random()}" for _ in range(90 * 2**k)])) for k in range(4)]
+    rows += [(10 + k, " ".join([f"q{i}" for i in range(80)] + ["x"] * k)) for k in range(3)]
+    seen = {}
+    written = jaccard.shared.written
+    dropped = jaccard.shared.dropped
+
+    def counted(df, name):
+        seen[name] = written(df, name)
+        if name == "met":
+            seen["classes"] = {r["n"] for r in seen[name].select("n").distinct().collect()}
+        return seen[name]
+
+    def gone(*tables):
+        seen["gone"] = len(tables)
+        files = [f.removeprefix("file:") for t in tables for f in t.inputFiles()]
+        dropped(*tables)
+        assert files and not any(pathlib.Path(re.sub("^/+", "/", f)).exists() for f in files)
+
+    monkeypatch.setattr(jaccard.shared, "written", counted)
+    monkeypatch.setattr(jaccard.shared, "dropped", gone)
+    found = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+    assert seen["classes"] <= {len(shingles(t)) for d, t in rows if d >= 10} and seen["classes"]
+    assert seen["gone"] == 2
+
+
+def test_rows_that_pass_a_table_of_bits(spark):
+    rows = [(k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for k in range(5000)]
+    df = spark.createDataFrame([(k, str(k)) for k in rows], "key long, text string")
+    keys = df.filter("key % 50 = 0").select("key")
+    wanted = {r["key"] for r in keys.collect()}
+    passed = [r["key"] for r in jaccard.shared.likely(df, "key", keys).collect()]
+    assert wanted <= set(passed) and len(passed) < 5 * len(wanted) + 200
+    assert jaccard.shared.likely(df, "key", keys.limit(0)).count() == 0
+    assert jaccard.shared.likely(df, "key", df.select("key"), most_bits=64).count() == 5000
