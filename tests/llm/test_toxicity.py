@@ -64,6 +64,15 @@ def corpus(n=600):
     return rows
 
 
+@pytest.mark.parametrize("flip", [0, 1])
+def test_regression_finds_its_optimum_where_whole_newton_steps_swing(flip):
+    heaviest = np.repeat([4.0, 6.0], [1206, 180])  # as of clean and toxic texts, and the other way round
+    x, y = np.stack([np.ones_like(heaviest), heaviest], axis=1), np.abs((heaviest > 5) - flip)
+    w = toxicity.fit_regression(x, y)
+    assert ((x @ w > 0) == y).all()
+    assert x.T @ (y - 1 / (1 + np.exp(-x @ w))) - [1e-3, 1.0] * w == pytest.approx(0, abs=1e-6)
+
+
 def test_held_out_accuracy(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows] + [(None, None, 0.0), (9999, "", 0.0), (9998, "x " * 20_000, 0.0), (3, rows[3][1], 0.0)], "doc_id long, text string, score double")
